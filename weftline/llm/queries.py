@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, lattice, licenses, mixing, secrets, simhash, token_counts
+from . import bpe, exact_dedup, idcoder, lattice, licenses, mixing, quality, secrets, simhash, token_counts
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -23,6 +23,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_groups(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,10 @@ def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idcoder.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -52,8 +60,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
         "op2_mixing": op2_mixing,
+        "op3_quality_classifier": op3_quality_classifier,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_embedding_neardup": op5_embedding_neardup,
+        "op6_token_binary": op6_token_binary,
         "op7_token_counts": op7_token_counts,
         "op8_simhash_neardup": op8_simhash_neardup,
         "op9_secret_scan": op9_secret_scan,
