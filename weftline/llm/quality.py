@@ -13,6 +13,7 @@ covers every document.
 
 from __future__ import annotations
 
+import operator
 import zlib
 from dataclasses import dataclass
 
@@ -27,7 +28,8 @@ ROUNDS = 3
 SURE = 0.95
 SHARE = 0.25  # of the pool, at most, that a view labels in a round
 ACCEPT = 0.5
-TEXT_DIM = 256
+TRIGRAMS = 256
+TEXT_DIM = TRIGRAMS + 4
 _SOURCES, _LANGS = 32, 8
 PAGE_DIM = 14 + _SOURCES + _LANGS
 _CHUNK = 1 << 20
@@ -37,14 +39,21 @@ _KINDS[[b for b in range(33, 127) if chr(b) not in ".,;:'\"" and not chr(b).isal
 
 
 def text_view(text: str | None) -> np.ndarray:
-    """Square roots of trigram shares, hashed; zero for texts of less than three bytes."""
+    """Square roots of hashed trigram shares, fading for short texts, then repetition of words."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    hist = np.zeros(TEXT_DIM)
+    hist = np.zeros(TRIGRAMS)
     for lo in range(0, max(len(raw) - 2, 0), _CHUNK):
         b = raw[lo : lo + _CHUNK + 2].astype(np.uint32)
         h = (b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA6B) + b[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(24)
-        hist += np.bincount(h, minlength=TEXT_DIM)
-    return np.sqrt(hist / max(hist.sum(), 1.0)).astype(np.float32)
+        hist += np.bincount(h, minlength=TRIGRAMS)
+    words = (text or "").split()
+    n = max(len(words), 1)
+    faded = len(raw) / (len(raw) + 64)
+    same = sum(map(operator.eq, words, words[1:])) / n
+    out = np.empty(TEXT_DIM, np.float32)
+    out[:TRIGRAMS] = np.sqrt(hist / max(hist.sum(), 1.0)) * faded
+    out[TRIGRAMS:] = [len(set(words)) / n, same, np.sqrt(same), np.log1p(n) / 8 * (1 - len(set(words)) / n)]
+    return out
 
 
 def page_view(text: str | None, source: str | None, lang: str | None, n_chars: float | None) -> np.ndarray:
