@@ -1,0 +1 @@
+"""Web-corpus extraction and reconciliation on Spark."""
