@@ -162,10 +162,12 @@ EMAIL_STRICT = (
     r"(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)*\.[a-zA-Z]{2,}$"
 )
 PHONE_FIND = r"(?:(?:\+|00)\d{1,3}[\s\-\.]?)?(?:\(?\d{2,4}\)?[\s\-\.]?){2,5}\d{3,4}"
-ADDRESS_WORDS = (
-    r"(?i)\b(?:street|st|avenue|ave|road|rd|lane|ln|blvd|boulevard|nagar|marg|district|pin|pincode|zip|postal|city|state|province|sector|phase"
-    r"|floor|building|tower|campus|plot|block)\b"
+ADDRESS_KEYWORDS = (
+    "street|st|avenue|ave|road|rd|lane|ln|blvd|boulevard|nagar|marg|district|pin|pincode|zip|postal|city|state|province|sector|phase"
+    "|floor|building|tower|campus|plot|block"
 )
+# Java and RE2 differ on what \b means next to letters outside ASCII, so word ends are spelled out.
+ADDRESS_WORDS = rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{ADDRESS_KEYWORDS})(?:[^\p{{L}}\p{{N}}_]|$)"
 GARBAGE_RUN = r"[^\x20-\x7E\n\r\t\x{a0}-\x{ff}]{5,}"
 
 # Error messages. First match wins.

@@ -14,7 +14,8 @@ LANDMARKS = ("main", "article", "[role=main]", "[role=article]")
 LAZY_SOURCES = ("src", "data-src", "data-lazy-src", "data-original", "data-lazy", "data-delayed-src")
 _ONCLICK = re.compile(r"""(?:window\.location|location\.href|document\.location)\s*=\s*['"]([^'"]+)['"]""", re.I)
 _SKIP_HREF = re.compile(C.LINK_SKIP)
-_PHONE, _EMAIL, _ADDRESS = (re.compile(p) for p in (C.PHONE_FIND, C.EMAIL_FIND, C.ADDRESS_WORDS))
+_PHONE, _EMAIL = re.compile(C.PHONE_FIND), re.compile(C.EMAIL_FIND)
+_ADDRESS = re.compile(rf"\b(?:{C.ADDRESS_KEYWORDS})\b", re.I)
 
 
 def _clean(text: str | None) -> str:

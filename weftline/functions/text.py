@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .. import constants as C
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once; repeated inlining of long expressions would outgrow generated code."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def rx(col: Column, pattern: str) -> Column:
     """Whether the pattern is found in the column; false for null."""
     return F.coalesce(F.rlike(col, F.lit(pattern)), F.lit(False))

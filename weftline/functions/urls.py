@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .text import rx
+from .text import let, rx
 
 SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -117,9 +117,13 @@ def api_score(url: Column) -> Column:
 
 def ip_number(host_: Column) -> Column:
     """An IPv4 literal as a number, else null."""
-    octet = lambda k: F.split_part(host_, F.lit("."), F.lit(k)).cast("long")
-    literal = rx(host_, r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
-    return F.when(literal, octet(1) * 16777216 + octet(2) * 65536 + octet(3) * 256 + octet(4))
+
+    def number(h: Column) -> Column:
+        octet = lambda k: F.split_part(h, F.lit("."), F.lit(k)).cast("long")
+        literal = rx(h, r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
+        return F.when(literal, octet(1) * 16777216 + octet(2) * 65536 + octet(3) * 256 + octet(4))
+
+    return let(host_, number)
 
 
 def net_ranges() -> list[tuple[str, int, int]]:
@@ -128,21 +132,27 @@ def net_ranges() -> list[tuple[str, int, int]]:
 
 
 def is_private(host_: Column) -> Column:
-    ip, out = ip_number(host_), F.lit(False)
-    for _, lo, hi in net_ranges():
-        out = out | ip.between(lo, hi)
-    return F.coalesce(out, F.lit(False))
+    def within(ip: Column) -> Column:
+        out = F.lit(False)
+        for _, lo, hi in net_ranges():
+            out = out | ip.between(lo, hi)
+        return F.coalesce(out, F.lit(False))
+
+    return let(ip_number(host_), within)
 
 
 def invalid_reason(url: Column) -> Column:
     """'ok', or why a URL is not fetched (names are not resolved)."""
-    u = F.trim(F.coalesce(url, F.lit("")))
-    return (
-        F.when(u == "", "empty")
-        .when(F.char_length(u) > C.MAX_URL_LENGTH, "too_long")
-        .when(~scheme(u).isin("http", "https"), "bad_scheme")
-        .when(host(u) == "", "no_host")
-        .when(host(u).isin(*C.BLOCKED_HOSTS), "blocked_host")
-        .when(is_private(host(u)), "private_address")
-        .otherwise("ok")
-    )
+
+    def reason(u: Column) -> Column:
+        def of_host(h: Column) -> Column:
+            return F.when(h == "", "no_host").when(h.isin(*C.BLOCKED_HOSTS), "blocked_host").when(is_private(h), "private_address").otherwise("ok")
+
+        return (
+            F.when(u == "", "empty")
+            .when(F.char_length(u) > C.MAX_URL_LENGTH, "too_long")
+            .when(~scheme(u).isin("http", "https"), "bad_scheme")
+            .otherwise(let(host(u), of_host))
+        )
+
+    return let(F.trim(F.coalesce(url, F.lit(""))), reason)

@@ -63,8 +63,15 @@ def native_links(html: Column) -> Column:
     return F.zip_with(hrefs, texts, lambda h, t: F.struct(F.trim(h).alias("href"), plain(t).alias("text")))
 
 
+#: Start tags of paragraphs, and what ends one. Alternations inside loops would overflow Java's regex stack on long pages.
+PARAGRAPH_START = r"(?is)<p\b[^>]*>"
+PARAGRAPH_END = r"(?is)</?(p|div|article|section|main|footer|ul|ol|table|body|html)\b.*$"
+SCRIPTS = r"(?is)<(script|style)\b.*?</(script|style)>"
+
+
 def native_paragraphs(html: Column) -> Column:
-    """Paragraph texts by pattern: up to the next paragraph's start or end or the article's end."""
-    body = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</(script|style)>", " ")
-    raw = F.regexp_extract_all(body, F.lit(r"(?is)<p\b[^>]*>((?:[^<]|<(?:/?(?:b|i|em|strong|a|span|u|code|small|br)\b[^>]*>))*)"), F.lit(1))
+    """Paragraph texts by pattern: from a start tag to the next block element's tag."""
+    body = F.regexp_replace(F.coalesce(html, F.lit("")), SCRIPTS, " ")
+    pieces = F.split(body, PARAGRAPH_START)
+    raw = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda t: F.regexp_replace(t, PARAGRAPH_END, ""))
     return F.filter(F.transform(raw, lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, "<[^>]*>", ""), r"\s+", " "))), lambda t: t != "")
