@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -280,14 +281,15 @@ def decode_blocks(data: bytes) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- tokenizing
-# A chunk is a run without white space, with the blank before it, or a run of white space as the
-# vocabulary's own pattern cuts it; that pattern never crosses a chunk's ends.
-_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: White space for this module's patterns but not for the vocabulary's.
+#: The pre-token pattern of byte-level BPE vocabularies of this family (fixed value). Python's white space has four
+#: characters more than the vocabulary's.
+_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _ODD = re.compile("[\x1c-\x1f]")
 
 
 class _ByteEncoder:
+    """Encodes each distinct pre-token once, by the library."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -295,17 +297,33 @@ class _ByteEncoder:
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.cache = wordbpe.ChunkCache(self._ids, CACHE_CHUNKS)
+        blank = wordbpe.byte_chars()[32]
+        vocab = self.lib.get_vocab(with_added_tokens=False)
+        self.opens = np.zeros(1 << 16, bool)
+        self.opens[[i for t, i in vocab.items() if t.startswith(blank)]] = True
 
     def _ids(self, chunks: list[str]) -> Iterator[bytes]:
-        for lo in range(0, len(chunks), 8192):
-            for e in self.lib.encode_batch_fast(chunks[lo : lo + 8192], add_special_tokens=False):
-                yield np.array(e.ids, np.uint16).tobytes()
+        # Pre-tokens of a blank and a word can be encoded in one run: only their first ids begin with a blank.
+        joined = [k for k, c in enumerate(chunks) if c[0] == " " and len(c) > 1 and not c[1].isspace()]
+        out: list[bytes] = [b""] * len(chunks)
+        for lo in range(0, len(joined), 4096):
+            part = joined[lo : lo + 4096]
+            ids = np.array(self.lib.encode("".join([chunks[k] for k in part]), add_special_tokens=False).ids, np.uint16)
+            starts = np.flatnonzero(self.opens[ids])
+            raw = ids.tobytes()
+            for k, s, e in zip(part, (2 * starts).tolist(), (2 * np.append(starts[1:], len(ids))).tolist(), strict=True):
+                out[k] = raw[s:e]
+        taken = set(joined)
+        single = [k for k in range(len(chunks)) if k not in taken]
+        for k, e in zip(single, self.lib.encode_batch_fast([chunks[k] for k in single], add_special_tokens=False)):
+            out[k] = np.array(e.ids, np.uint16).tobytes()
+        yield from out
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """16-bit ids of each text."""
         for run in wordbpe.slices(texts):
             whole = [bool(_ODD.search(t)) or any(s in t for s in self.special) for t in run]
-            chunks = [[] if w else _CHUNK.findall(t) for t, w in zip(run, whole)]
+            chunks = [[] if w else _PRETOKEN.findall(t) for t, w in zip(run, whole)]
             values = self.cache.fill(chunks)
             for t, w, cs in zip(run, whole, chunks):
                 if w:
