@@ -43,7 +43,8 @@ _HEADER = struct.Struct("<4sBIII")
 _NONE = 0xFFFF
 _CLASSES = 32
 _RATE = 5
-_TOTAL = 15  # bits of the class frequencies' sum
+_TOTAL = 14  # bits of the class frequencies' sum
+_FLOOR = 16  # least frequency of a class: enough to stay codable in the smallest share that orders 1 and 2 leave
 _TOP = 46
 _MASK = (1 << 62) - 1
 _SHORT = (1 << 32) - 1
@@ -55,11 +56,7 @@ for _k in range(1, 16):
 _CLASS = np.where(_ids < 2, _ids, 2 * _exp + ((_ids >> np.maximum(_exp - 1, 0)) & 1))
 _BITS = np.array([0, 0] + [c // 2 - 1 for c in range(2, _CLASSES)], np.int64)  # size of a class, as a power of two
 _BASE = np.searchsorted(_CLASS, np.arange(_CLASSES))
-#: Row c is the cumulative distribution that class c pulls towards: almost all on c.
-_PULL = (np.arange(_CLASSES + 1) * 8 + (np.arange(_CLASSES)[:, None] < np.arange(_CLASSES + 1)[None, :]) * ((1 << _TOTAL) - 8 * _CLASSES)).astype(np.int32)
-
-
-_ENDS = np.arange(1, _CLASSES + 1, dtype=np.int32)
+_ROWS = np.arange(_CLASSES + 1, dtype=np.int16)[:, None]
 
 
 class _Model:
@@ -71,13 +68,14 @@ class _Model:
         self.two, self.one = np.full(lanes << 11, _NONE << 2, np.int32), np.full(lanes << 11, _NONE << 2, np.int32)
         self.base, self.base_p = lane << 11, lane << 5
         self.p2, self.p1 = np.full(lanes << 5, 20000, np.int32), np.full(lanes << 5, 8000, np.int32)
-        self.cum = np.tile(np.arange(_CLASSES + 1, dtype=np.int32) << (_TOTAL - 5), (lanes, 1))
+        self.cum = np.repeat(_ROWS << (_TOTAL - 5), lanes, axis=1)  # cumulative class frequencies, one column a lane
         self.lane = lane
         self.before, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def shrink(self, lanes: int) -> None:
-        for k in ("base", "base_p", "lane", "before", "last", "cum"):
+        for k in ("base", "base_p", "lane", "before", "last"):
             setattr(self, k, getattr(self, k)[:lanes])
+        self.cum = self.cum[:, :lanes].copy()
 
     def predict(self) -> None:
         h = self.last * 0x9E3779B1
@@ -90,17 +88,17 @@ class _Model:
         self.w2, self.w1 = self.p2[self.sp], self.p1[self.sp]
         self.f2 = np.minimum(np.maximum(self.w2, 32), 60000).astype(np.int64)
         self.f1 = np.where(agree, 0, ((65536 - self.f2) * np.minimum(self.w1 + 64, 32768)) >> 16)
-        self.rest = 65536 - self.f2 - self.f1 - _CLASSES
+        self.rest = 65536 - self.f2 - self.f1
 
     def share(self, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of a class within what orders 2 and 1 leave; the width is 1 at least."""
-        lo = ((self.cum[self.lane, cls] * self.rest) >> _TOTAL) + cls
-        return lo, ((self.cum[self.lane, cls + 1] * self.rest) >> _TOTAL) + cls + 1 - lo
+        lo = (self.cum[cls, self.lane] * self.rest) >> _TOTAL
+        return lo, ((self.cum[cls + 1, self.lane] * self.rest) >> _TOTAL) - lo
 
     def class_at(self, x: np.ndarray) -> np.ndarray:
-        """The class whose share holds x."""
-        ends = ((self.cum[:, 1:] * self.rest.astype(np.int32)[:, None]) >> _TOTAL) + _ENDS
-        return np.minimum((ends <= x.astype(np.int32)[:, None]).sum(axis=1, dtype=np.uint8), _CLASSES - 1).astype(np.int64)
+        """The class whose share holds x. Quotients of integers below 2^31 are exact enough in double precision."""
+        target = ((((x + 1) << _TOTAL) - 1) / self.rest).astype(np.int16)
+        return (self.cum[1:_CLASSES] <= target).sum(axis=0, dtype=np.uint8).astype(np.int64)
 
     def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, cls: np.ndarray) -> None:
         """hit1: order 1 had it and order 2 had not."""
@@ -110,7 +108,12 @@ class _Model:
             table[slot] = np.where(hit, e + (k < 3), np.where(k > 1, e - 1, (i32 << 2) | 1))
         self.p2[self.sp] = self.w2 + (((hit2 * 65535) - self.w2) >> 4)
         self.p1[self.sp] = np.where(hit2, self.w1, self.w1 + (((hit1 * 65535) - self.w1) >> 4))
-        self.cum += (_PULL[cls] - self.cum) >> _RATE
+        # towards _FLOOR for every class and the rest for this one
+        goal = (cls.astype(np.int16) < _ROWS) * np.int16((1 << _TOTAL) - _FLOOR * _CLASSES)
+        goal += _ROWS * np.int16(_FLOOR)
+        goal -= self.cum
+        goal >>= _RATE
+        self.cum += goal
         self.before, self.last = self.last, ids
 
 
