@@ -35,7 +35,7 @@ from . import wordbpe
 from .common import materialize, partitions
 
 BLOCK_IDS = 2048
-SEGMENT_IDS = 1 << 22
+SEGMENT_IDS = 1 << 23
 END_ID = 0
 CACHE_CHUNKS = 400_000
 _MAGIC = b"WTID"
@@ -288,10 +288,13 @@ def decode_blocks(data: bytes) -> np.ndarray:
 #: characters more than the vocabulary's.
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _ODD = re.compile("[\x1c-\x1f]")
+#: Coarser pieces whose ends are always ends of pre-tokens: a run without white space with the blank before it, or a run
+#: of white space as the pattern above cuts it.
+_PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 
 class _ByteEncoder:
-    """Encodes each distinct pre-token once, by the library."""
+    """Encodes each distinct piece once: its pre-tokens by the library, each distinct one once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -299,7 +302,8 @@ class _ByteEncoder:
 
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.cache = wordbpe.ChunkCache(self._ids, CACHE_CHUNKS)
+        self.words = wordbpe.ChunkCache(self._ids, CACHE_CHUNKS)
+        self.pieces = wordbpe.ChunkCache(self._piece_ids, CACHE_CHUNKS)
         blank = wordbpe.byte_chars()[32]
         vocab = self.lib.get_vocab(with_added_tokens=False)
         self.opens = np.zeros(1 << 16, bool)
@@ -322,12 +326,18 @@ class _ByteEncoder:
             out[k] = np.array(e.ids, np.uint16).tobytes()
         yield from out
 
+    def _piece_ids(self, pieces: list[str]) -> Iterator[bytes]:
+        cut = [_PRETOKEN.findall(p) for p in pieces]
+        values = self.words.fill(cut)
+        for c in cut:
+            yield values[c[0]] if len(c) == 1 else b"".join([values[w] for w in c])
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """16-bit ids of each text."""
         for run in wordbpe.slices(texts):
             whole = [bool(_ODD.search(t)) or any(s in t for s in self.special) for t in run]
-            chunks = [[] if w else _PRETOKEN.findall(t) for t, w in zip(run, whole)]
-            values = self.cache.fill(chunks)
+            chunks = [[] if w else _PIECE.findall(t) for t, w in zip(run, whole)]
+            values = self.pieces.fill(chunks)
             for t, w, cs in zip(run, whole, chunks):
                 if w:
                     yield np.array(self.lib.encode(t, add_special_tokens=False).ids, np.uint16)
