@@ -121,7 +121,7 @@ def normal_phone(col: Column) -> Column:
 
 def address_sentences(col: Column) -> Column:
     """Distinct sentences of 10 to 300 characters with an address word, in order."""
-    parts = F.transform(F.split(F.coalesce(col, F.lit("")), r"[\n.;|]"), F.trim)
+    parts = F.transform(F.split(F.coalesce(col, F.lit("")), r"[\n.;|]"), lambda s: F.trim(s))
     return F.array_distinct(F.filter(parts, lambda s: F.char_length(s).between(10, 300) & F.rlike(s, F.lit(C.ADDRESS_WORDS))))
 
 

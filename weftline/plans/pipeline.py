@@ -93,7 +93,7 @@ def engine_results(pages: DataFrame, strategies: tuple[str, ...] = STRATEGIES) -
             canonical_url=classify.canonical(F.col("url"), F.col("html")),
             language=F.coalesce(classify.language(F.col("html")), text.nonempty(meta("og:locale"))),
             page_type=classify.page_type(F.col("url"), F.col("html")),
-            keywords=F.slice(F.filter(F.transform(F.split(meta("keywords"), ","), F.trim), lambda k: k != ""), 1, C.CAPS["keywords"]),
+            keywords=F.slice(F.filter(F.transform(F.split(meta("keywords"), ","), lambda s: F.trim(s)), lambda k: k != ""), 1, C.CAPS["keywords"]),
             json_ld=F.col("json_ld"),
             opengraph=F.col("opengraph"),
             meta_tags=F.col("meta_tags"),
