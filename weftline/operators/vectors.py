@@ -1,0 +1,20 @@
+"""Exact nearest neighbours of a stated query set."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, cosine, rank): ``k`` nearest of vectors(vec_id, e, n) for the one row of queries(qs array<struct<vec_id, e, n>>).
+
+    Each partition keeps its own best ``k`` a query before the shuffle, so what moves is k rows a query and partition.
+    """
+    pairs = vectors.join(F.broadcast(queries)).select("vec_id", "e", "n", F.explode("qs").alias("q")).where(F.col("vec_id") != F.col("q.vec_id"))
+    dot = F.aggregate(F.zip_with("e", F.col("q.e"), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    scored = pairs.select(F.col("q.vec_id").alias("query_id"), "vec_id", (dot / (F.col("n") * F.col("q.n"))).alias("cosine"), F.spark_partition_id().alias("p"))
+    order = [F.desc("cosine"), F.asc("vec_id")]
+    near = scored.groupBy("query_id", "p").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "vec_id"))), 1, k).alias("best"))
+    rows = near.select("query_id", F.inline("best")).select("query_id", "vec_id", (-F.col("d")).alias("cosine"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
