@@ -203,7 +203,7 @@ def select(root: Node, selector: str) -> list[Node]:
     return [n for n in root.elements() if any(holds(n, c, len(c) - 1) for c in chains)]
 
 
-_STEP = re.compile(r"(//?)([\w*-]+|@[\w:-]+|text\(\))((?:\[[^\]]*\])*)")
+_STEP = re.compile(r"(//?)(text\(\)|@[\w:-]+|[\w*-]+)((?:\[[^\]]*\])*)")
 _TEST = re.compile(r"""\[(?:(\d+)|@([\w:-]+)(?:\s*=\s*["']([^"']*)["'])?|contains\(\s*@([\w:-]+)\s*,\s*["']([^"']*)["']\s*\))\]""")
 
 
