@@ -13,13 +13,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordbpe
 
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 800_000
+CACHE_WORDS = 500_000
 CACHE_PAIRS = 1_000_000
 
 
@@ -56,6 +58,7 @@ class PrefixEncoder:
                 self.automaton.add_word(s, (t, len(s)))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.words = wordbpe.ChunkCache(self.word_values, CACHE_WORDS)
         self._drop_unreachable(spell, ends)
 
     def _drop_unreachable(self, spell: dict[int, str], ends: set[str]) -> None:
@@ -112,17 +115,25 @@ class PrefixEncoder:
             at -= size[at]
         return out[::-1]
 
-    def encode_chunk(self, chunk: str) -> list[int]:
-        if chunk in self.bpe.special:
-            return [self.bpe.special[chunk]]
-        return [i for w in self.bpe.pretokens(chunk) for i in self.encode_word(w)]
+    def word_values(self, words: list[bytes]) -> Iterator[tuple[bytes, str]]:
+        strings = self.bpe.strings
+        for w in words:
+            ids = self.encode_word(w)
+            yield np.array(ids, "<u4").tobytes(), " ".join([strings[i] for i in ids])
 
     def chunk_values(self, chunks: list[str]) -> Iterator[tuple[bytes, str]]:
-        """(ids as little-endian 32-bit integers, decoded text) of each chunk."""
-        strings = self.bpe.strings
-        for c in chunks:
-            ids = self.encode_chunk(c)
-            yield b"".join([i.to_bytes(4, "little") for i in ids]), " ".join([strings[i] for i in ids])
+        """(ids as little-endian 32-bit integers, decoded text) of each chunk. Chunks share their words."""
+        special = self.bpe.special
+        words = [[] if c in special else self.bpe.pretokens(c) for c in chunks]
+        values = self.words.fill(words)
+        for c, ws in zip(chunks, words):
+            if len(ws) == 1:
+                yield values[ws[0]]
+            elif c in special:
+                yield special[c].to_bytes(4, "little"), c
+            else:
+                got = [values[w] for w in ws]
+                yield b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
 
 
 @lru_cache(maxsize=2)
@@ -160,8 +171,6 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
         for pdf in batches:
             got = list(encode_texts(pdf["text"].tolist(), path))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [np.frombuffer(i, "<u4").astype(np.int32) for i, _ in got], "decoded": [d for _, d in got]})
