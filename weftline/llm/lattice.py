@@ -120,11 +120,10 @@ def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 )
 
 
-def _first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Index of the first cell at which vectors a[i] and b[i] meet; a has the smaller id."""
-    (ha, na), (hb, nb) = cells(a), cells(b)
+def _first_meeting(ha: np.ndarray, na: np.ndarray, hb: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Index of the first cell at which pairs of vectors meet, from their home and probed cells; a has the smaller id."""
     meet = np.stack([ha == hb, (ha[:, :, None] == nb).any(axis=2), (hb[:, :, None] == na).any(axis=2)], axis=2)
-    return meet.reshape(len(a), -1).argmax(axis=1)
+    return meet.reshape(len(ha), -1).argmax(axis=1)
 
 
 def _block(g: pd.DataFrame) -> pd.DataFrame | None:
@@ -144,20 +143,24 @@ def _block(g: pd.DataFrame) -> pd.DataFrame | None:
             parent[v] = v = parent[p]
         return v
 
+    known: list = []
     for lo in range(0, len(x), 128):
         s = x[lo : lo + 128] @ y.T
         i, j = np.nonzero((s >= COSINE) & (li[lo : lo + 128, None] != ri[None, :]) & (~rhome[None, :] | (li[lo : lo + 128, None] < ri[None, :])))
+        if len(i) and not known:
+            known = [*cells(x), *cells(y)]  # once a vector, however many links it has
         for k in range(0, len(i), 4096):
             a, b = i[k : k + 4096] + lo, j[k : k + 4096]
             first = li[a] < ri[b]
-            small, large = np.where(first[:, None], x[a], y[b]), np.where(first[:, None], y[b], x[a])
-            met = _first_meeting(small, large)
+            (hl, nl), (hr, nr) = ((known[0][a], known[1][a]), (known[2][b], known[3][b]))
+            f2, f3 = first[:, None], first[:, None, None]
+            hs, ns, hg, ng = np.where(f2, hl, hr), np.where(f3, nl, nr), np.where(f2, hr, hl), np.where(f3, nr, nl)
+            met = _first_meeting(hs, ns, hg, ng)
             t = met // 3
             # the kind of this meeting: both at home, the smaller at home, the larger at home
             kind = np.where(rhome[b], 0, np.where(first, 1, 2))
             home = np.where(kind == 2, 1, 0)
-            (hs, _), (hl, _) = cells(small), cells(large)
-            at = np.where(home == 0, hs[np.arange(len(a)), t], hl[np.arange(len(a)), t])
+            at = np.where(home == 0, hs[np.arange(len(a)), t], hg[np.arange(len(a)), t])
             ok = (met % 3 == kind) & (at == cell)
             a, b = a[ok], b[ok]
             ids += [li[a], ri[b]]
