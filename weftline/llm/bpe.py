@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from . import wordbpe
 
-CACHE_CHUNKS = 800_000
-CACHE_WORDS = 500_000
+CACHE_CHUNKS = 200_000
+CACHE_WORDS = 400_000
 CACHE_PAIRS = 1_000_000
 
 
@@ -57,7 +57,7 @@ class PrefixEncoder:
             if not (set(s[:-1]) & ends):
                 self.automaton.add_word(s, (t, len(s)))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.words = wordbpe.ChunkCache(self.word_values, CACHE_WORDS)
         self._drop_unreachable(spell, ends)
 
@@ -83,7 +83,8 @@ class PrefixEncoder:
 
         At equal ranks the pair further left merges first.
         """
-        if (known := self.pairs.get((a, b))) is None:
+        key = a << 20 | b
+        if (known := self.pairs.get(key)) is None:
             get, known = self.rank.get, True
             for p, pu in self.right[a]:
                 for q, qu in self.left[b]:
@@ -94,7 +95,7 @@ class PrefixEncoder:
                     break
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            self.pairs[(a, b)] = known
+            self.pairs[key] = known
         return known
 
     def encode_word(self, word: bytes) -> list[int]:
