@@ -84,7 +84,7 @@ def test_profiles(spark):
 
 
 def test_reports(spark, tmp_path):
-    pages = spark.createDataFrame([("http://e.com/1", '<title>T <x></title><h1>H</h1><a href="/a&b">L</a><img src="/i.png">')], "url string, html string")
+    pages = spark.createDataFrame([("http://e.com/1", '<title>T <x></title><h1>Main Heading</h1><a href="/a&b">L</a><img src="/i.png">')], "url string, html string")
     m = pipeline.merge(pipeline.engine_results(pages))
     sinks.write_csv(m, f"file://{tmp_path}/csv")
     assert {r["type"] for r in spark.read.csv(f"file://{tmp_path}/csv", header=True).collect()} == {"link", "image", "heading"}
