@@ -272,6 +272,22 @@ def test_id_files(spark, monkeypatch):
         start += len(tokens)
 
 
+def test_byte_pretokens(monkeypatch):
+    """Texts of Latin and of other letters, digits, blanks and apostrophes encode as the library has them, also when the pool starts again."""
+    monkeypatch.setattr(idcoder, "CACHE_CHUNKS", 500)
+    enc = idcoder._ByteEncoder(public_tokenizers.path(BYTE_BPE))
+    pool = "aAbB sS tdvelmr''''éÉßΣσ0123٣½²ªµ¹¾ \t\n\x0b\x0c\r\x1c\x1f\x85\xa0 　̧́İıﬁ漢字😀<|>_-!?.,&#×÷ɏɐ‐—‧€​᠎ "
+    r = random.Random(5)
+    texts = ["".join(r.choice(pool[: r.randint(5, len(pool))]) for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    texts += ["", "<|endoftext|>a<|endoftext|>", "'" * 40, "\n" * 5000, "ab" * 5000, " 's 'sword it's IT'S we'll'll"]
+    for _ in range(2):
+        for lo in range(0, len(texts), 100):
+            part = texts[lo : lo + 100]
+            for text, ids in zip(part, enc.encode(part), strict=True):
+                assert ids.tolist() == enc.lib.encode(text, add_special_tokens=False).ids, text
+    assert enc.used < 5000
+
+
 # ---------------------------------------------------------------- 7, 10 tokens
 def test_tokens(spark):
     path = public_tokenizers.path(WORD_BPE)
