@@ -66,10 +66,10 @@ def test_near_pairs_are_exact(spark):
 
 
 def test_asof_and_ranges(spark):
-    a = spark.createDataFrame([("x", 5, 1), ("x", 9, 2), ("y", 1, 3)], "k string, t long, id long")
-    b = spark.createDataFrame([("x", 5, "p"), ("x", 7, "q"), ("y", 2, "r")], "k string, t long, v string")
+    a = spark.createDataFrame([("x", 5, 1), ("x", 9, 2), ("y", 1, 3), (None, 9, 4), ("x", None, 5)], "k string, t long, id long")
+    b = spark.createDataFrame([("x", 5, "p"), ("x", 7, "q"), ("y", 2, "r"), (None, 1, "s"), ("x", None, "u"), ("y", None, "w")], "k string, t long, v string")
     got = {r["id"]: r["v"] for r in relational.asof(a, b, "k", "t", ["v"]).collect()}
-    assert got == {1: "p", 2: "q", 3: None}
+    assert got == {1: "p", 2: "q", 3: None, 4: None, 5: None}
     p = spark.createDataFrame([(0.0,), (9.9,), (10.0,), (35.0,)], "x double")
     r = spark.createDataFrame([("a", 0.0, 10.0), ("b", 10.0, 40.0)], "n string, lo double, hi double")
     assert sorted((x["n"], x["x"]) for x in relational.bucketed_range(p, r, "x", "lo", "hi", 7.0).collect()) == [("a", 0.0), ("a", 9.9), ("b", 10.0), ("b", 35.0)]

@@ -21,9 +21,9 @@ def q_join_inner(spark, d):
     return per.join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "customers", F.round("b", 2).alias("balance"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def q_left_anti(spark, d):
-    o = t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = t(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return t(spark, d, "customer").select("c_custkey", "c_name").join(o, "c_custkey", "left_anti")
 
 
