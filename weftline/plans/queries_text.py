@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text
-from ..operators import dedup, findings
+from ..operators import dedup, findings, headings
 from .registry import has, q, query, table, words
 
 _ALPHA = "length(regexp_replace(coalesce(text, ''), '[^\\p{L}]', '', 'g')) / greatest(length(coalesce(text, '')), 1)"
@@ -181,13 +181,8 @@ def title_similarity_pairs(spark, d):
 
 @query()
 def fuzzy_dedup_headings(spark, d):
-    """First lines of each source's documents, near-duplicates folded, by the merge rule (sources stand in for pages, sixteen lines each)."""
-    from ..operators.merge_fold import fuzzy_dedup
-
-    lines = docs(spark, d).select("source", "doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("t"))
-    first = lines.groupBy("source").agg(F.slice(F.array_sort(F.collect_list(F.struct("doc_id", "t"))), 1, 16).alias("xs"))
-    fold = F.udf(lambda xs: [x["text"] for x in fuzzy_dedup([{"text": t} for t in xs])[0]], "array<string>", useArrow=True)
-    return first.select("source", F.explode(fold(F.transform("xs", lambda x: x["t"]))).alias("heading"))
+    """First lines of all of each source's documents, near-duplicates folded, by the merge rule (sources stand in for pages)."""
+    return headings.fold(docs(spark, d).select("source", "doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("t")))
 
 
 @query(findings.oracle_sql("documents", "doc_id", "text"))
