@@ -192,28 +192,50 @@ def fingerprint_links(groups: DataFrame) -> DataFrame:
     return pairs.unionByName(forest)
 
 
+def _with_components(groups: DataFrame) -> DataFrame:
+    """groups(fp, ...) with ``component``, the smallest fingerprint of its component: links go by fingerprints, which are never null."""
+    comp = connected_components(fingerprint_links(groups.select("fp", F.col("fp").alias("rep"))), "a", "b")
+    return groups.join(comp, groups["fp"] == comp["node"], "left").select(*groups.columns, F.coalesce("component", "fp").alias("component"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (doc_id, fp, component_id).
 
     Documents link when their fingerprints differ in at most 2 bits; component_id is the smallest
     id reachable over links. Null, empty and wordless texts have fingerprint 0 and link with each
-    other. Repeated rows stay rows and share a component. Rows with a null id get a null component
-    unless another row shares their fingerprint. An empty table gives an empty table. Other columns
-    of ``docs`` are not touched, whatever their names.
+    other. Repeated rows stay rows and share a component. Rows with a null id link like any other;
+    component_id is null only where no row of the component has an id. An empty table gives an
+    empty table. Other columns of ``docs`` are not touched, whatever their names.
     """
     prints = materialize(fingerprints(docs, id_col, text_col), "prints")
-    groups = materialize(
-        prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where(F.col("rep").isNotNull()), "fps"
-    )
-    comp = connected_components(fingerprint_links(groups), "a", "b")
-    named = groups.join(comp, groups["rep"] == comp["node"], "left").select(
-        F.col("fp"), F.coalesce("component", "rep").alias("component_id")
-    )
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    named = _with_components(materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fps"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return prints.join(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; same columns."""
-    keep = simhash_groups(docs, id_col, text_col).where(F.col("doc_id") == F.col("component_id"))
-    keep = keep.select(F.col("doc_id").alias("_weft_keep")).distinct()
-    return docs.join(keep, docs[id_col] == keep["_weft_keep"], "left_semi")
+    """One row of each component of ``docs``, that with the smallest id; same columns.
+
+    Null ids come last, so a component without any id keeps a row too. Of rows with one id that with
+    the smallest fingerprint stays, then that of the smallest text hash.
+    """
+
+    @F.pandas_udf("long")
+    def prints(text: pd.Series) -> pd.Series:
+        return pd.Series([_fingerprint(t) for t in text], dtype="int64")
+
+    # written before use, so that the row numbers are the same each time they are read
+    rows = materialize(
+        docs.select(
+            F.col(id_col).cast("long").alias("doc_id"),
+            prints(F.col(text_col)).alias("fp"),
+            F.xxhash64(F.col(text_col)).alias("h"),
+            F.monotonically_increasing_id().alias("at"),
+            F.struct(*[F.col(c) for c in docs.columns]).alias("row"),
+        ),
+        "rows",
+    )
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "h", "at")
+    named = _with_components(materialize(rows.groupBy("fp").agg(F.min(best).alias("best")), "fps"))
+    keep = named.groupBy("component").agg(F.min("best").alias("best")).select("best.at")
+    return rows.join(keep, "at", "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
