@@ -1,9 +1,11 @@
 """License scan: text segments compared with licence templates by Dice coefficient, in DataFrame operations only.
 
-A segment is a line, a paragraph (between blank lines) or the whole text. Segments and templates are
-normalised to lower-case words and compared as sets of word bigrams. A template can only reach the
+A segment is a line, a paragraph (between blank lines), the whole text, or a window of the text's words
+that holds a notice which is none of these by itself: wrapped in a comment, within a line, or joined to
+other text. Segments and templates are normalised to lower-case words and compared as sets of word bigrams. A template can only reach the
 threshold t on a segment whose number of bigrams lies between t/(2-t) and (2-t)/t times its own, so
-size bounds prune candidates first.
+size bounds prune candidates first. A window is best if it begins and ends with a bigram of its
+template, so only such windows are scored, and only in texts that hold enough of a template's bigrams.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 THRESHOLD = 0.8
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -86,12 +90,35 @@ def _words(segment: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(segment), _NOT_WORD, " "), " "), lambda w: w != "")
 
 
+def _pairs(w: Column) -> Column:
+    return F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda x, y: F.concat_ws(" ", x, y))).otherwise(F.array().cast("array<string>"))
+
+
+def _spans(p: Column, t: Column, lo: float, hi: float, threshold: float) -> Column:
+    """Per start the best window of the bigrams ``p`` for template ``t``: struct<n, d, at, to>, n and d its common bigrams and Dice, negated."""
+    at = F.filter(F.transform(p, lambda x, i: F.when(F.array_contains(t["b"], x), i + 1)), lambda i: i.isNotNull())
+
+    def ends(a: Column, here: Column) -> Column:
+        return F.filter(here, lambda b: (b >= a) & (b - a + 1 >= t["s"] * lo) & (b - a + 1 <= t["s"] * hi * 1.5))
+
+    def score(a: Column, b: Column) -> Column:
+        def of(g: Column) -> Column:
+            n = F.size(F.array_intersect(g, t["b"]))
+            return F.struct((-n).alias("n"), (-2.0 * n / (F.size(g) + t["s"])).alias("d"), a.alias("at"), b.alias("to"))
+
+        return let(F.array_distinct(F.slice(p, a, b - a + 1)), of)
+
+    best = let(at, lambda here: F.transform(here, lambda a: F.array_min(F.filter(F.transform(ends(a, here), lambda b: score(a, b)), lambda s: s["d"] <= -threshold))))
+    return F.filter(best, lambda s: s.isNotNull())
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id and ``hits`` array<struct<segment, template, license, dice>>.
 
     A hit is a distinct normalised segment (its words joined by blanks) whose Dice coefficient with a
     template is at least ``threshold``; template is the template's position. Segments of less than two
-    words have no bigrams and never hit. Null and empty texts have no hits; repeated rows have each
+    words have no bigrams and never hit. Windows that share words give way to the one with the most
+    bigrams of a template, and windows inside a segment with a hit are left out. Null and empty texts have no hits; repeated rows have each
     their own; an empty table gives an empty table.
     """
     temps = _templates(templates)
@@ -103,7 +130,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     blank = r"\r?\n[ \t]*\r?\n"
     lines = F.split(text, r"\r?\n")
     more = F.when(F.rlike(text, F.lit(r"\n")), F.concat(F.when(F.rlike(text, F.lit(blank)), F.split(text, blank)).otherwise(F.array().cast("array<string>")), F.array(text))).otherwise(F.array().cast("array<string>"))
-    words = F.transform(F.concat(lines, more), _words)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.transform(F.concat(lines, more), _words).alias("words"))
+    words = F.col("words")
     # size bound before any bigram is made: distinct bigrams are at most words - 1
     words = F.filter(words, lambda w: F.size(w) - 1 >= least)
     grams = F.transform(
@@ -130,7 +158,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         )
         return F.filter(scored, lambda r: r["dice"] >= threshold)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.flatten(F.transform(segs, against)).alias("hits"))
+    rows = rows.select("doc_id", F.flatten(F.transform(segs, against)).alias("hits"), F.element_at("words", -1).alias("w"))
+    rows = rows.select("doc_id", "hits", "w", _pairs(F.col("w")).alias("p"))
+    rows = rows.select("*", F.array_intersect("p", every).alias("m"))
+    near = F.filter(table, lambda t: F.size(F.array_intersect(F.col("m"), t["b"])) >= t["s"] * lo)
+    rows = rows.select("*", F.when(F.size("m") >= least, near).otherwise(F.slice(table, 1, 0)).alias("near"))
+    spans = F.flatten(F.transform("near", lambda t: _spans(F.col("p"), t, lo, hi, threshold)))
+    free = F.aggregate(
+        F.array_sort(spans),
+        F.slice(spans, 1, 0),
+        lambda kept, s: F.when(F.exists(kept, lambda k: (s["at"] <= k["to"] + 1) & (k["at"] <= s["to"] + 1)), kept).otherwise(F.concat(kept, F.array(s))),
+    )
+    found = F.transform(free, lambda s: F.struct(
+        F.array_join(F.slice("w", s["at"], s["to"] - s["at"] + 2), " ").alias("segment"),
+        F.array_distinct(F.slice("p", s["at"], s["to"] - s["at"] + 1)).alias("g"),
+    ))
+    inside = lambda s: F.exists("hits", lambda h: F.contains(F.concat(F.lit(" "), h["segment"], F.lit(" ")), F.concat(F.lit(" "), s["segment"], F.lit(" "))))
+    fresh = F.array_distinct(F.filter(found, lambda s: ~inside(s)))
+    windows = F.when(F.size("near") > 0, F.flatten(F.transform(fresh, against)))
+    return rows.select("doc_id", "hits", windows.alias("more")).select("doc_id", F.when(F.size("more") > 0, F.concat("hits", "more")).otherwise(F.col("hits")).alias("hits"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
