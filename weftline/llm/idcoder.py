@@ -1,455 +1,333 @@
 """Token ids as compressed files: an adaptive context-mixing range coder in independent blocks.
 
-Every id is coded by one mixed prediction: the id that last followed the two ids before it (order 2),
-the id that last followed the one before it (order 1), and adaptive frequencies of id classes (order
-0; a class is half an octave of ids, which a vocabulary orders by frequency). How much of the code
-range each order gets is learned per confidence state. The mix drives a carry-less range coder of 62
-bits that puts out 16 bits at a time. Ids of a class are equally likely.
-
-Blocks of BLOCK_IDS ids start from a fresh model and carry a CRC-32, so any block can be read by
-itself. Many blocks are coded side by side, one numpy lane each.
-
-File format: Parquet rows, one a segment of consecutive documents, in ascending (part, seq):
-``docs`` and ``sizes`` little-endian 64-bit integers, ``n_ids``, and ``blocks``: records of header
-(magic "WTID", version, number of ids, CRC-32 of the ids as little-endian 32-bit integers, payload
-bytes) and payload (little-endian 16-bit words).
+Every id is coded by one mixture of three distributions over ids. Order 2 bets on the id that last followed
+the two ids before it, order 1 on the id that last followed the one before it, order 0 knows how frequent
+each id is. The mixture's weights are the learned probabilities, per lane and state of confidence, that
+order 2 and order 1 are right; order 0 has the rest. An id's interval is its share of order 0 and whatever
+the other orders bet on it, in the order of ids, so all three orders add up on one id.
+
+Order 0 is counted over a segment and stands at its head; a block starts with that table, empty contexts and
+fresh weights, and adapts as it goes. Blocks of BLOCK_IDS ids carry a CRC-32 each; any block can be read with
+its segment's head alone. Many blocks are coded side by side, one numpy lane each.
+
+The mixture drives a range coder of 62 bits that puts out 32 bits at a time; carries are added to the words
+already put out when a block is complete.
+
+File format: Parquet rows, one a segment of consecutive documents, in ascending (part, seq): ``docs`` and
+``sizes`` little-endian 64-bit integers, ``unnamed`` (how many of the first documents have no id), ``n_ids``,
+``head`` (CRC-32 of docs, sizes and table, then the table: zlib of the gaps between ids and of their
+frequencies, 16 bits each), and ``blocks``: records of header (magic "WTID", version, number of ids, CRC-32 of
+the ids as little-endian 32-bit integers and of the payload, payload bytes) and payload (big-endian 32-bit words).
 """
 
 from __future__ import annotations
 
-import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-import regex
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import wordbpe
+from . import bytebpe
 from .common import materialize, partitions
 
 BLOCK_IDS = 2048
-SEGMENT_IDS = 1 << 23
-END_ID = 0
-CACHE_CHUNKS = 800_000  # distinct pre-tokens that a worker remembers before it starts again
+SEGMENT_IDS = 1 << 22
+LANES = 2048  # blocks coded side by side
 _MAGIC = b"WTID"
 _HEADER = struct.Struct("<4sBIII")
-_NONE = 0xFFFF
-_CLASSES = 32
-_RATE = 5
-_TOTAL = 14  # bits of the class frequencies' sum
-_FLOOR = 16  # least frequency of a class: enough to stay codable in the smallest share that orders 1 and 2 leave
-_TOP = 46
-_MASK = (1 << 62) - 1
-_SHORT = (1 << 32) - 1
-
-_ids = np.arange(1 << 16, dtype=np.int64)
-_exp = np.zeros(1 << 16, np.int64)
-for _k in range(1, 16):
-    _exp[1 << _k :] = _k
-_CLASS = np.where(_ids < 2, _ids, 2 * _exp + ((_ids >> np.maximum(_exp - 1, 0)) & 1))
-_BITS = np.array([0, 0] + [c // 2 - 1 for c in range(2, _CLASSES)], np.int64)  # size of a class, as a power of two
-_BASE = np.searchsorted(_CLASS, np.arange(_CLASSES))
-_ROWS = np.arange(_CLASSES + 1, dtype=np.int16)[:, None]
-
-
-class _Model:
-    """Predictions for the next id of each lane."""
+_NONE = 0xFFFF  # no id
+_SLOTS = 10  # bits of a context's place
+_WEIGHT, _FREQ = 10, 16  # bits of the weights' sum and of order 0's sum
+_SUM = _WEIGHT + _FREQ
+_SPAN, _LEAST = 62, 30  # bits of the coder's low end, and of the least span that is not shifted
+_TAIL = (1 << _LEAST) - 1
+_LOW15 = (1 << 15) - 1
+
+
+class _Table:
+    """Order 0: each id's frequency, 65536 in sum."""
+
+    def __init__(self, freq: np.ndarray):
+        self.freq = freq.astype(np.int32)
+        self.start = np.concatenate([[0], np.cumsum(freq)]).astype(np.int32)
+        self.id_at = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> _Table:
+        count = np.bincount(ids, minlength=_NONE + 1)
+        seen = count > 0
+        freq = np.where(seen, 1 + count * ((1 << _FREQ) - seen.sum()) // max(len(ids), 1), 0)
+        rest = (1 << _FREQ) - freq.sum()  # less than one for each id seen
+        freq[np.argsort(-count, kind="stable")[:rest]] += 1
+        return cls(freq)
+
+    def pack(self) -> bytes:
+        at = np.flatnonzero(self.freq)
+        both = np.stack([np.diff(at, prepend=0), self.freq[at] - 1])
+        return zlib.compress(both.astype("<u2").tobytes(), 9)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> _Table:
+        gap, less = np.frombuffer(zlib.decompress(data), "<u2").astype(np.int64).reshape(2, -1)
+        freq = np.zeros(_NONE + 1, np.int64)
+        freq[np.cumsum(gap)] = less + 1
+        return cls(freq)
+
+
+def _contexts(last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the order-1 and order-2 contexts. Both arrays are unsigned, 32 bits."""
+    h = last * np.uint32(0x9E3779B1)
+    return h >> np.uint32(32 - _SLOTS), ((h + before * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - _SLOTS)
+
+
+class _Mixer:
+    """What the lanes have learned: entries (id, confidence 0 to 3) by context, and two probabilities a state."""
 
     def __init__(self, lanes: int):
-        self.n = lanes
-        lane = np.arange(lanes, dtype=np.int64)
-        self.two, self.one = np.full(lanes << 11, _NONE << 2, np.int32), np.full(lanes << 11, _NONE << 2, np.int32)
-        self.base, self.base_p = lane << 11, lane << 5
-        self.p2, self.p1 = np.full(lanes << 5, 20000, np.int32), np.full(lanes << 5, 8000, np.int32)
-        self.cum = np.repeat(_ROWS << (_TOTAL - 5), lanes, axis=1)  # cumulative class frequencies, one column a lane
-        self.lane = lane
-        self.before, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def shrink(self, lanes: int) -> None:
-        for k in ("base", "base_p", "lane", "before", "last"):
-            setattr(self, k, getattr(self, k)[:lanes])
-        self.cum = self.cum[:, :lanes].copy()
-
-    def predict(self) -> None:
-        h = self.last * 0x9E3779B1
-        self.s1 = self.base + ((h >> 13) & 0x7FF)
-        self.s2 = self.base + (((h + self.before * 0x85EBCA77) >> 15) & 0x7FF)
-        self.e2, self.e1 = self.two[self.s2], self.one[self.s1]
-        self.c2, self.c1 = self.e2 >> 2, self.e1 >> 2
-        agree = self.c2 == self.c1
-        self.sp = self.base_p + (((self.e2 & 3) << 3) | ((self.e1 & 3) << 1) | agree)
-        self.w2, self.w1 = self.p2[self.sp], self.p1[self.sp]
-        self.f2 = np.minimum(np.maximum(self.w2, 32), 60000).astype(np.int64)
-        self.f1 = np.where(agree, 0, ((65536 - self.f2) * np.minimum(self.w1 + 64, 32768)) >> 16)
-        self.rest = 65536 - self.f2 - self.f1
-
-    def share(self, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of a class within what orders 2 and 1 leave; the width is 1 at least."""
-        lo = (self.cum[cls, self.lane] * self.rest) >> _TOTAL
-        return lo, ((self.cum[cls + 1, self.lane] * self.rest) >> _TOTAL) - lo
-
-    def class_at(self, x: np.ndarray) -> np.ndarray:
-        """The class whose share holds x. Quotients of integers below 2^31 are exact enough in double precision."""
-        target = ((((x + 1) << _TOTAL) - 1) / self.rest).astype(np.int16)
-        return (self.cum[1:_CLASSES] <= target).sum(axis=0, dtype=np.uint8).astype(np.int64)
-
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, cls: np.ndarray) -> None:
-        """hit1: order 1 had it and order 2 had not."""
-        i32 = ids.astype(np.int32)
-        for table, slot, e, hit in ((self.two, self.s2, self.e2, hit2), (self.one, self.s1, self.e1, self.c1 == i32)):
-            k = e & 3
-            table[slot] = np.where(hit, e + (k < 3), np.where(k > 1, e - 1, (i32 << 2) | 1))
-        self.p2[self.sp] = self.w2 + (((hit2 * 65535) - self.w2) >> 4)
-        self.p1[self.sp] = np.where(hit2, self.w1, self.w1 + (((hit1 * 65535) - self.w1) >> 4))
-        # towards _FLOOR for every class and the rest for this one
-        goal = (cls.astype(np.int16) < _ROWS) * np.int16((1 << _TOTAL) - _FLOOR * _CLASSES)
-        goal += _ROWS * np.int16(_FLOOR)
-        goal -= self.cum
-        goal >>= _RATE
-        self.cum += goal
-        self.before, self.last = self.last, ids
-
-
-class _Coder:
-    """The range coder's lanes. Every id narrows [low, low + span) twice, then full words leave at the top."""
-
-    def __init__(self, lanes: int):
-        self.low, self.span = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
-
-    def shrink(self, lanes: int) -> None:
-        for k, v in vars(self).items():
-            if isinstance(v, np.ndarray) and v.ndim == 1 and k not in ("words", "out"):
-                setattr(self, k, v[:lanes].copy())
-
-    def narrow(self, r: np.ndarray, start: np.ndarray, freq) -> None:
-        self.low = self.low + r * start
-        self.span = r * freq
-
-    def shift(self) -> None:
-        """Move words out while the top 16 bits are settled; a span that gets too short is cut so that they are."""
-        while True:
-            settled = (self.low ^ (self.low + self.span)) < (1 << _TOP)
-            short = self.span <= _SHORT
-            go = settled | short
-            if not go.any():
-                return
-            force = short & ~settled
-            if force.any():
-                self.span = np.where(force, -self.low & _SHORT, self.span)
-            self.word(go)
-            by = go.astype(np.int64) << 4
-            self.low = (self.low << by) & _MASK
-            self.span = self.span << by
-
-
-class _Writer(_Coder):
-    def __init__(self, lanes: int, words: int):
-        super().__init__(lanes)
-        self.out = np.zeros(lanes * words, np.uint16)
-        self.width = words
-        self.at = np.arange(lanes, dtype=np.int64) * words
-
-    def word(self, go: np.ndarray) -> None:
-        self.out[self.at] = self.low >> _TOP  # overwritten later where nothing goes
-        self.at = self.at + go
-
-    def finish(self, lanes: list[int]) -> dict[int, bytes]:
-        done = {}
-        for k in lanes:
-            at, low = int(self.at[k]), int(self.low[k])
-            self.out[at : at + 4] = [(low >> s) & 0xFFFF for s in (46, 30, 14)] + [(low << 2) & 0xFFFF]
-            done[k] = self.out[k * self.width : at + 4].astype("<u2").tobytes()
-        return done
-
-
-class _Reader(_Coder):
-    def __init__(self, payloads: list[np.ndarray]):
-        super().__init__(len(payloads))
-        width = max(map(len, payloads)) + 6
-        grid = np.zeros((len(payloads), width), np.int64)
-        for row, p in enumerate(payloads):
-            grid[row, : len(p)] = p
-        self.words = grid.ravel()
-        self.at = np.arange(len(payloads), dtype=np.int64) * width
-        self.code = (grid[:, 0] << 46) | (grid[:, 1] << 30) | (grid[:, 2] << 14) | (grid[:, 3] >> 2)
-        self.spare = grid[:, 3] & 3  # two bits read ahead
-        self.at += 4
-
-    def word(self, go: np.ndarray) -> None:
-        w = self.words[self.at]
-        fresh = ((self.code << 16) | (self.spare << 14) | (w >> 2)) & _MASK
-        self.code = np.where(go, fresh, self.code)
-        self.spare = np.where(go, w & 3, self.spare)
-        self.at = self.at + go
-
-
-def encode_blocks(ids: np.ndarray, block: int = BLOCK_IDS) -> list[bytes]:
-    """Records of consecutive blocks of ``ids`` (each below 65535)."""
-    n = len(ids)
-    if not n:
-        return []
-    lanes = -(-n // block)
-    tail = n - (lanes - 1) * block
-    padded = np.zeros(lanes * block, np.int64)
-    padded[:n] = ids
-    grid = np.ascontiguousarray(padded.reshape(lanes, block).T)
-    model, coder = _Model(lanes), _Writer(lanes, 3 * block + 12)
-    payloads: dict[int, bytes] = {}
-    live = lanes
-    for t in range(block):
-        if t == tail and live == lanes:
-            payloads |= coder.finish([lanes - 1])
-            live -= 1
-            if not live:
+        self.base = np.arange(lanes, dtype=np.int64) << _SLOTS
+        self.state_base = np.arange(lanes, dtype=np.int64) << 5
+        self.one, self.two = (np.full(lanes << _SLOTS, _NONE << 2, np.int32) for _ in range(2))
+        self.right = np.full(lanes << 5, (10000 << 16) | 4000, np.int32)  # order 2 is right; order 1 is and order 2 isn't
+
+    def look(self, at1: np.ndarray, at2: np.ndarray) -> None:
+        """at1, at2: the contexts' places in their lanes."""
+        n = len(at1)
+        self.at1, self.at2 = self.base[:n] + at1, self.base[:n] + at2
+        self.e1, self.e2 = self.one[self.at1], self.two[self.at2]
+        self.id1, self.id2 = self.e1 >> 2, self.e2 >> 2
+        self.state = self.state_base[:n] + (((self.e2 & 3) << 3) | ((self.e1 & 3) << 1) | (self.id1 == self.id2))
+        p = self.right[self.state]
+        self.p2, self.p1 = p >> 16, p & _LOW15
+        self.w2, self.w1 = self.p2 >> 5, self.p1 >> 5  # both below 2^15 in sum, so something is left
+        self.w0 = (1 << _WEIGHT) - self.w2 - self.w1
+
+    def learn(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """x: ids in 32 bits; hit1: order 1 was right, whether or not order 2 was."""
+        fresh = (x << 2) | 1
+        self.two[self.at2] = np.where(hit2, np.minimum(self.e2 + 1, self.e2 | 3), np.where(self.e2 & 2, self.e2 - 1, fresh))
+        self.one[self.at1] = np.where(hit1, np.minimum(self.e1 + 1, self.e1 | 3), np.where(self.e1 & 2, self.e1 - 1, fresh))
+        p2 = self.p2 + ((hit2 * np.int32(_LOW15) - self.p2) >> 4)
+        p1 = self.p1 + (((hit1 & ~hit2) * np.int32(_LOW15) - self.p1) >> 4)
+        self.right[self.state] = (p2 << 16) | p1
+
+
+def _encode_lanes(grid: np.ndarray, short: int, table: _Table) -> list[np.ndarray]:
+    """Payload words of each column of ``grid``; the last one has ``short`` ids, the others fill theirs."""
+    steps, lanes = grid.shape
+    start, freq = table.start[grid], table.freq[grid]
+    history = np.zeros((steps + 2, lanes), np.uint32)
+    history[2:] = grid
+    at1, at2 = _contexts(history[1:-1], history[:-2])
+    mixer = _Mixer(lanes)
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, (1 << _SPAN) - 1, np.int64)
+    words, out = np.zeros((steps + 1, lanes), np.int64), np.zeros((steps + 1, lanes), bool)
+    for t in range(steps):
+        if t == short:  # the short lane ends here; one word tells a number inside its span
+            words[t, -1], out[t, -1] = (low[-1] + _TAIL) >> _LEAST, True
+            lanes -= 1
+            if not lanes:
                 break
-            coder.shrink(live)
-            model.shrink(live)
-        x = grid[t, :live]
-        model.predict()
-        hit2 = model.c2 == x
-        hit1 = (model.c1 == x) & ~hit2
-        hit = hit2 | hit1
-        cls = _CLASS[x]
-        lo, width = model.share(cls)
-        start = np.where(hit2, 0, np.where(hit1, model.f2, model.f2 + model.f1 + lo))
-        freq = np.where(hit2, model.f2, np.where(hit1, model.f1, width))
-        coder.narrow(coder.span >> 16, start, freq)
-        coder.narrow(coder.span >> np.where(hit, 0, _BITS[cls]), np.where(hit, 0, x - _BASE[cls]), 1)
-        coder.shift()
-        model.learn(x, hit2, hit1, cls)
-    payloads |= coder.finish(list(range(live)))
-    records = []
-    for k in range(lanes):
-        own = ids[k * block : (k + 1) * block]
-        records.append(_HEADER.pack(_MAGIC, 1, len(own), zlib.crc32(own.astype("<u4").tobytes()), len(payloads[k])) + payloads[k])
-    return records
-
-
-def decode_blocks(data: bytes) -> np.ndarray:
-    """All ids of a run of block records. Raises ValueError on a damaged record."""
+            low, span = low[:-1], span[:-1]
+        x = grid[t, :lanes]
+        mixer.look(at1[t, :lanes], at2[t, :lanes])
+        hit2, hit1 = mixer.id2 == x, mixer.id1 == x
+        below = (mixer.id2 < x) * mixer.w2 + (mixer.id1 < x) * mixer.w1
+        own = hit2 * mixer.w2 + hit1 * mixer.w1
+        r = span >> _SUM
+        low = low + r * (mixer.w0 * start[t, :lanes] + (below << _FREQ))
+        span = r * (mixer.w0 * freq[t, :lanes] + (own << _FREQ))
+        full = span <= _TAIL
+        words[t, :lanes], out[t, :lanes] = low >> _LEAST, full
+        low = np.where(full, (low & _TAIL) << 32, low)
+        span = span << (full * np.int64(32))
+        mixer.learn(x, hit2, hit1)
+    if lanes:
+        words[steps, :lanes], out[steps, :lanes] = (low + _TAIL) >> _LEAST, True
+    flat = words.T[out.T]
+    while (over := flat >> 32).any():
+        flat &= 0xFFFFFFFF
+        flat[:-1] += over[1:]  # a lane's first word has no carry: its number is below one
+    return np.split(flat.astype(">u4"), np.cumsum(out.sum(axis=0))[:-1])
+
+
+def encode_ids(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[_Table, bytes]:
+    """(order 0, block records) of ``ids``, each below 65535."""
+    if len(ids) and not 0 <= ids.min() <= ids.max() < _NONE:
+        raise ValueError("an id is out of range")
+    table, records = _Table.of(ids), []
+    for lo in range(0, len(ids), LANES * block):
+        part = np.asarray(ids[lo : lo + LANES * block], np.int32)
+        lanes = -(-len(part) // block)
+        short = len(part) - (lanes - 1) * block
+        grid = np.zeros(lanes * block, np.int32)
+        grid[: len(part)] = part
+        payloads = _encode_lanes(np.ascontiguousarray(grid.reshape(lanes, block).T), short, table)
+        crcs = part.astype("<u4")
+        for k, words in enumerate(payloads):
+            own = crcs[k * block : (k + 1) * block]
+            crc = zlib.crc32(words, zlib.crc32(own))
+            records += [_HEADER.pack(_MAGIC, 2, len(own), crc, words.nbytes), words.tobytes()]
+    return table, b"".join(records)
+
+
+def _decode_lanes(payloads: list[np.ndarray], sizes: np.ndarray, table: _Table) -> np.ndarray:
+    """Ids by (step, lane); sizes descend."""
+    lanes, steps = len(payloads), int(sizes[0])
+    width = max(map(len, payloads)) + 3
+    grid = np.zeros((lanes, width), np.int64)
+    for row, p in enumerate(payloads):
+        grid[row, : len(p)] = p
+    code = (grid[:, 0] << _LEAST) | (grid[:, 1] >> 2)
+    ahead = (((grid[:, 1:-1] & 3) << _LEAST) | (grid[:, 2:] >> 2)).ravel()  # the 32 bits behind those read, word by word
+    at = np.arange(lanes, dtype=np.int64) * (width - 2)
+    span = np.full(lanes, (1 << _SPAN) - 1, np.int64)
+    mixer = _Mixer(lanes)
+    got = np.zeros((steps + 2, lanes), np.uint32)
+    start, freq, id_at = table.start, table.freq, table.id_at
+    live = lanes
+    for t in range(steps):
+        if sizes[live - 1] <= t:
+            live = int(np.searchsorted(-sizes, -t, side="left"))
+            code, span, at = code[:live], span[:live], at[:live]
+        mixer.look(*_contexts(got[t + 1, :live], got[t, :live]))
+        id2, id1, w0 = mixer.id2, mixer.id1, mixer.w0
+        b2, b1 = mixer.w2 << _FREQ, mixer.w1 << _FREQ
+        r = span >> _SUM
+        v = np.minimum((code.view(np.uint64) // r.view(np.uint64)).view(np.int64), (1 << _SUM) - 1).astype(np.int32)
+        # a bet stands behind the id's share of order 0
+        from2 = w0 * start[id2 + 1] + (id1 < id2) * b1
+        from1 = w0 * start[id1 + 1] + (id2 <= id1) * b2
+        past2, past1 = v >= from2, v >= from1
+        over2, over1 = v >= from2 + b2, v >= from1 + b1
+        plain = id_at[((v - over2 * b2 - over1 * b1) / w0).astype(np.int32) & 0xFFFF]
+        x = np.where(past2 & ~over2, id2, np.where(past1 & ~over1, id1, plain))
+        got[t + 2, :live] = x
+        hit2, hit1 = id2 == x, id1 == x
+        code = code - r * (w0 * start[x] + (id2 < x) * b2 + (id1 < x) * b1)
+        span = r * (w0 * freq[x] + hit2 * b2 + hit1 * b1)
+        full = span <= _TAIL
+        code = np.where(full, (code << 32) | ahead[at], code)
+        span = span << (full * np.int64(32))
+        at = at + full
+        mixer.learn(x, hit2, hit1)
+    return got[2:]
+
+
+def decode_ids(table: _Table, data: bytes) -> np.ndarray:
+    """All ids of a run of block records, little-endian 32 bits each. Raises ValueError on a damaged record."""
     heads, payloads, at = [], [], 0
     while at < len(data):
+        if at + _HEADER.size > len(data):
+            raise ValueError("not a block record")
         magic, version, n, crc, size = _HEADER.unpack_from(data, at)
-        if magic != _MAGIC or version != 1 or at + _HEADER.size + size > len(data):
+        at += _HEADER.size
+        if magic != _MAGIC or version != 2 or at + size > len(data) or not n or size % 4:
             raise ValueError("not a block record")
         heads.append((n, crc))
-        payloads.append(np.frombuffer(data, "<u2", size // 2, at + _HEADER.size))
-        at += _HEADER.size + size
-    if not heads:
-        return np.zeros(0, np.int64)
-    order = sorted(range(len(heads)), key=lambda k: -heads[k][0])
-    sizes = np.array([heads[k][0] for k in order], np.int64)
-    lanes, steps = len(order), int(sizes[0])
-    model, coder = _Model(lanes), _Reader([payloads[k] for k in order])
-    got = np.zeros((steps, lanes), np.int64)
-    live = lanes
-    for t in range(steps):
-        if sizes[live - 1] <= t:
-            live = int(np.searchsorted(-sizes, -t, side="left"))
-            coder.shrink(live)
-            model.shrink(live)
-        model.predict()
-        r = coder.span >> 16
-        v = np.minimum((coder.code - coder.low) // r, 65535)
-        edge = model.f2 + model.f1
-        hit2 = v < model.f2
-        hit1 = (v < edge) & ~hit2
-        hit = hit2 | hit1
-        cls = model.class_at(np.where(hit, 0, v - edge))
-        lo, width = model.share(cls)
-        start = np.where(hit2, 0, np.where(hit1, model.f2, edge + lo))
-        freq = np.where(hit2, model.f2, np.where(hit1, model.f1, width))
-        coder.narrow(r, start, freq)
-        bits = np.where(hit, 0, _BITS[cls])
-        r = coder.span >> bits
-        offset = np.where(hit, 0, np.minimum((coder.code - coder.low) // r, (1 << bits) - 1))
-        coder.narrow(r, offset, 1)
-        coder.shift()
-        x = np.where(hit2, model.c2, np.where(hit1, model.c1, _BASE[cls] + offset)).astype(np.int64)
-        got[t, :live] = x
-        model.learn(x, hit2, hit1, _CLASS[x])
-    out = [np.zeros(0, np.int64)] * lanes
-    for row, k in enumerate(order):
-        out[k] = got[: heads[k][0], row]
-        if zlib.crc32(out[k].astype("<u4").tobytes()) != heads[k][1]:
-            raise ValueError(f"checksum of block {k} is wrong")
-    return np.concatenate(out)
-
-
-# ---------------------------------------------------------------- tokenizing
-#: The pre-token pattern of byte-level BPE vocabularies of this family (fixed value). Python's white space has four
-#: characters more than the vocabulary's.
-_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_ODD = re.compile("[\x1c-\x1f]")
-#: The same pattern spelled out for the standard library's quicker engine, and what it isn't spelled out for.
-_LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
-_LATIN_PRETOKEN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LATIN}]+| ?[0-9]+| ?[^\s0-9{_LATIN}]+|\s+(?!\S)|\s+")
-_BEYOND_LATIN = re.compile("[^\x00-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u20ac]")
-
-
-class _Places(dict):
-    """Numbers keys in the order in which they are first looked up."""
-
-    def __init__(self, keys: list[str]):
-        super().__init__((k, i) for i, k in enumerate(keys))
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = at = len(self)
-        self.new.append(key)
-        return at
-
-
-class _ByteEncoder:
-    """Encodes each distinct pre-token once, by the library. Texts become places in a pool of the ids of all pre-tokens."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.lib = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        (self.newline,) = self.lib.encode("\n", add_special_tokens=False).ids
-        self._clear()
-
-    def _clear(self) -> None:
-        self.places = _Places([])
-        self.used, self.n_ids = 0, 0
-        self.first, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-        self.pool = np.zeros(1 << 18, np.uint16)
-
-    def _learn(self) -> None:
-        """Put the ids of the pre-tokens that were met first into the pool.
-
-        Those without white space are encoded in runs, a line each; the line ends stay in the pool, unused.
-        """
-        words, self.places.new = self.places.new, []
-        if not words:
-            return
-        lines = [k for k, w in enumerate(words) if not w[-1].isspace()]
-        spaces = [k for k, w in enumerate(words) if w[-1].isspace()]
-        runs = ["\n".join([words[k] for k in lines[lo : lo + 1024]]) for lo in range(0, len(lines), 1024)]
-        coded = [e.ids for e in self.lib.encode_batch_fast(runs + [words[k] for k in spaces], add_special_tokens=False)]
-        flat = np.array([i for ids in coded[: len(runs)] for i in (*ids, self.newline)], np.uint16)
-        ends = np.flatnonzero(flat == self.newline)
-        begins = np.append(0, ends[:-1] + 1) if len(ends) else ends
-        size_of_space = np.array([len(ids) for ids in coded[len(runs) :]], np.int64)
-        begin_of_space = len(flat) + np.cumsum(size_of_space) - size_of_space
-        flat = np.concatenate([flat, np.array([i for ids in coded[len(runs) :] for i in ids], np.uint16)])
-        n, total = self.used + len(words), self.n_ids + len(flat)
-        if n > len(self.size):
-            self.first, self.size = (np.concatenate([x, np.zeros(n, np.int32)]) for x in (self.first, self.size))
-        if total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(total, np.uint16)])
-        order = self.used + np.array(lines + spaces, np.int64)
-        self.first[order] = self.n_ids + np.concatenate([begins, begin_of_space])
-        self.size[order] = np.concatenate([ends - begins, size_of_space])
-        self.pool[self.n_ids : total] = flat
-        self.used, self.n_ids = n, total
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """16-bit ids of each text."""
-        for run in wordbpe.slices(texts):
-            if self.used > CACHE_CHUNKS:
-                self._clear()
-            place = self.places.__getitem__
-            parts: list[np.ndarray | None] = []
-            for t in run:
-                if _ODD.search(t) or any(s in t for s in self.special):
-                    parts.append(None)
-                    continue
-                words = (_PRETOKEN if _BEYOND_LATIN.search(t) else _LATIN_PRETOKEN).findall(t)
-                parts.append(np.fromiter(map(place, words), np.int32, len(words)))
-            self._learn()
-            for t, at in zip(run, parts):
-                if at is None:
-                    yield np.array(self.lib.encode(t, add_special_tokens=False).ids, np.uint16)
-                    continue
-                size = self.size[at]
-                ends = np.cumsum(size)
-                total = int(ends[-1]) if len(ends) else 0
-                yield self.pool[np.repeat(self.first[at] - (ends - size), size) + np.arange(total)]
-
-
-@lru_cache(maxsize=2)
-def _byte_encoder(path: str) -> _ByteEncoder:
-    return _ByteEncoder(path)
+        payloads.append(np.frombuffer(data, ">u4", size // 4, at))
+        at += size
+    out = []
+    for lo in range(0, len(heads), LANES):
+        part = heads[lo : lo + LANES]
+        order = sorted(range(len(part)), key=lambda k: -part[k][0])
+        got = _decode_lanes([payloads[lo + k] for k in order], np.array([part[k][0] for k in order], np.int64), table).T
+        rows = [b""] * len(part)
+        for row, k in enumerate(order):
+            rows[k] = np.ascontiguousarray(got[row, : part[k][0]], "<u4")
+            if zlib.crc32(payloads[lo + k], zlib.crc32(rows[k])) != part[k][1]:
+                raise ValueError(f"checksum of block {lo + k} is wrong")
+        out += rows
+    return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
 # ---------------------------------------------------------------- files
-_FILE = "part int, seq int, docs binary, sizes binary, n_ids long, blocks binary"
+_FILE = "part int, seq int, docs binary, sizes binary, unnamed int, n_ids long, head binary, blocks binary"
+_NAMES = [c.split()[0] for c in _FILE.split(", ")]
+_HEAD = struct.Struct("<I")
+
+
+def _segment(part: int, seq: int, docs: np.ndarray, unnamed: int, sizes: np.ndarray, ids: np.ndarray) -> tuple:
+    table, blocks = encode_ids(ids)
+    d, s, t = docs.astype("<i8").tobytes(), sizes.astype("<i8").tobytes(), table.pack()
+    return part, seq, d, s, unnamed, len(ids), _HEAD.pack(zlib.crc32(d + s + t)) + t, blocks
+
+
+def read_segment(docs: bytes, sizes: bytes, head: bytes, blocks: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, sizes, ids) of a stored segment. Raises ValueError if any part of it is damaged."""
+    table = head[_HEAD.size :]
+    if _HEAD.unpack_from(head)[0] != zlib.crc32(docs + sizes + table):
+        raise ValueError("checksum of a segment's head is wrong")
+    d, s = np.frombuffer(docs, "<i8"), np.frombuffer(sizes, "<i8")
+    ids = decode_ids(_Table.unpack(table), blocks)
+    if s.sum() != len(ids):
+        raise ValueError("segment and index differ")
+    return d, s, ids
 
 
 def encode_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The segments of all documents in ascending id order, END_ID after each document. One task makes the segments of one id range."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, part, seq = _byte_encoder(path), TaskContext.get().partitionId(), 0
-        held_docs: list[int] = []
-        held: list[np.ndarray] = []
-        n = 0
-
-        def segment() -> pd.DataFrame:
-            ids = np.concatenate(held).astype(np.int64)
-            sizes = np.array([len(h) for h in held], "<i8").tobytes()
-            row = (part, seq, np.array(held_docs, "<i8").tobytes(), sizes, len(ids), b"".join(encode_blocks(ids)))
-            return pd.DataFrame([row], columns=["part", "seq", "docs", "sizes", "n_ids", "blocks"])
-
-        for pdf in batches:
-            for doc, ids in zip(pdf["doc_id"].tolist(), enc.encode(pdf["text"].tolist())):
-                held_docs.append(doc)
-                held.append(np.append(ids, np.uint16(END_ID)))
-                n += len(ids) + 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, part, seq, n = bytebpe.load(path), TaskContext.get().partitionId(), 0, 0
+        held: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]] = []
+
+        def segment() -> pa.RecordBatch:
+            docs, unnamed, sizes, ids = zip(*held)
+            row = _segment(part, seq, np.concatenate(docs), sum(unnamed), np.concatenate(sizes), np.concatenate(ids))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], _NAMES)
+
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        for batch in batches:
+            names, at = batch.column(0), 0
+            for sizes, ids in enc.encode(batch.column(1)):
+                own = names.slice(at, len(sizes))
+                held.append((own.fill_null(0).to_numpy(zero_copy_only=False), own.null_count, sizes, ids))
+                at, n = at + len(sizes), n + len(ids)
                 if n >= SEGMENT_IDS:
                     yield segment()
                     seq, n = seq + 1, 0
-                    held_docs.clear()
-                    held.clear()
         if held:
             yield segment()
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    src = src.where("doc_id IS NOT NULL").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return src.mapInPandas(run, _FILE)
+    # repeated ids: by hash, so that one id's rows are no single range
+    src = src.withColumn("h", F.xxhash64("text")).repartitionByRange(partitions(docs.sparkSession), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    return src.select("doc_id", "text").mapInArrow(run, _FILE)
 
 
 def read_files(files: DataFrame) -> DataFrame:
     """Documents read back from segments: doc_id, start (ids of all documents before it), ids binary (little-endian 32-bit integers)."""
-    return _read(files, lambda ids: ids.astype("<u4").tobytes(), "ids binary")
+    return _read(files, lambda ids: ids.tobytes(), "ids binary")
 
 
 def read_digests(files: DataFrame) -> DataFrame:
     """read_files() reduced where it is read: doc_id, start, n_tokens, ids_crc32."""
-    return _read(files, lambda ids: zlib.crc32(ids.astype("<u4").tobytes()), "ids_crc32 long")
+    return _read(files, zlib.crc32, "ids_crc32 long")
 
 
 def _read(files: DataFrame, value, column: str) -> DataFrame:
-    name = column.split()[0]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples():
-                docs, sizes = np.frombuffer(row.docs, "<i8"), np.frombuffer(row.sizes, "<i8")
-                ids = decode_blocks(row.blocks)
-                if len(ids) != row.n_ids or sizes.sum() != row.n_ids:
+    name, kind = column.split()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                docs, sizes, ids = read_segment(row["docs"], row["sizes"], row["head"], row["blocks"])
+                if len(ids) != row["n_ids"]:
                     raise ValueError("segment and index differ")
                 ends = np.cumsum(sizes)
+                unnamed = np.arange(len(docs)) < row["unnamed"]
                 for lo in range(0, len(docs), 1024):
                     cut = slice(lo, lo + 1024)
-                    yield pd.DataFrame(
-                        {
-                            "doc_id": docs[cut],
-                            "start": row.start + ends[cut] - sizes[cut],
-                            "n_tokens": sizes[cut],
-                            name: [value(ids[e - s : e]) for s, e in zip(sizes[cut], ends[cut])],
-                        }
+                    values = [value(ids[e - s : e]) for s, e in zip(sizes[cut].tolist(), ends[cut].tolist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(docs[cut], pa.int64(), mask=unnamed[cut]), pa.array(row["start"] + ends[cut] - sizes[cut]), pa.array(sizes[cut]), pa.array(values, pa.binary() if kind == "binary" else pa.int64())],
+                        ["doc_id", "start", "n_tokens", name],
                     )
 
     # offsets: of parts among parts (one row a part), then of segments within their part
@@ -460,13 +338,15 @@ def _read(files: DataFrame, value, column: str) -> DataFrame:
     index = files.select("part", "seq", "n_ids").withColumn("within", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
     index = index.join(totals, F.col("part") == F.col("p")).select(F.col("part").alias("ip"), F.col("seq").alias("iq"), (F.col("before") + F.col("within")).alias("start"))
     placed = files.join(F.broadcast(index), (F.col("part") == F.col("ip")) & (F.col("seq") == F.col("iq"))).drop("ip", "iq")
-    return placed.mapInPandas(run, f"doc_id long, start long, n_tokens long, {column}")
+    return placed.mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
 
 
 def write_and_read(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, write the files to the shared folder, and digest what is read back: doc_id, start, n_tokens, ids_crc32.
 
-    Null text counts as empty: END_ID alone. Rows with a null id have no place in the order and are
-    left out. Repeated ids stand next to each other, by text. An empty table gives an empty table.
+    Null and empty texts are END_ID alone. Rows with a null id come first. Repeated ids stand next to each
+    other, by text hash; repeated rows have a place each. Very long texts are coded whole, in a segment as
+    large as they need. Other columns of ``docs`` don't matter, whatever their names. An empty table gives
+    an empty table.
     """
     return read_digests(materialize(encode_files(docs, path, id_col, text_col), "ids"))
