@@ -5,8 +5,9 @@ in key order a source's documents are a weighted sample without replacement. A s
 exceeds its size gets complete epochs first; the rest of the budget is filled by the documents whose
 prefix sum of sizes, in key order, stays nearest to it.
 
-The prefix sums are two-level: keys fall into buckets of a few hundred documents, each bucket is
-sorted by itself and bucket totals are accumulated per source, so no task holds a whole source.
+The prefix sums are two-level: Spark's sampled splitters cut the rows, in the order of source and key, into
+ranges of like size whatever the keys' distribution; each range is summed in order by itself and the ranges'
+totals are accumulated per source. So no task holds a whole source, and a hot source spreads over many ranges.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, partitions
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
-BUCKET_ROWS = 500
+LEAST_QUALITY = 1e-6
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -63,41 +64,48 @@ def source_targets(stats: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_e
     return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("common"), F.lit(0.0)) * F.col("w")).alias("target"))
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, sources): documents(doc_id, source, size, key); sources(source, source_size, target, epochs, cut).
-
-    ``cut`` is the last (key, doc_id) of the fractional selection, null if it is empty.
-    """
-    size = word_count(F.col(text_col))
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality: Column | None, carry: bool) -> DataFrame:
+    """Every row's source, doc_id, size and key, and with ``carry`` the row itself; written, so that a costly quality is computed once."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     base = docs.select(
+        *row,
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).alias("source"),
-        size.alias("size"),
+        word_count(F.col(text_col)).alias("size"),
         F.coalesce(F.char_length(F.col(text_col)), F.lit(0)).alias("n"),
         *([] if quality is None else [quality.cast("double").alias("q")]),
     )
-    q = quality_weight(F.col("n"), F.col("size")) if quality is None else F.greatest(F.coalesce("q", F.lit(0.0)), F.lit(1e-6))
-    base = materialize(base.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"))) / q).alias("key")), "sizes")
-    stats = materialize(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "sources")
-    targets = source_targets(stats.select("source", "source_size"))
+    q = quality_weight(F.col("n"), F.col("size")) if quality is None else F.greatest(F.coalesce(F.nanvl("q", F.lit(0.0)), F.lit(0.0)), F.lit(LEAST_QUALITY))
+    key = (-F.log(uniform(F.col("doc_id"))) / q).alias("key")
+    return materialize(base.select(*(["row"] if carry else []), "doc_id", "source", "size", key), "sizes")
+
+
+def ranges(rows: DataFrame) -> DataFrame:
+    """rows(source, key, doc_id, ...) with ``part``, the number of a row's range in the order of source, key and doc_id."""
+    ranged = rows.repartitionByRange(partitions(rows.sparkSession), "source", "key", "doc_id")
+    return materialize(ranged.withColumn("part", F.spark_partition_id()), "ranges")
+
+
+def mix_plan(base: DataFrame) -> DataFrame:
+    """(source, source_size, target, epochs, cut) for base(doc_id, source, size, key).
+
+    ``cut`` is the last (key, doc_id) of the fractional selection, null if it is empty.
+    """
+    plan = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = targets.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    plan = materialize(plan.join(stats.select(F.col("source").alias("s2"), "rows"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"), "targets")
-    part = plan.where("rest > 0").select(F.col("source").alias("s"), "rest", F.ceil(F.col("rows") / BUCKET_ROWS).alias("b"))
-    rows = base.join(part, F.col("source").eqNullSafe(F.col("s"))).withColumn(
-        "bucket", F.floor((1.0 - F.exp(-0.7 * F.col("key"))) * F.col("b")).cast("long")
-    )
-    rows = rows.select("source", "bucket", "key", "doc_id", "size", "rest")
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id")
+    plan = materialize(plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "targets")
+    part = plan.where("rest > 0").select(F.col("source").alias("s"), "rest")
+    rows = ranges(base.select("source", "key", "doc_id", "size").join(part, F.col("source").eqNullSafe(F.col("s"))).drop("s"))
+    sums = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
+    ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("part_size").over(ahead), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("source", "part").orderBy("key", "doc_id")
     prefix = rows.withColumn("inside", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    prefix = prefix.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    prefix = prefix.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
     chosen = prefix.where(F.col("ahead") + F.col("inside") - F.col("size") / 2.0 <= F.col("rest"))
     cuts = chosen.groupBy("source").agg(F.max(F.struct("key", "doc_id")).alias("cut")).select(F.col("source").alias("s"), "cut")
     plan = plan.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "epochs", "cut")
-    return base, materialize(plan, "cuts")
+    return materialize(plan, "cuts")
 
 
 def _copies() -> Column:
@@ -107,31 +115,24 @@ def _copies() -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
 
-    ``size`` counts words (null text: 0), ``copies`` is how often the mix takes the document whole and
-    taken = copies * size. A source's taken words miss its target by at most half the size of its last
-    document taken (more only where the last id repeats in several rows, which are taken together).
-    Null sources are one source, the last in order. Documents without words take part with size 0.
-    Ties of keys go by doc_id. Reruns agree. An empty table gives an empty table.
+    ``size`` counts words (null text: 0; very long texts are counted whole), ``copies`` is how often the mix
+    takes the document whole and taken = copies * size. ``quality`` scales a document's chance (null, NaN and
+    less count as LEAST_QUALITY). A source's taken words miss its target by at most half the size of its last
+    document taken (more only where the last id repeats in several rows, which are taken together). Null
+    sources are one source, the last in order. Documents without words take part with size 0. Null ids share
+    one key and go together. Ties of keys go by doc_id. Repeated rows are rows of their own with one key.
+    Other columns don't matter, whatever their names. Reruns agree. An empty table gives an empty table.
     """
-    base, plan = mix_plan(docs, id_col, text_col, source_col, quality)
-    p = plan.withColumnRenamed("source", "s")
+    base = _keyed(docs, id_col, text_col, source_col, quality, carry=False)
+    p = mix_plan(base).withColumnRenamed("source", "s")
     out = base.join(p, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", _copies())
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as the mix takes it; same columns."""
-    _, plan = mix_plan(docs, id_col, text_col, source_col)
-    size = word_count(F.col(text_col))
-    n = F.coalesce(F.char_length(F.col(text_col)), F.lit(0))
-    keyed = docs.select(
-        F.struct(*[F.col(c) for c in docs.columns]).alias("row"),
-        F.col(source_col).alias("source"),
-        F.col(id_col).cast("long").alias("doc_id"),
-        size.alias("size"),
-        n.alias("n"),
-    ).select("row", "source", "doc_id", (-F.log(uniform(F.col("doc_id"))) / quality_weight(F.col("n"), F.col("size"))).alias("key"))
-    p = plan.withColumnRenamed("source", "s")
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as mix() takes it; same columns. Cases are those of mix()."""
+    keyed = _keyed(docs, id_col, text_col, source_col, quality, carry=True)
+    p = mix_plan(keyed.drop("row")).withColumnRenamed("source", "s")
     taken = keyed.join(p, F.col("source").eqNullSafe(F.col("s"))).select("row", _copies().alias("copies")).where("copies > 0")
     taken = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
