@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import session
+
 
 def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """(node, depth): nodes within ``max_depth`` links of the seeds(node), at their least depth.
@@ -13,8 +15,7 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     frontier is checkpointed, so plans stay short and survive lost executors.
     """
     spark = seeds.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or "/tmp/weftline-checkpoints")
+    session.checkpoints(spark)
     seen = seeds.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     frontier = seen
     for depth in range(1, max_depth + 1):

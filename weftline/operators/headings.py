@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .. import session
 from .merge_fold import _STOP, fuzzy_dedup
 
 #: Two fingerprints within eight bits agree on at least two of ten bands of bits.
@@ -67,8 +68,7 @@ def fold(lines: DataFrame) -> DataFrame:
     folded in order. A task holds the distinct lines of one component, never a source.
     """
     spark = lines.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or "/tmp/weftline-checkpoints")
+    session.checkpoints(spark)
 
     @F.pandas_udf("long")
     def prints(t: pd.Series) -> pd.Series:

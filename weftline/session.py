@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: UTC and last-wins map keys decide results; the others are defaults for scale, which a cluster may override.
@@ -21,3 +24,20 @@ def build(app: str = "weftline", master: str | None = None, **extra: str) -> Spa
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    A local session without that setting uses a folder of this machine; on a cluster it has to be set.
+    """
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return (path or "file://" + os.path.join(tempfile.gettempdir(), "weftline-scratch")).rstrip("/")
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Let DataFrame.checkpoint() write below shared_dir()."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .. import session
+
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str = "events", files_per_trigger: int = 8) -> DataFrame:
     """The table's files as a stream; the zone-less timestamps become instants, which event time needs."""
@@ -75,8 +77,7 @@ def token_bucket(events: DataFrame, capacity: float, per_second: float) -> DataF
 
 
 def _folder(spark: SparkSession, label: str) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or "/tmp/weftline-streams"
-    return f"{base.rstrip('/')}/stream-{label}-{uuid.uuid4().hex}"
+    return f"{session.shared_dir(spark)}/stream-{label}-{uuid.uuid4().hex}"
 
 
 def _run(stream: DataFrame, label: str, mode: str, write: str) -> DataFrame:
