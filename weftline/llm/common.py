@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
@@ -20,14 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + os.path.join(tempfile.gettempdir(), "weftline-scratch")
-    return path.rstrip("/")
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet below the shared folder and read it back.
 
@@ -37,12 +29,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/weft-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weft_path = path
+    return out
+
 
+def drop_scratch(since: int = 0, *keep: DataFrame) -> None:
+    """Delete the scratch tables that this process has written, from the ``since``-th on, but for materialized ``keep``.
 
-def drop_scratch(dfs_paths: list[tuple[SparkSession, str]] | None = None) -> None:
-    """Delete scratch tables (all that this process wrote, by default)."""
-    for spark, path in list(dfs_paths if dfs_paths is not None else _written):
+    For tables whose readers are written themselves; the rest goes when the process ends.
+    """
+    kept = {df._weft_path for df in keep}
+    gone = [w for w in _written[since:] if w[1] not in kept]
+    _written[since:] = [w for w in _written[since:] if w[1] in kept]
+    for spark, path in gone:
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
@@ -51,6 +51,11 @@ def drop_scratch(dfs_paths: list[tuple[SparkSession, str]] | None = None) -> Non
             pass
 
 
+def scratch_tables() -> int:
+    """How many scratch tables there are now."""
+    return len(_written)
+
+
 atexit.register(drop_scratch)
 
 

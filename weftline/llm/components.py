@@ -4,7 +4,7 @@ Each round hooks every node that has a smaller neighbour to its smallest neighbo
 the hooks to stars by pointer jumping, and rewrites the edges onto the stars' centres. Edges
 between two nodes of one star vanish, so the edge list shrinks every round. Hooks always lead
 to smaller ids, hence no cycle and a component's label is its smallest id. Nothing is collected;
-every round is a Parquet table in the shared folder.
+every round is a Parquet table in the shared folder, and the tables of earlier rounds are deleted.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_scratch, materialize, scratch_tables
 
 
 def _stars(hooks: DataFrame) -> DataFrame:
@@ -37,6 +37,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     self-links allowed (they have no effect); rows with a null end are ignored. An empty edge
     list gives an empty table.
     """
+    since = scratch_tables()
     e = materialize(
         edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("hi") != F.col("lo")))
@@ -47,7 +48,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while e.limit(1).count():
         hooks = _stars(materialize(e.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("top")), "hooks"))
         if labels is None:
-            labels = hooks.select("node", F.col("top").alias("component"))
+            labels = materialize(hooks.select("node", F.col("top").alias("component")), "labels")
         else:
             over = hooks.select(F.col("node").alias("component"), "top")
             moved = labels.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
@@ -65,6 +66,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
             .distinct(),
             "edges",
         )
+        drop_scratch(since, e, labels)
     if labels is None:
         return e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     centres = labels.select(F.col("component").alias("node"), "component").distinct()
