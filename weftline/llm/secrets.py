@@ -1,24 +1,29 @@
-"""Secret scan through a trigram index, in DataFrame operations only.
-
-From every rule's regex a Boolean trigram query is derived: which trigrams any match must contain.
-The index is partitioned by document: each row gets the postings (which of the rules' trigrams occur
-in it), a rule's query intersects and unites them, and only the rows it leaves are verified with the
-regex. Rules from which no mandatory trigram follows scan every row.
+"""Secret scan through an inverted trigram index, in DataFrame operations only.
+
+From every rule's regex a Boolean trigram query is derived: which trigrams any match must contain. The rows
+are numbered and written; one pass over them makes the index, a table of postings: for each of the rules'
+trigrams and each block of BLOCK rows a bitmap of the rows that hold it. A rule's query, in disjunctive form,
+intersects the bitmaps of each conjunction and unites the conjunctions, all by aggregates on (rule, block).
+What is left are the rule's candidates, one bitmap a block, and only those rows are verified with its regex.
+Rules from which no mandatory trigram follows scan every row.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, materialize
 
 _MAX_STRINGS = 64
+#: Rows of a bitmap; fixed by the built-in bitmap aggregates.
+BLOCK = 1 << 15
+#: Matches of a text that are placed in one run.
+RUN = 256
 
 
 @dataclass(frozen=True)
@@ -143,36 +148,74 @@ def _trigrams(query) -> set[str]:
     return set() if query is None else {query} if isinstance(query, str) else set().union(*map(_trigrams, query[1]))
 
 
-def _holds(query, posting) -> Column:
-    if query is None:
-        return F.lit(True)
+def disjuncts(query) -> set[frozenset[str]]:
+    """The query as alternatives of trigrams that must all be there."""
     if isinstance(query, str):
-        return posting(query)
-    parts = [_holds(q, posting) for q in query[1]]
-    return reduce((lambda a, b: a & b) if query[0] == "and" else (lambda a, b: a | b), parts)
+        return {frozenset([query])}
+    parts = [disjuncts(q) for q in query[1]]
+    found = set().union(*parts) if query[0] == "or" else {frozenset().union(*p) for p in product(*parts)}
+    return {c for c in found if not any(o < c for o in found)}
+
+
+# ------------------------------------------------------------ index
+def postings(rows: DataFrame, grams: list[str]) -> DataFrame:
+    """The inverted index of rows(at, text): (gram, block, rows), a bitmap of the rows of a block that hold the trigram."""
+    low = rows.select("at", F.lower("text").alias("low"))
+    held = F.filter(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]), lambda g: g.isNotNull())
+    each = low.select(_block("at"), F.col("at").bitwiseAND(F.lit(BLOCK - 1)).alias("pos"), F.explode(held).alias("gram"))
+    return each.groupBy("gram", "block").agg(F.bitmap_construct_agg("pos").alias("rows"))
+
+
+def _block(at: str) -> Column:
+    return F.shiftright(at, BLOCK.bit_length() - 1).alias("block")
+
+
+def candidates(index: DataFrame, queries: dict[int, object]) -> DataFrame:
+    """(block, rows map<rule, bitmap>): the rows that satisfy each rule's query, for blocks with any."""
+    terms = [(rule, n, g, len(c)) for rule, q in queries.items() for n, c in enumerate(sorted(map(sorted, disjuncts(q)))) for g in c]
+    terms = index.sparkSession.createDataFrame(terms, "rule int, term int, gram string, size int")
+    each = index.join(F.broadcast(terms), "gram")  # the rules' trigrams, a fixed list
+    both = each.groupBy("rule", "term", "size", "block").agg(F.bitmap_and_agg("rows").alias("rows"), F.count("*").alias("n")).where("n = size")
+    any_ = both.groupBy("rule", "block").agg(F.bitmap_or_agg("rows").alias("rows"))
+    return any_.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("rule", "rows"))).alias("rows"))
+
+
+def _bit(bitmap: Column, at: str) -> Column:
+    """Whether the row's bit is set; null where there is no bitmap."""
+    pos = F.col(at).bitwiseAND(F.lit(BLOCK - 1)).cast("int")
+    byte = F.conv(F.hex(F.substring(bitmap, (pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(pos, F.lit(8)))), F.lit(2)) == 1
 
 
 # ------------------------------------------------------------ verification
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
-    """Spans (start, rank, kind, end) of a rule's matches, in code points: pieces between matches alternate with matches."""
+    """Spans (start, rank, kind, end) of a rule's matches, in code points: pieces between matches alternate with matches.
+
+    Matches are placed in runs of RUN, then the runs, so that lists of many matches aren't copied once a match.
+    """
     regex = rule.scan or rule.regex
-    empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
+    kind = "array<struct<start:int,rank:int,kind:string,end:int>>"
+    empty = F.array().cast(kind)
     hits = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    if rule.scan is None and rule.group:
-        sizes = F.transform(F.regexp_extract_all(text, F.lit(regex), F.lit(rule.group)), F.char_length)
-    else:
-        sizes = F.transform(hits, F.char_length)
-    rows = F.zip_with(F.arrays_zip(F.split(text, regex, -1).alias("p"), hits.alias("h")), sizes, lambda a, n: F.struct(a["p"].alias("p"), a["h"].alias("h"), n.alias("n")))
+    long = F.transform(hits, F.char_length)
+    sizes = F.transform(F.regexp_extract_all(text, F.lit(regex), F.lit(rule.group)), F.char_length) if rule.scan is None and rule.group else long
+    gaps = F.transform(F.split(text, regex, -1), F.char_length)
+    rows = F.zip_with(F.arrays_zip(gaps.alias("p"), long.alias("h")), sizes, lambda a, n: F.struct(a["p"].alias("p"), a["h"].alias("h"), n.alias("n")))
     rows = F.filter(rows, lambda r: r["h"].isNotNull())
 
     def step(acc: Column, r: Column) -> Column:
-        start = acc["pos"] + F.char_length(r["p"])
-        end = start + F.char_length(r["h"])
+        start = acc["pos"] + r["p"]
+        end = start + r["h"]
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        keep = r["n"] >= rule.least
-        return F.struct(end.alias("pos"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("pos"), F.when(r["n"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    def place(runs: Column) -> Column:
+        total = F.transform(runs, lambda c: F.aggregate(c, F.lit(0), lambda acc, r: acc + r["p"] + r["h"]))
+        begin = F.aggregate(total, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return F.flatten(F.zip_with(runs, F.slice(begin, 1, F.size(runs)), lambda c, b: F.aggregate(c, F.struct(b.alias("pos"), empty.alias("out")), step)["out"]))
 
-    found = F.aggregate(rows, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step)["out"]
+    cut = lambda rs: F.transform(F.sequence(F.lit(0), F.floor((F.size(rs) - 1) / RUN).cast("int")), lambda c: F.slice(rs, c * RUN + 1, RUN))
+    found = let(rows, lambda rs: F.when(F.size(rs) > 0, let(cut(rs), place)).otherwise(empty))
     return F.when(F.rlike(text, F.lit(regex)), found).otherwise(empty)
 
 
@@ -183,21 +226,24 @@ def _joined(spans: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per row of ``docs``: doc_id and ``spans`` array<struct<start, rank, kind, end>>, sorted.
 
-    Spans are in code points, end exclusive, ordered by start, then by the rules' order. Null text
-    counts as empty and has no spans; repeated rows have each their own; an empty table gives an
-    empty table. Other columns of ``docs`` don't matter.
+    Spans are in code points, end exclusive, ordered by start, then by the rules' order (ties). Null and empty
+    texts have no spans; very long texts are scanned whole, in time linear in their matches; repeated rows and
+    null ids have each their own row; an empty table gives an empty table. Other columns of ``docs`` don't
+    matter, whatever their names.
     """
-    queries = {r.kind: trigram_query(r.regex) for r in rules}
+    queries = {k: q for k, r in enumerate(rules) if (q := trigram_query(r.regex)) is not None}
     grams = sorted(set().union(*map(_trigrams, queries.values())))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # postings: one bit a trigram, in words of 60 bits; the text is lowered once a row
-    words = [grams[i : i + 60] for i in range(0, len(grams), 60)]
-    masks = let(F.lower("text"), lambda low: F.array(*[reduce(lambda a, b: a + b, [F.when(F.contains(low, F.lit(g)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, g in enumerate(w)]) for w in words]))
-    place = {g: (k, i) for k, w in enumerate(words) for i, g in enumerate(w)}
-    posting = lambda g: F.col("postings")[place[g][0]].bitwiseAND(F.lit(1 << place[g][1]).cast("long")) != 0
-    d = d.select("doc_id", "text", masks.alias("postings"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("at"))
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    cols = [F.when(_holds(queries[r.kind], posting), _spans(F.col("text"), r, k)).otherwise(empty) for k, r in enumerate(rules)]
+    if grams:
+        rows = materialize(d, "texts")  # so that numbers are the same each time they are read
+        index = materialize(postings(rows, grams), "postings")
+        found = materialize(candidates(index, queries), "candidates")
+        d = rows.withColumn("block", _block("at")).join(found.withColumnRenamed("rows", "held"), "block", "left")
+    cols = [
+        F.when(_bit(F.element_at("held", F.lit(k)), "at"), _spans(F.col("text"), r, k)).otherwise(empty) if k in queries else _spans(F.col("text"), r, k)
+        for k, r in enumerate(rules)
+    ]
     return d.select("doc_id", F.array_sort(F.concat(*cols)).alias("spans"))
 
 
