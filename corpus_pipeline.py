@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import bpe, exact_dedup, mixing, quality, simhash
-from weftline.llm.common import materialize, table
+from weftline.llm.common import drop_scratch, materialize, scratch_tables, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and selects documents so that every source comes near its target."""
-    return mixing.mixed_documents(docs)
+    """Repeats and selects documents so that every source comes near its target; the classifier's score is a document's quality weight."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return mixing.mixed_documents(docs, quality=None if model is None else quality.probabilities(model, docs)["score"])
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), scratch_tables()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_scratch(since, docs)  # the stage's input and its own tables
     return docs
