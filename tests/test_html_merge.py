@@ -73,8 +73,11 @@ def test_fold_goldens():
     assert M.reliability([{"success": True, "warnings": ["timeout"] * 20}]) == 0.75
     assert M.quality("links", [{"href": "http://a"}, {"href": "javascript:x"}], {}) == 0.5
     assert M.weight("structured_metadata") == 1.0 and M.weight("other") == 0.70
-    winner, agreement = M.weighted_vote(["acme", "acme!", "zeta"], ["static_requests", "static_httpx", "ai_assist"])
-    assert winner == "acme!" or winner == "acme"
+    assert M.vote(["acme", "", "acme!", "zeta"], ["static_requests", "static_urllib", "static_httpx", "ai_assist"])[0] in (0, 2)
+    assert M.vote(["zeta", "alpha beta", "alpha betas"], ["other", "other", "other"]) == (2, 0.667)
+    assert M.vote(["one", "two"], ["other", "other"]) == (0, 0.5) and M.vote(["", ""], ["a", "b"]) == (None, 0.0)
+    assert M.longest(["a b c d", "a b", "a", "  "], ["other"] * 4) == ("a b c d", 0.5) and M.longest([], []) == ("", 0.0)
+    assert M.weight_share(["other", "other"], [True, False]) == 0.5 and M.weight_share([], []) == 0.0
     doc = M.fold([{"url": "u", "engine_id": "static_requests", "success": True, "title": "Good title here"}, {"url": "u", "engine_id": "static_httpx", "success": True, "title": "Good title hare"}])
     assert doc["conflicting_fields"] == ["title"] and doc["engines_used"] == 2
     assert M.fold([])["confidence_score"] == 0.0

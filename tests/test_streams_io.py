@@ -5,9 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import xml.etree.ElementTree as ET
 
+import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import crawl, dedup, profile, relational
+from weftline.operators import crawl, dedup, hamming, profile, relational
 from weftline.plans import pipeline
 from weftline.sources import files, sinks
 from weftline.streaming import events as ev
@@ -53,16 +54,36 @@ def test_crawl(spark):
     assert [r["url"] for r in crawl.frontier_order(c, seen).collect()] == ["b", "c"]
 
 
-def test_near_pairs_are_exact(spark):
+@pytest.mark.parametrize(("load", "keys"), [(64, 9), (1, 45), (0, 495)])
+def test_near_classes_are_exact(spark, monkeypatch, load, keys):
+    """Components against brute force for keys of two to four bands; a hot key cut into cells; equal fingerprints; a chain of links."""
     import random
 
-    r = random.Random(5)
-    base = [r.getrandbits(64) for _ in range(30)]
-    fps = sorted({b ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, 9))) & (1 << 64) - 1 for b in base for _ in range(4)})
+    monkeypatch.setattr(hamming, "LOAD", load)
+    monkeypatch.setattr(hamming, "CELL", 16)
+    r = random.Random(load)
+    base = [r.getrandbits(64) for _ in range(20)]
+    fps = [b ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, 9))) & (1 << 64) - 1 for b in base for _ in range(4)]
+    fps += [(1 << 6 * k) - 1 for k in range(10)] + [0xFF00 ^ (1 << r.randrange(64)) for _ in range(120)] + fps[:5]
+    assert len(hamming.masks(8, len(set(fps)))) == keys
+    root = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    df = spark.createDataFrame(list(zip(signed, range(len(fps)))), "fp long, rep long")
-    got = {(x["a"], x["b"], x["distance"]) for x in dedup.near_pairs(df).collect()}
-    assert got == {(i, j, (fps[i] ^ fps[j]).bit_count()) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 8}
+    got = {x["doc_id"]: (x["rep"], x["component"]) for x in dedup.near_classes(spark.createDataFrame(list(zip(range(len(fps)), signed)), "doc_id long, fp long")).collect()}
+    assert got == {k: (fps.index(f), root[k]) for k, f in enumerate(fps)}
+
+
+def test_fingerprints_match_the_twin(spark):
+    from weftline.operators import merge_fold
+
+    texts = ["the quick, brown fox!", "", "a", "word " * 300_000 + "fox", "don't stop stop", "é ü", "x"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["fp"] & (1 << 64) - 1 for x in dedup.simhash(d).collect()}
+    assert got == {k: merge_fold.simhash(t) for k, t in enumerate(texts)}
 
 
 def test_asof_and_ranges(spark):

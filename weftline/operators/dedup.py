@@ -1,48 +1,58 @@
-"""SimHash fingerprints of word sets and their near-duplicate search, in DataFrame operations."""
+"""SimHash fingerprints of words and the classes of documents that they link."""
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text
+from . import hamming
+
+#: Words whose hashes are summed in one go.
+_WORDS = 1 << 18
+
+
+def fingerprints(words: list[np.ndarray]) -> np.ndarray:
+    """64-bit fingerprints of lists of words: a bit is set if more words (repeats count) have it in their hash than not. No words: 0."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    out = np.zeros(len(words), np.int64)
+    total = np.cumsum(sizes)
+    lo = 0
+    while lo < len(words):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] - sizes[lo] + _WORDS, "right")))
+        some = lo + np.flatnonzero(sizes[lo:hi])
+        if len(some):
+            codes, distinct = pd.factorize(np.concatenate([words[k] for k in some]))
+            low = b"".join([hashlib.md5(w.encode("utf-8", "surrogatepass")).digest()[8:] for w in distinct])
+            bits = np.unpackbits(np.frombuffer(low, np.uint8).reshape(-1, 8), axis=1)
+            if len(some) == 1:  # however long the text: once a distinct word
+                ones = (np.bincount(codes, minlength=len(distinct)) @ bits.astype(np.int64))[None]
+            else:
+                ones = np.add.reduceat(bits[codes], np.cumsum(sizes[some]) - sizes[some], axis=0, dtype=np.int64)
+            out[some] = np.packbits(2 * ones > sizes[some][:, None], axis=1).view(">i8")[:, 0]
+        lo = hi
+    return out
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): bit b is set if more words (repeats count) have bit b in their hash than not. No words: 0.
-
-    Words are counted per document before the 64 sums, so a repeated word is hashed once.
-    """
-    ids = docs.select(F.col(id_col), F.explode(text.simhash_tokens(F.col(text_col))).alias("w"))
-    words = ids.groupBy(id_col, "w").agg(F.count("*").alias("c")).withColumn("h", text.word_hash(F.col("w")))
-    bit = lambda b: F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1))
-    sums = words.groupBy(id_col).agg(F.sum("c").alias("n"), *[F.sum(F.col("c") * bit(b)).alias(f"s{b}") for b in range(64)])
-    one = lambda b: F.when(2 * F.col(f"s{b}") > F.col("n"), F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b).cast("long")).otherwise(F.lit(0).cast("long"))
-    fps = sums.select(id_col, reduce(lambda x, y: x.bitwiseOR(y), [one(b) for b in range(64)]).alias("fp"))
-    return docs.select(id_col).join(fps, id_col, "left").select(id_col, F.coalesce("fp", F.lit(0)).alias("fp"))
-
-
-def classes(fps: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(fp, rep, n): one row a distinct fingerprint, with its smallest id."""
-    return fps.groupBy("fp").agg(F.min(id_col).alias("rep"), F.count("*").alias("n"))
-
-
-def near_pairs(fps: DataFrame, distance: int = C.SIMHASH_DISTANCE) -> DataFrame:
-    """(a, b, distance) for fingerprints of (fp, rep) within ``distance`` bits.
-
-    By the pigeonhole principle two such fingerprints agree on one of distance + 1 bands of bits, so
-    an equi-join on the bands is exact; a pair counts at the first band on which it agrees.
-    """
-    bands = distance + 1
-    edges = [64 * k // bands for k in range(bands + 1)]
-    band = lambda col, k: F.shiftrightunsigned(col, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1))
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), band("fp", k).alias("v")) for k in range(bands)])
-    rows = fps.select("fp", "rep", F.explode(keys).alias("key"))
-    a, b = rows.select("key", F.col("fp").alias("fa"), F.col("rep").alias("a")), rows.select("key", F.col("fp").alias("fb"), F.col("rep").alias("b"))
-    x = F.col("fa").bitwiseXOR(F.col("fb"))
-    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.bit_count(x) <= distance))
-    same = [F.when(band(x, k) == 0, k) for k in range(bands)]
-    return pairs.where(F.coalesce(*same) == F.col("key.k")).select("a", "b", F.bit_count(x).alias("distance"))
+    """(doc_id, fp) of each row: the fingerprint of its words, from the row alone."""
+
+    @F.pandas_udf("long")
+    def prints(words: pd.Series) -> pd.Series:
+        return pd.Series(fingerprints(list(words)), dtype="int64")
+
+    return docs.select(F.col(id_col), prints(text.simhash_tokens(F.col(text_col))).alias("fp"))
+
+
+def near_classes(fps: DataFrame, id_col: str = "doc_id", distance: int = C.SIMHASH_DISTANCE) -> DataFrame:
+    """(id, rep, component) of every row of fps(id, fp): the smallest id with the same fingerprint, and the smallest that
+    links of at most ``distance`` bits lead to."""
+    classes = fps.groupBy("fp").agg(F.min(id_col).alias("rep")).checkpoint()
+    found = hamming.components(hamming.links(classes.select(F.lit("").alias("g"), F.col("rep").alias("node"), "fp"), distance))
+    named = classes.join(found, classes["rep"] == found["node"], "left").select("fp", "rep", F.coalesce("component", "rep").alias("component"))
+    return fps.join(named, "fp").select(id_col, "rep", "component")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -14,13 +13,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from .. import session
+from . import hamming
 from .merge_fold import _STOP, fuzzy_dedup
 
-#: Two fingerprints within eight bits agree on at least two of ten bands of bits.
-BANDS = C.SIMHASH_DISTANCE + 2
-_EDGES = [64 * k // BANDS for k in range(BANDS + 1)]
-
-
 @lru_cache(maxsize=1 << 16)
 def _word_bits(word: str) -> np.ndarray:
     return np.unpackbits(np.frombuffer(hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[8:], np.uint8))
@@ -35,30 +30,6 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(words)).view(">i8")[0])
 
 
-def _links(prints: DataFrame) -> DataFrame:
-    """(a, b): distinct links between the nodes of one source whose fingerprints are within the distance; exact by pairs of bands."""
-    band = lambda k: F.shiftrightunsigned("fp", _EDGES[k]).bitwiseAND(F.lit((1 << (_EDGES[k + 1] - _EDGES[k])) - 1))
-    keys = F.array(*[F.struct(F.lit(10 * j + k).alias("k"), band(j).alias("x"), band(k).alias("y")) for j, k in combinations(range(BANDS), 2)])
-    rows = prints.select("g", "fp", "node", F.explode(keys).alias("key"))
-    a, b = (rows.select("g", "key", F.col("fp").alias(f"f{s}"), F.col("node").alias(s)) for s in "ab")
-    pairs = a.join(b, ["g", "key"]).where((F.col("fa") < F.col("fb")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= C.SIMHASH_DISTANCE))
-    return pairs.where("a <> b").select("a", "b").distinct()
-
-
-def _components(links: DataFrame) -> DataFrame:
-    """(node, component) of linked nodes: least labels spread over links and are followed to their own labels, until none changes."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")).checkpoint()
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        spread = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("was"), F.least("component", "near").alias("c"))
-        over = labels.select(F.col("node").alias("c"), F.col("component").alias("top"))
-        new = spread.join(over, "c").select("node", "was", F.least("c", "top").alias("component")).checkpoint()
-        labels = new.select("node", "component")
-        if not new.where("was <> component").limit(1).count():
-            return labels
-
-
 def fold(lines: DataFrame) -> DataFrame:
     """(source, heading): what fuzzy_dedup keeps of each source's lines(source, doc_id, t), in order of doc_id, then of the line.
 
@@ -67,8 +38,7 @@ def fold(lines: DataFrame) -> DataFrame:
     such links: a component of one fingerprint keeps its longest line by an aggregate, any other is
     folded in order. A task holds the distinct lines of one component, never a source.
     """
-    spark = lines.sparkSession
-    session.checkpoints(spark)
+    session.checkpoints(lines.sparkSession)
 
     @F.pandas_udf("long")
     def prints(t: pd.Series) -> pd.Series:
@@ -77,7 +47,7 @@ def fold(lines: DataFrame) -> DataFrame:
     keyed = lines.select("source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("g"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("o"), "t")
     first = keyed.groupBy("g", "source", "t").agg(F.min("o").alias("o")).withColumn("fp", prints("t")).withColumn("node", F.xxhash64("g", "fp")).checkpoint()
     # hashes that clash only join components, and the fold of joined components is the same
-    found = _components(_links(first.select("g", "fp", "node").distinct()))
+    found = hamming.components(hamming.links(first.select("g", "fp", "node").distinct(), C.SIMHASH_DISTANCE))
     alone = first.join(found, "node", "left_anti").groupBy("g", "source", "fp").agg(F.min(F.struct((-F.char_length(F.coalesce("t", F.lit("")))).alias("n"), "o", "t")).alias("x"))
 
     def run(rows):

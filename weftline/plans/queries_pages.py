@@ -416,21 +416,20 @@ def page_degree(spark, d):
     return both.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-# conversations as a chain graph: turn -> next turn; depth of each node from turn 0
-_BFS = """
-WITH RECURSIVE e AS (SELECT conv_id * 1000 + turn AS src, conv_id * 1000 + turn + 1 AS dst FROM conversations WHERE turn < 6),
-n AS (SELECT conv_id * 1000 + turn AS node FROM conversations),
-r AS (SELECT node, 0 AS depth FROM n WHERE node % 1000 = 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node JOIN n ON n.node = e.dst)
-SELECT node, min(depth) AS depth FROM r GROUP BY node"""
+# domains reach each other through the sections that they link to
+_BFS = f"""WITH RECURSIVE {_EDGES}, b AS (SELECT 'domain ' || src AS x, 'section ' || dst AS y FROM edges), e AS (SELECT x AS src, y AS dst FROM b UNION ALL SELECT y, x FROM b),
+r AS (SELECT min(x) AS node, 0 AS depth FROM b UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 10)
+SELECT node, min(depth) AS depth FROM r WHERE node IS NOT NULL GROUP BY node"""
 
 
 @query(_BFS)
 def bfs_reachability(spark, d):
+    """Depth of every domain and section within ten links of the first domain, links taken both ways."""
     from ..operators import crawl
 
-    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("node"))
-    edges = c.where(F.col("node") % 1000 < 6).select(F.col("node").alias("src"), (F.col("node") + 1).alias("dst")).join(c.select(F.col("node").alias("dst")), "dst", "left_semi")
-    return crawl.bfs(c.where(F.col("node") % 1000 == 0), edges.select("src", "dst"), max_depth=10)
+    b = site_edges(pages(spark, d)).select(F.concat(F.lit("domain "), "src").alias("x"), F.concat(F.lit("section "), "dst").alias("y"))
+    edges = b.select(F.col("x").alias("src"), F.col("y").alias("dst")).unionByName(b.select(F.col("y").alias("src"), F.col("x").alias("dst")))
+    return crawl.bfs(b.agg(F.min("x").alias("node")).where("node IS NOT NULL"), edges, max_depth=10)
 
 
 # ---------------------------------------------------------------- endpoints

@@ -14,10 +14,10 @@ from .registry import any_of, clean, has, q, query, table
 # ---------------------------------------------------------------- records of three strategies, natively
 _H1 = clean("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1', 1)")
 _HREFS = f"list_distinct(regexp_extract_all(html, {q(qp._LINK)}, 1))"
-_VIS = f"substr({qp._VISIBLE}, 1, 400)"
+_VIS = f"substr({qp._VISIBLE}, 1, {C.CAPS['main_content']})"
 _ER = f"""er AS (
   SELECT url, page_id, 'static_requests' AS engine_id, 0 AS rank, true AS success, {qp.S_TITLE} AS title, coalesce({qp.S_LANG}, 'unknown') AS language, {_VIS} AS body, regexp_extract_all(html, {q(qp._LINK)}, 1) AS links, CASE WHEN NOT contains(html, '</html>') THEN 'parse warning' ELSE '' END AS warning, (page_id % 13) / 10.0::DOUBLE AS elapsed FROM pages
-  UNION ALL SELECT url, page_id, 'structured_metadata', 6, page_id % 4 <> 1, {_H1}, CASE WHEN page_id % 3 = 0 THEN 'unknown' ELSE coalesce({qp.S_LANG}, 'unknown') END, substr({_H1}, 1, 200), [], CASE WHEN page_id % 7 = 0 THEN 'connection error' ELSE '' END, (page_id % 11) / 10.0::DOUBLE FROM pages
+  UNION ALL SELECT url, page_id, 'structured_metadata', 6, page_id % 4 <> 1, {_H1}, CASE WHEN page_id % 3 = 0 THEN 'unknown' ELSE coalesce({qp.S_LANG}, 'unknown') END, {_H1}, [], CASE WHEN page_id % 7 = 0 THEN 'connection error' ELSE '' END, (page_id % 11) / 10.0::DOUBLE FROM pages
   UNION ALL SELECT url, page_id, 'search_index', 10, page_id % 5 <> 2, CASE WHEN page_id % 2 = 0 THEN '  ' || {qp.S_TITLE} ELSE left({qp.S_TITLE}, 20) END, 'en', substr({_VIS}, 1, 300), regexp_extract_all(html, {q(qp._LINK)}, 1)[1:3], CASE WHEN page_id % 6 = 0 THEN 'timeout' ELSE '' END, (page_id % 7) / 10.0::DOUBLE FROM pages
 )"""
 _W = "CASE engine_id " + " ".join(f"WHEN '{e}' THEN {w}::DOUBLE" for e, w in C.ENGINE_WEIGHTS.items()) + f" ELSE {C.DEFAULT_WEIGHT}::DOUBLE END"
@@ -30,7 +30,7 @@ def records(spark, d) -> DataFrame:
     title, lang = classify.title(h), F.coalesce(classify.language(h), F.lit("unknown"))
     h1 = text.sanitize(F.regexp_extract(h, r"(?is)<h1[^>]*>(.*?)</h1", 1))
     v = F.regexp_replace(F.regexp_replace(h, extract.SCRIPTS, " "), "<[^>]*>", " ")
-    body = F.substring(F.trim(F.regexp_replace(v, r"\s+", " ")), 1, 400)
+    body = F.substring(F.trim(F.regexp_replace(v, r"\s+", " ")), 1, C.CAPS["main_content"])
     hrefs = F.regexp_extract_all(h, F.lit(qp._LINK), F.lit(1))
     p, none = F.col("page_id"), F.array().cast("array<string>")
     warn = lambda c, t: F.when(c, F.array(F.lit(t))).otherwise(none)
@@ -41,7 +41,7 @@ def records(spark, d) -> DataFrame:
 
     three = F.array(
         record("static_requests", F.lit(True), F.col("t"), F.col("g"), F.col("body"), F.col("hrefs"), warn(F.col("cut"), "parse warning"), p % 13 / 10.0),
-        record("structured_metadata", p % 4 != 1, F.col("h1"), F.when(p % 3 == 0, "unknown").otherwise(F.col("g")), F.substring("h1", 1, 200), none, warn(p % 7 == 0, "connection error"), p % 11 / 10.0),
+        record("structured_metadata", p % 4 != 1, F.col("h1"), F.when(p % 3 == 0, "unknown").otherwise(F.col("g")), F.col("h1"), none, warn(p % 7 == 0, "connection error"), p % 11 / 10.0),
         record("search_index", p % 5 != 2, F.when(p % 2 == 0, F.concat(F.lit("  "), F.col("t"))).otherwise(F.left("t", F.lit(20))), F.lit("en"), F.substring("body", 1, 300), F.slice("hrefs", 1, 3), warn(p % 6 == 0, "timeout"), p % 7 / 10.0),
     )
     return base.select("url", "page_id", F.inline(three))
@@ -70,8 +70,9 @@ def vote_clustered(spark, d):
     g = values(spark, d).groupBy("url", "field").agg(F.array_sort(F.collect_list(F.struct("engine_rank", "engine_id", "value"))).alias("v"))
 
     def vote(rows):
-        winner, agreement = merge_fold.weighted_vote([merge_fold.normal(r["value"]) for r in rows], [r["engine_id"] for r in rows])
-        return {"winner": winner, "agreement": agreement}
+        norms = [merge_fold.normal(r["value"]) for r in rows]
+        winner, agreement = merge_fold.vote(norms, [r["engine_id"] for r in rows])
+        return {"winner": "" if winner is None else norms[winner], "agreement": agreement}
 
     return g.select("url", "field", F.udf(vote, "struct<winner:string,agreement:double>", useArrow=True)("v").alias("r")).select("url", "field", "r.*")
 
@@ -183,11 +184,24 @@ def schema_validation(spark, d):
     return records(spark, d).select("url", "engine_id", F.nullif(F.array_join(e, "; "), F.lit("")).alias("errors"))
 
 
-@query(f"WITH {_ER} SELECT url, engine_id FROM er WHERE success AND length(body) >= {C.THIN_HYBRID} QUALIFY row_number() OVER (PARTITION BY url ORDER BY rank) = 1")
+@query(f"WITH {_ER} SELECT url, engine_id, length(body) >= {C.THIN_HYBRID} AS enough FROM er WHERE success AND body <> '' QUALIFY row_number() OVER (PARTITION BY url ORDER BY length(body) >= {C.THIN_HYBRID} DESC, CASE WHEN length(body) >= {C.THIN_HYBRID} THEN 0 ELSE -length(body) END, rank) = 1")
 def hybrid_choice(spark, d):
-    """The first strategy in rank order that found enough text."""
-    r = records(spark, d).where(F.col("success") & (F.char_length("body") >= C.THIN_HYBRID))
-    return r.groupBy("url").agg(F.min_by("engine_id", "engine_rank").alias("engine_id"))
+    """The first strategy in rank order that found enough text, else the one that found most."""
+    r = records(spark, d).where(F.col("success") & (F.coalesce("body", F.lit("")) != ""))
+    n = F.char_length("body")
+    order = F.struct((n < C.THIN_HYBRID).alias("thin"), F.when(n < C.THIN_HYBRID, -n).otherwise(0).alias("n"), F.col("engine_rank").alias("r"))
+    return r.groupBy("url").agg(F.min_by("engine_id", order).alias("engine_id"), (F.max(n) >= C.THIN_HYBRID).alias("enough"))
+
+
+# Levenshtein similarity of the titles that a page's strategies found; a page has few strategies
+@query()
+def title_similarity(spark, d):
+    v = merge.long_form(records(spark, d), ("title",)).select("url", "engine_id", "engine_rank", text.normal(F.col("value")).alias("norm"))
+    g = v.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("engine_rank", "engine_id", "norm"))).alias("v"))
+    pairs = F.flatten(F.transform("v", lambda x, i: F.transform(F.slice("v", i + 2, F.size("v")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    p = g.select("url", F.explode(pairs).alias("p"))
+    x, y = F.col("p.x.norm"), F.col("p.y.norm")
+    return p.select("url", F.col("p.x.engine_id").alias("a"), F.col("p.y.engine_id").alias("b"), F.levenshtein(x, y).cast("long").alias("distance"), F.round(text.lev_similarity(x, y), 6).alias("similarity"))
 
 
 # ---------------------------------------------------------------- history

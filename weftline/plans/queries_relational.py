@@ -142,19 +142,6 @@ def q_json_props(spark, d):
     return t(spark, d, "events").groupBy("event_type", (F.get_json_object("props", "$.k").cast("int") % 10).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query()
-def embedding_topk(spark, d):
-    """Ten nearest by cosine for the vectors whose id is divisible by 20, against all vectors."""
-    v = t(spark, d, "embeddings").where("embedding IS NOT NULL")
-    unit = F.transform("embedding", lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x * x))
-    v = v.select("vec_id", unit.alias("e"), norm.alias("n")).where("n > 0")
-    q = v.where("vec_id % 20 = 0").agg(F.collect_list(F.struct("vec_id", "e", "n")).alias("qs"))
-    from ..operators.vectors import nearest
-
-    return nearest(v, q, 10)
-
-
 # ---------------------------------------------------------------- event time
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def events_tumbling(spark, d):

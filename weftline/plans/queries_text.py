@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .. import session
 from ..functions import text
 from ..operators import dedup, findings, headings
 from .registry import has, q, query, table, words
@@ -157,26 +158,15 @@ def simhash_fingerprint(spark, d):
 
 
 @query(
-    f"""WITH {_FPS}, f AS (SELECT d.doc_id, coalesce(fp, 0) AS fp FROM documents d LEFT JOIN fp USING (doc_id)), c AS (SELECT fp, min(doc_id) AS rep, count(*) AS n FROM f GROUP BY fp)
-SELECT a.rep AS a, b.rep AS b, bit_count(xor(a.fp, b.fp))::INTEGER AS distance FROM c a JOIN c b ON a.rep < b.rep AND bit_count(xor(a.fp, b.fp)) <= {C.SIMHASH_DISTANCE}"""
+    f"""WITH RECURSIVE {_FPS}, f AS (SELECT d.doc_id, coalesce(fp, 0) AS fp FROM documents d LEFT JOIN fp USING (doc_id)), c AS (SELECT fp, min(doc_id) AS rep FROM f GROUP BY fp),
+l AS (SELECT a.rep AS a, b.rep AS b FROM c a JOIN c b ON a.rep <> b.rep AND bit_count(xor(a.fp, b.fp)) <= {C.SIMHASH_DISTANCE}),
+r AS (SELECT rep AS node, rep AS root FROM c UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node WHERE r.root < l.b)
+SELECT f.doc_id, c.rep AS rep_id, min(r.root) AS component_id FROM f JOIN c USING (fp) JOIN r ON r.node = c.rep GROUP BY ALL"""
 )
-def near_dup_pairs(spark, d):
-    """Pairs of distinct fingerprints within eight bits, as pairs of their first documents; equal fingerprints are one class."""
-    return dedup.near_pairs(dedup.classes(dedup.simhash(docs(spark, d))))
-
-
-@query(
-    f"""WITH t AS (SELECT DISTINCT lower(substr(text, 1, 60)) AS title FROM documents WHERE lang = 'en' AND strlen(substr(text, 1, 60)) = length(substr(text, 1, 60)) AND length(text) >= 40),
-b AS (SELECT title, substr(title, 1, 12) AS key FROM t)
-SELECT a.title AS a, b.title AS b FROM b a JOIN b ON a.key = b.key AND a.title < b.title AND 1 - levenshtein(a.title, b.title)::DOUBLE / greatest(length(a.title), length(b.title)) >= {C.CLUSTER_SIMILARITY}"""
-)
-def title_similarity_pairs(spark, d):
-    """Similar openings among those that share their first twelve characters."""
-    head = F.substring("text", 1, 60)
-    t = docs(spark, d).where((F.col("lang") == "en") & (F.octet_length(head) == F.char_length(head)) & (F.char_length("text") >= 40)).select(F.lower(head).alias("title")).distinct()
-    t = t.withColumn("key", F.substring("title", 1, 12))
-    a, b = t.select("key", F.col("title").alias("a")), t.select("key", F.col("title").alias("b"))
-    return a.join(b, "key").where((F.col("a") < F.col("b")) & (text.lev_similarity(F.col("a"), F.col("b")) >= C.CLUSTER_SIMILARITY)).select("a", "b")
+def near_dup_classes(spark, d):
+    """Each document's class of equal fingerprints and the component that links of eight bits or less make of the classes."""
+    session.checkpoints(spark)
+    return dedup.near_classes(dedup.simhash(docs(spark, d))).select("doc_id", F.col("rep").alias("rep_id"), F.col("component").alias("component_id"))
 
 
 @query()
