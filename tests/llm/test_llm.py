@@ -166,6 +166,19 @@ def test_mixing(spark):
     assert all(mixed[x["doc_id"]] == x["copies"] for x in rows)
 
 
+def test_mixing_ranges(spark):
+    """Keys of any distribution fall into ranges of like size: a source of one-word texts, whose keys are long, and a hot one."""
+    rows = spark.range(40_000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("source"), F.lit(1).alias("size"), (-F.log(mixing.uniform(F.col("id"))) / 0.1).alias("key")
+    )
+    per = [x["n"] for x in mixing.ranges(rows).groupBy("part").agg(F.count("*").alias("n")).collect()]
+    assert max(per) <= 4 * 40_000 / 8
+    d = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("语" * 30).alias("text"), F.lit("zh").alias("source"))
+    q = F.when(F.col("doc_id") % 2 == 0, 0.9).when(F.col("doc_id") % 4 == 1, float("nan"))
+    got = mixing.mix(d.unionByName(d.limit(1).select("doc_id", F.lit("a b").alias("text"), F.lit("x").alias("source"))), quality=q).collect()
+    assert sum(x["taken"] for x in got) == sum(x["size"] for x in got)
+
+
 # ---------------------------------------------------------------- 3 classifier
 def test_classifier(spark):
     r = random.Random(5)
@@ -185,6 +198,45 @@ def test_classifier(spark):
     assert all(x["kept"] for x in quality.classify(d, labels.where("quality = 1")).collect())
 
 
+def test_classifier_scores(spark):
+    """Every score recomputed from the views' definition, number by number; repeated rows, null ids and texts, a long text."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    more = spark.createDataFrame([(None, "plain words of some sort", "en", None, None), (3, None, None, "s", 5), (4, "", "en", "s", 0), (5, "long text " * 200_000, "en", "s", 7), (5, "long text " * 200_000, "en", "s", 7)], d.schema)
+    d = d.unionByName(more)
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    got = {(x["doc_id"], round(x["score"], 9), round(x["p_text"], 9), round(x["p_page"], 9), x["kept"]) for x in quality.classify(d, labels).collect()}
+    model = quality.fit(d, labels)
+    sigmoid = lambda z: 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    prior = math.log(model.prior / (1 - model.prior))
+    want = set()
+    for x in d.collect():
+        text = x["text"] or ""
+        raw = text.encode()
+        h = Counter((a * 0x9E3779B1 + b * 0x85EBCA6B + c * 0xC2B2AE35 & 0xFFFFFFFF) >> 24 for a, b, c in zip(raw, raw[1:], raw[2:]))
+        shares = [math.sqrt(h[k] / max(sum(h.values()), 1)) * len(raw) / (len(raw) + 64) for k in range(256)]
+        text_x = quality.text_view(text)
+        assert np.abs(text_x[:256] - shares).max() < 1e-5
+        z = []
+        for v, w, c in zip((text_x, quality.page_view(x["source"], x["lang"], x["n_chars"])), model.views, model.calibration):
+            v = v.astype(np.float16)
+            z.append((sum(float(a) * float(b) for a, b in zip(v, w)) + w[-1]) * c[0] + c[1])
+        p = [sigmoid(z[0] + z[1] - prior), sigmoid(z[0]), sigmoid(z[1])]
+        want.add((x["doc_id"], *(round(q, 9) for q in p), p[0] >= 0.5))
+    close = lambda s: sorted((-1 if a[0] is None else a[0], *(round(q, 6) for q in a[1:4]), a[4]) for a in s)
+    assert close(got) == close(want)
+
+
+def test_classifier_repeated_label(spark):
+    """One row of a labelled id takes part, however often it repeats; reruns agree."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    i = labels.orderBy("doc_id").first()["doc_id"]
+    many = d.unionByName(d.where(F.col("doc_id") == i).crossJoin(spark.range(3000)).drop("id"))
+    table = quality.view_table(many)
+    a, b = quality.fit_table(table, labels), quality.fit_table(table.repartition(5), labels)
+    assert all((x == y).all() for x, y in zip(a.views, b.views))
+
+
 # ---------------------------------------------------------------- 4 exact duplicates
 def test_exact_dedup(spark):
     texts = sample_texts(3) + ["Hot Text"] * 400 + ["hot text"] * 100
@@ -329,7 +381,7 @@ def test_byte_chunks(monkeypatch):
     from weftline.llm import bytebpe
 
     monkeypatch.setattr(bytebpe, "CACHE_CHUNKS", 500)
-    monkeypatch.setattr(bytebpe, "RUN_CHARS", 1000)
+    monkeypatch.setattr(bytebpe, "RUN_BYTES", 1000)
     enc = bytebpe.ByteEncoder(public_tokenizers.path(BYTE_BPE))
     pool = "aAbB sS tdvelmr''''éÉßΣσ0123٣½²ªµ¹¾ \t\n\x0b\x0c\r\x1c\x1f\x85\xa0 　̧́İıﬁ漢字😀<|>_-!?.,&#×÷ɏɐ‐—‧€​᠎ "
     r = random.Random(5)
@@ -347,6 +399,25 @@ def test_byte_chunks(monkeypatch):
     assert enc.used < 8000
 
 
+def test_pool():
+    """Numbers mean bytes: against a dict, with empty batches, growth, starting again and pieces whose hashes clash."""
+    from weftline.llm import pool
+
+    learned, r = [], random.Random(2)
+    p = pool.Pool(learned.extend, learned.clear, 3000)
+    for _ in range(60):
+        pieces = ["".join(r.choice("abcé") for _ in range(r.randint(1, 7))).encode() for _ in range(r.randint(0, 400))]
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        starts = np.cumsum([0, *map(len, pieces)])[:-1].astype(np.int64)
+        at, clash = p.find(data, starts)
+        assert not len(clash) and [learned[k] for k in at] == pieces and len(set(learned)) == len(learned) <= 4000
+    old, pool._MIX = pool._MIX, np.uint64(0)  # every hash is the same
+    q = pool.Pool(lambda new: None, lambda: None, 100)
+    at, clash = q.find(np.frombuffer(b"abcabxabc", np.uint8), np.array([0, 3, 6]))
+    pool._MIX = old
+    assert at.tolist() == [0, 0, 0] and clash.tolist() == [1]
+
+
 # ---------------------------------------------------------------- 7, 10 tokens
 def test_tokens(spark):
     path = public_tokenizers.path(WORD_BPE)
@@ -459,6 +530,44 @@ def test_secrets(spark):
         assert [x["n_assign"], x["n_access"], x["n_hex"]] == [sum(s[1] == k for s in spans) for k in range(3)]
 
 
+def test_secrets_many_matches(spark):
+    """Time is linear in the matches of a text."""
+    import time
+
+    n = 100_000
+    text = " ".join(f"{k:024x}" for k in range(n))
+    began = time.perf_counter()
+    (row,) = secrets.digest(secrets.scan(docs_of(spark, [text], n=1))).collect()
+    assert row["n_hex"] == n and row["spans"].endswith(f"hex:{25 * (n - 1)}:{25 * n - 1}") and time.perf_counter() - began < 60
+
+
+def test_secret_index(spark):
+    """Postings against sets of rows; candidates against the queries; rows over several blocks; repeated rows and null ids."""
+    r = random.Random(3)
+    words = ["password", "passwd", "secret", "token", "api_key", "apikey", "AKIA", "ghp_", "eyJ", "xyz"]
+    texts = [r.choice(["", "ABC ", "é"]).join(r.sample(words, r.randint(0, 3))) for _ in range(500)]
+    rows = spark.createDataFrame([(k * 331, t) for k, t in enumerate(texts)], "at long, text string")
+    queries = {k: q for k, x in enumerate(secrets.RULES) if (q := secrets.trigram_query(x.regex)) is not None}
+    grams = sorted(set().union(*map(secrets._trigrams, queries.values())))
+    of = lambda x: {x["block"] * secrets.BLOCK + 8 * i + b for i, byte in enumerate(x["rows"]) for b in range(8) if byte >> b & 1}
+    index = secrets.postings(rows, grams)
+    got = defaultdict(set)
+    for x in index.collect():
+        got[x["gram"]] |= of(x)
+    assert got == {g: w for g in grams if (w := {k * 331 for k, t in enumerate(texts) if g in t.lower()})}
+
+    def holds(q, t):
+        return q in t if isinstance(q, str) else (all if q[0] == "and" else any)(holds(x, t) for x in q[1])
+
+    found = defaultdict(set)
+    for x in secrets.candidates(index, queries).collect():
+        for rule, rows_ in x["rows"].items():
+            found[rule] |= of({"block": x["block"], "rows": rows_})
+    assert found == {k: w for k, q in queries.items() if (w := {n * 331 for n, t in enumerate(texts) if holds(q, t.lower())})}
+    d = docs_of(spark, ["token=abcdefgh"] * 3 + ["x"], [1, 1, None, None])
+    assert sorted(x["n_assign"] for x in secrets.digest(secrets.scan(d)).collect()) == [0, 1, 1, 1]
+
+
 def test_trigram_queries():
     q = secrets.trigram_query
     assert q("abcd") == ("and", ("abc", "bcd")) and q("[0-9a-f]+") is None and q("ab|xyz") is None
