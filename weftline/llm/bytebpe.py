@@ -1,14 +1,14 @@
 """Byte-level BPE by the library, with every distinct chunk of text encoded once.
 
-Texts stay Arrow arrays: they are cut at blanks and their pieces numbered by Arrow, so Python sees each
-distinct piece of a batch once. A chunk is a blank and the piece behind it; its ids stand in a pool, and
-texts become runs of places in the pool.
+A chunk is a blank and what stands behind it up to the next blank. Chunks become numbers in a pool of bytes,
+numbers become runs of 16-bit ids; only chunks met first are strings to Python.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,13 +17,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from . import pool
 from .wordbpe import byte_chars
 
-CACHE_CHUNKS = 500_000  # distinct chunks that a worker remembers before it starts again
-#: Characters that are encoded together.
-RUN_CHARS = 1 << 22
+CACHE_CHUNKS = 2_000_000  # distinct chunks that a worker remembers before it starts again
+CACHE_WORDS = 150_000  # pre-tokens likewise
+RUN_BYTES = 1 << 20  # of texts that are encoded together
 END_ID = 0
-_END = 0  # place of the end id in the pool
 
 #: The pre-token pattern of byte-level BPE vocabularies of this family (fixed value). Python's white space has four
 #: characters more than the vocabulary's.
@@ -34,6 +34,8 @@ _LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _LATIN_PRETOKEN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LATIN}]+| ?[0-9]+| ?[^\s0-9{_LATIN}]+|\s+(?!\S)|\s+")
 _BEYOND_LATIN = re.compile("[^\x00-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧€]")
 
+_MARKS = frozenset(".,;:!?)|")
+
 
 class ByteEncoder:
     def __init__(self, path: str):
@@ -44,113 +46,98 @@ class ByteEncoder:
         self.model = self.lib.model
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.stand_in = dict(enumerate(byte_chars()))
-        self._clear()
-
-    def _clear(self) -> None:
-        self.places: dict[str, int] = {"": _END}  # every real chunk has a character
         self.words: dict[str, bytes] = {}
-        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.opens, self.closes = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
-        self.pool = np.zeros(1 << 18, np.uint16)
-        self.pool[0], self.size[_END] = END_ID, 1
-        self.used = self.n_ids = 1
+        self.pool = pool.Pool(self._learn, self._forget, CACHE_CHUNKS)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.first, self.size = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32)
+        self.opens, self.closes = np.zeros(1 << 15, bool), np.zeros(1 << 15, bool)
+        self.ids = np.zeros(1 << 18, np.uint16)
+        self.used = self.n_ids = 0
 
     def _word(self, word: str) -> bytes:
         """16-bit ids of a pre-token."""
+        if len(self.words) >= CACHE_WORDS:
+            self.words.clear()
         letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.stand_in)
-        return np.array([t.id for t in self.model.tokenize(letters)], np.uint16).tobytes()
+        self.words[word] = ids = array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return ids
 
     def _chunk(self, chunk: str) -> bytes:
         if _ODD.search(chunk):
-            return np.array(self.lib.encode(chunk, add_special_tokens=False).ids, np.uint16).tobytes()
-        known, out = self.words, []
-        for w in (_PRETOKEN if _BEYOND_LATIN.search(chunk) else _LATIN_PRETOKEN).findall(chunk):
-            if (ids := known.get(w)) is None:
-                known[w] = ids = self._word(w)
-            out.append(ids)
-        return out[0] if len(out) == 1 else b"".join(out)
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Put chunks that were met first into the pool; ``opens`` and ``closes``: white space behind the blank, at the end."""
-        coded = [self._chunk(c) for c in chunks]
+            return array("H", self.lib.encode(chunk, add_special_tokens=False).ids).tobytes()
+        return self._words((_PRETOKEN if _BEYOND_LATIN.search(chunk) else _LATIN_PRETOKEN).findall(chunk))
+
+    def _words(self, words: list[str]) -> bytes:
+        known = self.words
+        return b"".join([known.get(w) or self._word(w) for w in words])
+
+    def _plain(self, chunk: str) -> bytes:
+        """_chunk() without odd characters; a blank, letters and at most one mark at the end are split by hand."""
+        known = self.words
+        if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+            return known.get(chunk) or self._word(chunk)
+        head, end = chunk[:-1], chunk[-1]
+        if end in _MARKS and head[1:].isalpha() and head[0] == " ":
+            return (known.get(head) or self._word(head)) + (known.get(end) or self._word(end))
+        return self._words(_LATIN_PRETOKEN.findall(chunk))
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Ids of chunks that were met first; ``opens`` and ``closes``: white space behind the blank, at the end."""
+        chunks = [p.decode() for p in pieces]
+        every = "".join(chunks)
+        coded = list(map(self._chunk if _ODD.search(every) or _BEYOND_LATIN.search(every) else self._plain, chunks))
         flat, size = np.frombuffer(b"".join(coded), np.uint16), np.array([len(c) for c in coded], np.int32) // 2
         n, total = self.used + len(chunks), self.n_ids + len(flat)
         if n > len(self.size):
             for k in ("first", "size", "opens", "closes"):
                 old = getattr(self, k)
                 setattr(self, k, np.concatenate([old, np.zeros(n, old.dtype)]))
-        if total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(total, np.uint16)])
+        if total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(total, np.uint16)])
         new = slice(self.used, n)
         self.first[new] = self.n_ids + np.cumsum(size) - size
         self.size[new] = size
         self.opens[new] = [len(c) < 2 or c[1].isspace() for c in chunks]
-        self.closes[new] = [c[-1:].isspace() for c in chunks]
-        self.pool[self.n_ids : total] = flat
+        self.closes[new] = [c[-1].isspace() for c in chunks]
+        self.ids[self.n_ids : total] = flat
         self.used, self.n_ids = n, total
 
-    def _find(self, chunks: list[str]) -> np.ndarray:
-        """Places of distinct chunks."""
-        places, new = self.places, []
-        for c in chunks:
-            if c not in places:
-                places[c] = len(places)
-                new.append(c)
-        if new:
-            self._learn(new)
-        return np.fromiter(map(places.__getitem__, chunks), np.int32, len(chunks))
-
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For runs of texts without nulls, in order: (number of ids of each, END_ID among them; all their 16-bit ids)."""
-        if not len(texts):
-            return
-        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-        cuts = [0, *(np.flatnonzero(ends[1:] // RUN_CHARS > ends[:-1] // RUN_CHARS) + 1).tolist(), len(texts)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            yield self._run(texts.slice(lo, hi - lo))
-
-    def _run(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if self.used > CACHE_CHUNKS:
-            self._clear()
-        pieces = pc.split_pattern(texts, " ")
-        count = pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = pieces.flatten().dictionary_encode()
-        heads = np.cumsum(count) - count
-        # a text's first piece has no blank before it: such a chunk is looked up as a text of its own
-        first = coded.dictionary.take(coded.indices.take(pa.array(heads))).to_pylist()
-        at = self._find([" " + p for p in coded.dictionary.to_pylist()])[coded.indices.to_numpy(zero_copy_only=False)]
-        n = np.arange(len(texts))
-        at = np.insert(at, heads + count, _END)
-        heads = heads + n
-        distinct = list(dict.fromkeys(first))
-        bare = dict(zip(distinct, self._bare(distinct)))
-        at[heads] = [bare[p] for p in first]
+        for run, offsets, data in pool.runs(texts, RUN_BYTES):
+            yield self._run(run, offsets, data)
+
+    def _run(self, texts: pa.Array, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, first = pool.split(offsets, data, data == 32)
+        at, clash = self.pool.find(data, starts)
         # white space that goes on over a blank is cut elsewhere than at the blank
-        wrong = set(np.searchsorted(heads, np.flatnonzero(self.closes[at[:-1]] & self.opens[at[1:]]), "right") - 1)
+        on = np.flatnonzero(self.closes[at[:-1]] & self.opens[at[1:]]) + 1
+        wrong = np.concatenate([clash, on[~np.isin(on, first)]])
+        wrong = set((np.searchsorted(first, wrong, "right") - 1).tolist())
         for s in self.special:
-            wrong |= set(np.flatnonzero(pc.match_substring(texts, s).to_numpy(zero_copy_only=False)))
+            if s.encode() in memoryview(data).tobytes():
+                wrong |= set(np.flatnonzero(pc.match_substring(texts, s).to_numpy(zero_copy_only=False)).tolist())
         size = self.size[at]
         ends = np.cumsum(size, dtype=np.int64)
-        ids = self.pool[np.repeat(self.first[at] - (ends - size), size) + np.arange(ends[-1])]
-        last = ends[heads + count]
-        total = np.diff(last, prepend=0)
+        before = np.append(0, ends)[first]  # ids of the pieces before each text, and of all
+        n = len(texts)
+        # a text's ids and the end id behind them
+        shift = np.repeat(np.arange(n), np.diff(first))
+        ids = np.full(before[-1] + n, END_ID, np.uint16)
+        if len(at):
+            flat = self.ids[np.repeat(self.first[at] - (ends - size), size) + np.arange(ends[-1])]
+            ids[np.repeat(shift, size) + np.arange(ends[-1])] = flat
+        total = np.diff(before) + 1
         if wrong:
-            parts = np.split(ids, last[:-1])
+            parts = np.split(ids, np.cumsum(total)[:-1])
             for k in wrong:
-                parts[k] = np.array([*self.lib.encode(texts[int(k)].as_py(), add_special_tokens=False).ids, END_ID], np.uint16)
+                parts[k] = np.array([*self.lib.encode(texts[k].as_py(), add_special_tokens=False).ids, END_ID], np.uint16)
                 total[k] = len(parts[k])
             ids = np.concatenate(parts)
         return total, ids
 
-    def _bare(self, pieces: list[str]) -> list[int]:
-        """Places of chunks without a blank in front; they are kept under a key that no other chunk has."""
-        keys = ["  " + p for p in pieces]
-        new = [(k, p) for k, p in zip(keys, pieces) if k not in self.places]
-        if new:
-            self.places |= {k: self.used + i for i, (k, _) in enumerate(new)}
-            self._learn([p for _, p in new])
-        return [self.places[k] for k in keys]
-
 
 @lru_cache(maxsize=2)
 def load(path: str) -> ByteEncoder:
