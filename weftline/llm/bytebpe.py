@@ -20,21 +20,22 @@ import regex
 from . import pool
 from .wordbpe import byte_chars
 
-CACHE_CHUNKS = 2_000_000  # distinct chunks that a worker remembers before it starts again
-CACHE_WORDS = 150_000  # pre-tokens likewise
+CACHE_CHUNKS = 1_800_000  # distinct chunks that a worker remembers before it starts again
 RUN_BYTES = 1 << 20  # of texts that are encoded together
 END_ID = 0
 
 #: The pre-token pattern of byte-level BPE vocabularies of this family (fixed value). Python's white space has four
 #: characters more than the vocabulary's.
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_ODD = re.compile("[\x1c-\x1f]")
-#: The same pattern spelled out for the standard library's quicker engine, and what it isn't spelled out for.
-_LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
-_LATIN_PRETOKEN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LATIN}]+| ?[0-9]+| ?[^\s0-9{_LATIN}]+|\s+(?!\S)|\s+")
-_BEYOND_LATIN = re.compile("[^\x00-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧€]")
+_ODD = re.compile("[\0\x1c-\x1f]")
+_JOINED = 64  # pre-tokens that the library gets at a time
 
-_MARKS = frozenset(".,;:!?)|")
+# Kinds of bytes. Two-byte letters of Latin scripts (lead bytes C3 to C9) count as letters byte by byte.
+_MARK, _LETTER, _DIGIT, _BLANK, _SPACE, _HARD = range(6)
+_KIND = np.full(256, _HARD, np.uint8)
+_KIND[32:127] = _MARK
+_KIND[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = _LETTER
+_KIND[48:58], _KIND[32], _KIND[9:14], _KIND[ord("'")] = _DIGIT, _BLANK, _SPACE, _HARD
 
 
 class ByteEncoder:
@@ -46,63 +47,115 @@ class ByteEncoder:
         self.model = self.lib.model
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.stand_in = dict(enumerate(byte_chars()))
-        self.words: dict[str, bytes] = {}
+        nul, vocab = self.stand_in[0], self.lib.get_vocab(with_added_tokens=False)
+        self.nul = None if any(nul in t and t != nul for t in vocab) else nul
+        self.nul_id = vocab.get(nul)
+        nul, vocab = self.stand_in[0], self.lib.get_vocab(with_added_tokens=False)
+        self.nul, self.nul_id = nul, vocab[nul]
+        self.joins = not any(nul in t and t != nul for t in vocab)
         self.pool = pool.Pool(self._learn, self._forget, CACHE_CHUNKS)
+        self.words = pool.Pool(self._learn_words, lambda: None, 1 << 60)  # starts again with the chunks
         self._forget()
 
     def _forget(self) -> None:
-        self.first, self.size = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32)
+        self.words.clear()
+        self.first, self.size = np.zeros(1 << 15, np.int32), np.zeros(1 << 15, np.int32)
         self.opens, self.closes = np.zeros(1 << 15, bool), np.zeros(1 << 15, bool)
+        self.word_first, self.word_size = np.zeros(1 << 15, np.int32), np.zeros(1 << 15, np.int32)
         self.ids = np.zeros(1 << 18, np.uint16)
-        self.used = self.n_ids = 0
+        self.used = self.n_words = self.n_ids = 0
 
-    def _word(self, word: str) -> bytes:
-        """16-bit ids of a pre-token."""
-        if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
-        letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.stand_in)
-        self.words[word] = ids = array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
-        return ids
+    def _room(self, names: tuple[str, ...], n: int) -> None:
+        for k in names:
+            old = getattr(self, k)
+            if n > len(old):
+                setattr(self, k, np.concatenate([old, np.zeros(n, old.dtype)]))
 
-    def _chunk(self, chunk: str) -> bytes:
+    def _keep(self, ids: np.ndarray) -> int:
+        """Put ids into the pool; where they begin."""
+        begin = self.n_ids
+        self._room(("ids",), begin + len(ids))
+        self.ids[begin : begin + len(ids)] = ids
+        self.n_ids += len(ids)
+        return begin
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        """Ids of pre-tokens by the library, a run at a time: no token but its own holds the NUL between them, so nothing merges over it."""
+        ids = array("H")
+        step = _JOINED if self.joins else 1
+        for lo in range(0, len(words), step):
+            letters = b"\0".join(words[lo : lo + step]).decode("latin-1").translate(self.stand_in)
+            ids.extend([t.id for t in self.model.tokenize(letters)])
+            ids.append(self.nul_id)
+        flat = np.frombuffer(ids, np.uint16)
+        ends = np.flatnonzero(flat == self.nul_id)
+        begins = np.append(0, ends[:-1] + 1)
+        n = self.n_words + len(words)
+        self._room(("word_first", "word_size"), n)
+        new = slice(self.n_words, n)
+        self.word_first[new], self.word_size[new] = self._keep(flat) + begins, ends - begins
+        self.n_words = n
+
+    def _hard(self, chunk: str) -> list[int]:
         if _ODD.search(chunk):
-            return array("H", self.lib.encode(chunk, add_special_tokens=False).ids).tobytes()
-        return self._words((_PRETOKEN if _BEYOND_LATIN.search(chunk) else _LATIN_PRETOKEN).findall(chunk))
-
-    def _words(self, words: list[str]) -> bytes:
-        known = self.words
-        return b"".join([known.get(w) or self._word(w) for w in words])
-
-    def _plain(self, chunk: str) -> bytes:
-        """_chunk() without odd characters; a blank, letters and at most one mark at the end are split by hand."""
-        known = self.words
-        if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
-            return known.get(chunk) or self._word(chunk)
-        head, end = chunk[:-1], chunk[-1]
-        if end in _MARKS and head[1:].isalpha() and head[0] == " ":
-            return (known.get(head) or self._word(head)) + (known.get(end) or self._word(end))
-        return self._words(_LATIN_PRETOKEN.findall(chunk))
+            return self.lib.encode(chunk, add_special_tokens=False).ids
+        return [t.id for w in _PRETOKEN.findall(chunk) for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.stand_in))]
 
     def _learn(self, pieces: list[bytes]) -> None:
-        """Ids of chunks that were met first; ``opens`` and ``closes``: white space behind the blank, at the end."""
-        chunks = [p.decode() for p in pieces]
-        every = "".join(chunks)
-        coded = list(map(self._chunk if _ODD.search(every) or _BEYOND_LATIN.search(every) else self._plain, chunks))
-        flat, size = np.frombuffer(b"".join(coded), np.uint16), np.array([len(c) for c in coded], np.int32) // 2
-        n, total = self.used + len(chunks), self.n_ids + len(flat)
-        if n > len(self.size):
-            for k in ("first", "size", "opens", "closes"):
-                old = getattr(self, k)
-                setattr(self, k, np.concatenate([old, np.zeros(n, old.dtype)]))
-        if total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(total, np.uint16)])
-        new = slice(self.used, n)
-        self.first[new] = self.n_ids + np.cumsum(size) - size
-        self.size[new] = size
-        self.opens[new] = [len(c) < 2 or c[1].isspace() for c in chunks]
-        self.closes[new] = [c[-1].isspace() for c in chunks]
-        self.ids[self.n_ids : total] = flat
-        self.used, self.n_ids = n, total
+        """Ids of chunks that were met first; ``opens`` and ``closes``: white space behind the blank, at the end.
+
+        Chunks of easy bytes without white space side by side are cut where the kind of byte changes.
+        """
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        long = np.array([len(p) for p in pieces], np.int64)
+        starts = np.cumsum(long) - long
+        kind = _KIND[data]
+        before = np.append(_HARD, kind[:-1])
+        before[starts] = _HARD
+        space = (kind == _BLANK) | (kind == _SPACE)
+        bad = (kind == _HARD) | (space & ((before == _BLANK) | (before == _SPACE)))
+        cross = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))  # the two marks among the Latin letters
+        bad[:-1] |= cross
+        hard = np.unique(np.searchsorted(starts, np.flatnonzero(bad), "right") - 1)
+        # white space that goes on would be cut here, but such chunks are hard
+        word = np.flatnonzero((kind != before) & (before != _BLANK))
+        easy = np.ones(len(pieces), bool)
+        easy[hard] = False
+        if len(hard):
+            own = np.repeat(np.arange(len(pieces)), long)
+            data = data[easy[own]]
+            word = word[easy[own[word]]]
+            gone = np.cumsum(np.where(easy, 0, long))
+            word = word - gone[own[word]]
+        begin = np.cumsum(np.where(easy, long, 0)) - np.where(easy, long, 0)
+        number, clash = self.words.find(data, word)
+        first_word = np.searchsorted(word, begin[easy])
+        if len(clash):
+            hard = np.concatenate([hard, np.flatnonzero(easy)[np.unique(np.searchsorted(first_word, clash, "right") - 1)]])
+        n = self.used + len(pieces)
+        self._room(("first", "size", "opens", "closes"), n)
+        first, size = self.first[self.used : n], self.size[self.used : n]
+        count = np.diff(first_word, append=len(word))
+        if len(number):
+            each = self.word_size[number]
+            size[easy] = np.add.reduceat(each, first_word)
+            first[easy] = self.word_first[number[first_word]]
+            several = np.flatnonzero(easy)[count > 1]
+            if len(several):
+                at = number[np.repeat(count > 1, count)]
+                each = self.word_size[at]
+                ends = np.cumsum(each, dtype=np.int64)
+                begins = self._keep(self.ids[np.repeat(self.word_first[at] - (ends - each), each) + np.arange(ends[-1])])
+                first[several] = begins + np.cumsum(size[several], dtype=np.int64) - size[several]
+        self.opens[self.used : n] = (long < 2) | (kind[np.minimum(starts + 1, len(kind) - 1)] == _SPACE)
+        self.closes[self.used : n] = space[starts + long - 1]
+        for k in hard.tolist():
+            chunk = pieces[k].decode()
+            ids = self._hard(chunk)
+            first[k], size[k] = self._keep(np.array(ids, np.uint16)), len(ids)
+            self.opens[self.used + k] = len(chunk) < 2 or chunk[1].isspace()
+            self.closes[self.used + k] = chunk[-1].isspace()
+        self.used = n
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For runs of texts without nulls, in order: (number of ids of each, END_ID among them; all their 16-bit ids)."""

@@ -36,8 +36,8 @@ from . import bytebpe
 from .common import materialize, partitions
 
 BLOCK_IDS = 2048
-SEGMENT_IDS = 1 << 22
-LANES = 2048  # blocks coded side by side
+SEGMENT_IDS = 1 << 23
+LANES = 4096  # blocks coded side by side
 _MAGIC = b"WTID"
 _HEADER = struct.Struct("<4sBIII")
 _NONE = 0xFFFF  # no id
@@ -46,7 +46,7 @@ _WEIGHT, _FREQ = 10, 16  # bits of the weights' sum and of order 0's sum
 _SUM = _WEIGHT + _FREQ
 _SPAN, _LEAST = 62, 30  # bits of the coder's low end, and of the least span that is not shifted
 _TAIL = (1 << _LEAST) - 1
-_LOW15 = (1 << 15) - 1
+_FADE, _RISE = 0x07FF07FF, 2046
 
 
 class _Table:
@@ -82,77 +82,114 @@ class _Table:
 def _contexts(last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the order-1 and order-2 contexts. Both arrays are unsigned, 32 bits."""
     h = last * np.uint32(0x9E3779B1)
-    return h >> np.uint32(32 - _SLOTS), ((h + before * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - _SLOTS)
+    g = before * np.uint32(0x85EBCA77)
+    g += h
+    g *= np.uint32(0xC2B2AE35)
+    h >>= np.uint32(32 - _SLOTS)
+    g >>= np.uint32(32 - _SLOTS)
+    return h, g
 
 
 class _Mixer:
-    """What the lanes have learned: entries (id, confidence 0 to 3) by context, and two probabilities a state."""
+    """What the lanes have learned: entries (id, confidence 0 to 3) by context, and two probabilities a state.
+
+    The probabilities, that order 2 is right and that only order 1 is, are 15 bits each in one number; both sink
+    by a sixteenth at every id and one of them rises by _RISE if it holds, so they stay below 2^15 in sum.
+    """
 
     def __init__(self, lanes: int):
         self.base = np.arange(lanes, dtype=np.int64) << _SLOTS
         self.state_base = np.arange(lanes, dtype=np.int64) << 5
         self.one, self.two = (np.full(lanes << _SLOTS, _NONE << 2, np.int32) for _ in range(2))
-        self.right = np.full(lanes << 5, (10000 << 16) | 4000, np.int32)  # order 2 is right; order 1 is and order 2 isn't
+        self.right = np.full(lanes << 5, (10000 << 16) | 4000, np.int32)
 
     def look(self, at1: np.ndarray, at2: np.ndarray) -> None:
-        """at1, at2: the contexts' places in their lanes."""
-        n = len(at1)
-        self.at1, self.at2 = self.base[:n] + at1, self.base[:n] + at2
-        self.e1, self.e2 = self.one[self.at1], self.two[self.at2]
-        self.id1, self.id2 = self.e1 >> 2, self.e2 >> 2
-        self.state = self.state_base[:n] + (((self.e2 & 3) << 3) | ((self.e1 & 3) << 1) | (self.id1 == self.id2))
-        p = self.right[self.state]
-        self.p2, self.p1 = p >> 16, p & _LOW15
-        self.w2, self.w1 = self.p2 >> 5, self.p1 >> 5  # both below 2^15 in sum, so something is left
-        self.w0 = (1 << _WEIGHT) - self.w2 - self.w1
-
-    def learn(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """x: ids in 32 bits; hit1: order 1 was right, whether or not order 2 was."""
-        fresh = (x << 2) | 1
-        self.two[self.at2] = np.where(hit2, np.minimum(self.e2 + 1, self.e2 | 3), np.where(self.e2 & 2, self.e2 - 1, fresh))
-        self.one[self.at1] = np.where(hit1, np.minimum(self.e1 + 1, self.e1 | 3), np.where(self.e1 & 2, self.e1 - 1, fresh))
-        p2 = self.p2 + ((hit2 * np.int32(_LOW15) - self.p2) >> 4)
-        p1 = self.p1 + (((hit1 & ~hit2) * np.int32(_LOW15) - self.p1) >> 4)
-        self.right[self.state] = (p2 << 16) | p1
+        """at1, at2: the contexts' places, from base on."""
+        self.at1, self.at2 = at1, at2
+        self.e1, self.e2 = e1, e2 = self.one.take(at1), self.two.take(at2)
+        self.id1, self.id2 = e1 >> 2, e2 >> 2
+        state = e2 & 3
+        state <<= 2
+        state |= e1 & 3
+        state <<= 1
+        state += self.id1 == self.id2
+        self.state = self.state_base[: len(at1)] + state
+        self.p = p = self.right.take(self.state)
+        self.w2 = p >> 21
+        p1 = p >> 5
+        p1 &= (1 << _WEIGHT) - 1
+        self.w1 = p1
+        self.w0 = (1 << _WEIGHT) - self.w2
+        self.w0 -= p1
+
+    def learn(self, fresh: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """fresh: entries of the ids that came; hit1: order 1 was right, whether or not order 2 was."""
+        for table, at, e, hit in ((self.two, self.at2, self.e2, hit2), (self.one, self.at1, self.e1, hit1)):
+            up = e | 3
+            np.minimum(e + 1, up, out=up)
+            table[at] = np.where(hit, up, fresh)
+        p = self.p
+        sunk = p >> 4
+        sunk &= _FADE
+        p -= sunk
+        p += hit2 * np.int32(_RISE << 16)
+        p += (hit1 > hit2) * np.int32(_RISE)
+        self.right[self.state] = p
 
 
 def _encode_lanes(grid: np.ndarray, short: int, table: _Table) -> list[np.ndarray]:
     """Payload words of each column of ``grid``; the last one has ``short`` ids, the others fill theirs."""
     steps, lanes = grid.shape
-    start, freq = table.start[grid], table.freq[grid]
-    history = np.zeros((steps + 2, lanes), np.uint32)
-    history[2:] = grid
-    at1, at2 = _contexts(history[1:-1], history[:-2])
+    start, freq = table.start, table.freq
     mixer = _Mixer(lanes)
+    base = mixer.base
+    last = before = np.zeros(lanes, np.uint32)
     low, span = np.zeros(lanes, np.int64), np.full(lanes, (1 << _SPAN) - 1, np.int64)
-    words, out = np.zeros((steps + 1, lanes), np.int64), np.zeros((steps + 1, lanes), bool)
+    width = steps * _SUM // 32 + 3  # an id takes at most _SUM bits and a little
+    words = np.zeros(lanes * width, np.int64)
+    first = np.arange(lanes, dtype=np.int64) * width
+    at = first.copy()
     for t in range(steps):
         if t == short:  # the short lane ends here; one word tells a number inside its span
-            words[t, -1], out[t, -1] = (low[-1] + _TAIL) >> _LEAST, True
+            words[at[lanes - 1]] = (low[-1] + _TAIL) >> _LEAST
+            at[lanes - 1] += 1
             lanes -= 1
             if not lanes:
                 break
-            low, span = low[:-1], span[:-1]
+            low, span, last, before, base = low[:-1], span[:-1], last[:-1], before[:-1], base[:-1]
         x = grid[t, :lanes]
-        mixer.look(at1[t, :lanes], at2[t, :lanes])
-        hit2, hit1 = mixer.id2 == x, mixer.id1 == x
-        below = (mixer.id2 < x) * mixer.w2 + (mixer.id1 < x) * mixer.w1
-        own = hit2 * mixer.w2 + hit1 * mixer.w1
+        at1, at2 = _contexts(last, before)
+        mixer.look(base + at1, base + at2)
+        id1, id2, w0, w1, w2 = mixer.id1, mixer.id2, mixer.w0, mixer.w1, mixer.w2
+        hit2, hit1 = id2 == x, id1 == x
+        cum = (id2 < x) * w2
+        cum += (id1 < x) * w1
+        cum <<= _FREQ
+        cum += w0 * start.take(x)
+        own = hit2 * w2
+        own += hit1 * w1
+        own <<= _FREQ
+        own += w0 * freq.take(x)
         r = span >> _SUM
-        low = low + r * (mixer.w0 * start[t, :lanes] + (below << _FREQ))
-        span = r * (mixer.w0 * freq[t, :lanes] + (own << _FREQ))
-        full = span <= _TAIL
-        words[t, :lanes], out[t, :lanes] = low >> _LEAST, full
-        low = np.where(full, (low & _TAIL) << 32, low)
-        span = span << (full * np.int64(32))
-        mixer.learn(x, hit2, hit1)
+        low += r * cum
+        np.multiply(r, own, out=span)
+        full = np.flatnonzero(span <= _TAIL)
+        top, to = low[full], at[full]
+        words[to] = top >> _LEAST
+        at[full] = to + 1
+        low[full] = (top & _TAIL) << 32
+        span[full] <<= 32
+        mixer.learn((x << 2) | 1, hit2, hit1)
+        last, before = x.astype(np.uint32), last
     if lanes:
-        words[steps, :lanes], out[steps, :lanes] = (low + _TAIL) >> _LEAST, True
-    flat = words.T[out.T]
+        words[at[:lanes]] = (low + _TAIL) >> _LEAST
+        at[:lanes] += 1
+    size = at - first
+    flat = words.reshape(-1, width)[np.arange(width) < size[:, None]]
     while (over := flat >> 32).any():
         flat &= 0xFFFFFFFF
         flat[:-1] += over[1:]  # a lane's first word has no carry: its number is below one
-    return np.split(flat.astype(">u4"), np.cumsum(out.sum(axis=0))[:-1])
+    return np.split(flat.astype(">u4"), np.cumsum(size)[:-1])
 
 
 def encode_ids(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[_Table, bytes]:
@@ -187,33 +224,50 @@ def _decode_lanes(payloads: list[np.ndarray], sizes: np.ndarray, table: _Table)
     at = np.arange(lanes, dtype=np.int64) * (width - 2)
     span = np.full(lanes, (1 << _SPAN) - 1, np.int64)
     mixer = _Mixer(lanes)
+    base = mixer.base
     got = np.zeros((steps + 2, lanes), np.uint32)
     start, freq, id_at = table.start, table.freq, table.id_at
+    end = start[1:]
     live = lanes
     for t in range(steps):
         if sizes[live - 1] <= t:
             live = int(np.searchsorted(-sizes, -t, side="left"))
-            code, span, at = code[:live], span[:live], at[:live]
-        mixer.look(*_contexts(got[t + 1, :live], got[t, :live]))
+            code, span, at, base = code[:live], span[:live], at[:live], base[:live]
+        at1, at2 = _contexts(got[t + 1, :live], got[t, :live])
+        mixer.look(base + at1, base + at2)
         id2, id1, w0 = mixer.id2, mixer.id1, mixer.w0
         b2, b1 = mixer.w2 << _FREQ, mixer.w1 << _FREQ
         r = span >> _SUM
-        v = np.minimum((code.view(np.uint64) // r.view(np.uint64)).view(np.int64), (1 << _SUM) - 1).astype(np.int32)
-        # a bet stands behind the id's share of order 0
-        from2 = w0 * start[id2 + 1] + (id1 < id2) * b1
-        from1 = w0 * start[id1 + 1] + (id2 <= id1) * b2
-        past2, past1 = v >= from2, v >= from1
-        over2, over1 = v >= from2 + b2, v >= from1 + b1
-        plain = id_at[((v - over2 * b2 - over1 * b1) / w0).astype(np.int32) & 0xFFFF]
-        x = np.where(past2 & ~over2, id2, np.where(past1 & ~over1, id1, plain))
+        v = (code.view(np.uint64) // r.view(np.uint64)).astype(np.int32)
+        # a bet stands behind the id's share of order 0: how far v is past the bets' beginnings
+        past2 = v - w0 * end.take(id2)
+        first = id1 < id2
+        past2 -= first * b1
+        past1 = v - w0 * end.take(id1)
+        past1 -= ~first * b2
+        v -= (past2 >= b2) * b2
+        v -= (past1 >= b1) * b1
+        x = id_at.take((v / w0).astype(np.int32), mode="clip")
+        # unsigned, what is before a bet is past its end
+        np.copyto(x, id1, where=past1.view(np.uint32) < b1.view(np.uint32))
+        np.copyto(x, id2, where=past2.view(np.uint32) < b2.view(np.uint32))
         got[t + 2, :live] = x
         hit2, hit1 = id2 == x, id1 == x
-        code = code - r * (w0 * start[x] + (id2 < x) * b2 + (id1 < x) * b1)
-        span = r * (w0 * freq[x] + hit2 * b2 + hit1 * b1)
-        full = span <= _TAIL
-        code = np.where(full, (code << 32) | ahead[at], code)
-        span = span << (full * np.int64(32))
-        at = at + full
+        cum = (id2 < x) * b2
+        cum += (id1 < x) * b1
+        cum += w0 * start.take(x)
+        own = hit2 * b2
+        own += hit1 * b1
+        own += w0 * freq.take(x)
+        code -= r * cum
+        np.multiply(r, own, out=span)
+        full = np.flatnonzero(span <= _TAIL)
+        to = at[full]
+        code[full] = (code[full] << 32) | ahead.take(to, mode="clip")  # a damaged block may run over its end
+        span[full] <<= 32
+        at[full] = to + 1
+        x <<= 2
+        x |= 1
         mixer.learn(x, hit2, hit1)
     return got[2:]
 
@@ -235,7 +289,8 @@ def decode_ids(table: _Table, data: bytes) -> np.ndarray:
     for lo in range(0, len(heads), LANES):
         part = heads[lo : lo + LANES]
         order = sorted(range(len(part)), key=lambda k: -part[k][0])
-        got = _decode_lanes([payloads[lo + k] for k in order], np.array([part[k][0] for k in order], np.int64), table).T
+        with np.errstate(divide="ignore"):  # damaged blocks again; their checksum tells
+            got = _decode_lanes([payloads[lo + k] for k in order], np.array([part[k][0] for k in order], np.int64), table).T
         rows = [b""] * len(part)
         for row, k in enumerate(order):
             rows[k] = np.ascontiguousarray(got[row, : part[k][0]], "<u4")

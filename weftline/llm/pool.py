@@ -13,6 +13,7 @@ import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+MOST_BYTES = 1 << 28
 _powers = np.ones(1, np.uint64)
 
 
@@ -30,18 +31,17 @@ class Pool:
     """Numbers of distinct pieces, from 0 upwards.
 
     ``learn`` gets the pieces met first, in the order of their numbers. Bounded: the pool starts again when it
-    holds more than ``most`` pieces, after calling ``forget``, which costs time only.
+    holds more than ``most`` pieces or MOST_BYTES, after calling ``forget``, which costs time only.
     """
 
     def __init__(self, learn: Callable[[list[bytes]], None], forget: Callable[[], None], most: int):
         self.learn, self.forget, self.most = learn, forget, most
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.used, self.n_bytes = 0, 0
         self.keys, self.numbers = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
-        self.hashes = np.zeros(1 << 15, np.uint64)
-        self.first, self.size = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32)
+        self.first, self.size = np.zeros(1 << 15, np.int32), np.zeros(1 << 15, np.int32)
         self.bytes = np.zeros(1 << 18, np.uint8)
 
     def _slots(self, h: np.ndarray) -> np.ndarray:
@@ -77,30 +77,31 @@ class Pool:
         n, size = self.used + len(pieces), np.array([len(p) for p in pieces], np.int32)
         total = self.n_bytes + int(size.sum())
         if n > len(self.size):
-            for k in ("first", "size", "hashes"):
+            for k in ("first", "size"):
                 old = getattr(self, k)
                 setattr(self, k, np.concatenate([old, np.zeros(n, old.dtype)]))
         if total > len(self.bytes):
             self.bytes = np.concatenate([self.bytes, np.zeros(total, np.uint8)])
         new = slice(self.used, n)
         self.first[new] = self.n_bytes + np.cumsum(size) - size
-        self.size[new], self.hashes[new] = size, h
+        self.size[new] = size
         self.bytes[self.n_bytes : total] = np.frombuffer(b"".join(pieces), np.uint8)
         number = np.arange(self.used, n, dtype=np.int32)
         self.used, self.n_bytes = n, total
-        if 2 * n > len(self.keys):
-            bits = (4 * n).bit_length()
+        if 3 * n > 2 * len(self.keys):
+            held = self.keys != 0
+            keys, numbers = self.keys[held], self.numbers[held]
+            bits = (2 * n).bit_length()
             self.keys, self.numbers = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
-            self._enter(self.hashes[:n], np.arange(n, dtype=np.int32))
-        else:
-            self._enter(h, number)
+            self._enter(keys, numbers)
+        self._enter(h, number)
         self.learn(pieces)
         return number
 
     def find(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, positions of pieces that clash with another one's hash) of the pieces that begin at ``starts`` and fill ``data``."""
-        if self.used > self.most:
-            self._clear()
+        if self.used > self.most or self.n_bytes > MOST_BYTES:
+            self.clear()
             self.forget()
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
