@@ -245,6 +245,13 @@ NOISE_TAGS = {"nav", "header", "footer", "aside", "script", "style", "noscript",
 # Limits of a normalised record.
 CAPS = {"main_content": 10_000, "links": 500, "images": 200, "tables": 50, "forms": 20, "lists": 50, "keywords": 50, "raw_html": 8192}
 
+PAGE_RESULT = {"main_content": 2000, "headings": 20, "links": 50}
+SNAPSHOT = {"description": 500, "main_content": 2000}
+PARALLEL = ("static_requests", "static_httpx", "static_urllib", "structured_metadata", "search_index", "file_data", "endpoint_probe", "secret_scan")
+CORS_PROBES, ACTIVE_PROBES = 25, 30
+BAN_FAILURES, BAN_SECONDS = 3, 300
+QUEUE_TTL_S = 3600
+
 # Thresholds.
 CLUSTER_SIMILARITY = 0.82
 SIMHASH_DISTANCE = 8

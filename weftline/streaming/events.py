@@ -76,12 +76,82 @@ def token_bucket(events: DataFrame, capacity: float, per_second: float) -> DataF
     )
 
 
+def keyed_fold(rows: DataFrame, key: str, order: list[str], state: str, out: str, start: tuple, step) -> DataFrame:
+    """A state a key, folded over its rows in ``order`` within each micro-batch: step(state, row) gives (new state, output row).
+
+    ``state`` and ``out`` are schemas; ``key`` is a long; output rows are tuples. The state outlives restarts
+    with the stream's checkpoint.
+    """
+    names = [c.split()[0] for c in out.split(", ")]
+
+    def fold(key_: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now = tuple(held.get) if held.exists else start
+        got = []
+        for r in pd.concat(list(batches)).sort_values(order, kind="stable").to_dict("records"):
+            now, row = step(now, r)
+            got.append(row)
+        held.update(now)
+        yield pd.DataFrame(got, columns=names)
+
+    return rows.groupBy(key).applyInPandasWithState(fold, out, state, "append", GroupStateTimeout.NoTimeout)
+
+
+def change_on_arrival(versions: DataFrame) -> DataFrame:
+    """versions(key, version, content_hash): whether each differs from the one that came before it."""
+
+    def step(state: tuple, r: dict) -> tuple:
+        return (r["content_hash"],), (r["key"], r["version"], r["content_hash"] != state[0], state[0] if state[0] != r["content_hash"] else None)
+
+    return keyed_fold(versions, "key", ["version"], "last string", "key long, version long, changed boolean, previous_hash string", (None,), step)
+
+
+def selector_streaks(hits: DataFrame, dead_after: int) -> DataFrame:
+    """hits(key, event_id, ts, hit): misses in a row up to each event, and whether the selector is dead."""
+
+    def step(state: tuple, r: dict) -> tuple:
+        n = 0 if r["hit"] else state[0] + 1
+        return (n,), (r["key"], r["event_id"], n, n >= dead_after)
+
+    return keyed_fold(hits, "key", ["ts", "event_id"], "n long", "key long, event_id long, miss_streak long, dead boolean", (0,), step)
+
+
+#: Which control event a job's status admits, and what it becomes.
+TRANSITIONS = {
+    ("new", "submit"): "pending",
+    ("pending", "start"): "running",
+    ("pending", "cancel"): "cancelled",
+    ("running", "pause"): "paused",
+    ("running", "finish"): "done",
+    ("running", "cancel"): "cancelled",
+    ("paused", "start"): "running",
+    ("paused", "cancel"): "cancelled",
+    ("done", "submit"): "pending",
+    ("cancelled", "submit"): "pending",
+}
+
+
+def queue_control(controls: DataFrame) -> DataFrame:
+    """controls(key, event_id, ts, control): the job's status after each control event, and whether it was accepted."""
+
+    def step(state: tuple, r: dict) -> tuple:
+        after = TRANSITIONS.get((state[0], r["control"]))
+        return (after or state[0],), (r["key"], r["event_id"], after or state[0], after is not None)
+
+    return keyed_fold(controls, "key", ["ts", "event_id"], "status string", "key long, event_id long, status string, accepted boolean", ("new",), step)
+
+
+def profile_totals(outcomes: DataFrame) -> DataFrame:
+    """Running counts of outcomes(domain, engine_id, ok) by domain and engine."""
+    return outcomes.groupBy("domain", "engine_id").agg(F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("fail"))
+
+
 def _folder(spark: SparkSession, label: str) -> str:
     return f"{session.shared_dir(spark)}/stream-{label}-{uuid.uuid4().hex}"
 
 
-def _run(stream: DataFrame, label: str, mode: str, write: str) -> DataFrame:
-    spark, folder = stream.sparkSession, _folder(stream.sparkSession, label)
+def _run(stream: DataFrame, label: str, mode: str, write: str, folder: str | None = None) -> DataFrame:
+    spark = stream.sparkSession
+    folder = folder or _folder(spark, label)
     schema = stream.schema
 
     def sink(batch: DataFrame, epoch: int) -> None:
@@ -98,6 +168,6 @@ def run_complete(stream: DataFrame, label: str) -> DataFrame:
     return _run(stream, label, "complete", "overwrite")
 
 
-def run_append(stream: DataFrame, label: str) -> DataFrame:
-    """All rows that a stream put out."""
-    return _run(stream, label, "append", "append")
+def run_append(stream: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """All rows that a stream put out. A ``folder`` given again resumes: only new input is read, and states go on."""
+    return _run(stream, label, "append", "append", folder)
