@@ -439,6 +439,48 @@ def test_tokens(spark):
         assert f["ids"] == ids and f["decoded"] == text == bpe.decode_ids(raw, path)
 
 
+def test_long_words(spark):
+    """Words of a million letters, and words around the length from which pairs are kept by rank."""
+    import time
+
+    path = public_tokenizers.path(WORD_BPE)
+    lib, bpe_ = Tokenizer.from_file(path), token_counts.wordbpe.load(path)
+    r = random.Random(6)
+    letters = lambda n, pool="abcdefghijklmnopqrstuvwxyz": "".join(r.choice(pool) for _ in range(n))
+    words = [letters(n) for n in (1, 2, 100, 127, 128, 129, 130, 400, 5000)] + ["a" * n for n in (128, 129, 130, 501)] + ["ab" * 300, "aab" * 300, letters(3000, "ab"), letters(3000, "the")]
+    want = [len(lib.encode(w, add_special_tokens=False).ids) for w in words]
+    assert token_counts.surviving(bpe_, [w.encode() for w in words]).tolist() == want
+    assert token_counts.surviving(bpe_, []).tolist() == []
+    began = time.perf_counter()
+    assert 300_000 < token_counts.count_tokens([letters(1_000_000)], path)[0] < 1_000_000
+    assert time.perf_counter() - began < 30
+
+
+def test_word_numbers(monkeypatch):
+    """Counts, ids and decoded texts as the library has them where pools start again and batches are small."""
+    import pyarrow as pa
+
+    from weftline.llm import textwords
+
+    path = public_tokenizers.path(WORD_BPE)
+    lib = Tokenizer.from_file(path)
+    monkeypatch.setattr(textwords, "RUN_BYTES", 500)
+    monkeypatch.setattr(token_counts, "CACHE_CHUNKS", 300)
+    monkeypatch.setattr(bpe, "CACHE_CHUNKS", 300)
+    counter, encoded, decoder = token_counts._Counter(path), bpe._Encoded(path), bpe.Decoder(path)
+    r = random.Random(7)
+    pool = "aAbBzZ'stremvdlléÉß×÷ÀàÿŸĀāΣσς0123٣½ \t\n\x0b\x0c\r\x1c\x1f\x85\xa0 　̧́İıﬁ漢字😀<|>_-!?.,&#"
+    texts = ["".join(r.choice(pool[: r.randint(6, len(pool))]) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    texts += ["", " ", "<|startoftext|>a<|endoftext|><|endoftext|>", "it's IT'S we'll'll", "x" * 3000, "ÉTÉ été Été", "1 22 333a4"] * 2
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    for lo in range(0, len(texts), 250):
+        part = pa.array(texts[lo : lo + 250])
+        assert counter.count(part).tolist() == [len(w) for w in want[lo : lo + 250]]
+        ids = list(encoded.encode(part))
+        assert [i.tolist() for i in ids] == want[lo : lo + 250]
+        assert [decoder.decode(i).decode() for i in ids] == [lib.decode(w, skip_special_tokens=False) for w in want[lo : lo + 250]]
+
+
 # ---------------------------------------------------------------- 8 SimHash
 def test_golay_covering():
     r = np.random.default_rng(4)

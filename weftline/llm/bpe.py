@@ -14,15 +14,14 @@ from functools import lru_cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import wordbpe
+from . import textwords, wordbpe
 
-CACHE_CHUNKS = 200_000
-CACHE_WORDS = 400_000
-CACHE_PAIRS = 1_000_000
+CACHE_CHUNKS = 1_500_000
+CACHE_PAIRS = 500_000
 
 
 class PrefixEncoder:
@@ -58,7 +57,6 @@ class PrefixEncoder:
                 self.automaton.add_word(s, (t, len(s)))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.words = wordbpe.ChunkCache(self.word_values, CACHE_WORDS)
         self._drop_unreachable(spell, ends)
 
     def _drop_unreachable(self, spell: dict[int, str], ends: set[str]) -> None:
@@ -116,48 +114,82 @@ class PrefixEncoder:
             at -= size[at]
         return out[::-1]
 
-    def word_values(self, words: list[bytes]) -> Iterator[tuple[bytes, str]]:
-        strings = self.bpe.strings
-        for w in words:
-            ids = self.encode_word(w)
-            yield np.array(ids, "<u4").tobytes(), " ".join([strings[i] for i in ids])
 
-    def chunk_values(self, chunks: list[str]) -> Iterator[tuple[bytes, str]]:
-        """(ids as little-endian 32-bit integers, decoded text) of each chunk. Chunks share their words."""
+class _Encoded:
+    """Ids and decoded text of texts by way of those of their distinct words."""
+
+    def __init__(self, path: str):
+        self.encoder = PrefixEncoder(path)
+        self.bpe = self.encoder.bpe
+        self.words = textwords.TextWords(self.bpe, self._learn, self._forget, CACHE_CHUNKS)
+
+    def _forget(self) -> None:
+        self.first, self.size = np.zeros(1 << 15, np.int32), np.zeros(1 << 15, np.int32)
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.used = self.n_ids = 0
+
+    def _learn(self, words: list[bytes]) -> None:
+        coded = list(map(self.encoder.encode_word, words))
+        flat, size = np.array([i for ids in coded for i in ids], np.uint32), np.array([len(ids) for ids in coded], np.int32)
+        n, total = self.used + len(words), self.n_ids + len(flat)
+        if n > len(self.size):
+            self.first, self.size = (np.concatenate([x, np.zeros(n, np.int32)]) for x in (self.first, self.size))
+        if total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(total, np.uint32)])
+        self.first[self.used : n], self.size[self.used : n] = self.n_ids + np.cumsum(size) - size, size
+        self.ids[self.n_ids : total] = flat
+        self.used, self.n_ids = n, total
+
+    def one(self, text: str) -> np.ndarray:
         special = self.bpe.special
-        words = [[] if c in special else self.bpe.pretokens(c) for c in chunks]
-        values = self.words.fill(words)
-        for c, ws in zip(chunks, words):
-            if len(ws) == 1:
-                yield values[ws[0]]
-            elif c in special:
-                yield special[c].to_bytes(4, "little"), c
-            else:
-                got = [values[w] for w in ws]
-                yield b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
+        ids = [i for c in self.bpe.text_chunks(text) for i in ([special[c]] if c in special else [i for w in self.bpe.pretokens(c) for i in self.encoder.encode_word(w)])]
+        return np.array(ids, np.uint32)
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text."""
+        for run, numbers, bounds, other in self.words.find(texts):
+            ids, ends = textwords.gather(self.ids, self.first[numbers], self.size[numbers])
+            parts = np.split(ids, np.append(0, ends)[bounds[1:-1]])
+            for k in other:
+                parts[k] = self.one(run[k].as_py())
+            yield from parts
+
+
+class Decoder:
+    """Texts of ids: the strings of the tokens, special ones included, joined by blanks."""
+
+    def __init__(self, path: str):
+        strings = wordbpe.load(path).strings
+        spelled = [strings.get(i, "").encode() + b" " for i in range(max(strings) + 1)]
+        self.size = np.array([len(s) for s in spelled], np.int32)
+        self.first = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(spelled), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """UTF-8. Long lists go run by run, so that memory is bounded by the text."""
+        runs = [ids[lo : lo + (1 << 18)] for lo in range(0, len(ids), 1 << 18)]
+        return b"".join([textwords.gather(self.bytes, self.first[r], self.size[r])[0].tobytes() for r in runs])[:-1]
+
+
+@lru_cache(maxsize=2)
+def _encoded(path: str) -> _Encoded:
+    return _Encoded(path)
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> tuple[PrefixEncoder, wordbpe.ChunkCache]:
-    enc = PrefixEncoder(path)
-    return enc, wordbpe.ChunkCache(enc.chunk_values, CACHE_CHUNKS)
+def _decoder(path: str) -> Decoder:
+    return Decoder(path)
 
 
 def encode_texts(texts: list[str], path: str) -> Iterator[tuple[bytes, str]]:
     """(ids as little-endian 32-bit integers, decoded text) of each text."""
-    enc, cache = _encoder(path)
-    for run in wordbpe.slices(texts):
-        chunks = [enc.bpe.text_chunks(t) for t in run]
-        values = cache.fill(chunks)
-        for cs in chunks:
-            got = [values[c] for c in cs]
-            yield b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
+    for ids in _encoded(path).encode(pa.array(texts, pa.string())):
+        yield ids.astype("<u4").tobytes(), _decoder(path).decode(ids).decode()
 
 
 def decode_ids(ids: bytes, path: str) -> str:
-    """The text that ids stand for, special tokens included: their strings joined by blanks."""
-    strings = wordbpe.load(path).strings
-    return " ".join(strings[int.from_bytes(ids[i : i + 4], "little")] for i in range(0, len(ids), 4))
+    """The text that ids (little-endian 32-bit integers) stand for, special tokens included."""
+    return _decoder(path).decode(np.frombuffer(ids, "<u4")).decode()
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -165,28 +197,31 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, ids array<int>, decoded string.
+    """One row per row of ``docs``: doc_id, ids array<int>, decoded string; the text is decoded from the ids.
 
-    Null text counts as empty: no ids, empty decoded text. Special strings inside texts become their
-    ids. Repeated rows are encoded each; an empty table gives an empty table.
+    Null and empty texts have no ids and decode to an empty text; very long texts are encoded whole. Special
+    strings inside texts become their ids. Ties don't arise: each row is encoded by itself, repeated rows and
+    null ids too. Other columns don't matter, whatever their names. An empty table gives an empty table.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = list(encode_texts(pdf["text"].tolist(), path))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [np.frombuffer(i, "<u4").astype(np.int32) for i, _ in got], "decoded": [d for _, d in got]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoded, decoder = _encoded(path), _decoder(path)
+        for batch in batches:
+            ids = list(encoded.encode(batch.column(1)))
+            decoded = pa.array([decoder.decode(i).decode() for i in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), decoded], ["doc_id", "ids", "decoded"])
 
-    return _source(docs, id_col, text_col).mapInPandas(run, "doc_id long, ids array<int>, decoded string")
+    return _source(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """encode() reduced where it is made: doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(d.encode()).hexdigest()) for i, d in encode_texts(pdf["text"].tolist(), path)]
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).astype({"n_tokens": "int64"})
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoded, decoder = _encoded(path), _decoder(path)
+        for batch in batches:
+            rows = [(len(i), hashlib.sha256(i.astype("<u4")).hexdigest(), hashlib.sha256(decoder.decode(i)).hexdigest()) for i in encoded.encode(batch.column(1))]
+            n, ids, decoded = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _source(docs, id_col, text_col).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _source(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterable
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -99,35 +98,3 @@ class WordBPE:
 @lru_cache(maxsize=2)
 def load(path: str) -> WordBPE:
     return WordBPE(path)
-
-
-class ChunkCache:
-    """Values of distinct chunks. Bounded: it starts again when it holds ``most`` chunks, which costs time only."""
-
-    def __init__(self, compute: Callable[[list[str]], Iterable], most: int):
-        self.compute, self.most, self.values = compute, most, {}
-
-    def fill(self, chunk_lists: Iterable[list[str]]) -> dict:
-        need = set().union(*chunk_lists)
-        new = need - self.values.keys()
-        if new:
-            if len(self.values) + len(new) > self.most:
-                self.values, new = {}, need
-            todo = list(new)
-            for lo in range(0, len(todo), 65536):
-                part = todo[lo : lo + 65536]
-                self.values.update(zip(part, self.compute(part)))
-        return self.values
-
-
-def slices(texts: list[str], most_chars: int = 1 << 20) -> Iterable[list[str]]:
-    """Runs of texts with about ``most_chars`` characters, one text at least."""
-    run, n = [], 0
-    for t in texts:
-        run.append(t)
-        n += len(t)
-        if n >= most_chars:
-            yield run
-            run, n = [], 0
-    if run:
-        yield run
