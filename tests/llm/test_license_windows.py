@@ -29,3 +29,28 @@ def test_notices_within_other_text(spark):
     assert "CC-BY-NC-SA-4.0" in got[8]["licenses"] and got[8]["best_license"] == "CC-BY-NC-SA-4.0"
     assert {"BSD-3-Clause", "CC-BY-4.0"} <= set(got[9]["licenses"].split(","))
     assert got[3]["n_segments"] == 1 and got[3]["best_dice"] == 1.0
+
+
+def test_whole_licences(spark):
+    """Each licence's full text, with a copyright line, alone, in a header of comments and split by blank lines; BSD-2 apart from BSD-3."""
+    full = {"MIT": licenses._MIT, "BSD-2-Clause": f"{licenses._BSD} {licenses._BSD_END}", "BSD-3-Clause": f"{licenses._BSD} {licenses._BSD_THIRD} {licenses._BSD_END}", "ISC": licenses._ISC, "Unlicense": licenses._UNLICENSE, "Zlib": licenses._ZLIB}
+    texts, want = [], []
+    for name, text in full.items():
+        headed = f"Copyright (c) 2021, Some Body. All rights reserved.\n\n{text}"
+        texts += [text, headed, "\n".join("# " + x for x in textwrap.wrap(headed, 70)), headed.replace(". ", ".\n\n")]
+        want += [name] * 4
+    long = "plain words of a very long text without any notice at all " * 30_000
+    texts += [long, long + "\n\n" + licenses._ISC, "This project is licensed under the MIT License. " + "x " * 50]
+    want += [None, "ISC", "MIT"]
+    got = {r["doc_id"]: r for r in licenses.digest(licenses.scan(docs_of(spark, texts))).collect()}
+    assert [got[k + 1]["best_license"] for k in range(len(texts))] == want
+    assert all("BSD-3-Clause" not in got[k + 1]["licenses"] for k, w in enumerate(want) if w == "BSD-2-Clause")
+
+
+def test_telling_words():
+    """No set of bigrams that is enough for a hit is free of the telling words."""
+    temps = licenses._templates(licenses.TEMPLATES)
+    words = set(licenses.telling_words(temps, licenses.THRESHOLD))
+    for _, _, b in temps:
+        free = [x for x in b if not words & set(x.split(" "))]
+        assert 2 * len(free) / (len(free) + len(b)) < licenses.THRESHOLD

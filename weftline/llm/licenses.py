@@ -11,6 +11,7 @@ template, so only such windows are scored, and only in texts that hold enough of
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,64 @@ from .common import let
 THRESHOLD = 0.8
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 
-# Licence notices, as published by their authors.
+#: Templates of more bigrams than this are compared with whole segments only, not with windows.
+WINDOW_BIGRAMS = 80
+
+# Licence texts and notices, as published by their authors.
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+    "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+    "to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+    "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+    "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution."
+)
+_BSD_THIRD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission."
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+    "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS "
+    "OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, "
+    "OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+    "granted, provided that the above copyright notice and this permission notice appear in all copies. "
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY '
+    "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM "
+    "LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+    "PERFORMANCE OF THIS SOFTWARE."
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+    "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that "
+    "recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this "
+    "dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of "
+    "relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS '
+    "FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+    "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use "
+    "of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it "
+    "freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original "
+    "software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source "
+    "versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any "
+    "source distribution."
+)
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
@@ -54,7 +112,7 @@ TEMPLATES = (
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     (
-        "BSD-3-Clause",
+        "BSD",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     ),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
@@ -74,6 +132,24 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("BSD-3-Clause", _BSD_THIRD.removeprefix("3. ")),
+    (
+        "GPL-3.0",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and "
+        "distribute verbatim copies of this license document, but changing it is not allowed.",
+    ),
+    (
+        "GPL-2.0",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute "
+        "verbatim copies of this license document, but changing it is not allowed.",
+    ),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("MIT", _MIT),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_END}"),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_THIRD} {_BSD_END}"),
+    ("ISC", _ISC),
+    ("Unlicense", _UNLICENSE),
+    ("Zlib", _ZLIB),
 )
 
 
@@ -86,6 +162,25 @@ def _templates(templates) -> list[tuple[int, str, list[str]]]:
     return [(k, name, _bigrams(text)) for k, (name, text) in enumerate(templates)]
 
 
+_COMMON = frozenset("a all an and any are as at be but by conditions following for from general in including is it no not of on or original other out provided shall that the this to under use with without you".split())
+
+
+def telling_words(temps: list[tuple[int, str, list[str]]], threshold: float) -> list[str]:
+    """Words of which every text with a hit holds one.
+
+    A hit shares at least t/(2-t) of its template's bigrams, so it is enough that for each template the bigrams
+    without any of the words are fewer. Words that cover many bigrams come first, common ones last.
+    """
+    chosen: set[str] = set()
+    for _, _, bigrams in sorted(temps, key=lambda t: len(t[2])):
+        left = [b for b in bigrams if not chosen & set(b.split(" "))]
+        while 2 * len(left) >= threshold * (len(left) + len(bigrams)) - 1e-9:
+            covered = Counter(w for b in left for w in set(b.split(" ")))
+            chosen.add(best := min(covered, key=lambda w: (w in _COMMON, len(w) < 6, -covered[w], -len(w), w)))
+            left = [b for b in left if best not in b.split(" ")]
+    return sorted(chosen)
+
+
 def _words(segment: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(segment), _NOT_WORD, " "), " "), lambda w: w != "")
 
@@ -113,20 +208,26 @@ def _spans(p: Column, t: Column, lo: float, hi: float, threshold: float) -> Colu
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: doc_id and ``hits`` array<struct<segment, template, license, dice>>.
+    """One row per row of ``docs``: doc_id and ``hits`` array<struct<segment, template, license, dice, common>>.
 
     A hit is a distinct normalised segment (its words joined by blanks) whose Dice coefficient with a
-    template is at least ``threshold``; template is the template's position. Segments of less than two
+    template is at least ``threshold`` and as high as with any other; template is the template's position, common
+    the number of bigrams shared.
+    Texts without any of the telling_words() can have no hit and are not looked at. Segments of less than two
     words have no bigrams and never hit. Windows that share words give way to the one with the most
-    bigrams of a template, and windows inside a segment with a hit are left out. Null and empty texts have no hits; repeated rows have each
-    their own; an empty table gives an empty table.
+    bigrams of a template, and windows inside a segment with a hit are left out. Null and empty texts have no hits; very long texts are scanned
+    whole; repeated rows and null ids have each their own row; ties of hits are settled in digest(). Other
+    columns don't matter, whatever their names. An empty table gives an empty table.
     """
     temps = _templates(templates)
     lo, hi = threshold / (2 - threshold), (2 - threshold) / threshold
     least, most = min(len(b) for *_, b in temps) * lo, max(len(b) for *_, b in temps) * hi
-    every = F.array(*[F.lit(g) for g in sorted(set().union(*(b for *_, b in temps)))])
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n"), F.array(*map(F.lit, b)).alias("b"), F.lit(len(b)).alias("s")) for k, n, b in temps])
+    windowed = [t for t in temps if len(t[2]) <= WINDOW_BIGRAMS]
+    all_of = lambda ts: F.array(*[F.lit(g) for g in sorted(set().union(*(b for *_, b in ts)))])
+    struct = lambda t: F.struct(F.lit(t[0]).alias("k"), F.lit(t[1]).alias("n"), F.array(*map(F.lit, t[2])).alias("b"), F.lit(len(t[2])).alias("s"))
+    every, table, every_windowed, table_windowed = all_of(temps), F.array(*map(struct, temps)), all_of(windowed), F.array(*map(struct, windowed))
     text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.when(F.rlike(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(telling_words(temps, threshold))})(?![\p{{L}}\p{{N}}])")), text).otherwise("")
     blank = r"\r?\n[ \t]*\r?\n"
     lines = F.split(text, r"\r?\n")
     more = F.when(F.rlike(text, F.lit(r"\n")), F.concat(F.when(F.rlike(text, F.lit(blank)), F.split(text, blank)).otherwise(F.array().cast("array<string>")), F.array(text))).otherwise(F.array().cast("array<string>"))
@@ -154,15 +255,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                 t["k"].alias("template"),
                 t["n"].alias("license"),
                 (2.0 * F.size(F.array_intersect(s["g"], t["b"])) / (F.size(s["g"]) + t["s"])).alias("dice"),
+                F.size(F.array_intersect(s["g"], t["b"])).alias("common"),
             ),
         )
-        return F.filter(scored, lambda r: r["dice"] >= threshold)
+        hits = F.filter(scored, lambda r: r["dice"] >= threshold)
+        return let(hits, lambda hs: F.filter(hs, lambda r: r["dice"] == F.array_max(F.transform(hs, lambda x: x["dice"]))))
 
     rows = rows.select("doc_id", F.flatten(F.transform(segs, against)).alias("hits"), F.element_at("words", -1).alias("w"))
     rows = rows.select("doc_id", "hits", "w", _pairs(F.col("w")).alias("p"))
-    rows = rows.select("*", F.array_intersect("p", every).alias("m"))
-    near = F.filter(table, lambda t: F.size(F.array_intersect(F.col("m"), t["b"])) >= t["s"] * lo)
-    rows = rows.select("*", F.when(F.size("m") >= least, near).otherwise(F.slice(table, 1, 0)).alias("near"))
+    rows = rows.select("*", F.array_intersect("p", every_windowed).alias("m"))
+    near = F.filter(table_windowed, lambda t: F.size(F.array_intersect(F.col("m"), t["b"])) >= t["s"] * lo)
+    rows = rows.select("*", F.when(F.size("m") >= least, near).otherwise(F.slice(table_windowed, 1, 0)).alias("near"))
     spans = F.flatten(F.transform("near", lambda t: _spans(F.col("p"), t, lo, hi, threshold)))
     free = F.aggregate(
         F.array_sort(spans),
@@ -182,9 +285,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 def digest(scanned: DataFrame) -> DataFrame:
     """doc_id, n_segments (distinct segments with a hit), licenses (sorted, comma-joined), best_license, best_dice (six places).
 
-    The best hit has the highest coefficient, then the first template. No hit: 0, '', null, null.
+    The best hit shares the most bigrams, then has the highest coefficient, then the first template: a whole text
+    tells more than a sentence of it. No hit: 0, '', null, null.
     """
-    rank = F.transform("hits", lambda h: F.struct(F.round(h["dice"], 6).alias("d"), (-h["template"]).alias("t"), h["license"].alias("l")))
+    rank = F.transform("hits", lambda h: F.struct(h["common"].alias("c"), F.round(h["dice"], 6).alias("d"), (-h["template"]).alias("t"), h["license"].alias("l")))
     return scanned.select("doc_id", "hits", F.array_max(rank).alias("best")).select(
         "doc_id",
         F.size(F.array_distinct(F.transform("hits", lambda h: h["segment"]))).cast("long").alias("n_segments"),
@@ -215,13 +319,14 @@ g AS (
   FROM (SELECT r, segment, string_split(segment, ' ') AS x FROM w) WHERE len(x) > 1
 ),
 h AS (
-  SELECT r, segment, k, license, 2.0 * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice
+  SELECT r, segment, k, license, 2.0 * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice, len(list_intersect(g, b)) AS common
   FROM g JOIN t ON len(g) BETWEEN len(b) * {threshold / (2 - threshold)} AND len(b) * {(2 - threshold) / threshold}
   WHERE 2.0 * len(list_intersect(g, b)) / (len(g) + len(b)) >= {threshold}
+  QUALIFY dice = max(dice) OVER (PARTITION BY r, segment)
 ),
 a AS (
   SELECT r, count(DISTINCT segment) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
-         first(license ORDER BY round(dice, 6) DESC, k) AS best_license, max(round(dice, 6)) AS best_dice
+         first(license ORDER BY common DESC, round(dice, 6) DESC, k) AS best_license, first(round(dice, 6) ORDER BY common DESC, round(dice, 6) DESC, k) AS best_dice
   FROM h GROUP BY r
 )
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_segments, coalesce(licenses, '') AS licenses, best_license, best_dice::DOUBLE AS best_dice
