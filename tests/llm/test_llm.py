@@ -286,6 +286,41 @@ def test_embeddings(spark):
     assert len({got[k]["component_id"] for k in range(len(rows) - 1500, len(rows))}) == 1
 
 
+def test_embedding_recall(spark):
+    """Pairs at the threshold itself are found with a probability of 0.95 at least, for the plans of small and of larger tables."""
+    r = np.random.default_rng(3)
+    n, dim = 1200, 64
+    a = r.normal(size=(n, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = r.normal(size=(n, dim))
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    x = np.concatenate([a, 0.9005 * a + np.sqrt(1 - 0.9005**2) * b])
+    for width, tables in lattice.PLANS[:4]:
+        home, near = lattice.cells(x, width, tables)
+        h1, h2, n1, n2 = home[:n], home[n:], near[:n], near[n:]
+        met = (h1 == h2).any(axis=1) | (h1[:, :, None] == n2).any(axis=(1, 2)) | (h2[:, :, None] == n1).any(axis=(1, 2))
+        s = lattice.sketches(x).view(np.uint64)
+        assert (met & (np.bitwise_count(s[:n] ^ s[n:]).sum(axis=1) <= lattice.SKETCH)).mean() >= 0.95
+    assert lattice.plan(1000) == lattice.PLANS[0] and [lattice.plan(10**k)[0] for k in (4, 5, 6, 7, 8)] == sorted((lattice.plan(10**k)[0] for k in (4, 5, 6, 7, 8)), reverse=True)
+    df = spark.createDataFrame([(k, v.tolist(), "x") for k, v in enumerate(x)], "vec_id long, embedding array<double>, node string")
+    got = lattice.embedding_groups(df.withColumn("cell", F.lit(1))).agg(F.sum("n_links")).first()[0]
+    assert got >= 2 * 0.95 * n
+
+
+def test_embedding_doubles(spark):
+    """Components count as stored: beyond single precision, very large and small; repeated ids; null ids."""
+    v = [1.0] + [0.0] * 7
+    edge = [0.95, float(np.sqrt(1 - 0.95**2))] + [0.0] * 6
+    below = [0.9 - 1e-9, -float(np.sqrt(1 - (0.9 - 1e-9) ** 2))] + [0.0] * 6
+    rows = [(1, v), (2, edge), (3, below), (4, [1e300 * x for x in v]), (5, [1e-300 * x for x in v]), (6, [0.0, 0.0, 1.0] + [0.0] * 5), (6, [0.0, 0.0, 0.0, 1.0] + [0.0] * 4), (None, v)]
+    got = [tuple(x) for x in lattice.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    links = {i: n for i, n, _, _ in got if i not in (6, None)}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a)) / math.sqrt(sum(x * x for x in b))
+    assert cos(v, edge) >= 0.9 > cos(v, below) and links[1] == 3 and links[4] == links[5] == 3 and links[3] == 0
+    assert sorted(x for x in got if x[0] == 6) == [(6, 0, 6, True)] * 2 and [x for x in got if x[0] is None] == [(None, 0, None, False)]
+
+
 def test_lattice_decoder():
     r = np.random.default_rng(1)
     x = r.normal(size=(200, 8)) * 2
