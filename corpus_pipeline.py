@@ -31,8 +31,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and selects documents so that every source comes near its target; the classifier's score is a document's quality weight."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    """Repeats and selects documents so that every source comes near its target; the classifier's score is a document's quality weight.
+
+    The classifier is fitted on all documents as in the first stage: of those it kept, few labels are bad.
+    """
+    model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return mixing.mixed_documents(docs, quality=None if model is None else quality.probabilities(model, docs)["score"])
 
 
