@@ -676,9 +676,101 @@ def test_pipeline_stages(spark, tmp_path):
     texts_left = [lower(x["text"]) for x in kept.collect()]
     assert len(texts_left) == len(set(texts_left))
     near = simhash.drop_near_duplicates(kept)
-    mixed = mixing.mixed_documents(near)
+    mixed = corpus_pipeline.STAGES[3][1](spark, near, root)
     out = corpus_pipeline.run(spark, root).collect()
     assert Counter(x["doc_id"] for x in out) == Counter(x["doc_id"] for x in mixed.collect())
     lib = Tokenizer.from_file(public_tokenizers.path(WORD_BPE))
     for x in out[:20]:
         assert x["n_tokens"] == len(lib.encode(texts[x["doc_id"] - 1], add_special_tokens=False).ids)
+
+
+def test_pipeline_brute_force(spark, tmp_path):
+    """Every stage against a plain version of it: nulls in any column, empty and long texts, repeated rows and ids, ties."""
+    import corpus_pipeline
+
+    r = random.Random(12)
+    word = lambda: "".join(r.choice(["an", "er", "th", "in", "on", "re"]) for _ in range(r.randint(1, 4)))
+    texts = [" ".join(word() for _ in range(r.randint(40, 90))) for _ in range(150)]
+    texts = [t if k % 5 else " ".join(w + "$$$" for w in t.split()) for k, t in enumerate(texts)]
+    rows = [(k + 1, t, "en", f"s{k % 3}", len(t)) for k, t in enumerate(texts)]
+    rows += [(500, texts[1].upper(), "en", "s0", 9), (2, texts[1], None, "s1", None), (501, texts[2] + " tail", None, None, 5), (None, texts[3], "en", "s0", 1), (None, "only here without an id " * 20, None, None, None)]
+    rows += [(502, None, None, None, None), (503, "", "en", None, 0), (504, "", "en", "s1", 0), (505, "very long text " * 40_000, "en", "s2", 1), (505, "very long text " * 40_000, "en", "s2", 1)]
+    d = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    root = f"file://{tmp_path}"
+    spark.createDataFrame([(k + 1, int(k % 5 != 0)) for k in range(150)] + [(None, 1), (3, None), (4, 7)], "doc_id long, quality int").write.parquet(f"{root}/labels.parquet")
+    key = lambda x: tuple(str(v) for v in x)
+    labels = spark.read.parquet(f"{root}/labels.parquet")
+    d.write.parquet(f"{root}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+
+    def run(name, rows):
+        path = f"{root}/{name}.parquet"
+        spark.createDataFrame(rows, SCHEMA).write.parquet(path)
+        out = stage[name](spark, spark.read.parquet(path), root)
+        return out.columns, [tuple(x) for x in out.collect()]
+
+    columns, good = run("quality_classifier", rows)
+    assert columns == d.columns
+    scored = Counter((x["doc_id"], x["kept"]) for x in quality.classify(d, labels).collect())
+    assert Counter((x[0], True) for x in good) == Counter({k: n for k, n in scored.items() if k[1]})
+
+    columns, single = run("exact_dedup", good)
+    best = {}
+    for x in sorted(good, key=lambda x: (x[0] is not None, x[0] or 0)):
+        best[lower(x[1])] = x[0]
+    assert columns == d.columns and {lower(x[1]): x[0] for x in single} == best and len(single) == len(best)
+
+    columns, apart = run("simhash_neardup", single)
+    prints = [(simhash._fingerprint(lower(x[1])) & (1 << 64) - 1, x) for x in single]
+    group = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i][0] ^ prints[j][0]).bit_count() <= 2:
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {}
+    for g, (_, x) in zip(group, prints):
+        least[g] = min(least.get(g, (True, 0)), (x[0] is None, x[0] or 0))
+    assert columns == d.columns and sorted((x[0] is None, x[0] or 0) for x in apart) == sorted(least.values())
+
+    columns, mixed = run("source_mixing", apart)
+    sizes = Counter()
+    for x in apart:
+        sizes[x[3]] += len(WORDS.findall(x[1] or ""))
+    taken = Counter()
+    for x in mixed:
+        taken[x[3]] += len(WORDS.findall(x[1] or ""))
+    plan = {x["source"]: x["target"] for x in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    most = Counter()
+    for x in apart:
+        most[x[3]] = max(most[x[3]], len(WORDS.findall(x[1] or "")))
+    copies = Counter(map(key, mixed))
+    assert columns == d.columns and set(copies) <= set(map(key, apart)) and max(copies.values()) <= 3
+    assert all(abs(taken[s] - t) <= max(most[s], 1) for s, t in plan.items())
+
+    columns, ids = run("bpe", mixed)
+    lib = Tokenizer.from_file(public_tokenizers.path(WORD_BPE))
+    want = Counter()
+    for x in mixed:
+        tokens = lib.encode(x[1] or "", add_special_tokens=False).ids
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        want[(x[0], len(tokens), sha(np.array(tokens, "<u4").tobytes()), sha(lib.decode(tokens, skip_special_tokens=False).encode()))] += 1
+    assert Counter(ids) == want
+
+
+def test_pipeline_empty_and_extra_columns(spark, tmp_path):
+    """An empty table goes through; extra columns with the operators' own names stay as they are."""
+    import corpus_pipeline
+
+    d = docs_of(spark, ["a b c d", "a b c d", None, "x y z w"])
+    for c in (*CLASHING[1:], "i", "x", "m", "row", "at", "held", "block", "vec", "q", "z", "y", "v"):
+        d = d.withColumn(c, F.lit(c))
+    for name, docs in (("none", d.where("false")), ("some", d)):
+        root = f"file://{tmp_path}/{name}"
+        docs.write.parquet(f"{root}/documents.parquet")
+        spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{root}/labels.parquet")
+        now = spark.read.parquet(f"{root}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, root)
+            assert now.columns == d.columns
+            assert all(x["lead"] == "lead" and x["at"] == "at" for x in now.collect())
+        assert corpus_pipeline.STAGES[-1][1](spark, now, root).count() == now.count() == corpus_pipeline.run(spark, root).count()
