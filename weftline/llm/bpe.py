@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from . import textwords, wordbpe
 
-CACHE_CHUNKS = 1_500_000
-CACHE_PAIRS = 500_000
+CACHE_CHUNKS = 600_000
+CACHE_PAIRS = 200_000
+CACHE_EDGES = 10_000
 
 
 class PrefixEncoder:
@@ -29,20 +30,14 @@ class PrefixEncoder:
         self.bpe = bpe = wordbpe.load(path)
         vocab = bpe.vocab
         self.rank = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(bpe.merges)}
-        parts = {vocab[a + b]: (vocab[a], vocab[b]) for a, b in bpe.merges}
-        formed = {vocab[a + b]: r for r, (a, b) in enumerate(bpe.merges)}
-        #: Right and left edge of each token's merge tree, from the token down: (piece, rank at which the piece is used up).
-        self.right: dict[int, list[tuple[int, float]]] = {}
-        self.left: dict[int, list[tuple[int, float]]] = {}
-        for edge, side in ((self.right, 1), (self.left, 0)):
-            for t in vocab.values():
-                piece, until, spine = t, float("inf"), []
-                while True:
-                    spine.append((piece, until))
-                    if piece not in parts:
-                        break
-                    until, piece = formed[piece], parts[piece][side]
-                edge[t] = spine
+        #: The two tokens that a token is merged from (none: -1), and at which rank.
+        size = max(vocab.values()) + 1
+        self.parts = np.full((2, size), -1, np.int32)
+        self.formed = np.zeros(size, np.int32)
+        for r, (a, b) in enumerate(bpe.merges):
+            t = vocab[a + b]
+            self.parts[:, t], self.formed[t] = (vocab[a], vocab[b]), r
+        self.edges: tuple[dict, dict] = ({}, {})
         # A token is a word over base symbols, one character each; the last symbol of a word is another character.
         inner, final = bpe.inner.tolist(), bpe.final.tolist()
         symbol = {i: chr(0xE000 + b) for b, i in enumerate(inner)} | {i: chr(0xE100 + b) for b, i in enumerate(final)}
@@ -64,17 +59,26 @@ class PrefixEncoder:
         self.unreachable: set[int] = set()
         for t, s in sorted(spell.items(), key=lambda x: len(x[1])):
             if len(s) > 1 and not (set(s[:-1]) & ends):
-                a, b = self.rank_parts(t)
+                a, b = self.parts[:, t].tolist()
                 if a in self.unreachable or b in self.unreachable or not self._joins(a, b):
                     self.unreachable.add(t)
 
-    def rank_parts(self, t: int) -> tuple[int, int]:
-        return self.left[t][1][0], self.right[t][1][0]
+    def edge(self, t: int, side: int) -> list[tuple[int, float]]:
+        """Left (0) or right (1) edge of a token's merge tree, from the token down: (piece, rank at which the piece is used up)."""
+        if (found := self.edges[side].get(t)) is None:
+            piece, until, found = t, float("inf"), []
+            while piece >= 0:
+                found.append((piece, until))
+                until, piece = int(self.formed[piece]), int(self.parts[side, piece])
+            if len(self.edges[side]) >= CACHE_EDGES:
+                self.edges[side].clear()
+            self.edges[side][t] = found
+        return found
 
     def _joins(self, a: int, b: int) -> bool:
         """Whether the first merge across a|b is that of a and b themselves."""
         top = self.rank[(a, b)]
-        return not any((m := self.rank.get((p, q))) is not None and (p, q) != (a, b) and m < min(pu, top) and m <= min(qu, top) for p, pu in self.right[a] for q, qu in self.left[b])
+        return not any((m := self.rank.get((p, q))) is not None and (p, q) != (a, b) and m < min(pu, top) and m <= min(qu, top) for p, pu in self.edge(a, 1) for q, qu in self.edge(b, 0))
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the text of a then b gives a and b: no merge across the boundary comes before its pieces are used up.
@@ -84,8 +88,9 @@ class PrefixEncoder:
         key = a << 20 | b
         if (known := self.pairs.get(key)) is None:
             get, known = self.rank.get, True
-            for p, pu in self.right[a]:
-                for q, qu in self.left[b]:
+            starts = self.edge(b, 0)
+            for p, pu in self.edge(a, 1):
+                for q, qu in starts:
                     if (m := get((p, q))) is not None and m < pu and m <= qu:
                         known = False
                         break

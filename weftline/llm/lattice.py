@@ -130,16 +130,16 @@ def _mark(dim: int) -> np.int64:
 
 
 def _stored(rows: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(vectors, squares of their norms). Each is scaled by a power of two, which is exact, so that squares neither overflow nor vanish."""
-    x = np.frombuffer(b"".join(rows), np.float64).reshape(-1, dim)
+    """(vectors, squares of their norms) in double precision, of rows of ``dim`` numbers in the precision they came in. Each is scaled by a power of two, which is exact, so that squares neither overflow nor vanish."""
+    x = np.frombuffer(b"".join(rows), f"<f{len(rows[0]) // dim}").reshape(-1, dim).astype(np.float64)
     x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
     return x, (x * x).sum(axis=1)
 
 
-def _spread(width: float, tables: int):
+def _spread(width: float, tables: int, dtype: np.dtype):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for dim, part in pdf.groupby(pdf["vec"].map(len) // 8):
+            for dim, part in pdf.groupby(pdf["vec"].map(len) // dtype.itemsize):
                 for lo in range(0, len(part), 512):
                     p = part.iloc[lo : lo + 512]
                     x, square = _stored(list(p["vec"]), dim)
@@ -211,12 +211,12 @@ def _first_meeting(ha: np.ndarray, na: np.ndarray, hb: np.ndarray, nb: np.ndarra
     return meet.reshape(len(ha), -1).argmax(axis=1)
 
 
-def _links(width: float, tables: int):
+def _links(width: float, tables: int, dtype: np.dtype):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows (node, n, other): n more links of node; other: a link of the forest or null."""
         for pdf, block in _whole_blocks(batches):
             node, copies, cell, side = (pdf[c].to_numpy() for c in ("node", "copies", "cell", "side"))
-            dims = pdf["vec"].map(len).to_numpy() // 8
+            dims = pdf["vec"].map(len).to_numpy() // dtype.itemsize
             x, square = np.zeros((len(pdf), int(dims.max()))), np.zeros(len(pdf))
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
@@ -289,17 +289,19 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     valid = F.coalesce(finite & F.exists("embedding", lambda v: v != 0) & F.col("vec_id").isNotNull(), F.lit(False))
 
+    kind = np.dtype("<f4" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8")
+
     @F.pandas_udf("binary")
     def packed(e: pd.Series) -> pd.Series:
-        return e.map(lambda v: np.asarray(v, np.float64).tobytes())
+        return e.map(lambda v: np.asarray(v, kind).tobytes())
 
     classes = src.where(valid).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     folded = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "rep", "copies", "embedding", packed("embedding").alias("vec")), "vectors")
     width, tables = plan(folded.count())
-    spread = materialize(folded.select("node", "vec").mapInPandas(_spread(width, tables), "cell long, node long, home boolean, s0 long, s1 long"), "cells")
+    spread = materialize(folded.select("node", "vec").mapInPandas(_spread(width, tables, kind), "cell long, node long, home boolean, s0 long, s1 long"), "cells")
     some = _by_block(_blocks(spread)).mapInPandas(_candidates, "cell long, row int, col int, node long, side int, split boolean")
     some = materialize(some, "candidates").join(folded.select("node", "copies", "vec"), "node")
-    found = materialize(_by_block(some).mapInPandas(_links(width, tables), "node long, n long, other long"), "links")
+    found = materialize(_by_block(some).mapInPandas(_links(width, tables, kind), "node long, n long, other long"), "links")
     comp = connected_components(found.where("other IS NOT NULL"), "node", "other").withColumnRenamed("node", "member")
     linked = found.groupBy(F.col("node").alias("member")).agg(F.sum("n").alias("n"))
     named = folded.join(comp, F.col("node") == F.col("member"), "left").select("node", "rep", "copies", "embedding", F.coalesce("component", "node").alias("component"))
