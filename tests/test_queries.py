@@ -15,7 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables are absent")
 from weftline.plans.catalog import QUERIES  # noqa: E402
 
-from .plain import PLAIN  # noqa: E402
+from .plain import CHECKS, PLAIN  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +45,8 @@ def test_query(spark, con, name):
     run, sql = QUERIES[name]
     df = run(spark, SF)
     got = df.collect()
+    if name in CHECKS:
+        return CHECKS[name](got, con)
     if sql is None:
         pick, plain_rows = PLAIN[name]  # a query without SQL has a plain version
         assert sorted(map(repr, map(pick, got))) == sorted(map(repr, plain_rows(con)))
