@@ -97,6 +97,13 @@ def check_main_content(rows, con):
         assert found in every or (len(r["main_content"]) == C.CAPS["main_content"] and any(x.startswith(found) for x in every)), r["page_id"]
 
 
+def check_approximate(rows, con):
+    """Within five standard errors of the exact number."""
+    exact = dict(con.sql("SELECT l_returnflag, count(DISTINCT l_partkey) FROM lineitem GROUP BY 1").fetchall())
+    assert {r["l_returnflag"] for r in rows} == set(exact)
+    assert all(abs(r["parts"] - exact[r["l_returnflag"]]) <= 0.1 * exact[r["l_returnflag"]] for r in rows)
+
+
 def css_matches(con):
     out = []
     for i, u, p in _pages(con):
@@ -293,4 +300,4 @@ PLAIN = {
 }
 
 #: Queries whose rows are checked rather than rebuilt.
-CHECKS = {"main_content_dom": check_main_content}
+CHECKS = {"main_content_dom": check_main_content, "q_approx_distinct": check_approximate}
