@@ -136,14 +136,3 @@ def keyword_words(col: Column) -> Column:
     words = F.transform(words, lambda w: F.regexp_replace(w, r"""^[.,!?;:'"()\[\]]+|[.,!?;:'"()\[\]]+$""", ""))
     stop = F.array(*[F.lit(w) for w in C.KEYWORD_STOPWORDS])
     return F.filter(words, lambda w: (F.char_length(w) > 3) & F.rlike(w, F.lit(r"^\p{L}+$")) & ~F.array_contains(stop, w))
-
-
-def simhash_tokens(col: Column) -> Column:
-    words = F.split(F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), r"[^\p{L}\p{N}_\s]", ""), r"\s+")
-    stop = F.array(*[F.lit(w) for w in C.SIMHASH_STOPWORDS])
-    return F.filter(words, lambda w: (w != "") & ~F.array_contains(stop, w))
-
-
-def word_hash(word: Column) -> Column:
-    """Low 64 bits of the MD5 as a signed long."""
-    return F.conv(F.substring(F.md5(word), 17, 16), 16, -10).cast("long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -10,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions import text
+from .. import session
 from . import hamming
 
+_STOP = frozenset(C.SIMHASH_STOPWORDS)
 #: Words whose hashes are summed in one go.
 _WORDS = 1 << 18
 
@@ -39,20 +41,26 @@ def fingerprints(words: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _words(t: str | None) -> np.ndarray:
+    return np.array([w for w in re.sub(r"[^\w\s]", "", (t or "").lower()).split() if w not in _STOP], object)
+
+
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) of each row: the fingerprint of its words, from the row alone."""
 
     @F.pandas_udf("long")
-    def prints(words: pd.Series) -> pd.Series:
-        return pd.Series(fingerprints(list(words)), dtype="int64")
+    def prints(texts: pd.Series) -> pd.Series:
+        return pd.Series(fingerprints([_words(t) for t in texts]), dtype="int64")
 
-    return docs.select(F.col(id_col), prints(text.simhash_tokens(F.col(text_col))).alias("fp"))
+    return docs.select(F.col(id_col), prints(text_col).alias("fp"))
 
 
 def near_classes(fps: DataFrame, id_col: str = "doc_id", distance: int = C.SIMHASH_DISTANCE) -> DataFrame:
     """(id, rep, component) of every row of fps(id, fp): the smallest id with the same fingerprint, and the smallest that
     links of at most ``distance`` bits lead to."""
+    session.checkpoints(fps.sparkSession)
+    fps = fps.checkpoint()  # texts are read once
     classes = fps.groupBy("fp").agg(F.min(id_col).alias("rep")).checkpoint()
-    found = hamming.components(hamming.links(classes.select(F.lit("").alias("g"), F.col("rep").alias("node"), "fp"), distance))
-    named = classes.join(found, classes["rep"] == found["node"], "left").select("fp", "rep", F.coalesce("component", "rep").alias("component"))
+    found = hamming.connect(classes.select(F.lit("").alias("g"), F.col("rep").alias("node"), "fp"), distance)
+    named = classes.join(found, classes["rep"] == found["node"]).select("fp", "rep", "component")
     return fps.join(named, "fp").select(id_col, "rep", "component")

@@ -3,7 +3,8 @@
 Fingerprints within d bits agree on at least k of d + k bands of bits, whatever k is, so a join on every choice
 of k bands finds all of them. More fingerprints take a larger k, that is longer keys: a key's group then stays
 small. Groups that are large all the same are cut into a grid of cells. What leaves a batch of compared
-cells is a spanning forest of its links, never all pairs.
+cells is a spanning forest of its links, never all pairs. The choices of bands are worked off in two parts:
+fingerprints that the first part has connected need no link from the second.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 from .. import session
 
+#: Choices of bands in the first part.
+FIRST = 6
 #: Groups of more rows than this are cut into a grid of cells of about twice as many.
 CELL = 1024
 #: Fingerprints a key that are aimed at.
@@ -59,11 +62,11 @@ def _compare(distance: int):
         def links(pdf: pd.DataFrame) -> pd.DataFrame:
             key = pdf[["key", "i", "j"]].to_numpy()
             group = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(axis=1))])
-            fp, node = pdf["fp"].to_numpy().view(np.uint64), pdf["node"].to_numpy()
+            fp, label = pdf["fp"].to_numpy().view(np.uint64), pdf["label"].to_numpy()
             found, at, d = [], np.arange(len(pdf)), 1
             while len(at := at[at + d < len(pdf)]) and len(at := at[group[at + d] == group[at]]):
-                near = at[(np.bitwise_count(fp[at] ^ fp[at + d]) <= distance) & (node[at] != node[at + d])]
-                found.append((node[near], node[near + d]))
+                near = at[(np.bitwise_count(fp[at] ^ fp[at + d]) <= distance) & (label[at] != label[at + d])]
+                found.append((label[near], label[near + d]))
                 d += 1
             a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
             a, b = forest(a, b)
@@ -84,31 +87,60 @@ def _compare(distance: int):
     return run
 
 
-def links(prints: DataFrame, distance: int) -> DataFrame:
-    """(a, b): links between nodes of prints(g, node, fp) that connect all nodes of one g within ``distance`` bits. Written."""
-    session.checkpoints(prints.sparkSession)
-    prints = prints.select("g", "node", "fp").checkpoint()
-    every = F.array(*[F.lit(m).cast("long") for m in masks(distance, prints.count())])
+def links(prints: DataFrame, distance: int, chosen: list[int]) -> DataFrame:
+    """(a, b): links between labels of prints(g, label, fp) that connect all of one g within ``distance`` bits that agree on a mask."""
+    every = F.array(*[F.lit(m).cast("long") for m in chosen])
     keys = F.transform(every, lambda m: F.xxhash64("g", m, F.col("fp").bitwiseAND(m)))
-    rows = prints.select("node", "fp", F.explode(keys).alias("key"))
+    rows = prints.select("label", "fp", F.explode(keys).alias("key"))
     load = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / CELL).cast("int").alias("k"))
-    rows = rows.join(load, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("k")).cast("int"))
-    rows = rows.select("key", "node", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "fp")
+    rows = rows.join(load, "key").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k")).cast("int"))
+    rows = rows.select("key", "label", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "label", "fp")
     cells = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return cells.mapInPandas(_compare(distance), "a long, b long").distinct().checkpoint()
+    return cells.mapInPandas(_compare(distance), "a long, b long")
+
+
+def connect(prints: DataFrame, distance: int) -> DataFrame:
+    """(node, component) of prints(g, node, fp): the least node that links of at most ``distance`` bits within one g lead to."""
+    session.checkpoints(prints.sparkSession)
+    now = prints.select("g", "node", "fp", F.col("node").alias("label")).checkpoint()
+    every = masks(distance, now.count())
+    step = max(1, len(every) // FIRST)
+    first = every[::step]
+    for part in (first, [m for m in every if m not in first]):
+        if part:
+            found = components(links(now, distance, part)).withColumnRenamed("node", "label")
+            now = now.join(found, "label", "left").select("g", "node", "fp", F.coalesce("component", "label").alias("label")).checkpoint()
+    return now.select("node", F.col("label").alias("component"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of linked nodes: least labels spread over links and are followed to their own labels, until none changes."""
+    """(node, component) for every node of edges(a, b): its least connected node.
+
+    Each round hooks every node to its least neighbour if that is less, follows the hooks to their ends and
+    moves the edges there; edges inside a component vanish, so there are fewer every round.
+    """
     session.checkpoints(edges.sparkSession)
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")).checkpoint()
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        spread = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("was"), F.least("component", "near").alias("c"))
-        over = labels.select(F.col("node").alias("c"), F.col("component").alias("top"))
-        new = spread.join(over, "c").select("node", "was", F.least("c", "top").alias("component")).checkpoint()
-        labels = new.select("node", "component")
-        if not new.where("was <> component").limit(1).count():
-            return labels
+    ordered = lambda a, b: (F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
+    e = edges.where("a <> b").select(*ordered("a", "b")).distinct().checkpoint()
+    labels = None
+    while e.limit(1).count():
+        hooks = e.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("top")).checkpoint()
+        while True:
+            over = hooks.select(F.col("node").alias("top"), F.col("top").alias("over"))
+            moved = hooks.join(over, "top", "left").select("node", F.coalesce("over", "top").alias("top"), F.col("over").isNotNull().alias("moved")).checkpoint()
+            hooks = moved.select("node", "top")
+            if not moved.where("moved").limit(1).count():
+                break
+        if labels is None:
+            labels = hooks.select("node", F.col("top").alias("component"))
+        else:
+            top = hooks.select(F.col("node").alias("component"), "top")
+            new = hooks.join(labels.select("node"), "node", "left_anti").select("node", F.col("top").alias("component"))
+            labels = labels.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")).unionByName(new).checkpoint()
+        at = lambda side: hooks.select(F.col("node").alias(side), F.col("top").alias(f"{side}_top"))  # noqa: E731, B023
+        e = e.join(at("hi"), "hi", "left").join(at("lo"), "lo", "left").select(F.coalesce("hi_top", "hi").alias("x"), F.coalesce("lo_top", "lo").alias("y"))
+        e = e.where("x <> y").select(*ordered("x", "y")).distinct().checkpoint()
+    if labels is None:
+        return e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+    return labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())

@@ -47,7 +47,8 @@ def fold(lines: DataFrame) -> DataFrame:
     keyed = lines.select("source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("g"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("o"), "t")
     first = keyed.groupBy("g", "source", "t").agg(F.min("o").alias("o")).withColumn("fp", prints("t")).withColumn("node", F.xxhash64("g", "fp")).checkpoint()
     # hashes that clash only join components, and the fold of joined components is the same
-    found = hamming.components(hamming.links(first.select("g", "fp", "node").distinct(), C.SIMHASH_DISTANCE))
+    every = hamming.connect(first.select("g", "fp", "node").distinct(), C.SIMHASH_DISTANCE)
+    found = every.join(every.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"), "component").select("node", "component")
     alone = first.join(found, "node", "left_anti").groupBy("g", "source", "fp").agg(F.min(F.struct((-F.char_length(F.coalesce("t", F.lit("")))).alias("n"), "o", "t")).alias("x"))
 
     def run(rows):

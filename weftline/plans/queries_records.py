@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .. import schemas
 from ..functions import classify, text
 from ..operators import crawl, extract, history, merge, merge_fold, profile
+from . import pipeline
 from . import queries_pages as qp
 from .registry import any_of, clean, has, q, query, table
 
@@ -170,18 +172,32 @@ def audit_totals(spark, d):
     return a.groupBy("field").agg(F.count("*").alias("decisions"), F.count_if("conflict").alias("conflicts"))
 
 
-# the retry of a weak page scores a quarter more
-@query(f"WITH {_CONF} SELECT url, score, least(1.0, round(score * 1.25, 3)) AS retried, CASE WHEN score < 0.85 AND least(1.0, round(score * 1.25, 3)) > score THEN 'retry' ELSE 'first' END AS kept FROM conf")
+# first and second attempts: the score less 0.5 and the title's confidence less 0.5
+@query(
+    f"""WITH {_CONF}, t AS (SELECT url, round(score - 0.5, 3) AS a, round(title_confidence - 0.5, 3) AS b FROM conf)
+SELECT url, CASE WHEN a < {C.RESCRAPE_CONFIDENCE} AND b > a THEN b ELSE a END AS confidence_score, CASE WHEN a < {C.RESCRAPE_CONFIDENCE} AND b > a THEN 'retry' ELSE 'first' END AS kept FROM t"""
+)
 def confidence_gate(spark, d):
-    c = confidences(spark, d).select("url", "score", F.least(F.lit(1.0), F.round(F.col("score") * 1.25, 3)).alias("retried"))
-    return c.withColumn("kept", F.when((F.col("score") < 0.85) & (F.col("retried") > F.col("score")), "retry").otherwise("first"))
+    """Weak documents are replaced by their retry where that is strictly better."""
+    c = confidences(spark, d)
+    attempt = lambda score, name: c.select("url", F.round(F.col(score) - 0.5, 3).alias("confidence_score"), F.lit(name).alias("kept"))
+    return pipeline.confidence_gate(attempt("score", "first"), attempt("title_confidence", "retry"))
+
+
+_GARBLED = "(length(coalesce(body, '')) < 20 OR " + has("body", C.GARBAGE_RUN) + f" OR length(regexp_replace(coalesce(body, ''), '[^\\p{{L}}]', '', 'g'))::DOUBLE / greatest(length(coalesce(body, '')), 1) < {C.MIN_ALPHA_RATIO})"
 
 
-@query(f"WITH {_ER} SELECT url, engine_id, list_aggregate(list_filter([CASE WHEN page_id % 9 = 0 THEN 'missing required field: title' END, CASE WHEN elapsed > 1 THEN 'confidence_score out of range: ' || elapsed END], lambda x: x IS NOT NULL), 'string_agg', '; ') AS errors FROM er")
+@query(
+    f"""WITH {_ER}, q AS (SELECT url, engine_id, list_filter([CASE WHEN page_id % 9 = 0 THEN 'missing required field: title' END, CASE WHEN elapsed > 1 THEN 'confidence_score out of range: ' || elapsed END], lambda x: x IS NOT NULL) AS errors, {_GARBLED} AS garbage FROM er)
+SELECT url, engine_id, nullif(array_to_string(errors, '; '), '') AS errors, garbage, round(((len(errors) = 0)::INT + 1 + 0 + 1) / 4.0::DOUBLE, 3) AS quality_score FROM q"""
+)
 def schema_validation(spark, d):
-    title = F.when(F.col("page_id") % 9 != 0, F.col("title"))
-    e = F.array_compact(F.array(F.when(title.isNull(), "missing required field: title"), F.when(F.col("elapsed") > 1, F.concat(F.lit("confidence_score out of range: "), F.col("elapsed").cast("string")))))
-    return records(spark, d).select("url", "engine_id", F.nullif(F.array_join(e, "; "), F.lit("")).alias("errors"))
+    """Quality notes on strategy records; every ninth title is missing, some scores are out of range, descriptions are empty and thus garbage."""
+    r = records(spark, d).select(
+        "url", "engine_id", F.when(F.col("page_id") % 9 != 0, F.col("title")).alias("title"), F.lit("").alias("description"), F.col("body").alias("main_content"), F.col("elapsed").alias("confidence_score"), F.lit(None).cast(f"{schemas.ENTITIES}").alias("entities")
+    )
+    q = pipeline.annotate_quality(r)
+    return q.select("url", "engine_id", F.nullif(F.array_join("quality.schema_errors", "; "), F.lit("")).alias("errors"), F.col("quality.garbage_main_content").alias("garbage"), F.col("quality.quality_score").alias("quality_score"))
 
 
 @query(f"WITH {_ER} SELECT url, engine_id, length(body) >= {C.THIN_HYBRID} AS enough FROM er WHERE success AND body <> '' QUALIFY row_number() OVER (PARTITION BY url ORDER BY length(body) >= {C.THIN_HYBRID} DESC, CASE WHEN length(body) >= {C.THIN_HYBRID} THEN 0 ELSE -length(body) END, rank) = 1")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .. import session
 from ..functions import text
 from ..operators import dedup, findings, headings
 from .registry import has, q, query, table, words
@@ -165,7 +164,6 @@ SELECT f.doc_id, c.rep AS rep_id, min(r.root) AS component_id FROM f JOIN c USIN
 )
 def near_dup_classes(spark, d):
     """Each document's class of equal fingerprints and the component that links of eight bits or less make of the classes."""
-    session.checkpoints(spark)
     return dedup.near_classes(dedup.simhash(docs(spark, d))).select("doc_id", F.col("rep").alias("rep_id"), F.col("component").alias("component_id"))
 
 

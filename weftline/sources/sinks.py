@@ -120,3 +120,21 @@ def write_raw(records: DataFrame, path: str) -> None:
 
 def expired(reports: DataFrame, ts: str, now: Column, hours: int) -> DataFrame:
     return reports.where(F.col(ts) < now - F.make_dt_interval(hours=F.lit(hours)))
+
+
+SECRET_COLUMNS = ("severity", "pattern_name", "match_preview", "source_type", "source_url", "line_context")
+
+
+def write_secrets_csv(findings: DataFrame, path: str) -> None:
+    """Findings as quoted CSV with a header."""
+    findings.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in SECRET_COLUMNS]).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+
+
+def write_all(merged: DataFrame, path: str) -> dict[str, str]:
+    """Every report format below ``path``: kind -> where it is."""
+    places = {kind: f"{path}/{kind}" for kind in ("json", "csv", "sheets", "html")}
+    write_json(merged, places["json"])
+    write_csv(merged, places["csv"])
+    write_sheets(merged, places["sheets"])
+    html_reports(merged).write.mode("overwrite").parquet(places["html"])
+    return places
