@@ -6,12 +6,14 @@ Records meet again by one shuffle on the page's URL.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from .. import schemas
-from ..functions import classify, text
+from ..functions import classify, text, urls
 from ..operators import extract, merge_fold
 
 _NONE = {
@@ -35,6 +37,18 @@ _NONE = {
     "entities": schemas.ENTITIES,
 }
 STRATEGIES = ("static_requests", "structured_metadata", "search_index")
+#: Strategies added by register(): name -> function that gives their columns.
+_OWN: dict[str, Callable[[], dict[str, Column]]] = {}
+_RANKS: dict[str, int] = {}
+
+
+def register(name: str, record: Callable[[], dict[str, Column]], rank: int | None = None) -> None:
+    """A strategy of one's own. ``record`` gives columns over url, html and the parsed fields, named as in a document; ``rank`` settles ties."""
+    unknown = [k for k in record() if k not in _NONE]
+    if unknown:
+        raise ValueError(f"unknown fields: {unknown}")
+    _OWN[name] = record
+    _RANKS[name] = len(C.ENGINE_RANK) + len(_RANKS) if rank is None else rank
 
 
 def meta_map(meta: Column) -> Column:
@@ -52,7 +66,7 @@ def _record(engine: str, **values: Column) -> Column:
     missing = F.when(~F.contains(F.lower(F.coalesce("html", F.lit(""))), F.lit("</html>")), F.array(F.lit("document has no end tag"))).otherwise(F.array().cast("array<string>"))
     return F.struct(
         F.lit(engine).alias("engine_id"),
-        F.lit(C.ENGINE_RANK[engine]).alias("engine_rank"),
+        F.lit(C.ENGINE_RANK[engine] if engine in C.ENGINE_RANK else _RANKS[engine]).alias("engine_rank"),
         F.coalesce(F.col("html") != "", F.lit(False)).alias("success"),
         missing.alias("warnings"),
         F.substring("html", 1, C.CAPS["raw_html"]).alias("raw_html"),
@@ -60,6 +74,14 @@ def _record(engine: str, **values: Column) -> Column:
     )
 
 
+def _native_links(base: Column) -> Column:
+    """Anchors by pattern, resolved against ``base``, each target once, as links of a document."""
+    found = F.transform(extract.native_links(F.col("html")), lambda x: F.struct(x["text"].alias("text"), urls.resolve(base, x["href"]).alias("href")))
+    hrefs = F.transform(found, lambda x: x["href"])
+    first = F.filter(found, lambda x, i: (x["href"] != "") & (F.array_position(hrefs, x["href"]) == i + 1))
+    return F.transform(first, lambda x: F.struct(x["text"].alias("text"), x["href"].alias("href"), F.lit("").alias("rel"), F.lit("").alias("title")))
+
+
 def engine_results(pages: DataFrame, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
     """One record a page and strategy, already in the normalised form."""
     names = ["title", "meta", "headings", "paragraphs", "main_content", "links", "images", "tables", "lists", "forms", "json_ld", "opengraph", "zones", "entities", "segments"]
@@ -86,6 +108,24 @@ def engine_results(pages: DataFrame, strategies: tuple[str, ...] = STRATEGIES) -
             zones=F.col("zones"),
             entities=F.col("entities"),
         ),
+        # the same page by patterns instead of a tree, links against the address that the page calls its own
+        "static_httpx": lambda: _record(
+            "static_httpx",
+            title=classify.title(F.col("html")),
+            description=F.coalesce(text.nonempty(meta("description")), F.try_element_at(extract.native_paragraphs(F.col("html")), F.lit(1))),
+            main_content=F.substring(F.array_join(F.filter(extract.native_paragraphs(F.col("html")), lambda x: ~text.is_noise(x)), " "), 1, C.CAPS["main_content"]),
+            links=F.slice(_native_links(F.coalesce(text.nonempty(classify.canonical(F.col("url"), F.col("html"))), F.col("url"))), 1, C.CAPS["links"]),
+            language=classify.language(F.col("html")),
+            page_type=classify.page_type(F.col("url"), F.col("html")),
+        ),
+        "static_urllib": lambda: _record(
+            "static_urllib",
+            title=classify.title(F.col("html")),
+            main_content=F.substring(F.array_join("paragraphs", " "), 1, C.CAPS["main_content"]),
+            links=F.slice(_native_links(F.col("url")), 1, C.CAPS["links"]),
+            language=classify.language(F.col("html")),
+            meta_tags=F.col("meta_tags"),
+        ),
         "structured_metadata": lambda: _record(
             "structured_metadata",
             title=F.coalesce(F.element_at("opengraph", F.lit("og:title")), F.col("title")),
@@ -105,7 +145,8 @@ def engine_results(pages: DataFrame, strategies: tuple[str, ...] = STRATEGIES) -
             language=classify.language(F.col("html")),
         ),
     }
-    return p.select("url", F.explode(F.array(*[found[name]() for name in strategies])).alias("r")).select("url", "r.*")
+    own = {name: (lambda name=name: _record(name, **_OWN[name]())) for name in _OWN}
+    return p.select("url", F.explode(F.array(*[(found | own)[name]() for name in strategies])).alias("r")).select("url", "r.*")
 
 
 _MERGED = (
