@@ -28,9 +28,10 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, and ``row``.
 
     Of equal normalised texts the row with the largest doc_id is kept (null ids come last; of
-    repeated rows with that id exactly one). group_size counts rows. ``row`` is a struct of the
-    columns in ``carry`` (absent when None), so that clashing names do no harm. Null text counts as
-    empty. An empty table gives an empty table.
+    repeated rows with that id exactly one; ties go to any of them, for they are the same but for other
+    columns). group_size counts rows. ``row`` is a struct of the columns in ``carry`` (absent when None), so
+    that clashing names do no harm. Null and empty texts are one text. Very long texts are compared whole;
+    only their first PREFIX characters go into the splitters. An empty table gives an empty table.
     """
     n = partitions(docs.sparkSession)
     cols = [F.col(id_col).cast("long").alias("doc_id"), normalise(F.col(text_col)).alias("norm")]
@@ -94,7 +95,7 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The kept row of each group of equal texts; same columns as ``docs``."""
+    """The kept row of each group of equal texts; same columns as ``docs``. Cases are those of content_groups()."""
     kept = content_groups(docs, id_col, text_col, carry=docs.columns).where("kept")
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 

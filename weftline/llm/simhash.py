@@ -204,7 +204,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Documents link when their fingerprints differ in at most 2 bits; component_id is the smallest
     id reachable over links. Null, empty and wordless texts have fingerprint 0 and link with each
     other. Repeated rows stay rows and share a component. Rows with a null id link like any other;
-    component_id is null only where no row of the component has an id. An empty table gives an
+    component_id is null only where no row of the component has an id. Very long texts are read whole,
+    shingle block by shingle block. Ties don't arise: the smallest id counts. An empty table gives an
     empty table. Other columns of ``docs`` are not touched, whatever their names.
     """
     prints = materialize(fingerprints(docs, id_col, text_col), "prints")
@@ -217,7 +218,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row of each component of ``docs``, that with the smallest id; same columns.
 
     Null ids come last, so a component without any id keeps a row too. Of rows with one id that with
-    the smallest fingerprint stays, then that of the smallest text hash.
+    the smallest fingerprint stays, then that of the smallest text hash, then the first as read. Null, empty
+    and wordless texts are near each other; repeated rows are. An empty table gives an empty table.
     """
 
     @F.pandas_udf("long")
