@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+
+Every stage takes nulls in any column (a null text counts as empty, a null source as a source, a null id as
+no id), very long texts whole, repeated rows as rows, extra columns of whatever name as they are, and an empty
+table, which stays empty. What is kept among ties is said in each stage's operator.
 """
 
 from __future__ import annotations
