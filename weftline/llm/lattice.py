@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.hamming import forest
-from .common import materialize
+from .common import drop_scratch, materialize, scratch_tables
 from .components import connected_components
 
 COSINE = 0.9
@@ -298,10 +298,12 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     classes = src.where(valid).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     folded = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "rep", "copies", "embedding", packed("embedding").alias("vec")), "vectors")
     width, tables = plan(folded.count())
+    since = scratch_tables()
     spread = materialize(folded.select("node", "vec").mapInPandas(_spread(width, tables, kind), "cell long, node long, home boolean, s0 long, s1 long"), "cells")
     some = _by_block(_blocks(spread)).mapInPandas(_candidates, "cell long, row int, col int, node long, side int, split boolean")
     some = materialize(some, "candidates").join(folded.select("node", "copies", "vec"), "node")
     found = materialize(_by_block(some).mapInPandas(_links(width, tables, kind), "node long, n long, other long"), "links")
+    drop_scratch(since, found)
     comp = connected_components(found.where("other IS NOT NULL"), "node", "other").withColumnRenamed("node", "member")
     linked = found.groupBy(F.col("node").alias("member")).agg(F.sum("n").alias("n"))
     named = folded.join(comp, F.col("node") == F.col("member"), "left").select("node", "rep", "copies", "embedding", F.coalesce("component", "node").alias("component"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import drop_scratch, materialize, partitions, scratch_tables
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -91,6 +91,7 @@ def mix_plan(base: DataFrame) -> DataFrame:
 
     ``cut`` is the last (key, doc_id) of the fractional selection, null if it is empty.
     """
+    since = scratch_tables()
     plan = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = materialize(plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "targets")
@@ -105,7 +106,9 @@ def mix_plan(base: DataFrame) -> DataFrame:
     chosen = prefix.where(F.col("ahead") + F.col("inside") - F.col("size") / 2.0 <= F.col("rest"))
     cuts = chosen.groupBy("source").agg(F.max(F.struct("key", "doc_id")).alias("cut")).select(F.col("source").alias("s"), "cut")
     plan = plan.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "epochs", "cut")
-    return materialize(plan, "cuts")
+    plan = materialize(plan, "cuts")
+    drop_scratch(since, plan)
+    return plan
 
 
 def _copies() -> Column:

@@ -21,7 +21,7 @@ def _power(n: int) -> np.ndarray:
     """The first n powers of the hash's base, modulo 2^64."""
     global _powers
     if len(_powers) < n:
-        steps = np.full(max(n, 1 << 20), _BASE, np.uint64)
+        steps = np.full(max(n, 1 << 18), _BASE, np.uint64)
         steps[0] = 1
         _powers = np.multiply.accumulate(steps)
     return _powers[:n]

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_scratch, materialize, scratch_tables
 
 LABELLED_ROWS = 8000
 TAUGHT_ROWS = 1500
@@ -167,12 +167,11 @@ def _matrices(x: pd.Series, m: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return _matrix(x, TEXT_DIM), _matrix(m, PAGE_DIM)
 
 
-def view_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """Written table of every row: i (its id), x and m (its views), and with ``carry`` the row itself."""
+def view_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Written table of every row: i (its id), x and m (its views)."""
     views = F.pandas_udf(_packed, "struct<x:binary,m:binary>")
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
-    t = docs.select(*row, F.col(id_col).cast("long").alias("i"), views(*_inputs(docs, text_col)).alias("v"))
-    return materialize(t.select(*(["row"] if carry else []), "i", "v.x", "v.m"), "views")
+    t = docs.select(F.col(id_col).cast("long").alias("i"), views(*_inputs(docs, text_col)).alias("v"))
+    return materialize(t.select("i", "v.x", "v.m"), "views")
 
 
 def _scores(views: tuple[np.ndarray, np.ndarray]) -> Column:
@@ -235,7 +234,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     larger counts; of several rows of one labelled id, one takes part, chosen by its content. Returns None if
     the sample has less than ten rows or lacks a class.
     """
-    return fit_table(view_table(docs, id_col, text_col), labels, id_col, label_col, labelled_rows, taught_rows, rounds)
+    since = scratch_tables()
+    model = fit_table(view_table(docs, id_col, text_col), labels, id_col, label_col, labelled_rows, taught_rows, rounds)
+    drop_scratch(since)
+    return model
 
 
 def _probabilities(model: Model, x: pd.Series, m: pd.Series) -> pd.DataFrame:
@@ -282,7 +284,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that classify() keeps; same columns. Cases are those of classify()."""
-    table = view_table(docs, id_col, text_col, carry=True)
-    model = fit_table(table, labels, id_col)
-    kept = table if model is None else table.where(_scored(model)["score"] >= ACCEPT)
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    model = fit(docs, labels, id_col, text_col)
+    return docs if model is None else docs.where(probabilities(model, docs, text_col)["score"] >= ACCEPT)

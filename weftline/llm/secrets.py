@@ -17,7 +17,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize
+from .common import drop_scratch, let, materialize, scratch_tables
 
 _MAX_STRINGS = 64
 #: Rows of a bitmap; fixed by the built-in bitmap aggregates.
@@ -237,8 +237,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     if grams:
         rows = materialize(d, "texts")  # so that numbers are the same each time they are read
+        since = scratch_tables()
         index = materialize(postings(rows, grams), "postings")
         found = materialize(candidates(index, queries), "candidates")
+        drop_scratch(since, found)
         d = rows.withColumn("block", _block("at")).join(found.withColumnRenamed("rows", "held"), "block", "left")
     cols = [
         F.when(_bit(F.element_at("held", F.lit(k)), "at"), _spans(F.col("text"), r, k)).otherwise(empty) if k in queries else _spans(F.col("text"), r, k)

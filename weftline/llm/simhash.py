@@ -20,13 +20,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_scratch, materialize, scratch_tables
 from .components import connected_components
 
 SHINGLE_WORDS = 3
 THRESHOLD = 2
 SEED = 42
-#: Anchors with more homes than this are split into a grid of cells of about CELL by CELL.
+#: Anchors with more homes than this are split into a grid of cells, in each about CELL of their fingerprints.
 HOT_HOMES = 64
 CELL = 1024
 _CHUNK = 1 << 16
@@ -161,8 +161,9 @@ def fingerprint_links(groups: DataFrame) -> DataFrame:
     """
     spread = materialize(groups.mapInPandas(_replicate, "anchor long, fp long, rep long, is_home boolean"), "anchors")
     homes, probes = spread.where("is_home"), spread.where("NOT is_home")
-    load = materialize(homes.groupBy("anchor").agg(F.count("*").alias("n")), "loads")
-    hot = load.where(F.col("n") > HOT_HOMES).select("anchor", F.ceil(F.col("n") / CELL).cast("int").alias("k"))
+    load = spread.groupBy("anchor").agg(F.count_if("is_home").alias("n"), F.count("*").alias("all")).where("n > 0")
+    load = materialize(load, "loads")
+    hot = load.where(F.col("n") > HOT_HOMES).select("anchor", F.ceil(F.col("all") / CELL).cast("int").alias("k"))
     cold = load.where(F.col("n") <= HOT_HOMES).select("anchor")
     x = F.col("h.fp").bitwiseXOR(F.col("p.fp"))
     pairs = (
@@ -194,7 +195,9 @@ def fingerprint_links(groups: DataFrame) -> DataFrame:
 
 def _with_components(groups: DataFrame) -> DataFrame:
     """groups(fp, ...) with ``component``, the smallest fingerprint of its component: links go by fingerprints, which are never null."""
-    comp = connected_components(fingerprint_links(groups.select("fp", F.col("fp").alias("rep"))), "a", "b")
+    since = scratch_tables()
+    comp = materialize(connected_components(fingerprint_links(groups.select("fp", F.col("fp").alias("rep"))), "a", "b"), "components")
+    drop_scratch(since, comp)
     return groups.join(comp, groups["fp"] == comp["node"], "left").select(*groups.columns, F.coalesce("component", "fp").alias("component"))
 
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 from . import pool, wordbpe
 
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 
 # Kinds of bytes. Small letters of two bytes behind C3 count as letters byte by byte.
 _MARK, _LETTER, _DIGIT, _SPACE, _HARD = range(5)
