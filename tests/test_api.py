@@ -80,6 +80,7 @@ def test_findings(spark, tmp_path):
     got = {x["pattern_name"] + x["match_preview"]: x for x in found.collect()}
     assert set(got) == {"passwordhun…ret", "passworda…3", "cloud_access_keyAKIA…MNOP"}
     assert "hunter2secret" not in str(got) and got["passwordhun…ret"]["line_context"].startswith("password = ")
+    assert api.filter_findings(found, "critical").count() == 1 and api.filter_findings(found, page="u").count() == 3 and api.filter_findings(found, "low", "u").count() == 0
     sinks.write_secrets_csv(found, f"file://{tmp_path}/secrets")
     lines = [r for f in glob.glob(f"{tmp_path}/secrets/*.csv") for r in csv.reader(open(f))]
     assert lines[0] == list(sinks.SECRET_COLUMNS) and len([r for r in lines if r[0] != "severity"]) == 3

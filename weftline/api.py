@@ -69,6 +69,12 @@ def metrics(outcomes: DataFrame, seconds: str = "elapsed_s") -> DataFrame:
     return counts.unionByName(buckets)
 
 
+def filter_findings(findings: DataFrame, severity: str | None = None, page: str | None = None) -> DataFrame:
+    """Findings of one severity, of one page, or both."""
+    rows = findings if severity is None else findings.where(F.col("severity") == severity)
+    return rows if page is None else rows.where(F.col("source_url") == page)
+
+
 def export_html(merged: DataFrame) -> DataFrame:
     return sinks.html_reports(merged)
 

@@ -143,6 +143,14 @@ def probe_candidates(spark, d):
     return jobs.top_candidates(e.withColumn("score", urls.api_score(F.col("url")).cast("long")), "domain", "score", C.CORS_PROBES).select("domain", "url", "score", "rank")
 
 
+@query(f"{qp._RISKS}, u AS (SELECT DISTINCT url, risk FROM risks) SELECT url, risk, CASE risk WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 ELSE 3 END AS risk_rank, ({qp._DEPTH} + {qp._API_SQL})::BIGINT AS score FROM u ORDER BY risk_rank, score DESC, url")
+def endpoints_ranked(spark, d):
+    """Endpoints by risk, then by how much they look like an API."""
+    rank = F.when(F.col("risk") == "HIGH", 0).when(F.col("risk") == "MEDIUM", 1).when(F.col("risk") == "LOW", 2).otherwise(3)
+    e = qp.risk_rows(spark, d).select("url", "risk").distinct()
+    return e.select("url", "risk", rank.alias("risk_rank"), urls.api_score(F.col("url")).cast("long").alias("score")).orderBy("risk_rank", F.desc("score"), "url")
+
+
 @query(f"WITH f AS ({findings.oracle_sql('documents', 'doc_id', 'text')}) SELECT *, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 9 END AS severity_rank FROM f ORDER BY severity_rank, doc_id, pattern_name, match_preview")
 def secrets_by_severity(spark, d):
     rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in (("critical", 0), ("high", 1), ("medium", 2), ("low", 3)) for x in kv]), F.col("severity")), F.lit(9))

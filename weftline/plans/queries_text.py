@@ -105,6 +105,19 @@ def keyword_topk(spark, d):
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where("rank <= 30").select("lang", "word", "n", "rank")
 
 
+@query(
+    f"""WITH w AS (SELECT doc_id, unnest(list_transform(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: regexp_replace(x, {_KEY}, '', 'g'))) AS word, generate_subscripts(string_split_regex(lower(coalesce(text, '')), '\\s+'), 1) AS pos FROM documents),
+n AS (SELECT doc_id, word, count(*) AS n, min(pos) AS first FROM w WHERE length(word) > 3 AND regexp_matches(word, '^\\p{{L}}+$') AND NOT list_contains({words(C.KEYWORD_STOPWORDS)}, word) GROUP BY ALL)
+SELECT doc_id, word, n FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) <= 30"""
+)
+def document_keywords(spark, d):
+    """Thirty most frequent words of each document, ties in the order of their first appearance."""
+    w = docs(spark, d).select("doc_id", F.posexplode(text.keyword_words(F.col("text"))).alias("pos", "word"))
+    n = w.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")  # a document's distinct words
+    return n.withColumn("rank", F.row_number().over(order)).where("rank <= 30").select("doc_id", "word", "n")
+
+
 _TOKENS = f"list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z0-9'']+', 0), lambda x: lower(x)), lambda x: length(x) > 2 AND NOT list_contains({words(C.OVERLAP_STOPWORDS)}, x)))"
 
 
