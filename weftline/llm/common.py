@@ -13,6 +13,8 @@ from ..session import shared_dir
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
+#: Rows of whole texts in a batch.
+TEXT_ROWS = 1000
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -20,14 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet below the shared folder and read it back.
 
-    The written table outlives lost executors, unlike cached blocks or a local checkpoint.
+    The written table outlives lost executors, unlike cached blocks or a local checkpoint. ``batch_rows``: most
+    rows that Python workers get at a time in this write; for whole texts, of which the usual batch is large.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    usual = spark.conf.get(_BATCH)
+    try:
+        if batch_rows is not None:
+            spark.conf.set(_BATCH, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, usual)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._weft_path = path

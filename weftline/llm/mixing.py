@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize, partitions, scratch_tables
+from .common import TEXT_ROWS, drop_scratch, materialize, partitions, scratch_tables
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -77,7 +77,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality
     )
     q = quality_weight(F.col("n"), F.col("size")) if quality is None else F.greatest(F.coalesce(F.nanvl("q", F.lit(0.0)), F.lit(0.0)), F.lit(LEAST_QUALITY))
     key = (-F.log(uniform(F.col("doc_id"))) / q).alias("key")
-    return materialize(base.select(*(["row"] if carry else []), "doc_id", "source", "size", key), "sizes")
+    return materialize(base.select(*(["row"] if carry else []), "doc_id", "source", "size", key), "sizes", TEXT_ROWS)
 
 
 def ranges(rows: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize, scratch_tables
+from .common import TEXT_ROWS, drop_scratch, materialize, scratch_tables
 
 LABELLED_ROWS = 8000
 TAUGHT_ROWS = 1500
@@ -171,7 +171,7 @@ def view_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Written table of every row: i (its id), x and m (its views)."""
     views = F.pandas_udf(_packed, "struct<x:binary,m:binary>")
     t = docs.select(F.col(id_col).cast("long").alias("i"), views(*_inputs(docs, text_col)).alias("v"))
-    return materialize(t.select("i", "v.x", "v.m"), "views")
+    return materialize(t.select("i", "v.x", "v.m"), "views", TEXT_ROWS)
 
 
 def _scores(views: tuple[np.ndarray, np.ndarray]) -> Column:

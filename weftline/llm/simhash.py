@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize, scratch_tables
+from .common import TEXT_ROWS, drop_scratch, materialize, scratch_tables
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -238,6 +238,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
             F.struct(*[F.col(c) for c in docs.columns]).alias("row"),
         ),
         "rows",
+        TEXT_ROWS,
     )
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "h", "at")
     named = _with_components(materialize(rows.groupBy("fp").agg(F.min(best).alias("best")), "fps"))
