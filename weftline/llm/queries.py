@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, idcoder, lattice, licenses, mixing, quality, secrets, simhash, token_counts
+from . import bpe, exact_dedup, idcoder, lattice, lexical, licenses, mixing, quality, secrets, simhash, token_counts
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -56,6 +56,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_neardup": op8_simhash_neardup,
         "op9_secret_scan": op9_secret_scan,
         "op10_bpe": op10_bpe,
+        "op11_lexical_search": op11_lexical_search,
     }
 
 
@@ -173,4 +178,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_dedup": exact_dedup.ORACLE_SQL,
         "op5_embedding_neardup": _COSINE_SQL,
         "op9_secret_scan": _secrets_sql(),
+        "op11_lexical_search": lexical.ORACLE_SQL,
     }
