@@ -18,14 +18,14 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """(segment, rows): batches cut where their texts (no nulls) pass another SEGMENT_BYTES. A segment's number is the task's and a count, so a task that runs again gives the same."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = SEGMENT_BYTES) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(segment, rows): batches cut where their texts (no nulls) pass another ``most`` bytes. A segment's number is the task's and a count, so a task that runs again gives the same."""
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
         if not batch.num_rows:
             continue
         size = pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False).astype(np.int64)
-        part = (np.cumsum(size) - size) // SEGMENT_BYTES
+        part = (np.cumsum(size) - size) // most
         cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), batch.num_rows)
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             yield number, batch.slice(lo, hi - lo)
