@@ -50,7 +50,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _matrix(vecs, dim: int, dtype=np.float64) -> np.ndarray:
-    return np.frombuffer(b"".join(vecs), "<i4").reshape(-1, dim).astype(dtype)
+    return np.frombuffer(b"".join(vecs), "<i4").reshape(len(vecs), dim).astype(dtype)
 
 
 class Space:
@@ -185,8 +185,8 @@ def _scan(same: bool, keep: int):
                 rows, ids, labels, known = np.frombuffer(rows, "<i8"), np.frombuffer(ids, "<i8"), np.frombuffer(labels, "<i8"), np.frombuffer(known, bool)
                 exact = max(most, *(a["norm"] for a in asked)) <= 1 << 53  # no partial sum is beyond the product of the norms
                 kind = np.float64 if exact else np.int64
-                x = _matrix([vecs], int(dim), kind) if dim else np.zeros((len(rows), 0), kind)
-                q = _matrix([a["vec"] for a in asked], int(dim), kind) if dim else np.zeros((len(asked), 0), kind)
+                x = np.frombuffer(vecs, "<i4").reshape(len(rows), int(dim)).astype(kind)
+                q = _matrix([a["vec"] for a in asked], int(dim), kind)
                 for a, s in zip(asked, (q @ x.T).astype(np.int64)):
                     fit = (labels == a["label"]) == same
                     if same:
