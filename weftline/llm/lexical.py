@@ -123,7 +123,7 @@ def _bounds(pdf: pd.DataFrame) -> pd.DataFrame:
     docs = pdf[pdf["tid"] == _DOCS].iloc[0]
     ids, known = np.frombuffer(docs["docs"], "<i8"), np.frombuffer(docs["f"], np.uint8).astype(bool)
     block = int(docs["block"])
-    pending = pdf["pending"].iloc[0] if "pending" in pdf else None
+    pending = np.asarray(pdf["pending"].iloc[0]) if "pending" in pdf else None
     words = pdf[pdf["tid"] != _DOCS].sort_values(["tid", "tier"])
     tid = words["tid"].to_numpy()
     last = np.append(tid[1:] != tid[:-1], True)[: len(tid)]  # the lowest tier read of each term
@@ -145,7 +145,8 @@ def _bounds(pdf: pd.DataFrame) -> pd.DataFrame:
             residual[items] += w * r
     more += residual[:, None]
     out = []
-    for i in sorted(set(np.concatenate([np.asarray(x) for x in words["items"]]).tolist() if len(words) else []) & (set(range(BLOCK)) if pending is None else set(pending))):
+    here = np.unique(np.concatenate([np.zeros(0, np.int64), *words["items"]]).astype(np.int64))
+    for i in (here if pending is None else np.intersect1d(here, pending)).tolist():
         s, m = low[i], more[i]
         opened = m > 0
         bound = int((s + m)[opened].max()) if opened.any() else 0
