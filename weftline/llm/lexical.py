@@ -101,15 +101,16 @@ class TieredIndex:
 
     def __init__(self, docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
         """``terms``: one string column of distinct terms; postings of others are not kept, but count in documents' lengths."""
-        wanted = materialize(terms.toDF("term").select("term", F.monotonically_increasing_id().alias("tid")), "terms")
-        both = wanted.unionByName(docs.sparkSession.createDataFrame([("", _DOCS)], "term string, tid long"))
+        both = terms.toDF("term").unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term")))
+        # a table of its own, whose size Spark knows when it plans the join with the postings
+        both = materialize(both.select("term", F.when(F.col("term") == "", _DOCS).otherwise(F.monotonically_increasing_id()).alias("tid")), "terms")
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         raw = rows.mapInArrow(_invert, "segment long, term string, docs binary, tfs binary, ns binary, df long, total long")
         since = scratch_tables()
         raw = materialize(raw.join(both, "term").drop("term"), "postings", batch_rows=SEGMENT_ROWS)
         n = raw.where(F.col("tid") == _DOCS).agg(F.sum("df").alias("docs"), F.sum("total").alias("terms")).first()
         self.n_docs, self.n_terms = n["docs"] or 0, n["terms"] or 0
-        self.terms = materialize(wanted.join(raw.groupBy("tid").agg(F.sum("df").alias("df")), "tid"), "frequencies")
+        self.terms = materialize(both.join(raw.groupBy("tid").agg(F.sum("df").alias("df")), "tid"), "frequencies")
         index = raw.select("segment", "tid", "docs", "tfs", "ns").mapInArrow(_tiers(self.n_docs, max(1, self.n_terms)), "segment long, tid long, tier int, docs binary, f binary, residual long")
         self.index = materialize(index, "index")
         drop_scratch(since, self.terms, self.index)
