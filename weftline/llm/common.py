@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Within this block Python workers get at most ``rows`` rows at a time; None: as many as usual."""
+    usual = spark.conf.get(_BATCH)
+    try:
+        if rows is not None:
+            spark.conf.set(_BATCH, str(rows))
+        yield
+    finally:
+        spark.conf.set(_BATCH, usual)
+
+
 def materialize(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet below the shared folder and read it back.
 
@@ -33,13 +47,8 @@ def materialize(df: DataFrame, label: str, batch_rows: int | None = None) -> Dat
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft-{label}-{uuid.uuid4().hex}"
-    usual = spark.conf.get(_BATCH)
-    try:
-        if batch_rows is not None:
-            spark.conf.set(_BATCH, str(batch_rows))
+    with batches_of(spark, batch_rows):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, usual)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._weft_path = path

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import segments
-from .common import drop_scratch, materialize, scratch_tables
+from .common import batches_of, drop_scratch, materialize, scratch_tables
 
 HEAD, FORMS = 4096, 2048
 BITS = 3
@@ -43,25 +43,32 @@ LANES = 1024
 PRIOR, EXTRA = 50.0, 0.5
 UNIT = float(1 << 20)
 HELD_OUT = 2
-SEGMENT_ROWS, SEGMENT_BYTES = 5000, 1 << 24
+SEGMENT_ROWS = 2500
+#: Words of dictionaries that are packed together on their way to the segments.
+PACK = 1 << 19
 _INSIDE = np.ones(256, bool)
 _INSIDE[[32, *range(9, 14)]] = False
 
-_ENCODED = pa.schema([("segment", pa.int64()), ("word", pa.string()), ("idx", pa.int32()), ("n", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("held", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary())])
+_ENCODED = pa.schema([("segment", pa.int64()), ("word", pa.string()), ("idx", pa.int32()), ("n", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("held", pa.binary()), ("sizes", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
+_PACKED = pa.schema([("at", pa.int64()), ("idx", pa.binary()), ("c", pa.binary()), ("cls", pa.binary())])
 _DOCS = "ids binary, known binary, held binary, sizes binary"
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A segment's words, each with its occurrences in training documents, and one row of its texts as word numbers."""
-    for segment, rows in segments.pieces(batches, "text", SEGMENT_BYTES):
+    """A segment's words, each with its occurrences in training documents, and one row of its texts as word numbers, common words first, in two planes."""
+    for segment, rows in segments.pieces(batches, "text"):
         vocabulary, word, doc = segments.words(rows.column("text"), _INSIDE)
         held = rows.column("held").to_numpy(zero_copy_only=False).astype(bool)
         k, ids = len(vocabulary), rows.column("doc_id")
+        order = np.argsort(-np.bincount(word, minlength=k), kind="stable")
+        number = np.empty(k, np.int32)
+        number[order] = np.arange(k)
+        vocabulary, word = vocabulary.take(pa.array(order)), number[word]
         n = np.bincount(word[~held[doc]], minlength=k)
         none = pa.nulls(k, pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(segment, pa.int64()), k), vocabulary, pa.array(np.arange(k, dtype=np.int32)), pa.array(n.astype(np.int64)), none, none, none, none, none], schema=_ENCODED)
+        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(segment, pa.int64()), k), vocabulary, pa.array(np.arange(k, dtype=np.int32)), pa.array(n.astype(np.int64)), *[none] * 6], schema=_ENCODED)
         sizes = np.bincount(doc, minlength=len(ids)).astype("<i4")
-        own = [segment, None, None, None, ids.fill_null(0).to_numpy().astype("<i8").tobytes(), ids.is_valid().to_numpy(zero_copy_only=False).tobytes(), held.tobytes(), sizes.tobytes(), word.astype("<i4").tobytes()]
+        own = [segment, None, None, None, ids.fill_null(0).to_numpy().astype("<i8").tobytes(), ids.is_valid().to_numpy(zero_copy_only=False).tobytes(), held.tobytes(), sizes.tobytes(), word.astype("<u2").tobytes(), (word >> 16).astype(np.uint8).tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(own, _ENCODED)], schema=_ENCODED)
 
 
@@ -82,7 +89,7 @@ class Words:
         self.first = len(head) + 1  # class 0 is the end of a text
         self.classes = self.first + FORMS
         known = encoded.sparkSession.createDataFrame([(r["word"], k + 1) for k, r in enumerate(head)], "word string, own int")
-        classed = seen.join(known, "word", "left").withColumn("cls", F.coalesce("own", form(F.col("word"), self.first))).select("word", "c", "cls")
+        classed = seen.join(F.broadcast(known), "word", "left").withColumn("cls", F.coalesce("own", form(F.col("word"), self.first))).select("word", "c", "cls")
         self.counts = materialize(classed, "counts")
         self.n, self.v = np.zeros(self.classes, np.int64), np.zeros(self.classes, np.int64)
         self.n[0] = n_docs
@@ -90,16 +97,40 @@ class Words:
             self.n[r["cls"]], self.v[r["cls"]] = r["c"], r["v"]
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (at, idx, c, cls) as arrays by segment, so that they travel as few rows."""
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        at, idx, c, cls = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in _PACKED.names)
+        order = np.lexsort((idx, at))
+        at = at[order]
+        first = np.append(np.flatnonzero(np.append(True, at[1:] != at[:-1])), len(at))
+        cols = [segments.binaries(x[order].astype(kind), first) for x, kind in ((idx, "<i4"), (c, "<i8"), (cls, "<u2"))]
+        return pa.RecordBatch.from_arrays([pa.array(at[first[:-1]]), *cols], schema=_PACKED)
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.num_rows for x in held) >= PACK:
+            yield pack(held)
+            held = []
+    if held:
+        yield pack(held)
+
+
 def _classed(first: int, n: np.ndarray, v: np.ndarray, tokens: int, types: int, n_docs: int):
     """A segment's texts as runs of classes, each ended by class 0; a text's base score, known tokens and log10 of its words given their classes."""
     rest = np.log10((n + v + 1).astype(float))
 
     def run(key: tuple, texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         r = texts.iloc[0]
-        k = int(words["idx"].max()) + 1 if len(words) else 0
+        idx, n_, cls_ = (np.frombuffer(b"".join(words[k]), kind) for k, kind in (("idx", "<i4"), ("c", "<i8"), ("cls", "<u2")))
+        k = len(idx)
         c, cls = np.zeros(k, np.int64), np.zeros(k, np.int64)
-        c[words["idx"]], cls[words["idx"]] = words["c"], words["cls"]
-        word, sizes = np.frombuffer(r["tokens"], "<i4"), np.frombuffer(r["sizes"], "<i4").astype(np.int64)
+        c[idx], cls[idx] = n_, cls_
+        word = np.frombuffer(r["low"], "<u2").astype(np.int32) + (np.frombuffer(r["high"], np.uint8).astype(np.int32) << 16)
+        sizes = np.frombuffer(r["sizes"], "<i4").astype(np.int64)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         sums = lambda x: np.bincount(doc, weights=x[word], minlength=len(sizes))
         log = np.log10(c + 1.0)
@@ -220,7 +251,8 @@ def _train(classed: DataFrame, count, classes: int) -> Model:
     """One pass over all training texts and the model of its counts; what is collected is bounded by classes and states."""
     cols = [f"n{k}" for k in range(STATES)]
     rows = classed.select("held", "sizes", "run").mapInPandas(_counted(count, classes), "kind int, id long, " + ", ".join(f"{c} long" for c in cols))
-    got = rows.groupBy("kind", "id").agg(*[F.sum(c).alias(c) for c in cols]).collect()
+    with batches_of(classed.sparkSession, 1):  # a row is a segment
+        got = rows.groupBy("kind", "id").agg(*[F.sum(c).alias(c) for c in cols]).collect()
     parts = [np.zeros((1, STATES)), np.zeros((STATES, STATES)), np.zeros((classes, STATES))]
     for r in got:
         parts[r["kind"]][r["id"]] = [r[c] / UNIT for c in cols]
@@ -293,11 +325,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n_docs = rows.select("held").where("NOT held").count()
     since = scratch_tables()
-    encoded = materialize(rows.mapInArrow(_encode, "segment long, word string, idx int, n long, ids binary, known binary, held binary, sizes binary, tokens binary"), "encoded", batch_rows=SEGMENT_ROWS)
+    encoded = materialize(rows.mapInArrow(_encode, "segment long, word string, idx int, n long, ids binary, known binary, held binary, sizes binary, low binary, high binary"), "encoded", batch_rows=SEGMENT_ROWS)
     words = Words(encoded.where("word IS NOT NULL").select("word", "n"), n_docs)
     local = encoded.where("word IS NOT NULL").select("segment", "idx", "word")
     local = local.join(words.counts, "word", "left").select(F.col("segment").alias("at"), "idx", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("cls", form(F.col("word"), words.first)).alias("cls"))
-    texts = encoded.where("word IS NULL").select("segment", "ids", "known", "held", "sizes", "tokens")
+    local = local.mapInArrow(_packed, "at long, idx binary, c binary, cls binary")
+    texts = encoded.where("word IS NULL").select("segment", "ids", "known", "held", "sizes", "low", "high")
     merge = _classed(words.first, words.n, words.v, words.tokens, words.types, n_docs)
     classed = materialize(texts.groupBy("segment").cogroup(local.groupBy("at")).applyInPandas(merge, _CLASSED), "classed")
     drop_scratch(since, classed)
@@ -308,6 +341,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for _ in range(ROUNDS):
         model = _train(classed, lambda cls, sizes, m=model: expected(m, cls, sizes), words.classes)
     out = classed.mapInPandas(_scored(model, words.tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    out = materialize(out, "scores")
+    out = materialize(out, "scores", batch_rows=1)
     drop_scratch(since, out)
     return out
