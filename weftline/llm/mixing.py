@@ -20,6 +20,8 @@ from .common import TEXT_ROWS, drop_scratch, materialize, partitions, scratch_ta
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 LEAST_QUALITY = 1e-6
+#: A source's rows in the order in which they are taken.
+ORDER = ("key", "doc_id", "place")
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -27,9 +29,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
 
 
-def uniform(id_: Column) -> Column:
-    """A number in (0, 1) from 48 bits of the id's MD5; the same in every run."""
-    return (F.conv(F.substring(F.md5(F.coalesce(id_.cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+def uniform(id_: Column, text: Column | None = None) -> Column:
+    """A number in (0, 1) from 48 bits of the MD5 of the id, or where it is null of the text; the same in every run."""
+    return (F.conv(F.substring(F.md5(F.coalesce(id_.cast("string"), *([] if text is None else [text]), F.lit(""))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
 def quality_weight(n_chars: Column, words: Column) -> Column:
@@ -65,7 +67,10 @@ def source_targets(stats: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_e
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality: Column | None, carry: bool) -> DataFrame:
-    """Every row's source, doc_id, size and key, and with ``carry`` the row itself; written, so that a costly quality is computed once."""
+    """Every row's source, doc_id, size, key and place, and with ``carry`` the row itself; written, so that a costly quality is computed once.
+
+    ``place`` numbers the rows as they are read, so that rows of one key and id have an order.
+    """
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     base = docs.select(
         *row,
@@ -73,38 +78,40 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality
         F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"),
         F.coalesce(F.char_length(F.col(text_col)), F.lit(0)).alias("n"),
+        uniform(F.col(id_col), F.col(text_col)).alias("u"),
+        F.monotonically_increasing_id().alias("place"),
         *([] if quality is None else [quality.cast("double").alias("q")]),
     )
     q = quality_weight(F.col("n"), F.col("size")) if quality is None else F.greatest(F.coalesce(F.nanvl("q", F.lit(0.0)), F.lit(0.0)), F.lit(LEAST_QUALITY))
-    key = (-F.log(uniform(F.col("doc_id"))) / q).alias("key")
-    return materialize(base.select(*(["row"] if carry else []), "doc_id", "source", "size", key), "sizes", TEXT_ROWS)
+    key = (-F.log("u") / q).alias("key")
+    return materialize(base.select(*(["row"] if carry else []), "doc_id", "source", "size", key, "place"), "sizes", TEXT_ROWS)
 
 
 def ranges(rows: DataFrame) -> DataFrame:
-    """rows(source, key, doc_id, ...) with ``part``, the number of a row's range in the order of source, key and doc_id."""
-    ranged = rows.repartitionByRange(partitions(rows.sparkSession), "source", "key", "doc_id")
+    """rows(source, key, doc_id, place, ...) with ``part``, the number of a row's range in that order."""
+    ranged = rows.repartitionByRange(partitions(rows.sparkSession), "source", *[c for c in ORDER if c in rows.columns])
     return materialize(ranged.withColumn("part", F.spark_partition_id()), "ranges")
 
 
 def mix_plan(base: DataFrame) -> DataFrame:
-    """(source, source_size, target, epochs, cut) for base(doc_id, source, size, key).
+    """(source, source_size, target, epochs, cut) for base(doc_id, source, size, key, place).
 
-    ``cut`` is the last (key, doc_id) of the fractional selection, null if it is empty.
+    ``cut`` is the last (key, doc_id, place) of the fractional selection, null if it is empty.
     """
     since = scratch_tables()
     plan = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = materialize(plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "targets")
     part = plan.where("rest > 0").select(F.col("source").alias("s"), "rest")
-    rows = ranges(base.select("source", "key", "doc_id", "size").join(part, F.col("source").eqNullSafe(F.col("s"))).drop("s"))
+    rows = ranges(base.select("source", *ORDER, "size").join(part, F.col("source").eqNullSafe(F.col("s"))).drop("s"))
     sums = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("part_size").over(ahead), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("source", "part").orderBy("key", "doc_id")
+    inside = Window.partitionBy("source", "part").orderBy(*ORDER)
     prefix = rows.withColumn("inside", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     prefix = prefix.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
     chosen = prefix.where(F.col("ahead") + F.col("inside") - F.col("size") / 2.0 <= F.col("rest"))
-    cuts = chosen.groupBy("source").agg(F.max(F.struct("key", "doc_id")).alias("cut")).select(F.col("source").alias("s"), "cut")
+    cuts = chosen.groupBy("source").agg(F.max(F.struct(*ORDER)).alias("cut")).select(F.col("source").alias("s"), "cut")
     plan = plan.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "epochs", "cut")
     plan = materialize(plan, "cuts")
     drop_scratch(since, plan)
@@ -112,7 +119,7 @@ def mix_plan(base: DataFrame) -> DataFrame:
 
 
 def _copies() -> Column:
-    return F.col("epochs") + F.coalesce(F.struct("key", "doc_id") <= F.col("cut"), F.lit(False)).cast("long")
+    return F.col("epochs") + F.coalesce(F.struct(*ORDER) <= F.col("cut"), F.lit(False)).cast("long")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None) -> DataFrame:
@@ -121,10 +128,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``size`` counts words (null text: 0; very long texts are counted whole), ``copies`` is how often the mix
     takes the document whole and taken = copies * size. ``quality`` scales a document's chance (null, NaN and
     less count as LEAST_QUALITY). A source's taken words miss its target by at most half the size of its last
-    document taken (more only where the last id repeats in several rows, which are taken together). Null
-    sources are one source, the last in order. Documents without words take part with size 0. Null ids share
-    one key and go together. Ties of keys go by doc_id. Repeated rows are rows of their own with one key.
-    Other columns don't matter, whatever their names. Reruns agree. An empty table gives an empty table.
+    document taken. Null sources are one source, the last in order. Documents without words take part with size 0.
+    Null ids draw their key by the text. Ties of keys go by doc_id, null first, then by the rows' places in the
+    table as it is read; so repeated rows and ids have one key, but are taken row by row. Other columns don't matter, whatever their names. Reruns agree. An empty table gives an empty table.
     """
     base = _keyed(docs, id_col, text_col, source_col, quality, carry=False)
     p = mix_plan(base).withColumnRenamed("source", "s")

@@ -92,7 +92,7 @@ _MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          coalesce(length(text), 0) AS n,
-         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::UBIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 12))::UBIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
   FROM documents
 ),
 k AS (
