@@ -210,16 +210,15 @@ def history_append(spark, d):
 
 
 @query(
-    "WITH e AS (SELECT user_id AS job, event_id AS seq, event_type AS key, (value < 50)::INT AS priority FROM events), v AS (SELECT DISTINCT event_type AS key FROM events WHERE event_id < 3), f AS (SELECT job || '/' || key AS key, seq, priority FROM e WHERE key NOT IN (SELECT key FROM v)) SELECT key, priority, seq FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY priority, seq) = 1"
+    "WITH e AS (SELECT user_id || '/' || event_type AS key, event_id AS seq, (value < 50)::INT AS priority, value FROM events), v AS (SELECT DISTINCT key FROM e WHERE value > 150) SELECT key, priority, seq FROM e WHERE key NOT IN (SELECT key FROM v) QUALIFY row_number() OVER (PARTITION BY key ORDER BY priority, seq) = 1"
 )
 def frontier_order(spark, d):
     """The first candidate of each key that was not visited, best priority first."""
     from ..operators import crawl
 
     e = table(spark, d, "events")
-    visited = e.where("event_id < 3").select(F.col("event_type").alias("kind")).distinct()
-    c = e.join(visited, F.col("event_type") == F.col("kind"), "left_anti").select(F.concat_ws("/", "user_id", "event_type").alias("key"), (F.col("value") < 50).cast("int").alias("priority"), F.col("event_id").alias("seq"), F.lit("").alias("url"))
-    return crawl.frontier_order(c, c.select("key").where("false")).select("key", "priority", "seq")
+    c = e.select(F.concat_ws("/", "user_id", "event_type").alias("key"), (F.col("value") < 50).cast("int").alias("priority"), F.col("event_id").alias("seq"), F.lit("").alias("url"), "value")
+    return crawl.frontier_order(c.drop("value"), c.where("value > 150").select("key")).select("key", "priority", "seq")
 
 
 @query("SELECT quality, count(*) FILTER (trim(coalesce(text, '')) = '') AS empty, count(*) AS documents FROM documents JOIN labels USING (doc_id) GROUP BY quality")

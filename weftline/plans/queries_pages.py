@@ -422,14 +422,19 @@ r AS (SELECT min(x) AS node, 0 AS depth FROM b UNION SELECT e.dst, r.depth + 1 F
 SELECT node, min(depth) AS depth FROM r WHERE node IS NOT NULL GROUP BY node"""
 
 
+def bfs_input(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(seeds, edges): the first domain, and links of domains and sections both ways."""
+    b = site_edges(pages(spark, d)).select(F.concat(F.lit("domain "), "src").alias("x"), F.concat(F.lit("section "), "dst").alias("y"))
+    edges = b.select(F.col("x").alias("src"), F.col("y").alias("dst")).unionByName(b.select(F.col("y").alias("src"), F.col("x").alias("dst")))
+    return b.agg(F.min("x").alias("node")).where("node IS NOT NULL"), edges
+
+
 @query(_BFS)
 def bfs_reachability(spark, d):
     """Depth of every domain and section within ten links of the first domain, links taken both ways."""
     from ..operators import crawl
 
-    b = site_edges(pages(spark, d)).select(F.concat(F.lit("domain "), "src").alias("x"), F.concat(F.lit("section "), "dst").alias("y"))
-    edges = b.select(F.col("x").alias("src"), F.col("y").alias("dst")).unionByName(b.select(F.col("y").alias("src"), F.col("x").alias("dst")))
-    return crawl.bfs(b.agg(F.min("x").alias("node")).where("node IS NOT NULL"), edges, max_depth=10)
+    return crawl.bfs(*bfs_input(spark, d), max_depth=10)
 
 
 # ---------------------------------------------------------------- endpoints

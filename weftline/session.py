@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -41,3 +44,21 @@ def checkpoints(spark: SparkSession) -> None:
     """Let DataFrame.checkpoint() write below shared_dir()."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A folder of its own below shared_dir(), deleted when this process ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _scratch:
+        with contextlib.suppress(Exception):  # the session may already have ended
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

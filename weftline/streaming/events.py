@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -145,20 +145,31 @@ def profile_totals(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("domain", "engine_id").agg(F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("fail"))
 
 
-def _folder(spark: SparkSession, label: str) -> str:
-    return f"{session.shared_dir(spark)}/stream-{label}-{uuid.uuid4().hex}"
+@contextlib.contextmanager
+def _conf(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Settings of the session while a stream starts; a stream keeps those that it started with."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _run(stream: DataFrame, label: str, mode: str, write: str, folder: str | None = None) -> DataFrame:
+def _run(stream: DataFrame, label: str, mode: str, write: str, folder: str | None = None, conf: dict[str, str] | None = None) -> DataFrame:
     spark = stream.sparkSession
-    folder = folder or _folder(spark, label)
+    folder = folder or session.scratch(spark, f"stream-{label}")
     schema = stream.schema
 
     def sink(batch: DataFrame, epoch: int) -> None:
         # one folder a batch: a repeated epoch overwrites its own rows, so restarts neither lose nor double any
         batch.write.mode("overwrite").parquet(f"{folder}/out/{'all' if write == 'overwrite' else f'epoch={epoch}'}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
+    with _conf(spark, conf or {}):
+        run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(sink).trigger(availableNow=True).start()
+        run.awaitTermination()
     reader = spark.read.schema(schema)
     return reader.parquet(f"{folder}/out/all") if write == "overwrite" else reader.option("recursiveFileLookup", "true").parquet(f"{folder}/out")
 
@@ -168,6 +179,6 @@ def run_complete(stream: DataFrame, label: str) -> DataFrame:
     return _run(stream, label, "complete", "overwrite")
 
 
-def run_append(stream: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+def run_append(stream: DataFrame, label: str, folder: str | None = None, conf: dict[str, str] | None = None) -> DataFrame:
     """All rows that a stream put out. A ``folder`` given again resumes: only new input is read, and states go on."""
-    return _run(stream, label, "append", "append", folder)
+    return _run(stream, label, "append", "append", folder, conf)
