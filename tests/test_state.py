@@ -307,3 +307,47 @@ def test_payloads(spark):
 def test_scratch_folders_are_apart(spark):
     a, b = session.scratch(spark, "x"), session.scratch(spark, "x")
     assert a != b and a.startswith(session.shared_dir(spark))
+
+
+# ---------------------------------------------------------------- stored logs, metrics
+def test_point_reads_open_one_bucket(spark, folder):
+    t = tables.LogTable(spark, f"{folder}/t", "url", ["version"], 16)
+    urls = [f"https://e.example/{k}" for k in range(100)]
+    for part in range(3):
+        t.append_versions(spark.createDataFrame([(u, part * 10 + s, f"{part}{s}") for u in urls for s in range(2)], "url string, seq int, body string").repartition(3), "seq")
+    assert t.store.version() == 3 and t.read().count() == 600
+    one = t.of(urls[7])
+    assert sorted((r["version"], r["body"]) for r in one.collect()) == [(1, "00"), (2, "01"), (3, "10"), (4, "11"), (5, "20"), (6, "21")]
+    assert len(one.inputFiles()) == 3 < len(t.read().inputFiles()) / 8  # a file an append, of one bucket
+    assert [r["version"] for r in t.page(urls[7], 2, 1).collect()] == [5, 4]
+    assert t.compact(2) == 4 and len(t.of(urls[7]).inputFiles()) == 1
+    assert t.read().count() == 600 and t.compact(2) == 4
+    assert t.of("absent").collect() == []
+
+
+def test_metrics_of_one_pass_are_those_of_an_aggregate(spark, folder):
+    from weftline.operators import metrics
+
+    r = random.Random(9)
+    rows = [(r.random() < 0.8, r.random() * 40 if r.random() < 0.9 else None) for _ in range(500)]
+    df = spark.createDataFrame(rows, "ok boolean, elapsed_s double")
+    seen, o = metrics.observed(df)
+    assert seen.where("ok").count() == sum(ok for ok, _ in rows)
+    want = df.agg(*metrics.measures()).first().asDict()
+    assert o.get == want
+    text = metrics.exposition(o.get, {"jobs_active": 2})
+    assert f"engine_runs_total {len(rows)}\n" in text and "# TYPE jobs_active gauge\njobs_active 2\n" in text
+    df.repartition(3).write.parquet(f"{folder}/in")
+    live = metrics.LiveMetrics("m")
+    spark.streams.addListener(live)
+    try:
+        s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in").observe("m", *metrics.measures())
+        ev.run_append(s, "x", f"{folder}/run")
+        for _ in range(100):
+            if live.values().get("runs") == len(rows) and live.gauges().get("streams_active") == 0:
+                break
+            __import__("time").sleep(0.1)
+    finally:
+        spark.streams.removeListener(live)
+    got = live.values()
+    assert {k: round(v, 6) for k, v in got.items()} == {k: round(v, 6) for k, v in want.items()} and live.gauges()["streams_active"] == 0

@@ -12,7 +12,7 @@ import json
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -83,11 +83,12 @@ class Snapshots:
             m["schema"] = m["schema"] or rows._jdf.schema().toDDL()
         return self._swap(base, m, written, note, append)
 
-    def commit_split(self, rows: DataFrame, bucket: str, note: dict | None = None, append: bool = False, replaces: list[int] | None = None) -> int:
-        """As ``commit``, for rows that tell their bucket: one write for all. ``replaces``: buckets that become empty if no row is theirs."""
+    def commit_split(self, rows: DataFrame, bucket: str, note: dict | None = None, append: bool = False, replaces: list[int] | None = None, order: list[str] | None = None) -> int:
+        """As ``commit``, for rows that tell their bucket: one write for all. ``replaces``: buckets that become empty if no row is theirs; ``order``: of the rows in a file."""
         base, m = self.version(), self._manifest()
         folder = f"data/{uuid.uuid4().hex}"
-        rows.repartition(bucket).write.partitionBy(bucket).parquet(f"{self.path}/{folder}")
+        dealt = rows.repartition(bucket)
+        (dealt.sortWithinPartitions(bucket, *order) if order else dealt).write.partitionBy(bucket).parquet(f"{self.path}/{folder}")
         m["schema"] = m["schema"] or rows.drop(bucket)._jdf.schema().toDDL()
         names = [f.getPath().getName() for f in self._fs.listStatus(self._at(folder))]
         written = {int(n.split("=")[1]): [f"{folder}/{n}"] for n in names if n.startswith(f"{bucket}=")}
@@ -160,3 +161,51 @@ class KeyedTable:
         value = lambda c: F.expr(update[c]) if c in update else F.col(f"old.{c}")
         merged = both.select(*[F.when(F.col("new").isNull(), F.col(f"old.{c}")).when(F.col("old").isNull(), F.col(f"new.{c}")).otherwise(value(c)).cast(old.schema[c].dataType).alias(c) for c in columns])
         return self.store.commit_split(merged.withColumn("at_bucket", self._bucket()), "at_bucket")
+
+
+class LogTable:
+    """Rows appended under a key (versions of a URL, decisions of a job), in ``n`` buckets by the key's hash, sorted by key inside a file.
+
+    A key's rows lie in one bucket, so a read of one key opens that bucket's files alone, and their row groups'
+    least and greatest keys skip the rest. Appends add files; ``compact`` rewrites buckets of many files.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, order: list[str], n: int = 64):
+        self.store, self.key, self.order, self.n = Snapshots(spark, path), key, order, n
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.n)).cast("int")
+
+    def append(self, rows: DataFrame) -> int:
+        """One commit: all rows or, after a crash, none."""
+        return self.store.commit_split(rows.withColumn("at_bucket", self._bucket()), "at_bucket", append=True, order=[self.key, *self.order])
+
+    def append_versions(self, rows: DataFrame, seq: str, version: str = "version") -> int:
+        """``rows`` (key, ``seq``, ...) numbered on from each key's last version, without ``seq``; reads the versions of the buckets that they touch."""
+        new = rows.withColumn(version, F.row_number().over(Window.partitionBy(self.key).orderBy(seq)).cast("long"))
+        if self.store.version():
+            touched = [r["b"] for r in rows.select(self._bucket().alias("b")).distinct().collect()]  # as many as buckets at most
+            last = self.store.read(touched).groupBy(self.key).agg(F.max(version).alias("_last"))
+            new = new.join(last, self.key, "left").withColumn(version, F.col(version) + F.coalesce("_last", F.lit(0))).drop("_last")
+        return self.append(new.drop(seq))
+
+    def read(self) -> DataFrame:
+        return self.store.read()
+
+    def of(self, *values) -> DataFrame:
+        """The rows of some keys; only their buckets' files are read."""
+        kind = self.store.read([]).schema[self.key].dataType
+        wanted = self.store.spark.range(1).select(F.explode(F.array(*[F.lit(v).cast(kind) for v in values])).alias(self.key))
+        buckets = [r["b"] for r in wanted.select(self._bucket().alias("b")).distinct().collect()]
+        return self.store.read(buckets).where(F.col(self.key).isin(*values))
+
+    def page(self, value, limit: int = 20, offset: int = 0) -> DataFrame:
+        """A key's newest rows first."""
+        return self.of(value).orderBy(*[F.desc(c) for c in self.order]).offset(offset).limit(limit)
+
+    def compact(self, files: int = 8) -> int:
+        """Rewrite the buckets of more than ``files`` folders as one sorted folder each."""
+        many = [b for b, f in self.store.files().items() if len(f) > files]
+        if not many:
+            return self.store.version()
+        return self.store.commit_split(self.store.read(many).withColumn("at_bucket", self._bucket()), "at_bucket", replaces=many, order=[self.key, *self.order])

@@ -11,6 +11,7 @@ from ..operators import crawl, payloads, tables
 from ..streaming import events as ev
 from ..streaming import keyed
 from . import queries_pages as qp
+from . import queries_records as qr
 from .registry import query, table
 
 _DELAY_S = 7200
@@ -94,6 +95,36 @@ def profile_upsert(spark, d):
     return profiles.read()
 
 
+@query("WITH h AS (SELECT o_custkey AS key, o_orderkey AS id, o_totalprice AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version FROM orders) SELECT * FROM h")
+def history_stored(spark, d):
+    """The history as appended to a stored table year by year, versions numbered on."""
+    return stored_history(spark, d).read()
+
+
+def stored_history(spark, d) -> tables.LogTable:
+    t = tables.LogTable(spark, session.scratch(spark, "history"), "key", ["version"], 16)
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.struct("o_orderdate", "o_orderkey").alias("seq"))
+    for years in ((0, 1994), (1995, 1996), (1997, 9999)):
+        t.append_versions(o.where(F.year("seq.o_orderdate").between(*years)), "seq")
+    return t
+
+
+@query("WITH h AS (SELECT o_custkey AS key, o_orderkey AS id, o_totalprice AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version FROM orders), k AS (SELECT min(o_custkey) AS key FROM orders) SELECT h.* FROM h JOIN k USING (key) ORDER BY version DESC LIMIT 5 OFFSET 1")
+def history_of_key(spark, d):
+    """A page of one key's versions, read from its own bucket."""
+    t = stored_history(spark, d)
+    return t.page(table(spark, d, "orders").agg(F.min("o_custkey").alias("k")).first()["k"], 5, 1).select("key", "id", "price", "version")
+
+
+@query(f"WITH {qr._VOTE}, c AS (SELECT url, field, winner, agreement, agreement < 1 AS conflict FROM vote), k AS (SELECT min(url) AS a, max(url) AS b FROM pages) SELECT c.* FROM c, k WHERE c.conflict AND (url = a OR url = b)")
+def audit_conflicts(spark, d):
+    """The conflicts among the stored decisions of two pages."""
+    t = tables.LogTable(spark, session.scratch(spark, "audit"), "url", ["field"], 16)
+    t.append(qr.vote_exact(spark, d).withColumn("conflict", F.col("agreement") < 1))
+    k = table(spark, d, "pages").agg(F.min("url").alias("a"), F.max("url").alias("b")).first()
+    return t.of(k["a"], k["b"]).where("conflict").select("url", "field", "winner", "agreement", "conflict")
+
+
 @query(qp._BFS)
 def bfs_resumed(spark, d):
     """As ``bfs_reachability``, by a crawl that pauses after two levels and is resumed from its stored levels."""
@@ -143,3 +174,18 @@ SELECT event_id, malformed, (b->>'$.user.id')::BIGINT AS user_id, b->>'$.user.ki
 def payload_columns(spark, d):
     """Paths of the payloads as columns; malformed payloads are told apart."""
     return payloads.shred(observed(spark, d), _COLUMNS).select("event_id", "malformed", *_COLUMNS)
+
+
+# ---------------------------------------------------------------- metrics
+_LE = ", ".join(f"count(*) FILTER (value <= {b}) AS le_{k}" for k, b in enumerate(C.LATENCY_BUCKETS))
+
+
+@query(f"SELECT count(*) AS runs, count(*) FILTER (event_type = 'error') AS failures, round(sum(value), 4) AS seconds_sum, count(value) AS seconds_count, max(value) AS seconds_max, {_LE} FROM events")
+def observed_metrics(spark, d):
+    """Measures taken by an observation while a profile is computed: one pass over the rows."""
+    from ..operators import metrics
+
+    e = table(spark, d, "events").select("user_id", (F.col("event_type") != "error").alias("ok"), F.col("value").alias("elapsed_s"))
+    rows, o = metrics.observed(e)
+    rows.groupBy("user_id").agg(F.count("*").alias("n")).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([o.get]).withColumn("seconds_sum", F.round("seconds_sum", 4))
