@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import files, sinks
+from .. import session
+from ..sources import delimited, documents, files, sinks, xml_docs
 from . import pipeline
 from . import queries_pages as qp
 from .registry import q, query, table
@@ -26,6 +27,95 @@ def feed_items(spark, d):
     return qp.pages(spark, d).select("page_id", F.inline(files.feed_items(F.expr(_FEED))))
 
 
+# a feed a page: RSS with CDATA and entities, Atom with a namespace; every ninth is cut off
+_MIXED = """CASE page_id % 3 WHEN 0 THEN '<feed xmlns="http://www.w3.org/2005/Atom"><title>F</title><entry><title type="html">T' || page_id || '</title><link rel="self" href="http://s"/><link href="' || replace(url, '&', '&amp;') || '"/><id>i</id></entry></feed>' ELSE '<?xml version="1.0"?><rss><channel><title>C</title><item><title>A &amp;amp; ' || page_id || '</title><link>' || replace(url, '&', '&amp;') || '</link></item><item><title><![CDATA[ B <i>c</i> ]]></title><guid isPermaLink="false">g' || page_id || '</guid></item></channel></rss>' END"""
+_FEEDS = f"CASE WHEN page_id % 9 = 4 THEN left({_MIXED}, 60) ELSE {_MIXED} END"
+
+
+@query(
+    "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'atom' ELSE 'rss' END AS kind, 0 AS pos, CASE page_id % 3 WHEN 0 THEN 'T' || page_id ELSE 'A &amp; ' || page_id END AS title, url AS link FROM pages WHERE page_id % 9 <> 4 UNION ALL SELECT page_id, 'rss', 1, 'B <i>c</i>', 'g' || page_id FROM pages WHERE page_id % 9 <> 4 AND page_id % 3 <> 0"
+)
+def feed_entries(spark, d):
+    """Items of feeds by the XML parser, entities decoded."""
+    p = xml_docs.parse(qp.pages(spark, d).select("page_id", F.expr(_FEEDS).alias("xml")), "xml")
+    return xml_docs.items(p).select("page_id", "kind", "pos", "title", "link")
+
+
+@query("SELECT page_id, 60::BIGINT AS n FROM pages WHERE page_id % 9 = 4")
+def feed_malformed(spark, d):
+    """Feeds that can't be parsed, apart from the others."""
+    p = xml_docs.parse(qp.pages(spark, d).select("page_id", F.expr(_FEEDS).alias("xml")), "xml")
+    return p.where("malformed IS NOT NULL").select("page_id", F.char_length("malformed").cast("long").alias("n"))
+
+
+@query("SELECT page_id, url AS loc, false AS nested FROM pages UNION ALL SELECT DISTINCT -1 - page_id // 50, 'http://s.example.com/' || (page_id // 50) || '.xml', true FROM pages")
+def sitemap_files(spark, d):
+    """Sitemaps and their indexes, read as files: fifty pages a file."""
+    place = F.concat(F.lit("<url><loc> "), sinks.xml_escape(F.col("url")), F.lit(" </loc><lastmod>"), "page_id", F.lit("</lastmod></url>"))
+    part = F.floor(F.col("page_id") / 50).alias("part")
+    maps = qp.pages(spark, d).groupBy(part).agg(F.collect_list(place).alias("p"))  # fifty at most
+    maps = maps.select("part", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join("p", "\n"), F.lit("</urlset>")).alias("xml"))
+    index = maps.select((-1 - F.col("part")).alias("part"), F.concat(F.lit("<sitemapindex><sitemap><loc>http://s.example.com/"), "part", F.lit(".xml</loc><lastmod>"), -1 - F.col("part"), F.lit("</lastmod></sitemap></sitemapindex>")).alias("xml"))
+    path = session.scratch(spark, "sitemaps")
+    maps.unionByName(index).repartition("part").write.partitionBy("part").text(path)
+    found = xml_docs.places(xml_docs.parse(xml_docs.read_documents(spark, path).select("xml"), "xml"))
+    return found.select(F.col("lastmod").cast("long").alias("page_id"), "loc", "nested")
+
+
+# events as dirty files: two layouts, some lines short, some with a bad number
+_DIRTY = "CASE WHEN event_id % 13 = 4 THEN 'short' WHEN event_id % 17 = 3 THEN 'number' ELSE 'good' END"
+
+
+@query(f"SELECT event_id % 2 AS layout, count(*) AS rows, count(*) FILTER ({_DIRTY} = 'good') AS good, count(*) FILTER ({_DIRTY} <> 'good') AS malformed, round(sum(CASE WHEN {_DIRTY} = 'good' THEN value ELSE 0 END), 4) AS total FROM events GROUP BY ALL")
+def dirty_csv(spark, d):
+    """CSV files of two layouts and encodings, written from the events with bad lines among them: every line is accounted for."""
+    e = table(spark, d, "events").withColumn("dirt", F.expr(_DIRTY))
+    value = F.when(F.col("dirt") == "number", "n/a").otherwise(F.col("value").cast("string"))
+    path = session.scratch(spark, "csv")
+    layouts = (
+        (0, ",", ("event_id", "kind", "value"), lambda r: F.when(F.col("dirt") == "short", F.concat_ws(",", "event_id", "event_type")).otherwise(F.concat_ws(",", "event_id", "event_type", value)), "UTF-8"),
+        (1, ";", ("value", "extra", "event_id", "kind"), lambda r: F.when(F.col("dirt") == "short", value).otherwise(F.concat_ws(";", value, F.lit("\u00e9t\u00e9"), "event_id", "event_type")), "ISO-8859-1"),
+    )
+    for layout, sep, names, line, encoding in layouts:
+        rows = e.where(F.col("event_id") % 2 == layout).select(line(None).alias(sep.join(names)))
+        rows.write.option("header", True).option("quote", "").option("sep", "\u0001").option("encoding", encoding).csv(f"{path}/{layout}")
+    got = delimited.read_csv(spark, path, "event_id long, kind string, value double")
+    got = got.withColumn("layout", F.coalesce(F.col("event_id") % 2, F.lit(1)).cast("long"))  # short lines of the second layout hold the value alone
+    s = delimited.account(got, "layout").join(got.where("malformed IS NULL").groupBy("layout").agg(F.round(F.sum("value"), 4).alias("total")), "layout")
+    return s.select("layout", "rows", "good", "malformed", "total")
+
+
+@query("SELECT event_id % 3 AS part, count(*) AS rows, count(*) FILTER (event_id % 19 <> 7) AS good, count(*) FILTER (event_id % 19 = 7) AS malformed FROM events GROUP BY ALL")
+def dirty_json(spark, d):
+    """JSON lines of differing fields, some cut off; the schema is that of all files together."""
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") % 3).alias("part"), F.to_json(F.struct("event_id", F.when(F.col("event_id") % 3 == 1, F.col("value")).alias("value"), F.when(F.col("event_id") % 3 == 2, F.col("event_type")).alias("kind"))).alias("line"))
+    path = session.scratch(spark, "json")
+    e.select("part", F.when(F.col("event_id") % 19 == 7, F.left("line", F.lit(9))).otherwise(F.col("line")).alias("line")).repartition("part").write.partitionBy("part").text(path)
+    got = delimited.read_json(spark, path, glob="*.txt")
+    part = F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part")
+    return delimited.account(got.select("*", part), "part")
+
+
+@query(f"WITH {qp._EDGES} SELECT src, dst FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL")
+def graph_documents(spark, d):
+    """The link graph written as GraphML documents and read back by row tag."""
+    path = session.scratch(spark, "graphml")
+    documents.write(qp.site_edges(qp.pages(spark, d)).where("src IS NOT NULL AND dst IS NOT NULL").repartition(4), path, "graphml")
+    edges = xml_docs.read_rows(spark, path, "edge", "_source string, _target string")
+    return edges.select(F.coalesce("_source", F.lit("")).alias("src"), F.coalesce("_target", F.lit("")).alias("dst"))
+
+
+@query("SELECT event_id, 'http://h.example.com/' || event_type AS url, length(props) AS size FROM events")
+def har_documents(spark, d):
+    """Exchanges written as HAR documents and read back as JSON."""
+    path = session.scratch(spark, "har")
+    e = table(spark, d, "events")
+    entry = sinks.har_entry(F.concat(F.lit("http://h.example.com/"), F.col("event_type")), F.lit(200), F.lit("application/json"), F.col("ts").cast("timestamp"), F.col("event_id"), F.col("props"))
+    documents.write(e.select(entry.alias("entry")).repartition(4), path, "har")
+    log = spark.read.schema("log struct<entries: array<struct<time: long, request: struct<url: string>, response: struct<content: struct<size: long>>>>>").option("multiLine", True).json(path)
+    return log.select(F.explode("log.entries").alias("e")).select(F.col("e.time").alias("event_id"), F.col("e.request.url").alias("url"), F.col("e.response.content.size").alias("size"))
+
+
 _PATHS = ", ".join(f"'{p}'" for p in files.FEED_PATHS)
 
 

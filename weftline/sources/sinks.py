@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import html as _html
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import documents
+
 LINK_KINDS = ("link", "image", "heading")
 
 
@@ -51,6 +54,21 @@ def write_sheets(merged: DataFrame, path: str, fmt: str = "parquet") -> None:
         df.write.mode("overwrite").format(fmt).save(f"{path}/{name}")
 
 
+def workbook_rows(merged: DataFrame) -> DataFrame:
+    """(sheet, ord, cells) of the four sheets, each with its header."""
+    parts = []
+    for name, df in sheets(merged).items():
+        head = df.sparkSession.range(1).select(F.lit(name).alias("sheet"), F.lit(0).alias("ord"), F.array(*[F.lit(c) for c in df.columns]).alias("cells"))
+        body = df.select(F.lit(name).alias("sheet"), F.lit(1).alias("ord"), F.array(*[F.col(c).cast("string") for c in df.columns]).alias("cells"))
+        parts += [head, body]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def write_workbook(merged: DataFrame, path: str) -> None:
+    """One workbook of all documents. It is one file, so one task writes it; larger results go to write_sheets()."""
+    documents.write(workbook_rows(merged).coalesce(1).sortWithinPartitions("sheet", "ord").select("sheet", "cells"), path, "xlsx")
+
+
 def xml_escape(col: Column) -> Column:
     out = col
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -132,9 +150,10 @@ def write_secrets_csv(findings: DataFrame, path: str) -> None:
 
 def write_all(merged: DataFrame, path: str) -> dict[str, str]:
     """Every report format below ``path``: kind -> where it is."""
-    places = {kind: f"{path}/{kind}" for kind in ("json", "csv", "sheets", "html")}
+    places = {kind: f"{path}/{kind}" for kind in ("json", "csv", "sheets", "xlsx", "html")}
     write_json(merged, places["json"])
     write_csv(merged, places["csv"])
     write_sheets(merged, places["sheets"])
+    write_workbook(merged, places["xlsx"])
     html_reports(merged).write.mode("overwrite").parquet(places["html"])
     return places
