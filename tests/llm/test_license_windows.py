@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import textwrap
 
 from weftline.llm import licenses
@@ -54,3 +55,50 @@ def test_telling_words():
     for _, _, b in temps:
         free = [x for x in b if not words & set(x.split(" "))]
         assert 2 * len(free) / (len(free) + len(b)) < licenses.THRESHOLD
+
+
+def dice(words, template):
+    g = {f"{a} {b}" for a, b in zip(words, words[1:])}
+    b = set(licenses._bigrams(template))
+    return 2 * len(g & b) / (len(g) + len(b))
+
+
+def test_every_template_is_found_inside_other_text(spark):
+    """Each template in a header of comments above varied code, within a line of prose, and with every twelfth word replaced."""
+    r = random.Random(17)
+    names = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(900)]
+    code = lambda n: "\n".join(f"    {r.choice(names)} = {r.choice(names)}({r.choice(names)}, {r.randrange(99)})  # of the {r.choice(names)}" for _ in range(n))
+    prose = lambda n: " ".join(r.choice(["the", "of", "and", "in", "to", *r.sample(names, 9)]) for _ in range(n))
+    texts, want = [], []
+    for k, (name, text) in enumerate(licenses.TEMPLATES):
+        header = "\n".join(f"# {x}" for x in textwrap.wrap(f"{prose(12)} {text} {prose(9)}", 66))
+        texts.append(f"{header}\n{code(400)}")
+        texts.append(f"{prose(300)} {' '.join(text.split())} {prose(300)}")
+        want += [name, name]
+        words = licenses._words_of(text)
+        if len(words) > 60:
+            changed = [r.choice(names) if i % 12 == 7 else w for i, w in enumerate(words)]
+            assert dice(changed, text) >= 0.8
+            texts.append(f"{code(60)}\n{' '.join(changed)} {prose(200)}")
+            want.append(name)
+    got = {x["doc_id"]: x["licenses"].split(",") for x in licenses.digest(licenses.scan(docs_of(spark, texts))).collect()}
+    assert [(k, w) for k, w in enumerate(want) if w not in got[k + 1]] == []
+
+
+def test_several_windows_of_one_text(spark):
+    """Copies of licences one behind the other, near and far, are windows of their own or one window that still reaches the threshold."""
+    junk = lambda n: " ".join(f"x{i}" for i in range(n))
+    texts = [f"{licenses._MIT} {junk(n)} {licenses._MIT} {junk(n)} {licenses._ISC} {junk(n)} {licenses._ZLIB}" for n in (0, 20, 60, 90, 400)]
+    got = {x["doc_id"]: set(x["licenses"].split(",")) for x in licenses.digest(licenses.scan(docs_of(spark, texts))).collect()}
+    assert all({"MIT", "ISC", "Zlib"} <= got[k + 1] for k in range(len(texts))), got
+
+
+def test_repeated_rows_null_ids_and_ties(spark):
+    line = "Released under the MIT License."
+    docs = docs_of(spark, [line, line, line, None, ""], ids=[7, 7, None, None, 8])
+    rows = sorted(map(tuple, licenses.digest(licenses.scan(docs)).collect()), key=repr)
+    assert rows == sorted([(7, 1, "MIT", "MIT", 1.0)] * 2 + [(None, 1, "MIT", "MIT", 1.0), (None, 0, "", None, None), (8, 0, "", None, None)], key=repr)
+    tied = (("A", "one two three four"), ("B", "four three one two"), ("C", "one two three four"))
+    (x,) = licenses.scan(docs_of(spark, ["one two three four"]), templates=tied).collect()
+    assert [(h["license"], h["dice"]) for h in x["hits"]] == [("A", 1.0), ("C", 1.0)]
+    assert licenses.digest(licenses.scan(docs_of(spark, ["one two three four"]), templates=tied)).first()["best_license"] == "A"

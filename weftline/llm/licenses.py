@@ -1,28 +1,36 @@
 """License scan: text segments compared with licence templates by Dice coefficient, in DataFrame operations only.
 
 A segment is a line, a paragraph (between blank lines), the whole text, or a window of the text's words
-that holds a notice which is none of these by itself: wrapped in a comment, within a line, or joined to
-other text. Segments and templates are normalised to lower-case words and compared as sets of word bigrams. A template can only reach the
-threshold t on a segment whose number of bigrams lies between t/(2-t) and (2-t)/t times its own, so
-size bounds prune candidates first. A window is best if it begins and ends with a bigram of its
-template, so only such windows are scored, and only in texts that hold enough of a template's bigrams.
+that holds a licence which is none of these by itself: wrapped in a comment, within a line, or joined to
+other text. Segments and templates are normalised to lower-case words and compared as sets of word bigrams.
+
+* Texts without any of a few telling words can have no hit and go no further.
+* A template can only reach the threshold t on a segment whose number of bigrams lies between t/(2-t) and
+  (2-t)/t times its own. Segments' bigrams meet the templates' in a join with that bound; counts give the coefficients.
+* Windows: the whole text's bigrams that a template shares are points of a walk that gains 2-t at each and loses t
+  at every other bigram, so a stretch gains t times the template's length exactly if its coefficient reaches t.
+  One pass over the points finds the best stretches of any template, however long. It breaks off where a stretch
+  has lost more than a window may, or is longer than a window may be.
+
+What is joined against is a fixed list of templates, so it is broadcast.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import TEXT_ROWS, drop_scratch, materialize, scratch_tables
 
 THRESHOLD = 0.8
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 
-#: Templates of more bigrams than this are compared with whole segments only, not with windows.
-WINDOW_BIGRAMS = 80
+#: How much of what a window must gain it may lack before repeated words are set aside, and how much longer it may be.
+_SLACK, _LONGER = 0.85, 1.1
 
 # Licence texts and notices, as published by their authors.
 _MIT = (
@@ -150,11 +158,17 @@ TEMPLATES = (
     ("ISC", _ISC),
     ("Unlicense", _UNLICENSE),
     ("Zlib", _ZLIB),
+    # whole licences, as published
+    *((p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))),
 )
 
 
+def _words_of(text: str) -> list[str]:
+    return re.sub(r"[\W_]+", " ", text.lower()).split()
+
+
 def _bigrams(text: str) -> list[str]:
-    words = re.sub(r"[\W_]+", " ", text.lower()).split()
+    words = _words_of(text)
     return list(dict.fromkeys(" ".join(p) for p in zip(words, words[1:])))
 
 
@@ -189,22 +203,71 @@ def _pairs(w: Column) -> Column:
     return F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda x, y: F.concat_ws(" ", x, y))).otherwise(F.array().cast("array<string>"))
 
 
-def _spans(p: Column, t: Column, lo: float, hi: float, threshold: float) -> Column:
-    """Per start the best window of the bigrams ``p`` for template ``t``: struct<n, d, at, to>, n and d its common bigrams and Dice, negated."""
-    at = F.filter(F.transform(p, lambda x, i: F.when(F.array_contains(t["b"], x), i + 1)), lambda i: i.isNotNull())
-
-    def ends(a: Column, here: Column) -> Column:
-        return F.filter(here, lambda b: (b >= a) & (b - a + 1 >= t["s"] * lo) & (b - a + 1 <= t["s"] * hi * 1.5))
-
-    def score(a: Column, b: Column) -> Column:
-        def of(g: Column) -> Column:
-            n = F.size(F.array_intersect(g, t["b"]))
-            return F.struct((-n).alias("n"), (-2.0 * n / (F.size(g) + t["s"])).alias("d"), a.alias("at"), b.alias("to"))
+def _lookup(spark, templates) -> DataFrame:
+    """(bigram, b, k, license, s, p): a row for each bigram of each template k, b its hash; s its distinct bigrams, p all with repeats."""
+    named = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(templates)], "k int, license string, text string")
+    pairs = named.select("k", "license", _pairs(_words(F.col("text"))).alias("g"))
+    # sizes are taken before the arrays are exploded; beside an explode they would be taken anew for every row of it
+    sized = pairs.select("k", "license", F.size("g").alias("p"), F.array_distinct("g").alias("g")).withColumn("s", F.size("g"))
+    rows = sized.select("k", "license", "s", "p", F.explode("g").alias("bigram"))
+    return F.broadcast(rows.withColumn("b", F.xxhash64("bigram")))
 
-        return let(F.array_distinct(F.slice(p, a, b - a + 1)), of)
 
-    best = let(at, lambda here: F.transform(here, lambda a: F.array_min(F.filter(F.transform(ends(a, here), lambda b: score(a, b)), lambda s: s["d"] <= -threshold))))
-    return F.filter(best, lambda s: s.isNotNull())
+def _scored(segs: DataFrame, lookup: DataFrame, threshold: float) -> DataFrame:
+    """(r, hit) for segs(r, pos, segment): the templates that reach the threshold on a segment and do as well as any other."""
+    lo, hi = threshold / (2 - threshold), (2 - threshold) / threshold
+    g = segs.select("r", "pos", F.array_distinct(_pairs(F.split("segment", " "))).alias("g")).withColumn("n", F.size("g"))
+    each = g.select("r", "pos", "n", F.explode("g").alias("bigram")).join(lookup, "bigram")
+    each = each.where((F.col("n") >= F.col("s") * lo) & (F.col("n") <= F.col("s") * hi))
+    counted = each.groupBy("r", "pos", "n", "k", "license", "s").agg(F.count("*").cast("int").alias("common"))
+    hits = counted.withColumn("dice", 2.0 * F.col("common") / (F.col("n") + F.col("s"))).where(F.col("dice") >= threshold)
+    hits = hits.withColumn("top", F.max("dice").over(Window.partitionBy("r", "pos"))).where("dice = top")  # as many rows as templates at most
+    named = hits.join(segs, ["r", "pos"])
+    return named.select("r", F.struct("segment", F.col("k").alias("template"), "license", "dice", "common").alias("hit"))
+
+
+def _stretches(at: Column, p: Column, threshold: float) -> Column:
+    """array<struct<a, z>>: first and last position of the stretches of the sorted positions ``at`` that gain enough; see the module's docstring."""
+    gain, loss = 2.0 - threshold, threshold
+    drop = loss * ((2 - threshold) ** 2 / (2 * threshold) - threshold / 2) * p
+    long = (2 - threshold) / threshold * _LONGER * p
+    begin = lambda i: {"sum": F.lit(gain), "from": i, "last": i, "best": F.lit(gain), "to": i}
+    state = lambda d, out: F.struct(*[v.alias(n) for n, v in d.items()], out.alias("out"))
+    closed = lambda s: F.when(s["best"] >= threshold * _SLACK * p, F.concat(s["out"], F.array(F.struct(s["from"].alias("a"), s["to"].alias("z"))))).otherwise(s["out"])
+
+    def step(s: Column, i: Column) -> Column:
+        left = s["sum"] - loss * (i - s["last"] - 1)
+        ends = (left <= 0) | (s["best"] - left > drop) | (i - s["from"] + 1 > long)
+        now = left + gain
+        better = now > s["best"]
+        on = {"sum": now, "from": s["from"], "last": i, "best": F.when(better, now).otherwise(s["best"]), "to": F.when(better, i).otherwise(s["to"])}
+        return F.when(ends, state(begin(i), closed(s))).otherwise(state(on, s["out"]))
+
+    nothing = F.array().cast("array<struct<a: int, z: int>>")
+    first = state(begin(F.get(at, F.lit(0))), nothing)
+    return F.aggregate(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), first, step, closed)
+
+
+def _windows(texts: DataFrame, lookup: DataFrame, hits: DataFrame, threshold: float) -> DataFrame:
+    """(r, pos, segment): the texts' windows that reach the threshold, those of the most bigrams first where windows share words, without windows inside a segment that has a hit."""
+    lo = threshold / (2 - threshold)
+    w = texts.select("r", _words(F.col("text")).alias("w")).select("r", "w", _pairs(F.col("w")).alias("g"))
+    points = w.select("r", F.posexplode("g").alias("i", "bigram")).join(lookup, "bigram").groupBy("r", "k", "s", "p").agg(F.array_sort(F.collect_list(F.struct("i", "b"))).alias("at"))
+    distinct = lambda a: F.size(F.array_distinct(F.transform(a, lambda x: x["b"])))
+    points = points.where(distinct(F.col("at")) >= F.col("s") * lo)
+    found = points.select("r", "s", "at", F.inline(_stretches(F.transform("at", lambda x: x["i"]), F.col("p"), threshold)))
+    found = found.select("r", "s", "a", "z", distinct(F.filter("at", lambda x: (x["i"] >= F.col("a")) & (x["i"] <= F.col("z")))).alias("n"))
+    found = found.join(w, "r").withColumn("of", F.size(F.array_distinct(F.slice("g", F.col("a") + 1, F.col("z") - F.col("a") + 1))))
+    found = found.withColumn("dice", 2.0 * F.col("n") / (F.col("of") + F.col("s"))).where(F.col("dice") >= threshold)
+    segment = F.array_join(F.slice("w", F.col("a") + 1, F.col("z") - F.col("a") + 2), " ")
+    spans = found.select("r", F.struct((-F.col("n")).alias("n"), (-F.col("dice")).alias("d"), "a", "z", segment.alias("segment")).alias("x"))
+    spans = spans.groupBy("r").agg(F.array_sort(F.collect_set("x")).alias("x"))  # few a text
+    free = F.aggregate("x", F.slice("x", 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: (x["a"] <= k["z"] + 1) & (k["a"] <= x["z"] + 1)), kept).otherwise(F.concat(kept, F.array(x))))
+    known = hits.groupBy("r").agg(F.collect_set("hit.segment").alias("known"))
+    rows = spans.select("r", free.alias("x")).join(known, "r", "left")
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    fresh = F.filter(F.transform("x", lambda x: x["segment"]), lambda x: ~F.coalesce(F.exists("known", lambda k: F.contains(padded(k), padded(x))), F.lit(False)))
+    return rows.select("r", F.posexplode(F.array_distinct(fresh)).alias("pos", "segment"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -220,66 +283,29 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     columns don't matter, whatever their names. An empty table gives an empty table.
     """
     temps = _templates(templates)
-    lo, hi = threshold / (2 - threshold), (2 - threshold) / threshold
-    least, most = min(len(b) for *_, b in temps) * lo, max(len(b) for *_, b in temps) * hi
-    windowed = [t for t in temps if len(t[2]) <= WINDOW_BIGRAMS]
-    all_of = lambda ts: F.array(*[F.lit(g) for g in sorted(set().union(*(b for *_, b in ts)))])
-    struct = lambda t: F.struct(F.lit(t[0]).alias("k"), F.lit(t[1]).alias("n"), F.array(*map(F.lit, t[2])).alias("b"), F.lit(len(t[2])).alias("s"))
-    every, table, every_windowed, table_windowed = all_of(temps), F.array(*map(struct, temps)), all_of(windowed), F.array(*map(struct, windowed))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    text = F.when(F.rlike(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(telling_words(temps, threshold))})(?![\p{{L}}\p{{N}}])")), text).otherwise("")
+    lo = threshold / (2 - threshold)
+    least = min(len(b) for *_, b in temps) * lo
+    lookup = _lookup(docs.sparkSession, templates)
+    since = scratch_tables()
+    telling = F.arrays_overlap(F.split(F.lower(F.col(text_col)), _NOT_WORD), F.array(*map(F.lit, telling_words(temps, threshold))))
+    rows = docs.select(F.monotonically_increasing_id().alias("r"), F.col(id_col).cast("long").alias("doc_id"), F.when(telling, F.col(text_col)).alias("text"))
+    rows = materialize(rows, "texts", TEXT_ROWS)
+    texts = rows.where("text IS NOT NULL").select("r", "text")
     blank = r"\r?\n[ \t]*\r?\n"
-    lines = F.split(text, r"\r?\n")
-    more = F.when(F.rlike(text, F.lit(r"\n")), F.concat(F.when(F.rlike(text, F.lit(blank)), F.split(text, blank)).otherwise(F.array().cast("array<string>")), F.array(text))).otherwise(F.array().cast("array<string>"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.transform(F.concat(lines, more), _words).alias("words"))
-    words = F.col("words")
-    # size bound before any bigram is made: distinct bigrams are at most words - 1
-    words = F.filter(words, lambda w: F.size(w) - 1 >= least)
-    grams = F.transform(
-        words,
-        lambda w: F.struct(
-            w.alias("w"),
-            F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))).alias("g"),
-        ),
-    )
-    grams = F.filter(grams, lambda s: (F.size(s["g"]) >= least) & (F.size(s["g"]) <= most))
-    grams = F.filter(grams, lambda s: F.arrays_overlap(s["g"], every))
-    segs = F.array_distinct(F.transform(grams, lambda s: F.struct(F.array_join(s["w"], " ").alias("segment"), s["g"].alias("g"))))
-
-    def against(s: Column) -> Column:
-        near = F.filter(table, lambda t: (F.size(s["g"]) >= t["s"] * lo) & (F.size(s["g"]) <= t["s"] * hi))
-        scored = F.transform(
-            near,
-            lambda t: F.struct(
-                s["segment"].alias("segment"),
-                t["k"].alias("template"),
-                t["n"].alias("license"),
-                (2.0 * F.size(F.array_intersect(s["g"], t["b"])) / (F.size(s["g"]) + t["s"])).alias("dice"),
-                F.size(F.array_intersect(s["g"], t["b"])).alias("common"),
-            ),
-        )
-        hits = F.filter(scored, lambda r: r["dice"] >= threshold)
-        return let(hits, lambda hs: F.filter(hs, lambda r: r["dice"] == F.array_max(F.transform(hs, lambda x: x["dice"]))))
-
-    rows = rows.select("doc_id", F.flatten(F.transform(segs, against)).alias("hits"), F.element_at("words", -1).alias("w"))
-    rows = rows.select("doc_id", "hits", "w", _pairs(F.col("w")).alias("p"))
-    rows = rows.select("*", F.array_intersect("p", every_windowed).alias("m"))
-    near = F.filter(table_windowed, lambda t: F.size(F.array_intersect(F.col("m"), t["b"])) >= t["s"] * lo)
-    rows = rows.select("*", F.when(F.size("m") >= least, near).otherwise(F.slice(table_windowed, 1, 0)).alias("near"))
-    spans = F.flatten(F.transform("near", lambda t: _spans(F.col("p"), t, lo, hi, threshold)))
-    free = F.aggregate(
-        F.array_sort(spans),
-        F.slice(spans, 1, 0),
-        lambda kept, s: F.when(F.exists(kept, lambda k: (s["at"] <= k["to"] + 1) & (k["at"] <= s["to"] + 1)), kept).otherwise(F.concat(kept, F.array(s))),
-    )
-    found = F.transform(free, lambda s: F.struct(
-        F.array_join(F.slice("w", s["at"], s["to"] - s["at"] + 2), " ").alias("segment"),
-        F.array_distinct(F.slice("p", s["at"], s["to"] - s["at"] + 1)).alias("g"),
-    ))
-    inside = lambda s: F.exists("hits", lambda h: F.contains(F.concat(F.lit(" "), h["segment"], F.lit(" ")), F.concat(F.lit(" "), s["segment"], F.lit(" "))))
-    fresh = F.array_distinct(F.filter(found, lambda s: ~inside(s)))
-    windows = F.when(F.size("near") > 0, F.flatten(F.transform(fresh, against)))
-    return rows.select("doc_id", "hits", windows.alias("more")).select("doc_id", F.when(F.size("more") > 0, F.concat("hits", "more")).otherwise(F.col("hits")).alias("hits"))
+    none = F.array().cast("array<string>")
+    more = F.when(F.rlike("text", F.lit(r"\n")), F.concat(F.when(F.rlike("text", F.lit(blank)), F.split("text", blank)).otherwise(none), F.array("text"))).otherwise(none)
+    normal = F.array_distinct(F.transform(F.concat(F.split("text", r"\r?\n"), more), lambda x: F.array_join(_words(x), " ")))
+    segs = texts.select("r", F.posexplode(normal).alias("pos", "segment"))
+    # size bounds before any bigram is made: distinct bigrams are at most words - 1
+    words = F.char_length("segment") - F.char_length(F.replace("segment", F.lit(" "), F.lit(""))) + 1
+    segs = materialize(segs.where((words - 1 >= least) & (words > 1)), "segments")
+    hits = materialize(_scored(segs, lookup, threshold), "hits")
+    windows = materialize(_windows(texts, lookup, hits, threshold), "windows")
+    every = hits.unionByName(_scored(windows, lookup, threshold)).groupBy("r").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
+    empty = F.array().cast("array<struct<segment: string, template: int, license: string, dice: double, common: int>>")
+    out = materialize(rows.select("r", "doc_id").join(every, "r", "left").select("doc_id", F.coalesce("hits", empty).alias("hits")), "scanned")
+    drop_scratch(since, out)
+    return out
 
 
 def digest(scanned: DataFrame) -> DataFrame:
