@@ -152,6 +152,8 @@ JS_PATTERNS = {
     "angular_http": r"""(?i)(?:http|this\.http)\s*\.\s*(?:get|post|put|patch|delete)\s*\(\s*['"`]([^'"`\s\)]+)['"`]""",
     "template_literal": r"""(?i)`([/][^`\$\s]{3,})\$\{""",
 }
+API_HREF = r"(?i)(?:/api/|/v\d+/|/rest/|/graphql|/gql|/service/|/ws/|/_/)|\.(?:json|xml|yaml)$"
+COMMENT_URL = r"""(?i)https?://[^\s"'<>]+|/[a-zA-Z0-9/_?&=%#.\-]{5,}"""
 SOURCE_MAP = r"(?i)//# sourceMappingURL=(.+\.map)"
 WEBSOCKET = r"""(?i)new\s+WebSocket\s*\(\s*['"`](wss?://[^'"`\s\)]+)['"`]"""
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import classify, text, urls
+from ..operators import endpoints as ep
 from ..operators import extract as ex
 from . import pipeline
 from .registry import any_of, clean, extract, has, q, query, table, words
@@ -183,14 +184,17 @@ def page_body_size(spark, d):
 
 
 @query(
-    f"""WITH m AS (SELECT url, {S_TITLE} AS title, length(html) AS n, html FROM pages)
-SELECT url, CASE WHEN n < 3000 THEN 'dynamic' ELSE 'static' END AS fetched, CASE WHEN title <> '' THEN title ELSE {clean(extract('html', '(?is)<h1[^>]*>(.*?)</h1'))} END AS title FROM m"""
+    f"""WITH m AS (SELECT url, {S_TITLE} AS title, length({_VISIBLE}) AS n, html FROM pages)
+SELECT url, CASE WHEN n < {C.THIN_BODY} THEN 'dynamic' ELSE 'static' END AS fetched, CASE WHEN title <> '' THEN title ELSE {clean(extract('html', '(?is)<h1[^>]*>(.*?)</h1'))} END AS title FROM m"""
 )
 def title_chain(spark, d):
+    """Pages with little visible text go to a browser; the title, or else the first heading."""
     h = F.col("html")
+    visible = F.regexp_replace(F.regexp_replace(h, r"(?is)<(script|style)\b.*?</(script|style)>", " "), "<[^>]*>", " ")
+    chars = F.char_length(F.trim(F.regexp_replace(visible, r"\s+", " ")))
     h1 = text.sanitize(F.regexp_extract(h, r"(?is)<h1[^>]*>(.*?)</h1", 1))
     return pages(spark, d).select(
-        "url", F.when(F.char_length(h) < 3000, "dynamic").otherwise("static").alias("fetched"), F.coalesce(text.nonempty(classify.title(h)), h1).alias("title")
+        "url", F.when(chars < C.THIN_BODY, "dynamic").otherwise("static").alias("fetched"), F.coalesce(text.nonempty(classify.title(h)), h1).alias("title")
     )
 
 
@@ -309,9 +313,16 @@ def robots_filter(spark, d):
 
 
 def robots_allowed(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """paths(page_id, grp, path) with ``allowed``: the longest rule(grp, prefix, allow) that is a prefix decides; no rule allows."""
-    hit = paths.join(rules, "grp").where(F.startswith("path", F.col("prefix")))
-    best = hit.groupBy("page_id").agg(F.max(F.struct(F.char_length("prefix").alias("n"), "allow")).alias("b")).select("page_id", F.col("b.allow").alias("allow"))
+    """paths(page_id, grp, path) with ``allowed``: the longest rule(grp, prefix, allow) that is a prefix decides; no rule allows.
+
+    A path meets rules by equal prefixes of the lengths that its group's rules have, so a host with many rules and
+    pages makes no pairs beyond those that match.
+    """
+    r = rules.withColumn("n", F.char_length("prefix"))
+    lengths = r.groupBy("grp").agg(F.collect_set("n").alias("lengths"))  # as many as a path has characters at most
+    heads = paths.join(lengths, "grp").select("page_id", "grp", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.char_length("path")), lambda n: F.left("path", n))).alias("prefix"))
+    hit = heads.join(r, ["grp", "prefix"])
+    best = hit.groupBy("page_id").agg(F.max(F.struct("n", "allow")).alias("b")).select("page_id", F.col("b.allow").alias("allow"))
     return paths.join(best, "page_id", "left").withColumn("allowed", F.coalesce("allow", F.lit(True))).drop("allow")
 
 
@@ -548,3 +559,69 @@ def merged_documents(spark, d):
 def audit_decisions_dom(spark, d):
     m = pipeline.merge(pipeline.engine_results(pages(spark, d)))
     return pipeline.decisions(m).select("url", "field", F.array_join("engines", ",").alias("engines"), "confidence", "conflict", "reason")
+
+
+# ---------------------------------------------------------------- endpoints by pass
+# pages with forms, comments, described interfaces and inline scripts put behind their own markup
+_MINED = """html || CASE page_id % 3 WHEN 0 THEN '<form action="/api/login?b=2&a=1" method="post"><input name="user"><select name="lang"></select></form><form><input name="q"></form><!-- see /api/v1/debug and https://other.example.org/rest/x?y=1, /plain/page -->'
+ WHEN 1 THEN '<a href="/v2/things/' || page_id || '.json">t</a><a href="/about">a</a><link rel="describedby" href="/openapi.yaml"><script>fetch("/api/v1/items"); const apiUrl = "/rest/orders"; fetch("relative")</script><script src="/x.js">fetch("/not/seen")</script>'
+ ELSE '<script>axios.get("/api/v1/items"); axios.get("/api/v1/items")</script><a href="/api/v1/items">again</a>' END"""
+_SCRIPT_TEXT = """'var post = fetch("/api/save"); $.post("/api/kept"); fetch("/api/v1/' || page_id || '?z=1&y=2"); fetch("https://cdn.example.net/api/x"); axios.post("http://localhost/api"); new WebSocket("wss://live.example.com/feed"); http.get("/a")' || chr(10) || '//# sourceMappingURL=app' || (page_id % 3) || '.js.map'"""
+
+
+def _s_full(raw: str) -> str:
+    return f"CASE WHEN starts_with({raw}, '/') THEN {s_part('url', 1)} || '://' || {s_part('url', 2)} || {raw} ELSE {raw} END"
+
+
+def _s_found(rows: str, keys: str = "page_id") -> str:
+    """From rows(page_id, url, kind, pos, method, source, raw, params): each URL once, by (kind, pos)."""
+    same = f"lower({s_part('u', 1)}) = lower({s_part('url', 1)}) AND lower({s_part('u', 2)}) = lower({s_part('url', 2)})"
+    return f"""r AS ({rows}), f AS (SELECT *, {_s_full('raw')} AS full_url FROM r), n AS (SELECT *, {s_normal('full_url', s_part('full_url', 3), ())} AS u FROM f WHERE lower({s_part('full_url', 1)}) IN ('http', 'https', 'ws', 'wss')),
+found AS (SELECT {keys}, u AS url, method, source, params, NOT ({same}) AS external, kind, pos FROM n QUALIFY row_number() OVER (PARTITION BY {keys}, u ORDER BY kind, pos) = 1)"""
+
+
+def _s_each(pattern: str, group: int = 1, text_: str = "h") -> str:
+    return f"unnest(regexp_extract_all({text_}, {q(pattern)}, {group}))"
+
+
+_S_ATTR = lambda a, n: f"regexp_extract({a}, {q(rf'''(?is)(?:^|\s){n}\s*=\s*[\"']([^\"']*)[\"']''')}, 1)"
+_PAGE_FOUND = f"""h AS (SELECT page_id, url, {_MINED} AS h FROM pages), fo AS (SELECT page_id, url, {_s_each(ep.FORM, 1)} AS a, {_s_each(ep.FORM, 2)} AS b FROM h),
+co AS (SELECT page_id, url, {_s_each(ep.COMMENT)} AS c FROM h), sc AS (SELECT page_id, url, {_s_each(ep.SCRIPT, 1)} AS a, {_s_each(ep.SCRIPT, 2)} AS b FROM h), si AS (SELECT page_id, url, b FROM sc WHERE NOT regexp_matches(a, '(?i)(?:^|\\s)src\\s*=')),
+""" + _s_found(
+    f"""SELECT page_id, url, 0 AS kind, row_number() OVER () AS pos, CASE WHEN {_S_ATTR('a', 'method')} = '' THEN 'GET' ELSE upper({_S_ATTR('a', 'method')}) END AS method, 'form' AS source, CASE WHEN {_S_ATTR('a', 'action')} = '' THEN url ELSE {_S_ATTR('a', 'action')} END AS raw, array_to_string(regexp_extract_all(b, {q(ep.FIELD)}, 1), ',') AS params FROM fo
+UNION ALL SELECT * FROM (SELECT page_id, url, 1, row_number() OVER (), 'GET', 'html_href', {_s_each(ep.ANCHOR)} AS raw, '' FROM h) WHERE regexp_matches(raw, {q(C.API_HREF)})
+UNION ALL SELECT * FROM (SELECT page_id, url, 2, row_number() OVER (), 'GET', 'html_comment', {_s_each(C.COMMENT_URL, 0, 'c')} AS raw, '' FROM co) WHERE regexp_matches(raw, {q(C.API_HREF)})
+"""
+    + "".join(f"UNION ALL SELECT * FROM (SELECT page_id, url, 3, row_number() OVER (), 'GET', 'js_inline', {_s_each(p, 1, 'b')} AS raw, '' FROM si) WHERE regexp_matches(raw, {q(C.API_HREF)}) OR starts_with(raw, '/')\n" for p in C.JS_PATTERNS.values())
+)
+
+
+@query(f"WITH {_PAGE_FOUND} SELECT page_id, url, method, source, params, external FROM found")
+def page_endpoints(spark, d):
+    """Endpoints that pages name in forms, links, comments and inline scripts."""
+    return ep.in_pages(pages(spark, d).select("page_id", "url", F.expr(_MINED).alias("html")), ["page_id"])
+
+
+@query(f"WITH h AS (SELECT page_id, url, {_MINED} AS h FROM pages) SELECT page_id, lower({s_part('url', 1)}) || '://' || lower({s_part('url', 2)}) || '/openapi.yaml' AS spec_url FROM h WHERE page_id % 3 = 1")
+def page_specs(spark, d):
+    """API descriptions that pages link to."""
+    return ep.described_by(pages(spark, d).select("page_id", "url", F.expr(_MINED).alias("html")), ["page_id"])
+
+
+@query(
+    f"""WITH b AS (SELECT page_id, lower({s_part('url', 1)}) || '://' || lower({s_part('url', 2)}) AS o FROM pages)
+SELECT page_id, 'wss://live.example.com/feed' AS url, 'WS' AS method, 'js_websocket' AS source, '' AS params, true AS external FROM b
+UNION ALL SELECT page_id, o || '/static/app' || (page_id % 3) || '.js.map', 'GET', 'source_map', '', false FROM b
+UNION ALL SELECT page_id, o || '/api/save', 'POST', 'js_regex', '', false FROM b UNION ALL SELECT page_id, o || '/api/kept', 'GET', 'js_regex', '', false FROM b UNION ALL SELECT page_id, o || '/api/v1/' || page_id || '?y=2&z=1', 'GET', 'js_regex', '', false FROM b
+UNION ALL SELECT page_id, 'https://cdn.example.net/api/x', 'GET', 'js_external', '', true FROM b UNION ALL SELECT page_id, o || '/a', 'GET', 'js_regex', '', false FROM b"""
+)
+def script_endpoints(spark, d):
+    """Endpoints that script files name: a file of known text for each page."""
+    origin = F.concat(urls.part(F.col("url"), 1), F.lit("://"), urls.part(F.col("url"), 2))
+    return ep.in_scripts(pages(spark, d).select("page_id", F.concat(origin, F.lit("/static/app.js")).alias("url"), F.expr(_SCRIPT_TEXT).alias("js")), ["page_id"])
+
+
+@query(f"WITH {_PAGE_FOUND} SELECT url, method, arg_min(source, page_id) AS source, min(page_id) AS page_id FROM found GROUP BY url, method")
+def distinct_endpoints(spark, d):
+    """Each URL and method once over all pages, as the first page names it."""
+    return ep.distinct(page_endpoints(spark, d), F.col("page_id"), []).select("url", "method", "source", "page_id")
