@@ -19,9 +19,25 @@ from weftline.llm import bpe, exact_dedup, mixing, quality, simhash
 from weftline.llm.common import drop_scratch, materialize, scratch_tables, table
 
 
+#: The last model that was fitted on all documents, by the files that it was fitted on: a few hundred numbers.
+_fitted: dict[tuple[str, ...], quality.Model | None] = {}
+
+
+def classifier(spark: SparkSession, sf_dir: str) -> quality.Model | None:
+    """The classifier of all documents; fitted once for both stages that use it, and anew if the files are others."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    key = (spark.sparkContext.applicationId, *sorted(docs.inputFiles()), *sorted(labels.inputFiles()))
+    if key not in _fitted:
+        model = quality.fit(docs, labels)
+        _fitted.clear()
+        _fitted[key] = model
+    return _fitted[key]
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the co-trained classifier rejects."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+    every = sorted(docs.inputFiles()) == sorted(table(spark, sf_dir, "documents").inputFiles())
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"), model=classifier(spark, sf_dir) if every else None)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +53,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and selects documents so that every source comes near its target; the classifier's score is a document's quality weight.
 
-    The classifier is fitted on all documents as in the first stage: of those it kept, few labels are bad.
+    The classifier is that of all documents, as in the first stage: of those it kept, few labels are bad.
     """
-    model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    model = classifier(spark, sf_dir)
     return mixing.mixed_documents(docs, quality=None if model is None else quality.probabilities(model, docs)["score"])
 
 

@@ -263,3 +263,22 @@ def test_interval_scans_skip_cells():
     seen = s.cells(d, 0.0, s.reach(float(q @ q), least))
     assert set(cell[scores >= least].tolist()) <= seen  # nothing that good is missed
     assert len(seen) < 0.8 * s.first[-1]
+
+
+# ---------------------------------------------------------------- embeddings: plans of large tables
+@pytest.mark.parametrize("plan", [4, 5])
+def test_recall_of_large_plans(plan):
+    """Pairs at the threshold meet with a probability of 0.95 at least in the plans of the largest tables too."""
+    from weftline.llm import lattice
+
+    r = np.random.default_rng(23 + plan)
+    n, dim = 300, 64
+    a, b = r.normal(size=(2, n, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    x = np.concatenate([a, 0.9005 * a + np.sqrt(1 - 0.9005**2) * b])
+    home, near = lattice.cells(x, *lattice.PLANS[plan])
+    h1, h2, n1, n2 = home[:n], home[n:], near[:n], near[n:]
+    met = (h1 == h2).any(axis=1) | (h1[:, :, None] == n2).any(axis=(1, 2)) | (h2[:, :, None] == n1).any(axis=(1, 2))
+    assert met.mean() >= 0.95

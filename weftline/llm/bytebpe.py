@@ -48,9 +48,6 @@ class ByteEncoder:
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.stand_in = dict(enumerate(byte_chars()))
         nul, vocab = self.stand_in[0], self.lib.get_vocab(with_added_tokens=False)
-        self.nul = None if any(nul in t and t != nul for t in vocab) else nul
-        self.nul_id = vocab.get(nul)
-        nul, vocab = self.stand_in[0], self.lib.get_vocab(with_added_tokens=False)
         self.nul, self.nul_id = nul, vocab[nul]
         self.joins = not any(nul in t and t != nul for t in vocab)
         self.pool = pool.Pool(self._learn, self._forget, CACHE_CHUNKS)

@@ -392,7 +392,7 @@ def _read(files: DataFrame, value, column: str) -> DataFrame:
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     index = files.select("part", "seq", "n_ids").withColumn("within", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
     index = index.join(totals, F.col("part") == F.col("p")).select(F.col("part").alias("ip"), F.col("seq").alias("iq"), (F.col("before") + F.col("within")).alias("start"))
-    placed = files.join(F.broadcast(index), (F.col("part") == F.col("ip")) & (F.col("seq") == F.col("iq"))).drop("ip", "iq")
+    placed = files.join(index, (F.col("part") == F.col("ip")) & (F.col("seq") == F.col("iq"))).drop("ip", "iq")
     return placed.mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
 
 
@@ -401,7 +401,7 @@ def write_and_read(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     Null and empty texts are END_ID alone. Rows with a null id come first. Repeated ids stand next to each
     other, by text hash; repeated rows have a place each. Very long texts are coded whole, in a segment as
-    large as they need. Other columns of ``docs`` don't matter, whatever their names. An empty table gives
-    an empty table.
+    large as they need. Ties of id and text hash go by the rows' place in their task, which changes no value.
+    Other columns of ``docs`` don't matter, whatever their names. An empty table gives an empty table.
     """
     return read_digests(materialize(encode_files(docs, path, id_col, text_col), "ids"))

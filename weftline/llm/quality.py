@@ -282,7 +282,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return scored.select("doc_id", F.col("p.text").alias("p_text"), F.col("p.page").alias("p_page"), F.col("p.score").alias("score"), (F.col("p.score") >= ACCEPT).alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that classify() keeps; same columns. Cases are those of classify()."""
-    model = fit(docs, labels, id_col, text_col)
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
+    """The rows of ``docs`` that classify() keeps; same columns. Cases are those of classify(). ``model``: one that is fitted already."""
+    model = model or fit(docs, labels, id_col, text_col)
     return docs if model is None else docs.where(probabilities(model, docs, text_col)["score"] >= ACCEPT)

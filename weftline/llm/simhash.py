@@ -221,7 +221,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Null ids come last, so a component without any id keeps a row too. Of rows with one id that with
     the smallest fingerprint stays, then that of the smallest text hash, then the first as read. Null, empty
-    and wordless texts are near each other; repeated rows are. An empty table gives an empty table.
+    and wordless texts are near each other; repeated rows are. Very long texts are taken whole. An empty table
+    gives an empty table.
     """
 
     @F.pandas_udf("long")
