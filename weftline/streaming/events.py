@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,43 +77,62 @@ def token_bucket(events: DataFrame, capacity: float, per_second: float) -> DataF
     )
 
 
-def keyed_fold(rows: DataFrame, key: str, order: list[str], state: str, out: str, start: tuple, step) -> DataFrame:
-    """A state a key, folded over its rows in ``order`` within each micro-batch: step(state, row) gives (new state, output row).
+def keyed_frames(rows: DataFrame, key: str, order: list[str], state: str, out: str, start: tuple, fold) -> DataFrame:
+    """A state a key, carried over its rows in ``order`` within each micro-batch: fold(state, frame) gives (new state, output columns).
 
-    ``state`` and ``out`` are schemas; ``key`` is a long; output rows are tuples. The state outlives restarts
-    with the stream's checkpoint.
+    ``state`` and ``out`` are schemas; ``key`` is a long and the first output column. A frame holds a key's rows of one
+    micro-batch. The state outlives restarts with the stream's checkpoint and is kept for good: what it knows of a
+    key (its last version, its streak) has no date of expiry. States that have one are in ``keyed``.
     """
+
+    def run(key_: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(batches)).sort_values(order, kind="stable", ignore_index=True)
+        now, columns = fold(tuple(held.get) if held.exists else start, frame)
+        held.update(now)
+        yield pd.DataFrame({key: key_[0], **columns})
+
+    return rows.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
+
+
+def keyed_fold(rows: DataFrame, key: str, order: list[str], state: str, out: str, start: tuple, step) -> DataFrame:
+    """As ``keyed_frames``, row by row, for states that only a step from row to row tells: step(state, row) gives (new state, output row)."""
     names = [c.split()[0] for c in out.split(", ")]
 
-    def fold(key_: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(held.get) if held.exists else start
+    def fold(now: tuple, frame: pd.DataFrame) -> tuple:
         got = []
-        for r in pd.concat(list(batches)).sort_values(order, kind="stable").to_dict("records"):
+        for r in frame.to_dict("records"):
             now, row = step(now, r)
             got.append(row)
-        held.update(now)
-        yield pd.DataFrame(got, columns=names)
+        columns = pd.DataFrame(got, columns=names)
+        return now, {c: columns[c] for c in names if c != key}
 
-    return rows.groupBy(key).applyInPandasWithState(fold, out, state, "append", GroupStateTimeout.NoTimeout)
+    return keyed_frames(rows, key, order, state, out, start, fold)
 
 
 def change_on_arrival(versions: DataFrame) -> DataFrame:
     """versions(key, version, content_hash): whether each differs from the one that came before it."""
 
-    def step(state: tuple, r: dict) -> tuple:
-        return (r["content_hash"],), (r["key"], r["version"], r["content_hash"] != state[0], state[0] if state[0] != r["content_hash"] else None)
+    def fold(state: tuple, frame: pd.DataFrame) -> tuple:
+        now = frame["content_hash"]
+        before = now.shift(1)
+        before.iloc[0] = state[0]
+        same = (now == before) | (now.isna() & before.isna())
+        return (now.iloc[-1],), {"version": frame["version"], "changed": ~same, "previous_hash": before.where(~same, None)}
 
-    return keyed_fold(versions, "key", ["version"], "last string", "key long, version long, changed boolean, previous_hash string", (None,), step)
+    return keyed_frames(versions, "key", ["version"], "last string", "key long, version long, changed boolean, previous_hash string", (None,), fold)
 
 
 def selector_streaks(hits: DataFrame, dead_after: int) -> DataFrame:
     """hits(key, event_id, ts, hit): misses in a row up to each event, and whether the selector is dead."""
 
-    def step(state: tuple, r: dict) -> tuple:
-        n = 0 if r["hit"] else state[0] + 1
-        return (n,), (r["key"], r["event_id"], n, n >= dead_after)
+    def fold(state: tuple, frame: pd.DataFrame) -> tuple:
+        hit = frame["hit"].to_numpy(bool)
+        at = np.arange(len(hit))
+        last = np.maximum.accumulate(np.where(hit, at, -1))  # the last hit so far
+        n = np.where(last < 0, at + 1 + state[0], at - last).astype(np.int64)
+        return (int(n[-1]),), {"event_id": frame["event_id"], "miss_streak": n, "dead": n >= dead_after}
 
-    return keyed_fold(hits, "key", ["ts", "event_id"], "n long", "key long, event_id long, miss_streak long, dead boolean", (0,), step)
+    return keyed_frames(hits, "key", ["ts", "event_id"], "n long", "key long, event_id long, miss_streak long, dead boolean", (0,), fold)
 
 
 #: Which control event a job's status admits, and what it becomes.
