@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from .. import schemas
 from ..functions import classify, text
-from ..operators import crawl, extract, history, merge, merge_fold, profile
+from ..operators import crawl, extract, history, merge, merge_fold, profile, quality
 from . import pipeline
 from . import queries_pages as qp
 from .registry import any_of, clean, has, q, query, table
@@ -432,3 +432,67 @@ def error_code(spark, d):
 @query(f"WITH {_ERRORS} SELECT {_CATEGORY} AS category, count(*) AS errors FROM e GROUP BY 1")
 def error_metrics(spark, d):
     return messages(spark, d).groupBy(classify.error_category(F.col("m")).alias("category")).agg(F.count("*").alias("errors"))
+
+
+# ---------------------------------------------------------------- checklists of all fields
+# pages with images, structured data, a description and a canonical link put behind their own markup
+_RICH = """html || '<img src="//cdn.example.net/' || page_id || '.png"><img src="local.png">' || CASE page_id % 3 WHEN 0 THEN '<script type="application/ld+json">{"@type":"Article"}</script><meta property="og:title" content="T">' WHEN 1 THEN '<meta property="og:title" content="T"><meta name="description" content="A description that is long enough to pass, of page ' || page_id || ' and more words">' ELSE '<meta name="description" content="Read more"><a href="http://x.example.org/javascript:void">j</a>' END || CASE WHEN page_id % 2 = 0 THEN '<link rel="canonical" href="https://c.example.org/' || page_id || '">' ELSE '<link rel="canonical" href="/relative">' END"""
+_R_DESC = r"""(?is)<meta[^>]+name=["']description["'][^>]+content=["']([^"']*)"""
+_R_CANON = r"""(?is)<link[^>]+rel=["']canonical["'][^>]+href=["']([^"']*)"""
+_R_IMG = r"""(?is)<img[^>]+src=["']([^"']*)"""
+_R_HEAD = r"(?is)<h([1-6])[^>]*>(.*?)</h[1-6]"
+_R_HREF = r"""(?is)<a[^>]+href=["']([^"']*)"""
+_RICH_DOCS = f"""rich AS (SELECT page_id, url, {_RICH} AS html FROM pages), rd AS (SELECT page_id, url, {qp.S_TITLE} AS title, regexp_extract(html, {q(_R_DESC)}, 1) AS description, {_VIS} AS main_content, coalesce({qp.S_LANG}, 'unknown') AS language, regexp_extract(html, {q(_R_CANON)}, 1) AS canonical_url,
+  regexp_extract_all(html, {q(_R_HREF)}, 1) AS links, regexp_extract_all(html, {q(_R_IMG)}, 1) AS images, regexp_extract_all(html, {q(_R_HEAD)}, 1) AS levels, regexp_extract_all(html, {q(_R_HEAD)}, 2) AS heads, contains(html, 'application/ld+json') AS json_ld, contains(html, 'property="og:') AS opengraph FROM rich),
+h1 AS (SELECT *, list_filter([CASE WHEN levels[i] = '1' THEN lower(heads[i]) END for i in range(1, len(levels) + 1)], lambda x: x IS NOT NULL) AS firsts FROM rd)"""
+_NOISE = lambda c: any_of(f"lower({c})", C.NOISE_WORDS)
+_WORDS_OF = "list_filter(string_split_regex(trim(main_content), '\\s+'), lambda w: w <> '')"
+_CHECKS = {
+    "title": _TQ,
+    "description": f"CASE WHEN description = '' THEN 0 ELSE round(((length(trim(description)) BETWEEN 50 AND 500)::INT + (lower(trim(description)) <> lower(trim(title)))::INT + (NOT {_NOISE('description')})::INT) / 3.0::DOUBLE, 3) END",
+    "main_content": f"CASE WHEN main_content = '' THEN 0 ELSE round(((length(trim(main_content)) > 300)::INT + (length(array_to_string({_WORDS_OF}, '')) / greatest(len({_WORDS_OF}), 1) >= 4.0)::INT + (len(regexp_extract_all(trim(main_content), '\\p{{L}}')) / greatest(length(trim(main_content)), 1) >= 0.6)::INT) / 3.0::DOUBLE, 3) END",
+    "links": "CASE WHEN len(links) = 0 THEN 0 ELSE round(len(list_filter(links, lambda u: regexp_matches(u, '^https?://') AND NOT contains(u, 'javascript:'))) / len(links)::DOUBLE, 3) END",
+    "images": "CASE WHEN len(images) = 0 THEN 0 ELSE round(len(list_filter(images, lambda u: regexp_matches(u, '^(?:https?:)?//'))) / len(images)::DOUBLE, 3) END",
+    "headings": "CASE WHEN len(levels) = 0 THEN 0 ELSE 0.5 * (len(firsts) > 0)::INT + 0.5 * (len(list_filter(string_split_regex(lower(trim(title)), '\\s+'), lambda w: length(w) > 3 AND len(list_filter(firsts, lambda h: contains(h, w))) > 0)) > 0)::INT END",
+    "structured_data": "0.5 * json_ld::INT + 0.5 * opengraph::INT",
+    "canonical_url": "regexp_matches(trim(canonical_url), '^https?://')::INT",
+    "language": "(lower(trim(language)) NOT IN ('', 'unknown', 'none'))::INT",
+}
+_CHECKED = f"{_RICH_DOCS}, fq AS (" + " UNION ALL ".join(f"SELECT page_id, url, '{f}' AS field, ({e})::DOUBLE AS quality FROM h1" for f, e in _CHECKS.items()) + ")"
+
+
+def rich_documents(spark, d) -> DataFrame:
+    """Every field that has a checklist, from the page's own markup."""
+    p = qp.pages(spark, d).select("page_id", "url", F.expr(_RICH).alias("html"))
+    h = F.col("html")
+    visible = F.regexp_replace(F.regexp_replace(h, extract.SCRIPTS, " "), "<[^>]*>", " ")
+    of = lambda pattern, k=1: F.regexp_extract_all(h, F.lit(pattern), F.lit(k))
+    heads = F.zip_with(of(_R_HEAD, 1), of(_R_HEAD, 2), lambda n, t: F.struct(n.cast("int").alias("level"), t.alias("text")))
+    return p.select(
+        "page_id", "url", classify.title(h).alias("title"), F.regexp_extract(h, _R_DESC, 1).alias("description"), F.substring(F.trim(F.regexp_replace(visible, r"\s+", " ")), 1, C.CAPS["main_content"]).alias("main_content"),
+        F.coalesce(classify.language(h), F.lit("unknown")).alias("language"), F.regexp_extract(h, _R_CANON, 1).alias("canonical_url"), of(_R_HREF).alias("links"), of(_R_IMG).alias("images"), heads.alias("headings"),
+        F.contains(h, F.lit("application/ld+json")).alias("json_ld"), F.contains(h, F.lit('property="og:')).alias("opengraph"),
+    )
+
+
+@query(f"WITH {_CHECKED} SELECT page_id, field, quality FROM fq")
+def field_checklists(spark, d):
+    """The quality of nine fields of every page."""
+    return quality.scores(rich_documents(spark, d), ["page_id"])
+
+
+_IMPORTANCE = "CASE field " + " ".join(f"WHEN '{f}' THEN {w}::DOUBLE" for f, w in C.FIELD_IMPORTANCE.items()) + f" ELSE {C.DEFAULT_IMPORTANCE}::DOUBLE END"
+
+
+@query(
+    f"""WITH {_ER}, {_REL}, {_CHECKED}, ag AS (SELECT url, round(sum(CASE WHEN success THEN {_W} ELSE 0 END) / sum({_W}), 3) AS agreement FROM er GROUP BY url),
+c AS (SELECT page_id, field, round(0.5 * agreement + 0.3 * quality + 0.2 * reliability, 3) AS c, {_IMPORTANCE} AS w FROM fq JOIN rel USING (url) JOIN ag USING (url) WHERE quality > 0)
+SELECT page_id, round(sum(c * w) / sum(w), 3) AS confidence, count(*) AS fields FROM c GROUP BY page_id"""
+)
+def document_confidence(spark, d):
+    """A page's confidence over all its fields: agreement is the weight of the strategies that succeeded."""
+    r = records(spark, d)
+    w = merge.weight(F.col("engine_id"))
+    agreed = r.groupBy("url").agg(F.round(F.sum(F.when(F.col("success"), w).otherwise(0.0)) / F.sum(w), 3).alias("agreement"))
+    fields = quality.scores(rich_documents(spark, d), ["page_id", "url"]).where("quality > 0")
+    return quality.global_confidence(fields.join(merge.reliability(r), "url").join(agreed, "url"), ["page_id"])
