@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import session
+from .. import api, session
+from ..operators import findings
 from ..sources import delimited, documents, files, sinks, xml_docs
 from . import pipeline
 from . import queries_pages as qp
+from . import queries_records as qr
 from .registry import q, query, table
 
 _SITEMAP = """'<urlset><url><loc>' || url || '</loc></url><url><loc> http://s.example.com/' || page_id || ' </loc></url></urlset>'"""
@@ -162,6 +164,55 @@ def crawl_graph(spark, d):
     return sinks.graphml_lines(qp.site_edges(qp.pages(spark, d))).where("ord IN (1, 2)")
 
 
+# ---------------------------------------------------------------- reports written and read back
+_DECIDED = f"WITH {qr._VOTE} SELECT url, field, winner, agreement, agreement < 1 AS conflict FROM vote"
+
+
+@query(_DECIDED)
+def audit_json(spark, d):
+    """Decisions written as JSON by conflict and read back."""
+    path = session.scratch(spark, "audit-json")
+    sinks.write_audit(qr.vote_exact(spark, d).withColumn("conflict", F.col("agreement") < 1), path)
+    return spark.read.schema("url string, field string, winner string, agreement double, conflict boolean").json(path).select("url", "field", "winner", "agreement", "conflict")
+
+
+@query("SELECT url, 'engine' || (page_id % 3) AS engine_id, left(html, 1000) AS raw_html FROM pages")
+def raw_records(spark, d):
+    """Raw pages by engine, cut to previews, written and read back."""
+    path = session.scratch(spark, "raw")
+    sinks.write_raw(qp.pages(spark, d).select("url", F.concat(F.lit("engine"), F.col("page_id") % 3).alias("engine_id"), F.col("html").alias("raw_html")), path)
+    return spark.read.schema("url string, raw_html string, engine_id string").json(path).select("url", "engine_id", "raw_html")
+
+
+_SECRETS = f"WITH f AS ({findings.oracle_sql('documents', 'doc_id', 'text')})"
+
+
+@query(f"{_SECRETS} SELECT severity, pattern_name, match_preview, 'document' AS source_type, doc_id::VARCHAR AS source_url FROM f")
+def secrets_csv(spark, d):
+    """Findings exported as quoted CSV and read back, line breaks and quotes kept."""
+    path = session.scratch(spark, "secrets")
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    sinks.write_secrets_csv(findings.located(docs, "document", "id", "text"), path)
+    back = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    return back.select("severity", "pattern_name", "match_preview", "source_type", "source_url").distinct()
+
+
+@query(f"{_SECRETS} SELECT doc_id, pattern_name, match_preview FROM f WHERE severity = 'high' AND doc_id = (SELECT min(doc_id) FROM f WHERE severity = 'high')")
+def findings_filtered(spark, d):
+    """Findings of one severity on one page."""
+    found = findings.scan(table(spark, d, "documents"), "doc_id", "text").withColumn("source_url", F.col("doc_id").cast("string"))
+    first = found.where("severity = 'high'").agg(F.min("doc_id").alias("i")).first()["i"]
+    return api.filter_findings(found, "high", str(first)).select("doc_id", "pattern_name", "match_preview")
+
+
+@query(f"WITH {qr._ER} SELECT url, title, len(links)::BIGINT AS links FROM er WHERE engine_id = 'static_requests'")
+def report_json(spark, d):
+    """Documents written as JSON lines and read back."""
+    path = session.scratch(spark, "report-json")
+    sinks.write_json(qr.records(spark, d).where("engine_id = 'static_requests'").select("url", "title", "links"), path)
+    return spark.read.schema("url string, title string, links array<string>").json(path).select("url", "title", F.size("links").cast("long").alias("links"))
+
+
 @query("SELECT event_id FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
 def report_expiry(spark, d):
     e = table(spark, d, "events").select("event_id", "ts")

@@ -157,11 +157,20 @@ def secrets_by_severity(spark, d):
     return findings.scan(qt.docs(spark, d), "doc_id", "text").withColumn("severity_rank", rank).orderBy("severity_rank", "doc_id", "pattern_name", "match_preview")
 
 
-@query(f"WITH p AS (SELECT conv_id, turn, text, {qt._TOKENS} AS t FROM conversations), x AS (SELECT a.conv_id, a.turn, a.text, a.t AS h, b.t AS r FROM p a JOIN p b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1) SELECT conv_id, turn, text FROM x WHERE len(h) > 0 AND len(r) > 0 AND round(2.0 * len(list_intersect(h, r)) / (len(h) + len(r)), 4) >= {C.HALLUCINATION_OVERLAP}")
+_CITED = "c AS (SELECT a.conv_id, a.turn, CASE WHEN a.turn % 2 = 1 THEN a.text || ' ' || b.text ELSE a.text END AS text, b.text AS source FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1)"
+_SOURCE_TOKENS = qt._TOKENS.replace("coalesce(text, '')", "coalesce(source, '')")
+
+
+@query(f"WITH {_CITED}, x AS (SELECT conv_id, turn, text, {qt._TOKENS} AS h, {_SOURCE_TOKENS} AS r FROM c) SELECT conv_id, turn, text FROM x WHERE len(h) > 0 AND len(r) > 0 AND round(2.0 * len(list_intersect(h, r)) / (len(h) + len(r)), 4) >= {C.HALLUCINATION_OVERLAP}")
 def grounded_turns(spark, d):
-    """Turns that the turn before them bears out; the others are stripped."""
+    """Turns that the turn before them bears out, of conversations whose odd turns cite it; the others are stripped."""
+    from ..functions import text
+
     c = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    return jobs.strip_ungrounded(c.join(qt.hallucination_check(spark, d), ["conv_id", "turn"]), "overlap").select("conv_id", "turn", "text")
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("source"))
+    cited = c.join(before, ["conv_id", "turn"]).withColumn("text", F.when(F.col("turn") % 2 == 1, F.concat("text", F.lit(" "), "source")).otherwise(F.col("text")))
+    told = cited.withColumn("overlap", text.overlap_f1(text.tokens(F.col("text")), text.tokens(F.col("source"))))
+    return jobs.strip_ungrounded(told, "overlap").select("conv_id", "turn", "text")
 
 
 # ---------------------------------------------------------------- jobs
