@@ -6,6 +6,9 @@ An anchor is a pair of codewords. A fingerprint's home is the pair of its neares
 (within the covering radius), and it is replicated to every anchor whose distance exceeds the
 covering radius by at most the threshold, summed over both halves. Two fingerprints with at most
 ``threshold`` differing bits therefore meet at the smaller one's home: the search is exact.
+
+That makes 2^24 anchors. Tables of more than MANY fingerprints take a third codeword, of the perfect Hamming code
+of radius 1 on bits 46-60: 2^35 anchors and 2.5 times the replicas, and just as exact.
 """
 
 from __future__ import annotations
@@ -26,9 +29,11 @@ from .components import connected_components
 SHINGLE_WORDS = 3
 THRESHOLD = 2
 SEED = 42
-#: Anchors with more homes than this are split into a grid of cells of about CELL by CELL.
+#: Anchors with more homes than this are split into a grid of cells of about CELL homes by PROBES replicas.
 HOT_HOMES = 64
-CELL = 1024
+CELL, PROBES = 1024, 1 << 14
+#: Fingerprints from which on anchors have a third codeword: some tens of homes an anchor without it.
+MANY = 1 << 28
 _CHUNK = 1 << 16
 _GOLAY_POLY = 0b101011100011  # fixed value: generator polynomial of the [23,12] Golay code
 
@@ -74,52 +79,72 @@ def _syndrome(words: np.ndarray) -> np.ndarray:
     return r
 
 
+def _hamming_syndrome(words: np.ndarray) -> np.ndarray:
+    """Of the [15,11] code whose bit k is checked by the number k + 1."""
+    r = np.zeros(len(words), np.int64)
+    for bit in range(15):
+        r ^= np.where((words >> bit) & 1, bit + 1, 0)
+    return r
+
+
+#: (first bit, length, covering radius, syndrome, number of syndromes) of the codes of an anchor's parts.
+_GOLAY_LOW, _GOLAY_HIGH, _HAMMING = (0, 23, 3, _syndrome, 2048), (23, 23, 3, _syndrome, 2048), (46, 15, 1, _hamming_syndrome, 16)
+
+
 @lru_cache(maxsize=4)
-def _cosets(threshold: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each excess 0..threshold: (offsets by syndrome, error patterns) of weight <= 3, then 3 + excess."""
+def _cosets(length: int, radius: int, syndrome, n: int, threshold: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each excess 0..threshold: (offsets by syndrome, error patterns) of at most the radius' weight, then radius + excess."""
     out = []
     for excess in range(threshold + 1):
-        weights = range(4) if excess == 0 else [3 + excess]
-        pats = np.array([sum(1 << i for i in c) for w in weights for c in combinations(range(23), w)], np.int64)
-        syn = _syndrome(pats)
+        weights = range(radius + 1) if excess == 0 else [radius + excess]
+        pats = np.array([sum(1 << i for i in c) for w in weights for c in combinations(range(length), w)], np.int64)
+        syn = syndrome(pats)
         order = np.argsort(syn, kind="stable")
-        out.append((np.searchsorted(syn[order], np.arange(2049)), pats[order]))
+        out.append((np.searchsorted(syn[order], np.arange(n + 1)), pats[order]))
     return out
 
 
-def _near(words: np.ndarray, rows: np.ndarray, excess: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codewords whose distance from words[rows] exceeds the covering radius by ``excess``: (index into rows, codeword)."""
-    off, pats = _cosets(threshold)[excess]
-    syn = _syndrome(words[rows])
+def _near(code: tuple, fps: np.ndarray, rows: np.ndarray, excess: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codewords, in their place, whose distance from the part of fps[rows] exceeds the covering radius by ``excess``: (index into rows, codeword)."""
+    first, length, radius, syndrome, n = code
+    words = (fps[rows] >> first) & ((1 << length) - 1)
+    off, pats = _cosets(length, radius, syndrome, n, threshold)[excess]
+    syn = syndrome(words)
     counts = off[syn + 1] - off[syn]
     idx = np.repeat(np.arange(len(rows)), counts)
     within = np.arange(len(idx)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return idx, words[rows][idx] ^ pats[off[syn][idx] + within]
+    return idx, (words[idx] ^ pats[off[syn][idx] + within]) << first
 
 
-def anchors(fps: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(fps: np.ndarray, threshold: int = THRESHOLD, third: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(home of each fingerprint, rows of the replicas, anchors of the replicas)."""
-    a, b = fps & 0x7FFFFF, (fps >> 23) & 0x7FFFFF
+    codes = [_GOLAY_LOW, _GOLAY_HIGH, *([_HAMMING] if third else [])]
     everything = np.arange(len(fps))
-    home = (_near(a, everything, 0, threshold)[1] << 23) | _near(b, everything, 0, threshold)[1]
-    rows, keys = [], []
-    for ea in range(threshold + 1):
-        ia, ca = _near(a, everything, ea, threshold)
-        for eb in range(threshold + 1 - ea):
-            ib, cb = _near(b, ia, eb, threshold)
-            rows.append(ia[ib])
-            keys.append((ca[ib] << 23) | cb)
-    return home, np.concatenate(rows), np.concatenate(keys)
-
-
-def _replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for lo in range(0, len(pdf), 4096):
-            part = pdf.iloc[lo : lo + 4096]
-            fps, rep = part["fp"].to_numpy(), part["rep"].to_numpy()
-            home, rows, keys = anchors(fps)
-            yield pd.DataFrame({"anchor": home, "fp": fps, "rep": rep, "is_home": True})
-            yield pd.DataFrame({"anchor": keys, "fp": fps[rows], "rep": rep[rows], "is_home": False})
+    home = np.zeros(len(fps), np.int64)
+    # (rows, anchors so far, excess so far)
+    parts = [(everything, home, 0)]
+    for code in codes:
+        home = home | _near(code, fps, everything, 0, threshold)[1]
+        grown = []
+        for rows, keys, used in parts:
+            for excess in range(threshold + 1 - used):
+                i, c = _near(code, fps, rows, excess, threshold)
+                grown.append((rows[i], keys[i] | c, used + excess))
+        parts = grown
+    return home, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _replicate(third: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), 4096):
+                part = pdf.iloc[lo : lo + 4096]
+                fps, rep = part["fp"].to_numpy(), part["rep"].to_numpy()
+                home, rows, keys = anchors(fps, THRESHOLD, third)
+                yield pd.DataFrame({"anchor": home, "fp": fps, "rep": rep, "is_home": True})
+                yield pd.DataFrame({"anchor": keys, "fp": fps[rows], "rep": rep[rows], "is_home": False})
+
+    return run
 
 
 def _cell_forest(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -152,17 +177,21 @@ def _cell_forest(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
 
 
-def fingerprint_links(groups: DataFrame) -> DataFrame:
+def fingerprint_links(groups: DataFrame, third: bool | None = None) -> DataFrame:
     """Edges (a, b) between the representatives of groups(fp, rep) that connect whatever links connect.
 
     Anchors with few homes are compared by a join on the anchor, where a replica meets at most
     HOT_HOMES homes. Anchors with more are cut into a grid of cells, compared block by block, and
-    only a spanning forest of each cell's links leaves it. No link is lost either way.
+    only a spanning forest of each cell's links leaves it. No link is lost either way. ``third``: whether anchors
+    have a third codeword; by the number of groups if not given.
     """
-    spread = materialize(groups.mapInPandas(_replicate, "anchor long, fp long, rep long, is_home boolean"), "anchors")
+    third = groups.count() > MANY if third is None else third
+    spread = materialize(groups.mapInPandas(_replicate(third), "anchor long, fp long, rep long, is_home boolean"), "anchors")
     homes, probes = spread.where("is_home"), spread.where("NOT is_home")
-    load = materialize(homes.groupBy("anchor").agg(F.count("*").alias("n")), "loads")
-    hot = load.where(F.col("n") > HOT_HOMES).select("anchor", F.ceil(F.col("n") / CELL).cast("int").alias("k"))
+    load = spread.groupBy("anchor").agg(F.count_if("is_home").alias("n"), F.count_if(~F.col("is_home")).alias("probes"))
+    load = materialize(load.where("n > 0"), "loads")
+    part = lambda n, of: F.greatest(F.ceil(F.col(n) / of), F.lit(1)).cast("int")
+    hot = load.where(F.col("n") > HOT_HOMES).select("anchor", part("n", CELL).alias("down"), part("probes", PROBES).alias("across"))
     cold = load.where(F.col("n") <= HOT_HOMES).select("anchor")
     x = F.col("h.fp").bitwiseXOR(F.col("p.fp"))
     pairs = (
@@ -172,15 +201,11 @@ def fingerprint_links(groups: DataFrame) -> DataFrame:
         .where((F.col("h.fp") < F.col("p.fp")) & (F.bit_count(x) <= THRESHOLD))
         .select(F.col("h.rep").alias("a"), F.col("p.rep").alias("b"))
     )
-    cells = spread.join(hot, "anchor").select(
-        "anchor",
-        "fp",
-        "rep",
-        "is_home",
-        F.pmod(F.xxhash64("fp"), F.col("k")).alias("own"),
-        F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"),
-    )
-    cells = cells.select(
+    # a home has its row and stands in every column, a replica the other way round
+    of = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    grid = spread.join(hot, "anchor").withColumn("own", F.when(F.col("is_home"), of("down")).otherwise(of("across")))
+    grid = grid.select("anchor", "fp", "rep", "is_home", "own", F.explode(F.sequence(F.lit(0), F.when(F.col("is_home"), F.col("across")).otherwise(F.col("down")) - 1)).alias("other"))
+    cells = grid.select(
         "anchor",
         F.when(F.col("is_home"), F.col("own")).otherwise(F.col("other")).cast("long").alias("row"),
         F.when(F.col("is_home"), F.col("other")).otherwise(F.col("own")).cast("long").alias("col"),
