@@ -158,7 +158,8 @@ def test_scores(spark, monkeypatch):
     class Words(markov.Words):
         def __init__(self, *a):
             super().__init__(*a)
-            got["words"], got["self"] = {x["word"]: (x["c"], x["cls"]) for x in self.counts.collect()}, self
+            own = a[0].where("word IS NOT NULL").select(F.col("segment").alias("at"), "idx", "word").join(self.coded, ["at", "idx"])
+            got["words"], got["self"] = {x["word"]: (x["c"], x["cls"]) for x in own.collect() if x["c"]}, self
 
     train = markov._train
     monkeypatch.setattr(markov, "Words", Words)
@@ -170,7 +171,7 @@ def test_scores(spark, monkeypatch):
     n, v = sum(count.values()), len(count)
     unseen = sorted({w for ws in tokens for w in ws if w is not None and w not in count})
     w = got["self"]
-    forms = {x["w"]: x["c"] for x in spark.createDataFrame([(u,) for u in unseen], "w string").select("w", markov.form(F.col("w"), w.first).alias("c")).collect()}
+    forms = {x["w"]: x["c"] for x in spark.createDataFrame([(u,) for u in unseen], "w string").select("w", (markov.form(F.col("w")) + w.first).alias("c")).collect()}
     want = []
     for i, ws, h in zip(ids, tokens, held):
         cls, inner = [], 0.0

@@ -9,7 +9,7 @@ probability is add-one over the class, one share going to all words unseen:
 
 Words' counts are a distributed table and grow with the corpus. States, transitions and class emissions are bounded
 by parameters. Texts become runs of class numbers once: segments number their words by dictionaries of their own,
-the dictionaries' words meet the counts by a join, and what comes back are numbers by segment.
+the dictionaries' words are counted by one shuffle, and what comes back are numbers by segment.
 
 * Start: windows of WINDOW tokens go to states by the signs of random projections of their classes.
 * Baum-Welch: scaled forward and backward passes over windows of all training texts. A text's first window starts
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import segments
@@ -72,29 +72,38 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(own, _ENCODED)], schema=_ENCODED)
 
 
-def form(word: Column, first: int) -> Column:
-    """The class of a word by its form; classes of forms are numbered from ``first`` on."""
+def form(word: Column) -> Column:
+    """The number of a word's form."""
     w = F.translate(word, "0123456789", "0000000000")
-    return (F.pmod(F.xxhash64(F.concat_ws("\x01", F.substring(w, 1, 1), F.substring(w, -2, 2))), F.lit(FORMS)) + first).cast("int")
+    return (F.pmod(F.xxhash64(F.concat_ws("\x01", F.substring(w, 1, 1), F.substring(w, -2, 2))), F.lit(FORMS))).cast("int")
 
 
 class Words:
-    """Counts of the training words: ``counts`` (word, c, cls); totals and the classes' own totals."""
+    """Counts of the training words, and every segment's words with their counts and classes: ``coded`` (at, idx, c, cls).
+
+    A word is one row a segment, so all its rows together are as many as there are segments: a window over the word
+    counts it and tells each segment, in one shuffle. ``n`` and ``v`` are the classes' tokens and words.
+    """
 
     def __init__(self, encoded: DataFrame, n_docs: int):
-        seen = materialize(encoded.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "words")
-        s = seen.agg(F.sum("c").alias("c"), F.count("*").alias("v")).first()
-        self.tokens, self.types = (s["c"] or 0) + n_docs, s["v"] + (n_docs > 0)
-        head = seen.where(F.col("c") * HEAD >= self.tokens).orderBy(F.desc("c"), "word").limit(HEAD).collect()
+        rows = encoded.where("word IS NOT NULL").select("segment", "idx", "word", "n")
+        self.tokens = (rows.agg(F.sum("n").alias("n")).first()["n"] or 0) + n_docs
+        word = Window.partitionBy("word")
+        told = rows.withColumn("c", F.sum("n").over(word)).withColumn("first", F.row_number().over(word.orderBy("segment")) == 1)
+        common = (F.col("c") > 0) & (F.col("c") * HEAD >= self.tokens)
+        told = materialize(told.select("segment", "idx", "c", "first", form(F.col("word")).alias("form"), F.when(common, F.col("word")).alias("common")), "words")
+        words = told.where("first AND c > 0")  # one row a word of the training documents
+        head = words.where("common IS NOT NULL").select("common", "c").orderBy(F.desc("c"), "common").limit(HEAD).collect()
         self.first = len(head) + 1  # class 0 is the end of a text
         self.classes = self.first + FORMS
-        known = encoded.sparkSession.createDataFrame([(r["word"], k + 1) for k, r in enumerate(head)], "word string, own int")
-        classed = seen.join(F.broadcast(known), "word", "left").withColumn("cls", F.coalesce("own", form(F.col("word"), self.first))).select("word", "c", "cls")
-        self.counts = materialize(classed, "counts")
+        known = F.broadcast(encoded.sparkSession.createDataFrame([(r["common"], k + 1) for k, r in enumerate(head)], "common string, own int"))
+        classed = lambda df: df.join(known, "common", "left").withColumn("cls", F.coalesce("own", F.col("form") + self.first))
+        self.coded = classed(told).select(F.col("segment").alias("at"), "idx", "c", "cls")
         self.n, self.v = np.zeros(self.classes, np.int64), np.zeros(self.classes, np.int64)
         self.n[0] = n_docs
-        for r in self.counts.groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():  # one row a class
+        for r in classed(words).groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():  # one row a class
             self.n[r["cls"]], self.v[r["cls"]] = r["c"], r["v"]
+        self.types = int(self.v.sum()) + (n_docs > 0)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,10 +335,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_docs = rows.select("held").where("NOT held").count()
     since = scratch_tables()
     encoded = materialize(rows.mapInArrow(_encode, "segment long, word string, idx int, n long, ids binary, known binary, held binary, sizes binary, low binary, high binary"), "encoded", batch_rows=SEGMENT_ROWS)
-    words = Words(encoded.where("word IS NOT NULL").select("word", "n"), n_docs)
-    local = encoded.where("word IS NOT NULL").select("segment", "idx", "word")
-    local = local.join(words.counts, "word", "left").select(F.col("segment").alias("at"), "idx", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("cls", form(F.col("word"), words.first)).alias("cls"))
-    local = local.mapInArrow(_packed, "at long, idx binary, c binary, cls binary")
+    words = Words(encoded, n_docs)
+    local = words.coded.mapInArrow(_packed, "at long, idx binary, c binary, cls binary")
     texts = encoded.where("word IS NULL").select("segment", "ids", "known", "held", "sizes", "low", "high")
     merge = _classed(words.first, words.n, words.v, words.tokens, words.types, n_docs)
     classed = materialize(texts.groupBy("segment").cogroup(local.groupBy("at")).applyInPandas(merge, _CLASSED), "classed")
