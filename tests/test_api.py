@@ -107,3 +107,19 @@ def test_stream_resumes(spark, tmp_path):
     assert run() == [(1, 1, "pending", True), (1, 2, "running", True), (2, 3, "new", False)]
     feed([(1, 4, "pause"), (2, 5, "submit"), (1, 6, "finish")])
     assert run()[2:] == [(1, 4, "paused", True), (1, 6, "paused", False), (2, 3, "new", False), (2, 5, "pending", True)] and len(run()) == 6
+
+
+def test_stored_tables(spark, tmp_path):
+    """History, audit and profiles as tables that later calls find again."""
+    h = api.history_table(spark, f"{tmp_path}/history")
+    h.append_versions(spark.createDataFrame([("u", 1, "a"), ("v", 1, "b")], "url string, seq int, title string"), "seq")
+    h.append_versions(spark.createDataFrame([("u", 1, "c")], "url string, seq int, title string"), "seq")
+    assert [(x["version"], x["title"]) for x in api.history_table(spark, f"{tmp_path}/history").page("u").collect()] == [(2, "c"), (1, "a")]
+    a = api.audit_table(spark, f"{tmp_path}/audit")
+    a.append(spark.createDataFrame([("j1", "title", "T", True), ("j1", "language", "en", False), ("j2", "title", "S", True)], "job_id string, field string, winner string, conflict boolean"))
+    assert [x["field"] for x in api.job_audit(a, "j1").collect()] == ["language", "title"]
+    assert [x["field"] for x in api.job_audit(a, "j1", conflicts=True).collect()] == ["title"] and api.job_audit(a, "j3").count() == 0
+    p = api.profile_table(spark, f"{tmp_path}/profiles")
+    for runs in (1, 5):
+        p.upsert(spark.createDataFrame([("d", runs)], "domain string, run_count int"), {"run_count": "old.run_count + new.run_count"})
+    assert [tuple(x) for x in p.get(domain="d").collect()] == [("d", 6)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import html_ops
@@ -13,6 +13,7 @@ from .operators import extract as _extract
 from .operators import history as _history
 from .operators import jobs as _jobs
 from .operators import profile as _profile
+from .operators import tables
 from .plans import pipeline
 from .sources import sinks
 
@@ -46,6 +47,27 @@ def history(table: DataFrame, url: str, limit: int = 20, offset: int = 0, key: s
     return _history.page(table, key, url, version, limit, offset)
 
 
+def history_table(spark: SparkSession, path: str) -> tables.LogTable:
+    """The stored history of addresses: append_versions() adds to it, page() and of() read one address's own files."""
+    return tables.LogTable(spark, path, "url", ["version"])
+
+
+def audit_table(spark: SparkSession, path: str) -> tables.LogTable:
+    """The stored decisions of jobs: append() adds them, of() reads those of some jobs."""
+    return tables.LogTable(spark, path, "job_id", ["field"])
+
+
+def profile_table(spark: SparkSession, path: str) -> tables.KeyedTable:
+    """The stored profiles of domains, kept by upserts."""
+    return tables.KeyedTable(spark, path, ["domain"])
+
+
+def job_audit(table: tables.LogTable, job_id: str, conflicts: bool = False) -> DataFrame:
+    """A job's decisions in the order of their fields, or its conflicts alone."""
+    rows = table.of(job_id)
+    return (rows.where("conflict") if conflicts else rows).orderBy("field")
+
+
 def diff(table: DataFrame, url: str, first: int, second: int, key: str = "url", version: str = "version", text: str = "main_content") -> DataFrame:
     """(url, first, second, diff): the unified difference of two versions of an address."""
     rows = table.where((F.col(key) == url) & F.col(version).isin(first, second))
