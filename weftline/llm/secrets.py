@@ -180,9 +180,16 @@ def candidates(index: DataFrame, queries: dict[int, object]) -> DataFrame:
     return any_.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("rule", "rows"))).alias("rows"))
 
 
-def _bit(bitmap: Column, at: str) -> Column:
-    """Whether the row's bit is set; null where there is no bitmap."""
-    pos = F.col(at).bitwiseAND(F.lit(BLOCK - 1)).cast("int")
+def rules_of_rows(found: DataFrame) -> DataFrame:
+    """(at, held array<rule>): the candidates row by row, instead of a bitmap a block; as many rows as there are candidates."""
+    each = found.select("block", F.explode("rows").alias("rule", "bits"))
+    set_ = F.filter(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda k: _bit(F.col("bits"), k))
+    each = each.select("rule", F.shiftleft("block", BLOCK.bit_length() - 1).alias("base"), F.explode(set_).alias("pos"))
+    return each.groupBy((F.col("base") + F.col("pos")).alias("at")).agg(F.collect_list("rule").alias("held"))
+
+
+def _bit(bitmap: Column, pos: Column) -> Column:
+    """Whether a bit of the bitmap is set."""
     byte = F.conv(F.hex(F.substring(bitmap, (pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(pos, F.lit(8)))), F.lit(2)) == 1
 
@@ -236,17 +243,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("at"))
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     if grams:
+        begun = scratch_tables()
         rows = materialize(d, "texts")  # so that numbers are the same each time they are read
         since = scratch_tables()
         index = materialize(postings(rows, grams), "postings")
         found = materialize(candidates(index, queries), "candidates")
         drop_scratch(since, found)
-        d = rows.withColumn("block", _block("at")).join(found.withColumnRenamed("rows", "held"), "block", "left")
+        found = materialize(rules_of_rows(found), "rules")
+        drop_scratch(since, found)
+        d = rows.join(found, "at", "left")
     cols = [
-        F.when(_bit(F.element_at("held", F.lit(k)), "at"), _spans(F.col("text"), r, k)).otherwise(empty) if k in queries else _spans(F.col("text"), r, k)
+        F.when(F.array_contains("held", k), _spans(F.col("text"), r, k)).otherwise(empty) if k in queries else _spans(F.col("text"), r, k)
         for k, r in enumerate(rules)
     ]
-    return d.select("doc_id", F.array_sort(F.concat(*cols)).alias("spans"))
+    out = d.select("doc_id", F.array_sort(F.concat(*cols)).alias("spans"))
+    if grams:  # the numbered texts go with the index
+        out = materialize(out, "spans")
+        drop_scratch(begun, out)
+    return out
 
 
 def digest(scanned: DataFrame, base: tuple[Rule, ...] = BASE) -> DataFrame:
