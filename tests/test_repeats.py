@@ -38,3 +38,8 @@ def test_passthrough_takes_the_first_page(spark, tmp_path):
     (tmp_path / "in_order").mkdir()
     got, want = _both(spark, tmp_path / "in_order", "crawl_passthrough", pages)
     assert got == want
+
+
+def test_longest_value_takes_the_first_page_of_a_tie(spark, tmp_path):
+    got, _ = _both(spark, tmp_path, "longest_value", [_page(8, "http://a/", "zzzz b", 0), _page(4, "http://a/", "aaaa b", 0), _page(12, "http://b/", "only", 0)])
+    assert {u: v.split()[-2] for u, v, _ in got if u == "http://a/"} == {"http://a/": "aaaa"}

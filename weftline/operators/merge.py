@@ -49,10 +49,14 @@ def contributions(values: DataFrame) -> DataFrame:
     return rows.select("url", "field", F.array_join(F.transform("e", lambda x: x["engine_id"]), ",").alias("engines"))
 
 
-def longest_value(records: DataFrame, field: str) -> DataFrame:
-    """(url, value, agreement): the longest value and the weight share of those that hold half of its words."""
-    v = records.where(F.col("success") & (F.coalesce(F.col(field), F.lit("")) != "")).select("url", "engine_rank", F.col(field).alias("value"), weight(F.col("engine_id")).alias("w"))
-    g = v.groupBy("url").agg(F.max(F.struct(F.char_length("value").alias("n"), (-F.col("engine_rank")).alias("r"), "value")).alias("best"), F.collect_list(F.struct("value", "w")).alias("all"))
+def longest_value(records: DataFrame, field: str, tie: str | None = None) -> DataFrame:
+    """(url, value, agreement): the longest value and the weight share of those that hold half of its words.
+
+    Records of one engine with values of one length go by the column ``tie``, the least first, where one is given.
+    """
+    order = [] if tie is None else [(-F.col(tie)).alias("p")]
+    v = records.where(F.col("success") & (F.coalesce(F.col(field), F.lit("")) != "")).select("url", (-F.col("engine_rank")).alias("r"), *order, F.col(field).alias("value"), weight(F.col("engine_id")).alias("w"))
+    g = v.groupBy("url").agg(F.max(F.struct(F.char_length("value").alias("n"), "r", *(["p"] if order else []), "value")).alias("best"), F.collect_list(F.struct("value", "w")).alias("all"))
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
     g = g.withColumn("bw", words(F.col("best.value")))
     agreeing = F.aggregate("all", F.lit(0.0), lambda acc, x: acc + F.when(F.size(F.array_intersect(F.col("bw"), words(x["value"]))) >= 0.5 * F.size("bw"), x["w"]).otherwise(0.0))

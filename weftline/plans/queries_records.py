@@ -89,7 +89,7 @@ SELECT url, any_value(best) AS value, round(sum(CASE WHEN len(list_intersect({_B
 FROM v JOIN b USING (url) GROUP BY url"""
 )
 def longest_value(spark, d):
-    return merge.longest_value(records(spark, d), "body")
+    return merge.longest_value(records(spark, d), "body", tie="page_id")
 
 
 @query(
