@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import slices
 from . import documents
 
 LINK_KINDS = ("link", "image", "heading")
@@ -124,7 +125,7 @@ def html_reports(merged: DataFrame) -> DataFrame:
     def render(url, title, description, score, links, headings):
         return html_report({"url": url, "title": title, "description": description, "confidence_score": score, "links": [x.asDict() if hasattr(x, "asDict") else x for x in links or []], "headings": [x.asDict() if hasattr(x, "asDict") else x for x in headings or []]})
 
-    return merged.select("url", F.udf(render, "string", useArrow=True)("url", "title", "description", "confidence_score", "links", "headings").alias("html"))
+    return merged.select("url", slices.by_rows(render, "string")("url", "title", "description", "confidence_score", "links", "headings").alias("html"))
 
 
 def write_audit(decisions: DataFrame, path: str) -> None:
