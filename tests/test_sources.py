@@ -155,3 +155,17 @@ def test_workbook_of_documents(spark, tmp_path):
     (name,) = names(f"{tmp_path}/w")
     with zipfile.ZipFile(f"{tmp_path}/w/{name}") as z:
         assert "http://b.example/" in z.read("xl/worksheets/sheet3.xml").decode() and z.read("xl/workbook.xml").decode().count("<sheet ") == 4
+
+
+def test_more_rows_make_more_documents(spark, tmp_path, monkeypatch):
+    from weftline.plans import queries_io
+    from weftline.sources import documents
+
+    spark.range(1000).selectExpr("id AS event_id", "'click' AS event_type", "timestamp '2024-01-01' AS ts", "'{}' AS props").write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(documents, "DOCUMENT_ROWS", 50, raising=False)
+    path = tmp_path / "har"
+    monkeypatch.setattr(queries_io.session, "scratch", lambda spark, label: str(path))
+    got = queries_io.har_documents(spark, str(tmp_path))
+    sizes = [f.read_text().count('"startedDateTime"') for f in path.glob("*.har")]
+    assert len(sizes) == 20 and sum(sizes) == 1000 and max(sizes) < 100
+    assert sorted(r["event_id"] for r in got.collect()) == list(range(1000))

@@ -102,7 +102,7 @@ def dirty_json(spark, d):
 def graph_documents(spark, d):
     """The link graph written as GraphML documents and read back by row tag."""
     path = session.scratch(spark, "graphml")
-    documents.write(qp.site_edges(qp.pages(spark, d)).where("src IS NOT NULL AND dst IS NOT NULL").repartition(4), path, "graphml")
+    documents.write(documents.dealt(qp.site_edges(qp.pages(spark, d)).where("src IS NOT NULL AND dst IS NOT NULL")), path, "graphml")
     edges = xml_docs.read_rows(spark, path, "edge", "_source string, _target string")
     return edges.select(F.coalesce("_source", F.lit("")).alias("src"), F.coalesce("_target", F.lit("")).alias("dst"))
 
@@ -113,7 +113,7 @@ def har_documents(spark, d):
     path = session.scratch(spark, "har")
     e = table(spark, d, "events")
     entry = sinks.har_entry(F.concat(F.lit("http://h.example.com/"), F.col("event_type")), F.lit(200), F.lit("application/json"), F.col("ts").cast("timestamp"), F.col("event_id"), F.col("props"))
-    documents.write(e.select(entry.alias("entry")).repartition(4), path, "har")
+    documents.write(documents.dealt(e.select(entry.alias("entry"))), path, "har")
     log = spark.read.schema("log struct<entries: array<struct<time: long, request: struct<url: string>, response: struct<content: struct<size: long>>>>>").option("multiLine", True).json(path)
     return log.select(F.explode("log.entries").alias("e")).select(F.col("e.time").alias("event_id"), F.col("e.request.url").alias("url"), F.col("e.response.content.size").alias("size"))
 

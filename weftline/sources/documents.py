@@ -5,7 +5,7 @@ names, an abort deletes them. So a reader sees the documents of finished writes
 leaves one. Paths are opened through Arrow's file systems.
 
     documents.register(spark)
-    edges.repartition(4).write.format("graphml").mode("overwrite").save(path)
+    dealt(edges).write.format("graphml").mode("overwrite").save(path)
 """
 
 from __future__ import annotations
@@ -194,6 +194,15 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
+#: Rows of a document, about: a reader takes a document whole.
+DOCUMENT_ROWS = 50_000
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` in partitions for documents of about DOCUMENT_ROWS rows, four at least: more rows make more documents, not larger ones."""
+    return rows.repartition(max(4, -(-rows.count() // DOCUMENT_ROWS)))
+
+
 def write(rows: DataFrame, path: str, fmt: str, mode: str = "overwrite") -> None:
     """Write ``rows`` as documents of format graphml, har or xlsx; one for each of their partitions that has rows."""
     register(rows.sparkSession)
