@@ -156,3 +156,15 @@ def test_captcha(spark):
     pages = ['<div class="g-recaptcha" data-sitekey="k">', '<div class="h-captcha">', '<div class="cf-turnstile">', '<title>Just a moment...</title><form id="challenge-form">', "grecaptcha.execute(", "<p>"]
     got = [one(spark, classify.captcha(F.lit(p)))[0] for p in pages]
     assert got == ["recaptcha_v2", "hcaptcha", "turnstile", "cloudflare", "recaptcha_v3", None]
+
+
+def test_keywords_shuffle_texts_once(spark, tmp_path):
+    from weftline.plans.queries_text import document_keywords
+
+    rows = [(k, f"alpha beta{'x' * k} alpha gamma") for k in (1, 2, 3)] + [(1, "gamma delta gamma")]
+    path = tmp_path / "documents.parquet"
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "20L AS n_chars").write.parquet(str(path))
+    got = document_keywords(spark, str(tmp_path))
+    assert {(r["doc_id"], r["word"], r["n"]) for r in got.collect()} == {(1, "alpha", 2), (1, "gamma", 3), (1, "betax"[:5], 1), (1, "delta", 1), (2, "alpha", 2), (2, "betaxx", 1), (2, "gamma", 1), (3, "alpha", 2), (3, "betaxxx", 1), (3, "gamma", 1)}
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -111,8 +111,11 @@ n AS (SELECT doc_id, word, count(*) AS n, min(pos) AS first FROM w WHERE length(
 SELECT doc_id, word, n FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) <= 30"""
 )
 def document_keywords(spark, d):
-    """Thirty most frequent words of each document, ties in the order of their first appearance."""
-    w = docs(spark, d).select("doc_id", F.posexplode(text.keyword_words(F.col("text"))).alias("pos", "word"))
+    """Thirty most frequent words of each document, ties in the order of their first appearance.
+
+    The texts are dealt out by document, once; counting and ranking their words needs no other shuffle.
+    """
+    w = docs(spark, d).select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(text.keyword_words(F.col("text"))).alias("pos", "word"))
     n = w.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")  # a document's distinct words
     return n.withColumn("rank", F.row_number().over(order)).where("rank <= 30").select("doc_id", "word", "n")
