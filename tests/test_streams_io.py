@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import xml.etree.ElementTree as ET
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +79,22 @@ def test_near_classes_are_exact(spark, monkeypatch, load, keys):
     assert got == {k: (fps.index(f), root[k]) for k, f in enumerate(fps)}
 
 
+def test_connected_fingerprints_are_not_compared_again(monkeypatch):
+    """A cell of 400 rows of one component and one row of another one: 400 comparisons, not 80200."""
+    compared, count = [], np.bitwise_count
+    monkeypatch.setattr(hamming.np, "bitwise_count", lambda x: compared.append(len(x)) or count(x))
+    cell = pd.DataFrame({"key": 1, "i": 0, "j": 0, "label": [7] * 400 + [9], "fp": [*range(400), -1]})
+    assert [len(x) for x in hamming._compare(8)(iter([cell]))] == [0]
+    assert sum(compared) == 400
+
+
+def test_neighbours_connect_a_dense_region(spark):
+    """Of one group all are connected before any keys are made, and none of different groups."""
+    prints = spark.createDataFrame([(g, 1000 * k + i, i) for k, g in enumerate("ab") for i in range(200)], "g string, label long, fp long").repartition(4)
+    found = {tuple(x) for x in hamming.components(hamming.neighbours(prints, 8)).collect()}
+    assert found == {(1000 * k + i, 1000 * k) for k in range(2) for i in range(200)}
+
+
 def test_fingerprints_match_the_twin(spark):
     from weftline.operators import merge_fold
 

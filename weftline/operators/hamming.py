@@ -3,8 +3,9 @@
 Fingerprints within d bits agree on at least k of d + k bands of bits, whatever k is, so a join on every choice
 of k bands finds all of them. More fingerprints take a larger k, that is longer keys: a key's group then stays
 small. Groups that are large all the same are cut into a grid of cells. What leaves a batch of compared
-cells is a spanning forest of its links, never all pairs. The choices of bands are worked off in two parts:
-fingerprints that the first part has connected need no link from the second.
+cells is a spanning forest of its links, never all pairs. Before that, fingerprints are sorted by their bits, starting
+at several of them, and meet the next few in each order: that connects most of a dense region, and what is connected
+already is not compared again.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from pyspark.sql import functions as F
 
 from .. import session
 
-#: Choices of bands in the first part.
-FIRST = 6
+#: Orders in which fingerprints meet the NEXT ones behind them.
+TURNS, NEXT = 8, 16
 #: Groups of more rows than this are cut into a grid of cells of about twice as many.
 CELL = 1024
 #: Fingerprints a key that are aimed at.
 LOAD = 64
 MOST_BANDS = 4
+#: Tables of large groups' keys are broadcast up to so many rows of two numbers.
+HOT_ROWS = 1 << 18
 
 
 def masks(distance: int, n: int) -> list[int]:
@@ -54,19 +57,51 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[out], nodes[label[out]]
 
 
+def _near_next(distance: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by (key, turned)."""
+        held = None
+        for pdf in batches:
+            whole = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            key, fp, label = whole["key"].to_numpy(), whole["fp"].to_numpy().view(np.uint64), whole["label"].to_numpy()
+            found = []
+            for d in range(1, min(NEXT, len(whole) - 1) + 1):
+                near = np.flatnonzero((key[d:] == key[:-d]) & (np.bitwise_count(fp[d:] ^ fp[:-d]) <= distance))
+                found.append((label[near], label[near + d]))
+            a, b = forest(*(np.concatenate([np.zeros(0, np.int64), *[f[k] for f in found]]) for k in (0, 1)))
+            yield pd.DataFrame({"a": a, "b": b})
+            held = whole.iloc[-NEXT:]
+
+    return run
+
+
+def neighbours(prints: DataFrame, distance: int) -> DataFrame:
+    """(a, b): some of the links between labels of prints(g, label, fp) of one g within ``distance`` bits: those of neighbours by their bits.
+
+    The work grows with the table alone, and no key's rows have to meet in one task.
+    """
+    shifts = [64 * k // TURNS for k in range(TURNS)]
+    turned = lambda s: F.shiftleft("fp", s).bitwiseOR(F.shiftrightunsigned("fp", 64 - s)) if s else F.col("fp")
+    orders = F.array(*[F.struct(F.xxhash64("g", F.lit(s)).alias("key"), turned(s).alias("turned")) for s in shifts])
+    rows = prints.select("label", "fp", F.inline(orders))
+    return rows.repartitionByRange("key", "turned").sortWithinPartitions("key", "turned").mapInPandas(_near_next(distance), "a long, b long")
+
+
 def _compare(distance: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by (key, i, j)."""
+        """Rows come sorted by (key, i, j, label); those of one label are not compared."""
         held: list[pd.DataFrame] = []
 
         def links(pdf: pd.DataFrame) -> pd.DataFrame:
             key = pdf[["key", "i", "j"]].to_numpy()
-            group = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(axis=1))])
             fp, label = pdf["fp"].to_numpy().view(np.uint64), pdf["label"].to_numpy()
-            found, at, d = [], np.arange(len(pdf)), 1
-            while len(at := at[at + d < len(pdf)]) and len(at := at[group[at + d] == group[at]]):
-                near = at[(np.bitwise_count(fp[at] ^ fp[at + d]) <= distance) & (label[at] != label[at + d])]
-                found.append((label[near], label[near + d]))
+            cell = np.append(True, (key[1:] != key[:-1]).any(axis=1))
+            stop, other = _ends(cell), _ends(cell | np.append(True, label[1:] != label[:-1]))
+            found, at, d = [], np.arange(len(pdf)), 0
+            while len(at := at[other[at] + d < stop[at]]):
+                to = other[at] + d
+                near = np.bitwise_count(fp[at] ^ fp[to]) <= distance
+                found.append((label[at[near]], label[to[near]]))
                 d += 1
             a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
             a, b = forest(a, b)
@@ -87,16 +122,23 @@ def _compare(distance: int):
     return run
 
 
+def _ends(begins: np.ndarray) -> np.ndarray:
+    """For each row the end of its run; ``begins`` says where runs begin."""
+    edges = np.append(np.flatnonzero(begins), len(begins))
+    return np.repeat(edges[1:], np.diff(edges))
+
+
 def links(prints: DataFrame, distance: int, chosen: list[int]) -> DataFrame:
     """(a, b): links between labels of prints(g, label, fp) that connect all of one g within ``distance`` bits that agree on a mask."""
     every = F.array(*[F.lit(m).cast("long") for m in chosen])
     keys = F.transform(every, lambda m: F.xxhash64("g", m, F.col("fp").bitwiseAND(m)))
     rows = prints.select("label", "fp", F.explode(keys).alias("key"))
-    load = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / CELL).cast("int").alias("k"))
-    rows = rows.join(load, "key").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k")).cast("int"))
+    hot = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CELL).select("key", F.ceil(F.col("n") / CELL).cast("int").alias("k")).checkpoint()
+    rows = rows.join(F.broadcast(hot) if hot.count() <= HOT_ROWS else hot, "key", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k")).cast("int"))
     rows = rows.select("key", "label", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "label", "fp")
-    cells = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    cells = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "label")
     return cells.mapInPandas(_compare(distance), "a long, b long")
 
 
@@ -105,12 +147,9 @@ def connect(prints: DataFrame, distance: int) -> DataFrame:
     session.checkpoints(prints.sparkSession)
     now = prints.select("g", "node", "fp", F.col("node").alias("label")).checkpoint()
     every = masks(distance, now.count())
-    step = max(1, len(every) // FIRST)
-    first = every[::step]
-    for part in (first, [m for m in every if m not in first]):
-        if part:
-            found = components(links(now, distance, part)).withColumnRenamed("node", "label")
-            now = now.join(found, "label", "left").select("g", "node", "fp", F.coalesce("component", "label").alias("label")).checkpoint()
+    for part in (neighbours, lambda p, d: links(p, d, every)):
+        found = components(part(now, distance)).withColumnRenamed("node", "label")
+        now = now.join(found, "label", "left").select("g", "node", "fp", F.coalesce("component", "label").alias("label")).checkpoint()
     return now.select("node", F.col("label").alias("component"))
 
 
