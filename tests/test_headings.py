@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pandas as pd
+
 from weftline.operators import headings, merge_fold
 from weftline.plans.queries_text import fuzzy_dedup_headings
 
@@ -39,3 +42,27 @@ def test_every_first_line_takes_part(spark, tmp_path):
         assert len(order) > 16
         want += [(source, x["text"]) for x in merge_fold.fuzzy_dedup([{"text": t} for t in order])[0]]
     assert got == sorted(map(repr, want))
+
+
+def test_fold_by_numbers():
+    """What is kept by fingerprints and lengths alone is what fuzzy_dedup keeps of the texts, with more kept lines than one block."""
+    r = random.Random(5)
+    base = [r.getrandbits(64) for _ in range(700)]
+    fps = [r.choice(base) ^ sum(1 << r.randrange(64) for _ in range(r.randrange(7))) & (1 << 64) - 1 for _ in range(4000)]
+    texts = [f"{k:05}" + "x" * r.randrange(30) for k in range(len(fps))]
+    rows = pd.DataFrame({"g": "=a", "component": 1, "fp": np.array(fps, np.uint64).view(np.int64), "size": [len(t) for t in texts], "line": range(len(fps))})
+    other = rows[:50].assign(g="=b", line=range(5000, 5050))
+    out = pd.concat(list(headings._fold(iter([rows[:1500], rows[1500:1500], pd.concat([rows[1500:], other[:20]]), other[20:]]))))["line"].tolist()
+    got = [k for k in out if k < 5000]
+    assert [texts[k - 5000] for k in out if k >= 5000] == [x["text"] for x in merge_fold.fuzzy_dedup([{"text": t} for t in texts[:50]], prints=fps[:50])[0]]
+    want = [x["text"] for x in merge_fold.fuzzy_dedup([{"text": t} for t in texts], prints=fps)[0]]
+    assert len(want) > 256 and [texts[k] for k in got] == want
+
+
+def test_no_task_holds_the_texts_of_a_component(spark):
+    """Lists of lines are not collected: a component of long lines is folded by numbers."""
+    lines = spark.createDataFrame([("a", k, f"one two three four five six seven eight nine ten {k % 3}" + " ten" * k) for k in range(50)], "source string, doc_id long, t string")
+    out = headings.fold(lines)
+    assert "collect_list" not in out._jdf.queryExecution().analyzed().toString()
+    want = merge_fold.fuzzy_dedup([{"text": r["t"]} for r in lines.collect()])[0]
+    assert sorted(r["heading"] for r in out.collect()) == sorted(x["text"] for x in want)
