@@ -145,11 +145,13 @@ def links(prints: DataFrame, distance: int, chosen: list[int]) -> DataFrame:
 def connect(prints: DataFrame, distance: int) -> DataFrame:
     """(node, component) of prints(g, node, fp): the least node that links of at most ``distance`` bits within one g lead to."""
     session.checkpoints(prints.sparkSession)
-    now = prints.select("g", "node", "fp", F.col("node").alias("label")).checkpoint()
+    # rows are few bytes, but make many keys: they are dealt out evenly, not by their bytes
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    now = prints.select("g", "node", "fp", F.col("node").alias("label")).repartition(parts, "node").checkpoint()
     every = masks(distance, now.count())
     for part in (neighbours, lambda p, d: links(p, d, every)):
         found = components(part(now, distance)).withColumnRenamed("node", "label")
-        now = now.join(found, "label", "left").select("g", "node", "fp", F.coalesce("component", "label").alias("label")).checkpoint()
+        now = now.join(found, "label", "left").select("g", "node", "fp", F.coalesce("component", "label").alias("label")).repartition(parts, "node").checkpoint()
     return now.select("node", F.col("label").alias("component"))
 
 
