@@ -106,6 +106,26 @@ def test_progress_resumes(spark, folder):
     assert sorted(map(str, again.collect())) == sorted(map(str, whole.collect()))
 
 
+def test_rows_are_held_by_pieces(spark, folder):
+    """A key's rows that wait are one entry of the state store a batch, not one each."""
+    rows = sample(seed=6, span=650)  # none that the watermark passes
+    ev.run_append(keyed.evictions(stream_of(spark, folder, cut(rows, 2)), 900, "700 seconds"), "x", f"{folder}/run", keyed.STORE)
+    held = spark.read.format("statestore").option("stateVarName", "held").load(f"{folder}/run/checkpoint")
+    assert 5 <= held.count() <= 2 * 5
+
+
+def test_pieces_of_a_long_wait(spark, folder):
+    """More rows than a piece has, some without seq or tag, which wait over several batches."""
+    feed = keyed.Progress(300_000_000, ("done",))
+    feed.piece_rows = 7
+    rows = [(k, s, None if q % 9 == 4 else q, None if q % 5 == 1 else t) for k, s, q, t in sample(seed=7, keys=2, span=2_000)]
+    stream = keyed.in_order(stream_of(spark, folder, cut(rows, 6)), feed, "at long, seq long, kind string, tag string", "700 seconds")
+    out = ev.run_append(stream.withColumn("ts", F.timestamp_micros("at")), "x", f"{folder}/run", keyed.STORE)
+    end = watermark(rows, 700)
+    got = [(r["key"], secs(r["ts"]), r["seq"], r["tag"]) for r in out.where("kind <> 'heartbeat'").collect()]
+    assert sorted(got, key=repr) == sorted([(k, float(s), q, t) for k, s, q, t in rows if s <= end], key=repr)
+
+
 def plain_starts(rows, delay):
     out, ready = {}, {}
     for key, s, q in sorted(rows, key=lambda x: (x[0], x[1], x[2])):
