@@ -88,6 +88,32 @@ def test_connected_fingerprints_are_not_compared_again(monkeypatch):
     assert sum(compared) == 400
 
 
+def test_large_tables_take_few_keys_and_miss_no_link():
+    """Millions of fingerprints: 67 keys each, one of which any two within eight bits share; masks would take 165."""
+    import random
+
+    r = random.Random(3)
+    every = hamming.keys(8, 1 << 22)
+    assert len(hamming.masks(8, 1 << 22)) == 165 and sum(len(flips) for _, flips in every) == 67
+    made = lambda f: {(m, (f & m ^ b) % (1 << 64)) for m, flips in every for b in flips}
+    for _ in range(500):
+        a = r.getrandbits(64)
+        b = a ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 8)))
+        assert made(a) & made(b)
+
+
+def test_links_of_a_dense_cell_are_reduced_while_it_is_compared(monkeypatch):
+    """600 rows of as many components, all within eight bits of each other: 179700 links, 599 come out, and few are held at a time."""
+    held, forest = [], hamming.forest
+    monkeypatch.setattr(hamming, "WAIT", 1000)
+    monkeypatch.setattr(hamming, "forest", lambda a, b: held.append(len(a)) or forest(a, b))
+    near = [0, *(1 << i for i in range(64)), *(1 << i | 1 << j for i in range(64) for j in range(i))][:600]
+    cell = pd.DataFrame({"key": 1, "i": 0, "j": 0, "label": range(600), "fp": near})
+    (out,) = hamming._compare(8)(iter([cell]))
+    assert len(out) == 599 and max(held) <= 1600
+    assert set(forest(out["a"].to_numpy(), out["b"].to_numpy())[1]) == {0}
+
+
 def test_neighbours_connect_a_dense_region(spark):
     """Of one group all are connected before any keys are made, and none of different groups."""
     prints = spark.createDataFrame([(g, 1000 * k + i, i) for k, g in enumerate("ab") for i in range(200)], "g string, label long, fp long").repartition(4)

@@ -2,7 +2,9 @@
 
 Fingerprints within d bits agree on at least k of d + k bands of bits, whatever k is, so a join on every choice
 of k bands finds all of them. More fingerprints take a larger k, that is longer keys: a key's group then stays
-small. Groups that are large all the same are cut into a grid of cells. What leaves a batch of compared
+small. Where that takes too many keys, bands are a third of the bits for eight bits of distance: two fingerprints then
+differ in two bits of some band at most, so each meets the other when one bit of the band is flipped, whichever it is.
+Groups that are large all the same are cut into a grid of cells. What leaves a batch of compared
 cells is a spanning forest of its links, never all pairs. Before that, fingerprints are sorted by their bits, starting
 at several of them, and meet the next few in each order: that connects most of a dense region, and what is connected
 already is not compared again.
@@ -15,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import session
@@ -23,10 +25,12 @@ from .. import session
 #: Orders in which fingerprints meet the NEXT ones behind them.
 TURNS, NEXT = 8, 16
 #: Groups of more rows than this are cut into a grid of cells of about twice as many.
-CELL = 1024
+CELL = 8192
 #: Fingerprints a key that are aimed at.
 LOAD = 64
 MOST_BANDS = 4
+#: Links of a batch that are held before they are reduced to a forest.
+WAIT = 1 << 16
 #: Tables of large groups' keys are broadcast up to so many rows of two numbers.
 HOT_ROWS = 1 << 18
 
@@ -36,8 +40,25 @@ def masks(distance: int, n: int) -> list[int]:
     k = next((k for k in range(1, MOST_BANDS) if n <= LOAD << (64 * k // (distance + k))), MOST_BANDS)
     edges = [64 * b // (distance + k) for b in range(distance + k + 1)]
     bands = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:])]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    return [signed(sum(chosen)) for chosen in combinations(bands, k)]
+    return [_signed(sum(chosen)) for chosen in combinations(bands, k)]
+
+
+def balls(distance: int) -> list[tuple[int, list[int]]]:
+    """(mask of a band, bits of it and none) for each of some bands, on one of which any two fingerprints within ``distance``
+    bits differ in two bits at most: they agree there once at most one bit of each is flipped."""
+    n = distance // 3 + 1
+    edges = [64 * b // n for b in range(n + 1)]
+    return [(_signed((1 << hi) - (1 << lo)), [0, *(_signed(1 << b) for b in range(lo, hi))]) for lo, hi in zip(edges, edges[1:])]
+
+
+def keys(distance: int, n: int) -> list[tuple[int, list[int]]]:
+    """(mask, flips) of the keys of ``n`` fingerprints: what is masked, changed by each of the flips."""
+    whole, near = [(m, [0]) for m in masks(distance, n)], balls(distance)
+    return whole if len(whole) <= sum(len(flips) for _, flips in near) else near
+
+
+def _signed(m: int) -> int:
+    return m - (1 << 64) if m >> 63 else m
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,14 +118,36 @@ def _compare(distance: int):
             fp, label = pdf["fp"].to_numpy().view(np.uint64), pdf["label"].to_numpy()
             cell = np.append(True, (key[1:] != key[:-1]).any(axis=1))
             stop, other = _ends(cell), _ends(cell | np.append(True, label[1:] != label[:-1]))
-            found, at, d = [], np.arange(len(pdf)), 0
-            while len(at := at[other[at] + d < stop[at]]):
-                to = other[at] + d
-                near = np.bitwise_count(fp[at] ^ fp[to]) <= distance
-                found.append((label[at[near]], label[to[near]]))
+            # rows with most to compare come first, so those with something left are always the first ones
+            at = np.argsort(other - stop, kind="stable")
+            size, to, own = (stop - other)[at], other[at], fp[at]
+            top, found, wait = label.copy(), [], []
+
+            def join() -> None:
+                nodes, tops = forest(*(np.concatenate([np.zeros(0, np.int64), *[w[k] for w in wait]]) for k in (0, 1)))
+                wait.clear()
+                if len(nodes):
+                    found.append((nodes, tops))
+                    here = np.minimum(np.searchsorted(nodes, top), len(nodes) - 1)
+                    top[:] = np.where(nodes[here] == top, tops[here], top)
+
+            def add(x: np.ndarray, y: np.ndarray) -> None:
+                new = top[x] != top[y]
+                if new.any():
+                    wait.append((top[x][new], top[y][new]))
+                    if sum(len(w[0]) for w in wait) > WAIT:
+                        join()
+
+            d = 0
+            while (n := int(np.searchsorted(-size, -d))) > size[0] - d:
+                near = np.flatnonzero(np.bitwise_count(own[:n] ^ fp[to[:n] + d]) <= distance)
+                add(at[near], to[near] + d)
                 d += 1
-            a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-            a, b = forest(a, b)
+            for k in range(n):  # few rows with much left: one by one
+                near = np.flatnonzero(np.bitwise_count(own[k] ^ fp[to[k] + d : to[k] + size[k]]) <= distance)
+                add(np.full(len(near), at[k]), to[k] + d + near)
+            join()
+            a, b = (np.concatenate([np.zeros(0, np.int64), *[f[k] for f in found]]) for k in (0, 1))
             return pd.DataFrame({"a": a, "b": b})
 
         for pdf in batches:
@@ -128,13 +171,35 @@ def _ends(begins: np.ndarray) -> np.ndarray:
     return np.repeat(edges[1:], np.diff(edges))
 
 
-def links(prints: DataFrame, distance: int, chosen: list[int]) -> DataFrame:
-    """(a, b): links between labels of prints(g, label, fp) that connect all of one g within ``distance`` bits that agree on a mask."""
-    every = F.array(*[F.lit(m).cast("long") for m in chosen])
-    keys = F.transform(every, lambda m: F.xxhash64("g", m, F.col("fp").bitwiseAND(m)))
-    rows = prints.select("label", "fp", F.explode(keys).alias("key"))
-    hot = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CELL).select("key", F.ceil(F.col("n") / CELL).cast("int").alias("k")).checkpoint()
-    rows = rows.join(F.broadcast(hot) if hot.count() <= HOT_ROWS else hot, "key", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+def _key(value: Column, mask: Column | str, flip: Column) -> Column:
+    return F.xxhash64("g", mask, value.bitwiseXOR(flip))
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= HOT_ROWS else rows
+
+
+def _hot(prints: DataFrame, chosen: list[tuple[int, list[int]]]) -> DataFrame:
+    """(key, k): keys of more than CELL rows, and of how many cells a side their grid is.
+
+    Rows are counted by what they are masked to, before flips. A key of many rows has one of many among those that it is made of.
+    """
+    flips = F.element_at(F.create_map(*[x for m, every in chosen for x in (F.lit(m).cast("long"), F.array(*[F.lit(f).cast("long") for f in every]))]), F.col("mask"))
+    rows = prints.select("g", "fp", F.explode(F.array(*[F.lit(m).cast("long") for m, _ in chosen])).alias("mask"))
+    values = rows.groupBy("g", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value")).agg(F.count("*").alias("n")).checkpoint()
+    keyed = lambda v: v.select("g", "mask", "value", "n", F.explode(flips).alias("flip")).select(_key(F.col("value"), "mask", F.col("flip")).alias("key"), "n")
+    most = max(len(every) for _, every in chosen)
+    may = keyed(values.where(F.col("n") * most > CELL)).select("key").distinct().checkpoint()
+    sizes = keyed(values).join(_small(may), "key", "left_semi").groupBy("key").agg(F.sum("n").alias("n"))
+    return sizes.where(F.col("n") > CELL).select("key", F.ceil(F.col("n") / CELL).cast("int").alias("k")).checkpoint()
+
+
+def links(prints: DataFrame, distance: int, chosen: list[tuple[int, list[int]]]) -> DataFrame:
+    """(a, b): links between labels of prints(g, label, fp) that connect all of one g within ``distance`` bits that agree on a key."""
+    every = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(f).cast("long").alias("flip")) for m, flips in chosen for f in flips])
+    rows = prints.select("g", "label", "fp", F.inline(every))
+    rows = rows.select(_key(F.col("fp").bitwiseAND(F.col("mask")), "mask", F.col("flip")).alias("key"), "label", "fp")
+    rows = rows.join(_small(_hot(prints, chosen)), "key", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k")).cast("int"))
     rows = rows.select("key", "label", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "label", "fp")
@@ -148,7 +213,7 @@ def connect(prints: DataFrame, distance: int) -> DataFrame:
     # rows are few bytes, but make many keys: they are dealt out evenly, not by their bytes
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     now = prints.select("g", "node", "fp", F.col("node").alias("label")).repartition(parts, "node").checkpoint()
-    every = masks(distance, now.count())
+    every = keys(distance, now.count())
     for part in (neighbours, lambda p, d: links(p, d, every)):
         found = components(part(now, distance)).withColumnRenamed("node", "label")
         now = now.join(found, "label", "left").select("g", "node", "fp", F.coalesce("component", "label").alias("label")).repartition(parts, "node").checkpoint()
