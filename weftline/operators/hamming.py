@@ -220,6 +220,13 @@ def connect(prints: DataFrame, distance: int) -> DataFrame:
     return now.select("node", F.col("label").alias("component"))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` written and read again. A checkpoint keeps facts of its plan, and over rounds of joins planning took longer and longer."""
+    path = session.scratch(df.sparkSession, "components")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b): its least connected node.
 
@@ -228,13 +235,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     session.checkpoints(edges.sparkSession)
     ordered = lambda a, b: (F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
-    e = edges.where("a <> b").select(*ordered("a", "b")).distinct().checkpoint()
+    e = _cut(edges.where("a <> b").select(*ordered("a", "b")).distinct())
     labels = None
     while e.limit(1).count():
-        hooks = e.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("top")).checkpoint()
+        hooks = _cut(e.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("top")))
         while True:
             over = hooks.select(F.col("node").alias("top"), F.col("top").alias("over"))
-            moved = hooks.join(over, "top", "left").select("node", F.coalesce("over", "top").alias("top"), F.col("over").isNotNull().alias("moved")).checkpoint()
+            moved = _cut(hooks.join(over, "top", "left").select("node", F.coalesce("over", "top").alias("top"), F.col("over").isNotNull().alias("moved")))
             hooks = moved.select("node", "top")
             if not moved.where("moved").limit(1).count():
                 break
@@ -243,10 +250,10 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             top = hooks.select(F.col("node").alias("component"), "top")
             new = hooks.join(labels.select("node"), "node", "left_anti").select("node", F.col("top").alias("component"))
-            labels = labels.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")).unionByName(new).checkpoint()
+            labels = _cut(labels.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")).unionByName(new))
         at = lambda side: hooks.select(F.col("node").alias(side), F.col("top").alias(f"{side}_top"))  # noqa: E731, B023
         e = e.join(at("hi"), "hi", "left").join(at("lo"), "lo", "left").select(F.coalesce("hi_top", "hi").alias("x"), F.coalesce("lo_top", "lo").alias("y"))
-        e = e.where("x <> y").select(*ordered("x", "y")).distinct().checkpoint()
+        e = _cut(e.where("x <> y").select(*ordered("x", "y")).distinct())
     if labels is None:
         return e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
